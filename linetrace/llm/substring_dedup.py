@@ -5,7 +5,7 @@ shorter anchors of ``WINDOW - PERIOD + 1`` words are hashed only where the word
 ``PERIOD`` lies in a difference cover.  For any two positions i and j some shift below the period
 puts both i+shift and j+shift on the cover, so two equal windows always share an aligned anchor.
 Anchors that occur once are discarded; around the others the windows that contain them are hashed
-with 128 bits and counted, which extends the anchor to whole windows exactly.
+with 95 bits and counted, which extends the anchor to whole windows exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from linetrace.llm.common import IS_SPACE, slices, stash, utf8
 #: Every difference modulo 21 occurs once between members of this set (a perfect difference set).
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 WINDOW = 35
+#: Of texts that are equal as a whole, the one that stands for all, and the others.
+FIRST, COPY = 1, 2
 
 # Two independent odd multipliers for polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -115,22 +117,23 @@ def _digest(parts: list[bytes]) -> str:
 
 
 def _base_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word count and digest of every text; the text itself only where an anchor repeats."""
+    """Word count and digest of every text; the text itself only where its windows must be hashed."""
     for batch in batches:
-        n, sha, hit = [], [], np.asarray(batch.column("hits").is_valid())
+        n, sha = [], []
+        hit = [r != COPY and h.is_valid for r, h in zip(batch.column("role").to_pylist(), batch.column("hits"), strict=True)]
         for text in batch.column("text"):
             parts = (text.as_py() or "").encode().split()
             n.append(len(parts))
             sha.append(_digest(parts))
         text = pa.array([t.as_py() if h else None for t, h in zip(batch.column("text"), hit, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column("hits")],
-            ["doc_id", "rk", "n_words", "full_sha256", "text", "hits"],
+            [batch.column("doc_id"), batch.column("rk"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), text, batch.column("hits"), batch.column("role")],
+            ["doc_id", "rk", "n_words", "full_sha256", "text", "hits", "role"],
         )
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows that hold a repeated anchor."""
+    """95-bit hashes of the windows that hold a repeated anchor."""
     length = window - PERIOD + 1
     for batch in batches:
         data, at, _ = utf8(batch.column("text"))
@@ -149,7 +152,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
                     pa.array(np.full(len(starts), batch.column("rk")[i].as_py()), pa.int64()),
                     pa.array(starts.astype(np.int32)),
                     pa.array(w.windows(starts, window, BASES[0]).view(np.int64)),
-                    pa.array(w.windows(starts, window, BASES[1]).view(np.int64)),
+                    pa.array((w.windows(starts, window, BASES[1]) >> np.uint64(33)).astype(np.int32)),
                 ],
                 ["rk", "start", "h1", "h2"],
             )
@@ -198,26 +201,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # An anchor that occurs once matters no more.  Counting combines on the map side, so a passage
     # that a third of the corpus holds costs one row a task.
     repeated = stash(anchors.select(F.explode("anchors").alias("h")).groupBy("h").count().filter("count > 1").select("h"))
-    hits = (
-        anchors.select("rk", F.posexplode("anchors").alias("k", "h"))
-        .join(repeated, "h")
-        .groupBy("rk").agg(F.collect_set("k").alias("hits"))
-    )
-    schema = "doc_id long, rk long, n_words long, full_sha256 string, text string, hits array<int>"
-    base = stash(rows.join(hits, "rk", "left").select("doc_id", "rk", "text", "hits").mapInArrow(_base_batches, schema))
-    suspects = base.filter(F.col("hits").isNotNull())
-    windows = suspects.select("rk", "text", "hits").mapInArrow(lambda b: _window_batches(b, window), "rk long, start int, h1 long, h2 long")
-    twice = stash(windows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"))
-    starts = windows.join(twice, ["h1", "h2"]).groupBy("rk").agg(F.collect_set("start").alias("starts"))
+    hits = anchors.select("rk", F.posexplode("anchors").alias("k", "h")).join(repeated, "h").select("rk", "k", F.lit(None).cast("int").alias("role"))
+    # All windows of a text that occurs twice repeat; one copy is hashed for all, and counts twice.
+    whole = rows.select("rk", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
+    copied = stash(whole.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("rk").alias("first")).filter("n > 1").select("t1", "t2", "first"))
+    role = F.when(F.col("rk") == F.col("first"), FIRST).otherwise(COPY)
+    roles = whole.join(copied, ["t1", "t2"]).select("rk", F.lit(None).cast("int").alias("k"), role.alias("role"))
+    marks = hits.unionByName(roles).groupBy("rk").agg(F.collect_set("k").alias("hits"), F.max("role").alias("role"))
+    marks = marks.withColumn("hits", F.when(F.size("hits") > 0, F.col("hits")))
+    schema = "doc_id long, rk long, n_words long, full_sha256 string, text string, hits array<int>, role int"
+    base = stash(rows.join(marks, "rk", "left").select("doc_id", "rk", "text", "hits", "role").mapInArrow(_base_batches, schema))
+    suspects = base.filter("text is not null and role is null")
+
+    def hashed(frame: DataFrame) -> DataFrame:
+        return frame.select("rk", "text", "hits").mapInArrow(lambda b: _window_batches(b, window), "rk long, start int, h1 long, h2 int")
+
+    weighed = hashed(suspects).withColumn("w", F.lit(1)).unionByName(hashed(base.filter(F.col("role") == FIRST).filter("text is not null")).withColumn("w", F.lit(2)))
+    twice = stash(weighed.groupBy("h1", "h2").agg(F.sum("w").alias("w")).filter("w > 1").select("h1", "h2"))
+    starts = hashed(suspects).join(twice, ["h1", "h2"]).groupBy("rk").agg(F.collect_set("start").alias("starts"))
     cut = suspects.select("doc_id", "rk", "text").join(starts, "rk").select("doc_id", "rk", "text", "starts")
     cut = cut.mapInArrow(
         lambda b: _cut_batches(b, window),
         "doc_id long, rk long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: long, end: long>>",
     )
-    whole = base.filter(F.col("hits").isNull())
-    nothing = [F.lit(0).cast("long").alias("n_removed"), F.col("full_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), F.lit(None).cast(cut.schema["spans"].dataType).alias("spans")]
     found = suspects.select("doc_id", "rk", "n_words", "full_sha256").join(cut.drop("doc_id").dropDuplicates(["rk"]), "rk", "left")
     found = found.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"), "kept_text", "spans"
     )
-    return found.unionByName(whole.select("doc_id", "n_words", *nothing))
+    gone = F.col("role").isNotNull() & (F.col("n_words") >= window)
+    rest = base.filter("text is null or role is not null").select(
+        "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, F.lit(_digest([]))).otherwise(F.col("full_sha256")).alias("kept_sha256"),
+        F.when(gone, F.lit("")).alias("kept_text"), F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))).alias("spans"),
+    )
+    return found.unionByName(rest)
