@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the word and prefix tables that a task keeps before it starts anew.
-MEMO = 400_000
+#: Entries of the tables of words (each half), and of prefixes, that a task keeps; some 200 bytes each.
+MEMO, HEADS = 300_000, 1_000_000
 _NONE = 1 << 62
 
 
@@ -51,15 +51,19 @@ def _joins_left() -> frozenset[str]:
 
 
 class _Memo(dict):
-    """A table that computes what it lacks, and starts anew when it has grown too large."""
+    """A table that computes what it lacks.  Once full it becomes the older half, from which entries
+    in use move over, and a new half begins."""
 
     def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         if len(key) < 200:
             self[key] = value
@@ -105,19 +109,17 @@ class Vocabulary:
         self.symbols = [_byte_symbols()[b] for b in range(256)]
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.fits: dict[tuple[int, int], bool] = {}
-        # Of each prefix of a word, in byte symbols: count, last token, and count if the word ends here.
-        self.heads: dict[str, tuple[int, int, int]] = {"": (0, -1, 0)}
+        self.fits: dict[int, bool] = {}
+        # Of each prefix of a word, in byte symbols, in one number: its count, its count if the word
+        # ends here, and its last token plus one, in fields of 32 bits.
+        self.heads: dict[str, int] = {"": 0}
         self.piece = _Memo(self._piece)
         self.chunk = _Memo(self._chunk)
 
-    def _joinable(self, pair: tuple[int, int]) -> bool:
+    def _joinable(self, a: int, b: int) -> bool:
         """Whether two tokens in a row stay two tokens: no merge across their border would have
         come before the merges that made them."""
-        known = self.fits.get(pair)
-        if known is not None:
-            return known
-        (a, b), bound, out = pair, _NONE, True
+        pair, bound, out = a << 32 | b, _NONE, True
         while True:
             if self.rank.get((a, b), _NONE) < bound:
                 out = False
@@ -133,43 +135,54 @@ class Vocabulary:
         self.fits[pair] = out
         return out
 
-    def _last(self, word: str, ended: bool) -> tuple[int, int]:
-        """(count, last token) of ``word`` in byte symbols, its last one marked as a word's end or
-        not.  All shorter prefixes are in the table of heads."""
-        endings, n, found = self.endings[ended], len(word), []
-        at = n - 1
+    def _head(self, word: str) -> int:
+        """The entry of ``word``; all shorter prefixes are in the table of heads."""
+        inner, final = self.endings
+        heads, fits = self.heads, self.fits
+        last, ended = [], []
+        at = len(word) - 1
         while at >= 0:
-            token = endings.get(word[at:])
-            if token is None:
+            end = word[at:]
+            a, b = inner.get(end), final.get(end)
+            if a is None and b is None:
                 break
-            if token >= 0:
-                found.append((at, token))
+            if a is not None and a >= 0:
+                last.append((at, a))
+            if b is not None and b >= 0:
+                ended.append((at, b))
             at -= 1
-        for at, token in reversed(found):
-            count, before, _ = self.heads[word[:at]]
-            if before < 0 or self._joinable((before, token)):
-                return count + 1, token
-        raise ValueError(f"the vocabulary has no symbol for {word!r}")
+        out = 0
+        for found, place in ((last, 64), (ended, 32)):
+            for at, token in reversed(found):
+                head = heads[word[:at]]
+                before = (head & 0xFFFFFFFF) - 1
+                if before >= 0:
+                    fit = fits.get(before << 32 | token)
+                    if not (self._joinable(before, token) if fit is None else fit):
+                        continue
+                out |= (head >> 64) + 1 << place
+                if place == 64:
+                    out |= token + 1
+                break
+            else:
+                raise ValueError(f"the vocabulary has no symbol for {word!r}")
+        return out
 
     def _piece(self, piece: str) -> list[int]:
         """Token count of each prefix of one piece of lower-cased text."""
         out, word, heads, symbols = [], "", self.heads, self.symbols
-        if len(heads) > MEMO:
+        if len(heads) > HEADS:
             heads.clear()
-            heads[""] = (0, -1, 0)
-        if len(self.fits) > MEMO:
+            heads[""] = 0
+        if len(self.fits) > HEADS:
             self.fits.clear()
         for c in piece:
-            *inner, final = c.encode()
-            for b in inner:
+            for b in c.encode():
                 word += symbols[b]
-                if word not in heads:
-                    heads[word] = (*self._last(word, False), 0)
-            word += symbols[final]
-            head = heads.get(word)
-            if head is None:
-                head = heads[word] = (*self._last(word, False), self._last(word, True)[0])
-            out.append(head[2])
+                head = heads.get(word)
+                if head is None:
+                    head = heads[word] = self._head(word)
+            out.append(head >> 32 & 0xFFFFFFFF)
         return out
 
     def _running(self, text: str) -> list[int]:
@@ -188,7 +201,7 @@ class Vocabulary:
         """Change of the count at each code point of a part of a text, plus 128."""
         low = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in chunk)
         if len(low) == len(chunk) and (chunk.isascii() or max(chunk) < "\u0300"):
-            counts = self._running(low)
+            counts = self._piece(low) if low.isalpha() else self._running(low)
         else:
             counts = self._unsettled(chunk)
         delta = np.diff(np.array([0, *counts])) if len(chunk) > 64 else [b - a for a, b in zip([0, *counts], counts)]
