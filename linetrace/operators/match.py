@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetrace.functions.scoring import partial_ratios, ratio
-from linetrace.functions.text import ALIKE, COVERED, LONG_TOKEN
+from linetrace.functions.text import ALIKE, COVERED, LONG_TOKEN, length_softening
 
 POOL, PREFILTER, MIN_LETTERS = 50, 1500, 3
 #: Characters of queries in one block; each block is one pass over the lines.
@@ -84,6 +84,9 @@ def candidate_pool(queries: DataFrame, lines: DataFrame, pool: int = POOL, lette
     Queries go to the lines in blocks of bounded size, so no line is shuffled; every task returns at
     most ``pool`` rows a query."""
     spark, out = lines.sparkSession, None
+    cores = spark.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < cores:  # a small table in one file still keeps all cores busy
+        lines = lines.repartition(2 * cores)
     schema = "query_id string, order_id long, passage_id long, partial double, norm string"
     for block in _blocks(queries):
         shared = spark.sparkContext.broadcast(block)
@@ -94,16 +97,35 @@ def candidate_pool(queries: DataFrame, lines: DataFrame, pool: int = POOL, lette
     return best_by_query(out, pool, F.col("partial").desc(), F.col("order_id")).drop("rank")
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], carried: bool) -> Iterator[pa.RecordBatch]:
+def _partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial ratios of given pairs, a query's lines at once."""
     for batch in batches:
-        q, t = batch.column("query").to_pylist(), batch.column("norm").to_pylist()
-        partial = batch.column("partial").to_pylist() if carried else [float(partial_ratios(a, [b])[0]) for a, b in zip(q, t, strict=True)]
-        cover = [coverage(a, b) for a, b in zip(q, t, strict=True)]
-        columns = [batch.column(c) for c in ("query_id", "order_id", "passage_id")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(partial, pa.float64()), pa.array(cover, pa.float64()), pa.array([a * b for a, b in zip(partial, cover, strict=True)], pa.float64())],
-            ["query_id", "order_id", "passage_id", "partial", "coverage", "score"],
-        )
+        queries, lines = batch.column("query").to_pylist(), batch.column("norm").to_pylist()
+        own: dict[str, list[int]] = {}
+        for i, q in enumerate(queries):
+            own.setdefault(q, []).append(i)
+        partial = np.zeros(len(lines))
+        for q, at in own.items():
+            partial[at] = partial_ratios(q, [lines[i] for i in at])
+        columns = [batch.column(c) for c in ("query_id", "order_id", "passage_id", "query", "norm")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(partial)], ["query_id", "order_id", "passage_id", "query", "norm", "partial"])
+
+
+PAIRED = "query_id string, order_id long, passage_id long, query string, norm string, partial double"
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        partial = batch.column("partial").to_pylist()
+        cover = [coverage(a, b) for a, b in zip(batch.column("query").to_pylist(), batch.column("norm").to_pylist(), strict=True)]
+        columns = [batch.column(c) for c in ("query_id", "order_id", "passage_id", "partial")]
+        score = [a * b for a, b in zip(partial, cover, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(cover, pa.float64()), pa.array(score, pa.float64())], ["query_id", "order_id", "passage_id", "partial", "coverage", "score"])
+
+
+def rescore(pool: DataFrame) -> DataFrame:
+    """Token coverage and score of a pool (query_id, order_id, passage_id, query, norm, partial)."""
+    return pool.select("query_id", "order_id", "passage_id", "query", "norm", "partial").mapInArrow(_score_batches, SCORED)
 
 
 def rank_matches(scored: DataFrame, k: int) -> DataFrame:
@@ -114,7 +136,7 @@ def rank_matches(scored: DataFrame, k: int) -> DataFrame:
 def fuzzy_topk_join(queries: DataFrame, lines: DataFrame, k: int = 5, pool: int = POOL) -> DataFrame:
     """Exact: the pool by partial ratio over all lines, rescored with token coverage, best k."""
     found = candidate_pool(queries, lines, pool).join(queries.select("query_id", "query"), "query_id")
-    return rank_matches(found.mapInArrow(lambda b: _score_batches(b, True), SCORED), k)
+    return rank_matches(rescore(found), k)
 
 
 def prefiltered_topk_join(queries: DataFrame, lines: DataFrame, k: int = 5, prefilter: int = PREFILTER, pool: int = POOL) -> DataFrame:
@@ -122,20 +144,19 @@ def prefiltered_topk_join(queries: DataFrame, lines: DataFrame, k: int = 5, pref
     than three words search everything."""
     long_enough = F.size(F.split("query", " ")) >= MIN_LETTERS
     few = candidate_pool(queries.filter(long_enough), lines, prefilter, letters=True).join(queries.select("query_id", "query"), "query_id")
-    scored = few.mapInArrow(lambda b: _score_batches(b, False), SCORED)
+    scored = few.select("query_id", "order_id", "passage_id", "query", "norm").mapInArrow(_partial_batches, PAIRED)
     kept = best_by_query(scored, pool, F.col("partial").desc(), F.col("order_id")).drop("rank")
     rest = candidate_pool(queries.filter(~long_enough), lines, pool).join(queries.select("query_id", "query"), "query_id")
-    return rank_matches(kept.unionByName(rest.mapInArrow(lambda b: _score_batches(b, True), SCORED)), k)
+    return rank_matches(rescore(kept.unionByName(rest)), k)
 
 
 def scoped_topk_join(queries: DataFrame, lines: DataFrame, scopes: DataFrame, k: int = 5, pool: int = POOL) -> DataFrame:
     """Candidates are the lines of the passages given for each query (query_id, passage_id); the
     partial ratio is softened by the lengths and carried into the score."""
     near = scopes.join(lines.select("order_id", "passage_id", "norm"), "passage_id").join(queries.select("query_id", "query"), "query_id")
-    scored = near.mapInArrow(lambda b: _score_batches(b, False), SCORED)
-    sizes = near.select("query_id", "order_id", F.sqrt(F.least(F.length("query"), F.length("norm")) / F.greatest(F.length("query"), F.length("norm"))).alias("soft"))
-    soft = scored.join(sizes, ["query_id", "order_id"]).withColumn("partial", F.col("partial") * F.col("soft")).withColumn("score", F.col("partial") * F.col("coverage")).drop("soft")
-    return rank_matches(best_by_query(soft, pool, F.col("partial").desc(), F.col("order_id")).drop("rank"), k)
+    scored = near.select("query_id", "order_id", "passage_id", "query", "norm").mapInArrow(_partial_batches, PAIRED)
+    soft = scored.withColumn("partial", length_softening(F.col("partial"), F.col("query"), F.col("norm")))
+    return rank_matches(rescore(best_by_query(soft, pool, F.col("partial").desc(), F.col("order_id"))), k)
 
 
 def first_letters_topk(queries: DataFrame, lines: DataFrame, k: int = 5, cutoff: float = 0.8) -> DataFrame:

@@ -1 +1,578 @@
-QUERIES = {}
+"""One query for each operator, over whole tables of a folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linetrace.functions import text as T
+from linetrace.functions.scoring import indel_ratio, token_coverage
+from linetrace.operators import align, dataset, evaluate, feedback, match
+from linetrace.sources import views
+from linetrace.streaming import sessions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SECRET = "a secret of enough length"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark, d, name):
+    return views.table(spark, d, name)
+
+
+def _lines(spark, d):
+    return views.lines(_t(spark, d, "documents"))
+
+
+def _search(spark, d) -> DataFrame:
+    """The query set of the searches: windows of the benchmark items whose id is divisible by 100."""
+    items = _t(spark, d, "benchmark").filter("item_id % 100 = 0")
+    rows = items.select(F.col("item_id").alias("sample_id"), F.lit(0).alias("seg"), F.lit(0.0).alias("start_sec"), F.lit(10.0).alias("end_sec"), T.normalize(F.col("text")).alias("text"))
+    return align.token_windows(rows).select(F.concat_ws(":", "sample_id", "word_start").alias("query_id"), F.col("text").alias("query"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Best line of every searched window, its lead over the runner-up and its label."""
+    found = match.fuzzy_topk_join(_search(spark, d), views.indexable(_lines(spark, d)), 2)
+    return match.runner_up_gate(found).select("query_id", "order_id", F.round("score", 6).alias("score"), "accepted", T.confidence_label(F.col("score"), F.col("runner_up")).alias("label"))
+
+
+# --- Sources, corpus and projections
+@query
+def corpus_view(spark, d):
+    o = _t(spark, d, "orders")
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    r = o.join(c, "o_custkey").join(n, "c_nationkey", "left")
+    return r.select("o_orderkey", "o_custkey", "c_mktsegment", "n_name")
+
+
+@query
+def line_view(spark, d):
+    return _lines(spark, d).select("id", "page", "line_no", "line_type", "norm", "order_id")
+
+
+@query
+def corpus_index(spark, d):
+    return views.corpus_index(views.indexable(_lines(spark, d))).select("id", "n_tokens", "first_letters", "phonetic")
+
+
+@query
+def corpus_count(spark, d):
+    return _lines(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("line_type") == "heading").alias("headings"))
+
+
+@query
+def scope_source(spark, d):
+    return _lines(spark, d).filter(F.startswith("source", F.lit("src1"))).groupBy("source", "line_type").agg(F.count("*").alias("n"))
+
+
+@query
+def point_lookup(spark, d):
+    keys = _t(spark, d, "benchmark").select((F.col("item_id") % 1430 + 1).alias("page"), (F.col("item_id") % 5).alias("line_no")).distinct()
+    return _lines(spark, d).join(keys, ["page", "line_no"]).select("page", "line_no", "id", "order_id")
+
+
+@query
+def passage_display_lines(spark, d):
+    return _lines(spark, d).filter(F.lower("line_type").isin("pankti", "rahao")).groupBy("passage_id").agg(F.count("*").alias("n"), F.min("order_id").alias("first_order"))
+
+
+@query
+def curate_languages(spark, d):
+    kept = spark.createDataFrame([("en",), ("fr",)], "lang string")
+    return _t(spark, d, "documents").join(F.broadcast(kept), "lang", "left_semi").select("doc_id", "lang", "source")
+
+
+@query
+def reading_scope(spark, d):
+    bridge = _t(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("passage_id")).distinct()
+    return _lines(spark, d).join(bridge, "passage_id", "left_semi").groupBy("page").agg(F.count("*").alias("n"))
+
+
+@query
+def uncached_transcripts(spark, d):
+    c = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("sample")).agg(F.max("turn").alias("mtime")).withColumn("model", F.lit("m"))
+    cache = _t(spark, d, "labels").select(F.col("doc_id").alias("sample"), (F.col("quality") * 5).cast("long").alias("mtime")).withColumn("model", F.lit("m"))
+    return views.uncached(c, cache).select("sample", "mtime")
+
+
+@query
+def event_frames(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", F.to_json(F.struct(F.when(F.col("event_type") == "click", "match").otherwise(F.col("event_type")).alias("type"), F.col("event_id").alias("seq"), F.col("value").alias("score"))).alias("payload"))
+    good, bad = views.frames(e)
+    return good.groupBy("type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).unionByName(bad.agg(F.lit("aside").alias("type"), F.count("*").alias("n"), F.lit(None).cast("long").alias("first_seq")))
+
+
+# --- Text
+@query
+def text_functions(spark, d):
+    b, t = _t(spark, d, "conversations"), F.col("text")
+    return b.select("conv_id", "turn", T.normalize(t).alias("norm"), F.size(T.long_tokens(T.normalize(t))).cast("long").alias("n_long"), T.strip_marks(F.lower(t)).alias("plain"), T.is_repetition_loop(t).alias("loop"))
+
+
+@query
+def final_schwa(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.strip_final_schwa(F.lower("text")).alias("latin"))
+
+
+@query
+def script_of(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.detect_script(F.col("text")).alias("script"))
+
+
+@query
+def interjections(spark, d):
+    short = _lines(spark, d).select("id", F.col("text"))
+    return short.select("id", T.detect_interjection(F.col("text"), ("the", "and of", "que")).alias("seed")).filter("seed is not null")
+
+
+@query
+def clean_transcripts(spark, d):
+    t = F.concat(F.lit("Text: "), F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.sanitize_transcript(t).alias("text"))
+
+
+@query
+def extract_payloads(spark, d):
+    r = F.col("turn") % 3
+    j = F.when(r == 0, F.to_json(F.struct(F.col("text").alias("transcript")))).when(r == 1, F.to_json(F.struct(F.struct("text").alias("data")))).otherwise(F.to_json(F.struct(F.lit("").alias("transcript"), "text")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.extract_transcript(j).alias("transcript"))
+
+
+@query
+def split_of(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.split_of(F.col("doc_id").cast("string")).alias("split"))
+
+
+@query
+def pseudonyms(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", T.pseudonymize(F.col("c_custkey").cast("string"), SECRET).alias("pseudonym"))
+
+
+@query
+def labels_and_keys(spark, d):
+    e = _t(spark, d, "events")
+    return e.select("event_id", T.slug(F.concat_ws(" ", F.upper("event_type"), F.lit("No. 5!"))).alias("slug"), T.mmss(F.col("event_id") % 5000).alias("mmss"), T.month_key(F.col("ts")).alias("month"), T.group_of(F.concat(F.col("event_type"), F.lit(" 12.wav"))).alias("grp"))
+
+
+@query
+def request_paths(spark, d):
+    return feedback.redact_log(_t(spark, d, "pages").withColumnRenamed("page_id", "id"))
+
+
+@query
+def token_ratio(spark, d):
+    n = _t(spark, d, "nation").select(F.lower("n_name").alias("a"), F.col("n_regionkey").alias("k"))
+    r = _t(spark, d, "region").select(F.lower("r_name").alias("b"), F.col("r_regionkey").alias("k"))
+    return n.join(r, "k").select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+@query
+def line_coverage(spark, d):
+    """Coverage of each part's name by its brand and type."""
+    p = _t(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("q"), F.split(F.lower(F.concat_ws(" ", "p_brand", "p_type")), " ").alias("t"))
+    return p.select("p_partkey", F.round(token_coverage(F.filter("q", lambda x: F.length(x) >= 3), F.col("t")), 6).alias("coverage"))
+
+
+# --- Matching
+@query
+def fuzzy_topk(spark, d):
+    return match.fuzzy_topk_join(_search(spark, d), views.indexable(_lines(spark, d)), 5).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def fuzzy_topk_prefiltered(spark, d):
+    return match.prefiltered_topk_join(_search(spark, d), views.indexable(_lines(spark, d)), 5).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def first_letters_live(spark, d):
+    return match.first_letters_topk(_search(spark, d), views.indexable(_lines(spark, d)), 5).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def fuzzy_scoped(spark, d):
+    q = _search(spark, d)
+    scopes = q.select("query_id").join(_t(spark, d, "labels").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("passage_id")).distinct().withColumn("k", F.lit(1)), F.lit(1) == F.col("k")).drop("k")
+    return match.scoped_topk_join(q, views.indexable(_lines(spark, d)), scopes, 3).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def lines_nearby(spark, d):
+    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event"), (F.col("item_id") * 100000 + 3).alias("at"))
+    return match.nearby_lines(e, _lines(spark, d), 200).select("event", "id", "order_id")
+
+
+def _ranked(spark, d):
+    from pyspark.sql import Window as W
+
+    s = F.round(F.least(F.col("value"), F.lit(100.0)), 3)
+    e = _t(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("order_id"), s.alias("score"))
+    return e.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("order_id").desc())))
+
+
+@query
+def gate_and_label(spark, d):
+    g = match.runner_up_gate(_ranked(spark, d))
+    return g.select("query_id", "order_id", "score", "accepted", T.confidence_label(F.col("score"), F.col("runner_up")).alias("label"), T.coarse_label(F.col("score")).alias("coarse"), (F.col("score") >= 75).alias("confident"))
+
+
+@query
+def relative_cutoff(spark, d):
+    return match.relative_cutoff(_ranked(spark, d), 0.8).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").cast("long").alias("last"))
+
+
+@query
+def alternates(spark, d):
+    return _ranked(spark, d).filter(F.col("rank").between(2, 5)).select("query_id", "order_id", F.col("rank").cast("long").alias("rank"))
+
+
+# --- Windows and spans
+def _segments(spark, d):
+    c = _t(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("sample_id"), F.col("turn").cast("long").alias("seg"), (F.col("turn") * 10).cast("double").alias("start_sec"), (F.col("turn") * 10 + 10).cast("double").alias("end_sec"), "text")
+
+
+def _spans(spark, d):
+    return align.merge_windows(views.window_hypotheses(_t(spark, d, "conversations")))
+
+
+def _durations(spark, d):
+    return _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg((F.max("turn") * 10 + 30).cast("double").alias("duration_sec"))
+
+
+def _tiered(spark, d):
+    return align.score_tier(align.detect_repeats(_spans(spark, d)).withColumn("boundary", F.lit(None).cast("double")))
+
+
+@query
+def token_windows(spark, d):
+    return align.token_windows(_segments(spark, d))
+
+
+@query
+def word_windows(spark, d):
+    return align.word_windows(views.words(_t(spark, d, "conversations")))
+
+
+@query
+def merged_spans(spark, d):
+    return _spans(spark, d)
+
+
+@query
+def repeats(spark, d):
+    return align.detect_repeats(_spans(spark, d)).select("sample_id", "idx", "repeat_group")
+
+
+@query
+def gaps(spark, d):
+    return align.detect_gaps(_spans(spark, d), views.words(_t(spark, d, "conversations")), _durations(spark, d))
+
+
+@query
+def span_tiers(spark, d):
+    return _tiered(spark, d).select("sample_id", "idx", "kind", "repeat_group", "tier")
+
+
+@query
+def unsure_spans(spark, d):
+    return align.reclass_unsure(_spans(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def overlap_suppressed(spark, d):
+    return align.suppress_overlaps(_spans(spark, d)).select("sample_id", "idx", "confidence")
+
+
+@query
+def backward_jumps(spark, d):
+    return align.backward_jumps(_spans(spark, d)).select("sample_id", "idx", "jump_back")
+
+
+@query
+def span_line_text(spark, d):
+    return align.attach_line_text(_spans(spark, d), _lines(spark, d)).select("sample_id", "idx", "line_text")
+
+
+@query
+def aligned(spark, d):
+    return align.align(views.window_hypotheses(_t(spark, d, "conversations")), views.words(_t(spark, d, "conversations")), _durations(spark, d)).select("sample_id", "start_sec", "end_sec", "kind", "tier")
+
+
+@query
+def envelopes(spark, d):
+    return views.envelopes(_tiered(spark, d)).select("sample_id", "segment_count", "duration_sec", F.col("tier_counts")["high"].alias("high"), F.col("tier_counts")["needs_review"].alias("review"))
+
+
+# --- Training sets
+def _samples(spark, d):
+    k = F.col("conv_id")
+    return _t(spark, d, "conversations").select("conv_id").distinct().select(
+        k.alias("sample_id"), F.concat(F.lit("src"), k % 5).alias("source"), F.when(k % 7 == 0, "pending").otherwise("aligned").alias("alignment_status"), F.when(k % 11 != 0, F.concat(k, F.lit(".json"))).alias("alignment_file"),
+        F.when(k % 13 == 0, "archival").otherwise("live").alias("recording_quality"), F.concat(k, F.lit(".wav")).alias("filename"),
+    )
+
+
+def _training(spark, d):
+    return dataset.training_rows(_samples(spark, d), _tiered(spark, d))
+
+
+@query
+def training_rows(spark, d):
+    return _training(spark, d)
+
+
+@query
+def skip_reasons(spark, d):
+    return dataset.skip_reasons(_samples(spark, d), _tiered(spark, d)).withColumnRenamed("count", "n")
+
+
+@query
+def build_report(spark, d):
+    return dataset.build_report(_training(spark, d))
+
+
+@query
+def tier_counts(spark, d):
+    return dataset.tier_counts(_tiered(spark, d))
+
+
+@query
+def coverage_vs_targets(spark, d):
+    targets = spark.createDataFrame([("n_rows", 10.0), ("n_lines", 1e6), ("n_sources", 3.0)], "metric string, target double")
+    return dataset.coverage_vs_targets(dataset.build_report(_training(spark, d)), targets)
+
+
+@query
+def stratum_weights(spark, d):
+    return dataset.stratum_weights(_training(spark, d), "source", "tier").select("sample_id", "idx", F.round("weight", 6).alias("weight"))
+
+
+@query
+def content_build_id(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("audio_sha256"))
+    return dataset.build_id(docs)
+
+
+@query
+def weighted_draws(spark, d):
+    return dataset.weighted_sample(dataset.stratum_weights(_training(spark, d), "source"), "weight", 1000).select("sample_id", "idx", "draw")
+
+
+@query
+def curriculum(spark, d):
+    return dataset.curriculum(_training(spark, d), 1).select("sample_id", "idx")
+
+
+@query
+def quality_ceiling(spark, d):
+    return dataset.quality_ceiling(_tiered(spark, d), _samples(spark, d)).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query
+def release_gate(spark, d):
+    rows = _training(spark, d)
+    problems = dataset.manifest_problems(_samples(spark, d), rows, spark.createDataFrame([("train", 1)], "split string, n long"))
+    targets = spark.createDataFrame([("n_rows", 1.0)], "metric string, target double")
+    return dataset.release_gate(dataset.coverage_vs_targets(dataset.build_report(rows), targets), problems)
+
+
+@query
+def distinct_samples(spark, d):
+    return dataset.distinct_samples(_training(spark, d))
+
+
+# --- Evaluation
+def _summaries(spark, d):
+    return evaluate.sample_summary(views.window_hypotheses(_t(spark, d, "conversations")))
+
+
+@query
+def sample_summary(spark, d):
+    return _summaries(spark, d)
+
+
+@query
+def near_misses(spark, d):
+    s = _summaries(spark, d).withColumn("grp", F.col("sample_id") % 5)
+    return evaluate.near_misses(s, "grp")
+
+
+@query
+def eval_notes(spark, d):
+    return evaluate.notes(_summaries(spark, d))
+
+
+@query
+def eval_rollup(spark, d):
+    return evaluate.eval_rollup(_summaries(spark, d).withColumn("grp", F.col("sample_id") % 5).withColumn("part", F.col("sample_id") % 2), "grp", "part")
+
+
+@query
+def error_rates(spark, d):
+    c = _t(spark, d, "conversations").select(F.col("text").alias("reference"), F.translate("text", "aeiou", "aeuio").alias("hypothesis"))
+    return evaluate.error_rates(c).select(F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
+
+
+@query
+def confidence_histogram(spark, d):
+    h = views.window_hypotheses(_t(spark, d, "conversations")).withColumn("right", F.col("coverage") >= 0.5)
+    return evaluate.confidence_histogram(h, "confidence", "right")
+
+
+@query
+def latency_by_provider(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_type").alias("provider"), F.col("value").alias("elapsed_ms"), (F.col("event_id") % 3 > 0).alias("ok"))
+    return evaluate.latency_by_provider(e)
+
+
+@query
+def model_compare(spark, d):
+    h = views.window_hypotheses(_t(spark, d, "conversations"))
+    return evaluate.model_compare(_summaries(spark, d), evaluate.sample_summary(h.withColumn("confidence", 100 - F.col("confidence"))))
+
+
+# --- Feedback
+def _feedback(spark, d):
+    e = _t(spark, d, "events")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("received_at"), F.concat(F.lit("u"), "user_id").alias("session_token"), F.when(F.col("event_type") == "click", "wrong_line").when(F.col("event_type") == "view", "confirm").otherwise("other").alias("correction_type"),
+        (F.col("event_id") % 1500).alias("page"), F.col("value").alias("score"), F.lit("").alias("notes"), F.lit("").alias("audio_base64"),
+    )
+
+
+@query
+def feedback_issues(spark, d):
+    v = feedback.validate(_feedback(spark, d))
+    return v.groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count("*").alias("n"))
+
+
+@query
+def feedback_by_session(spark, d):
+    return feedback.ingest(_feedback(spark, d), SECRET).groupBy("session_hmac", "correction_type").agg(F.count("*").alias("n"))
+
+
+@query
+def newest_feedback(spark, d):
+    return feedback.newest(_feedback(spark, d), "session_token", 5).select("session_token", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def erased_feedback(spark, d):
+    gone = _t(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("session_hmac"))
+    return feedback.erase(_feedback(spark, d).withColumnRenamed("session_token", "session_hmac"), gone).groupBy("correction_type").agg(F.count("*").alias("n"))
+
+
+@query
+def review_queue(spark, d):
+    return feedback.review_queue(_tiered(spark, d))
+
+
+@query
+def reviewed_spans(spark, d):
+    dec = _tiered(spark, d).filter("idx % 3 = 0").select("sample_id", "idx", F.lit("high").alias("new_tier"), F.lit(1).alias("decided_at"))
+    return feedback.apply_review(_tiered(spark, d), dec).groupBy("tier", "labeled_by").agg(F.count("*").alias("n"))
+
+
+def _hits(spark, d):
+    return _t(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+
+
+@query
+def rate_limited(spark, d):
+    return feedback.rate_limit(_hits(spark, d), 3, 86_400).select("key", "id", "allowed")
+
+
+@query
+def monthly_quota(spark, d):
+    return feedback.monthly_quota(_hits(spark, d), 3).select("key", "id", "accepted")
+
+
+# --- Sessions
+def _sessions(spark, d):
+    e = _t(spark, d, "events")
+    return e.select(F.col("user_id").alias("session_id"), "ts", ((F.col("event_id") * 7) % 1000).alias("seq"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("score"), F.col("event_type").alias("text"), F.col("event_type").alias("status"), (F.col("event_type") == "click").alias("canonical"))
+
+
+@query
+def stale_dropped(spark, d):
+    return sessions.drop_stale(_sessions(spark, d)).select("session_id", "id")
+
+
+@query
+def debounced(spark, d):
+    return sessions.debounce(_sessions(spark, d), 600.0).select("session_id", "id")
+
+
+@query
+def status_transitions(spark, d):
+    return sessions.status_changes(_sessions(spark, d)).select("session_id", "id", "status")
+
+
+@query
+def rolling_scores(spark, d):
+    return sessions.rolling_windows(_sessions(spark, d))
+
+
+@query
+def tumbling_scores(spark, d):
+    return sessions.tumbling(_sessions(spark, d))
+
+
+@query
+def merged_sources(spark, d):
+    return sessions.merge_sources(_sessions(spark, d)).select("session_id", "id")
+
+
+@query
+def silence_stops(spark, d):
+    return sessions.silence_stop(_sessions(spark, d), 3600.0, 0.9).select("session_id", "id", "stopped")
+
+
+@query
+def auto_selected(spark, d):
+    return sessions.auto_select(_sessions(spark, d), 0.5, 1.0)
+
+
+@query
+def banners(spark, d):
+    return sessions.banner_ttl(_sessions(spark, d), 7200.0)
+
+
+@query
+def warmup_gated(spark, d):
+    e = _sessions(spark, d).withColumn("text", F.when(F.col("text") == "view", "stop").otherwise(F.col("text")))
+    return sessions.warmup_gate(e, 86_400.0, 0.5).select("session_id", "id")
+
+
+@query
+def energy_guarded(spark, d):
+    return sessions.energy_guard(_sessions(spark, d), 3, 0.5).select("session_id", "id")
+
+
+def _matches(spark, d):
+    e = _t(spark, d, "events")
+    return e.select(F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 7).alias("passage_id"), (F.col("event_id") % 3).alias("line_no"), F.least(F.col("value"), F.lit(100.0)).alias("score"))
+
+
+@query
+def followed_positions(spark, d):
+    return sessions.follow_batch(_matches(spark, d)).groupBy("session_id", "action").agg(F.count("*").alias("n"))
+
+
+@query
+def tracked_modes(spark, d):
+    return sessions.track_position(_matches(spark, d)).groupBy("session_id", "mode").agg(F.count("*").alias("n"))
+
+
+@query
+def utterances(spark, d):
+    return sessions.segment_utterances(_t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", (F.col("value") / 100).alias("prob")), 0.3, 86_400.0, 60.0, 864_000.0)

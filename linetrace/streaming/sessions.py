@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 PEAK, PEAK_AGE_S, BEATS, MARGIN = 85.0, 2.5, 90.0, 5.0
 
 
+def _us(ts):
+    """Microseconds of a timestamp, with or without time zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def _order(*more: str):
     return W.partitionBy("session_id").orderBy("ts", *more)
 
@@ -25,7 +30,7 @@ def drop_stale(events: DataFrame) -> DataFrame:
 def debounce(events: DataFrame, seconds: float = 0.3) -> DataFrame:
     """Keeps an update if no other follows within ``seconds`` and its text is not the last one's."""
     w = _order("seq")
-    gap = F.lead(F.unix_micros("ts")).over(w) - F.unix_micros("ts")
+    gap = F.lead(_us("ts")).over(w) - _us("ts")
     rows = events.withColumn("gap", gap).filter(F.col("gap").isNull() | (F.col("gap") >= seconds * 1e6))
     return rows.withColumn("before", F.lag("text").over(w)).filter("before is null or before <> text").drop("gap", "before")
 
@@ -52,7 +57,7 @@ def merge_sources(events: DataFrame) -> DataFrame:
 def silence_stop(events: DataFrame, seconds: float = 2.5, level: float = 0.02) -> DataFrame:
     """``stopped``: speech was heard, and not for longer than ``seconds`` since."""
     heard = F.last(F.when(F.col("score") > level, F.col("ts")), ignorenulls=True).over(_order("seq").rowsBetween(W.unboundedPreceding, 0))
-    quiet = (F.unix_micros("ts") - F.unix_micros(heard)) > seconds * 1e6
+    quiet = (_us("ts") - _us(heard)) > seconds * 1e6
     return events.withColumn("stopped", F.coalesce(quiet, F.lit(False)))
 
 
@@ -67,22 +72,22 @@ def auto_select(events: DataFrame, least: float = 90.0, seconds: float = 1.0) ->
     sure = events.withColumn("sure", F.col("score") >= least)
     new = ~F.coalesce(F.col("sure") & F.lag("sure").over(w) & (F.col("text") == F.lag("text").over(w)), F.lit(False))
     runs = sure.withColumn("run", F.sum(new.cast("int")).over(w)).filter("sure").groupBy("session_id", "run", "text").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
-    return runs.filter(F.unix_micros("until") - F.unix_micros("since") >= seconds * 1e6).select("session_id", "text", "since", "until")
+    return runs.filter(_us("until") - _us("since") >= seconds * 1e6).select("session_id", "text", "since", "until")
 
 
 def banner_ttl(events: DataFrame, seconds: float = 3.0) -> DataFrame:
     """Stretches during which a banner shows; a newer one restarts the time."""
     w = _order("seq")
-    far = F.coalesce(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w) > seconds * 1e6, F.lit(True))
+    far = F.coalesce(_us("ts") - F.lag(_us("ts")).over(w) > seconds * 1e6, F.lit(True))
     runs = events.withColumn("run", F.sum(far.cast("int")).over(w)).groupBy("session_id", "run").agg(F.min("ts").alias("since"), F.max("ts").alias("last"), F.count("*").alias("n"))
-    return runs.select("session_id", "since", F.timestamp_micros(F.unix_micros("last") + int(seconds * 1e6)).alias("until"), "n")
+    return runs.select("session_id", "since", F.timestamp_micros(_us("last") + int(seconds * 1e6)).alias("until"), "n")
 
 
 def warmup_gate(events: DataFrame, seconds: float = 1.5, level: float = 0.1) -> DataFrame:
     """Drops stops in the first moments of a session before any energy."""
     begun = F.min("ts").over(_order("seq").rowsBetween(W.unboundedPreceding, 0))
     loud = F.max("score").over(_order("seq").rowsBetween(W.unboundedPreceding, 0)) > level
-    early = F.unix_micros("ts") - F.unix_micros(begun) < seconds * 1e6
+    early = _us("ts") - _us(begun) < seconds * 1e6
     return events.withColumn("ok", (F.col("text") != "stop") | ~early | loud).filter("ok").drop("ok")
 
 
