@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetrace.llm.common import stash
+from linetrace.llm.common import carried, stash
 
 #: Patterns and least lengths of the base kinds, in their order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -156,10 +156,10 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one.  n_chars, where
     there is such a column, follows the text."""
-    found = spans(docs).withColumnsRenamed({"doc_id": "f_id", "key": "f_key"})
-    hits = docs.filter(F.coalesce(F.col("text").rlike("|".join(PATTERNS)), F.lit(False)))
-    rest = docs.filter(~F.coalesce(F.col("text").rlike("|".join(PATTERNS)), F.lit(False)))
-    both = hits.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("f_id")) & (F.xxhash64("text") == F.col("f_key")), "left")
+    found = spans(docs).select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "spans")
+    rows = carried(docs).select("doc_id", "text", F.xxhash64("text").alias("key"), "row")
+    suspect = F.coalesce(F.col("text").rlike("|".join(PATTERNS)), F.lit(False))
+    both = rows.filter(suspect).join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
     cut = F.aggregate(
         F.coalesce("spans", F.array().cast("array<struct<start: bigint, rank: int, end: bigint>>")),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -169,7 +169,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
     )
-    new = both.withColumn("text", cut)
+    row = F.col("row").withField("text", cut)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.unionByName(new.select(docs.columns))
+        row = row.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return rows.filter(~suspect).select("row.*").unionByName(both.select(row.alias("row")).select("row.*"))
