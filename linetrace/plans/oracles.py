@@ -1 +1,123 @@
-ORACLES = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from linetrace.functions.text import MARKED, PLAIN
+
+#: Normalisation, lines and the other derived tables, as in ``sources.views``.
+NORM = r"""trim(regexp_replace(regexp_replace(lower({0}), '[.,;|:!?\-"''(){{}}\[\]0-9]+', ' ', 'g'), '\s+', ' ', 'g'))"""
+LINES = f"""
+cut AS (SELECT doc_id, lang, source, unnest(ps) AS text, unnest(range(len(ps))) AS line_no FROM (SELECT *, regexp_split_to_array(text, '[.\\n]') AS ps FROM (SELECT doc_id, lang, source, text FROM documents))),
+nl AS (SELECT doc_id, lang, source, line_no, trim(text) AS text, {NORM.format("trim(text)")} AS norm FROM cut WHERE trim(text) <> ''),
+lines AS (SELECT doc_id || ':' || line_no AS id, doc_id AS passage_id, doc_id % 1430 + 1 AS page, line_no, CASE WHEN len(list_filter(string_split(norm, ' '), lambda x: x <> '')) < 3 THEN 'heading' ELSE 'pankti' END AS line_type,
+  text, norm, doc_id * 100000 + line_no AS order_id, lang, source FROM nl)
+"""
+HYP = """
+hyp AS (SELECT conv_id AS sample_id, turn::BIGINT AS seq, (turn * 10)::DOUBLE AS start_sec, (turn * 10 + length(text) % 9 + 4)::DOUBLE AS end_sec, CASE WHEN length(text) % 7 <> 0 THEN conv_id % 1430 + 1 END AS page,
+  CASE WHEN length(text) % 7 <> 0 THEN length(text) % 2 END AS line_no, (length(text) * 7 % 101)::DOUBLE AS confidence, (length(text) % 11) / 10.0::DOUBLE AS coverage, text FROM conversations)
+"""
+SPANS = f"""{HYP},
+run0 AS (SELECT *, CASE WHEN page = lag(page) OVER w AND line_no = lag(line_no) OVER w THEN 0 ELSE 1 END AS new FROM hyp WINDOW w AS (PARTITION BY sample_id ORDER BY seq)),
+run1 AS (SELECT *, sum(new) OVER (PARTITION BY sample_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM run0),
+spans AS (SELECT sample_id, (run - 1)::BIGINT AS idx, min(start_sec) AS start_sec, max(end_sec) AS end_sec, any_value(page)::BIGINT AS page, any_value(line_no)::BIGINT AS line_no, round(avg(confidence), 6) AS confidence,
+  round(avg(coverage), 6) AS coverage, string_agg(text, ' ' ORDER BY seq) AS text, CASE WHEN any_value(page) IS NULL THEN 'unknown' ELSE 'line' END AS kind FROM run1 GROUP BY sample_id, run)
+"""
+TIERED = f"""{SPANS},
+rep0 AS (SELECT *, kind = 'line' AND coalesce(start_sec - lag(end_sec) OVER (PARTITION BY sample_id, page, line_no ORDER BY idx) >= 1.0, false) AS again FROM spans),
+rep AS (SELECT *, CASE WHEN kind = 'line' AND idx <= max(CASE WHEN again THEN idx END) OVER p THEN 'rg_' || page || '_' || line_no || '_' || min(idx) OVER p END AS repeat_group FROM rep0 WINDOW p AS (PARTITION BY sample_id, page, line_no)),
+tiered AS (SELECT *, CASE WHEN kind <> 'line' THEN 'n/a' WHEN NOT (end_sec - start_sec BETWEEN 1.5 AND 25) OR repeat_group IS NOT NULL THEN 'needs_review' WHEN confidence >= 80 AND coverage >= 0.7 THEN 'high'
+  WHEN confidence >= 65 AND coverage >= 0.5 THEN 'medium' ELSE 'needs_review' END AS tier FROM rep)
+"""
+SAMPLES = """
+samples AS (SELECT k AS sample_id, 'src' || k % 5 AS source, k % 7 = 0 AS pending, k % 11 = 0 AS no_file, k % 13 = 0 AS archival FROM (SELECT DISTINCT conv_id AS k FROM conversations))
+"""
+_SPLIT = "(('0x' || substring(sha256({0}::VARCHAR), 1, 8))::BIGINT % 100)"
+SPLIT = f"CASE WHEN {_SPLIT} < 80 THEN 'train' WHEN {_SPLIT} < 90 THEN 'val' ELSE 'test' END"
+TRAINING = f"""{TIERED}, {SAMPLES},
+training AS (SELECT sample_id, source, idx, tier, page, line_no, text AS sentence, round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, round(end_sec - start_sec, 3) AS duration_sec, {SPLIT.format("sample_id")} AS split
+  FROM tiered JOIN samples USING (sample_id) WHERE NOT pending AND NOT no_file AND NOT archival AND tier IN ('high', 'medium') AND kind = 'line' AND text <> '' AND repeat_group IS NULL)
+"""
+SUMMARY = f"""{HYP},
+best AS (SELECT sample_id, arg_max(page, confidence * 1000000 - seq) AS p0, max(confidence) AS best_confidence, min(start_sec) FILTER (confidence >= 75) AS first_confident, count(*) AS windows_total,
+  count(*) FILTER (confidence >= 75) AS windows_confident, array_to_string(list_sort(list_distinct(list(page) FILTER (confidence >= 75 AND page IS NOT NULL))), ',') AS pages FROM hyp GROUP BY sample_id),
+top AS (SELECT DISTINCT ON (sample_id) sample_id, page AS best_page, line_no::BIGINT AS best_line FROM hyp ORDER BY sample_id, confidence DESC, seq),
+summary AS (SELECT sample_id, best_page, best_line, best_confidence, windows_total, windows_confident, first_confident, coalesce(pages, '') AS pages FROM best JOIN top USING (sample_id))
+"""
+EVENTS = """
+ev AS (SELECT user_id AS session_id, ts, event_id * 7 % 1000 AS seq, event_id AS id, value / 100 AS score, event_type AS text, event_type AS status, event_type = 'click' AS canonical FROM events)
+"""
+RANKED = """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, order_id DESC) AS rank FROM (SELECT user_id AS query_id, event_id AS order_id, round(least(value, 100), 3) AS score FROM events))
+"""
+_W = "WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)"
+
+ORACLES: dict[str, str] = {
+    "corpus_view": "SELECT o_orderkey, o_custkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
+    "line_view": f"WITH {LINES} SELECT id, page, line_no, line_type, norm, order_id FROM lines",
+    "corpus_index": f"""WITH {LINES}, t AS (SELECT id, list_filter(string_split(norm, ' '), lambda x: x <> '') AS ts FROM lines WHERE norm <> '' AND line_type <> 'heading'),
+        f AS (SELECT id, len(ts)::BIGINT AS n_tokens, array_to_string(list_transform(ts, lambda x: x[1]), '') AS first_letters FROM t) SELECT *, translate(first_letters, 'bfgdj', 'ppktc') AS phonetic FROM f""",
+    "corpus_count": f"WITH {LINES} SELECT source, count(*) AS n, count(*) FILTER (line_type = 'heading') AS headings FROM lines GROUP BY source",
+    "scope_source": f"WITH {LINES} SELECT source, line_type, count(*) AS n FROM lines WHERE starts_with(source, 'src1') GROUP BY ALL",
+    "point_lookup": f"WITH {LINES}, k AS (SELECT DISTINCT item_id % 1430 + 1 AS page, item_id % 5 AS line_no FROM benchmark) SELECT page, line_no, id, order_id FROM lines JOIN k USING (page, line_no)",
+    "passage_display_lines": f"WITH {LINES} SELECT passage_id, count(*) AS n, min(order_id) AS first_order FROM lines WHERE lower(line_type) IN ('pankti', 'rahao') GROUP BY passage_id",
+    "curate_languages": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr')",
+    "reading_scope": f"WITH {LINES} SELECT page, count(*) AS n FROM lines WHERE passage_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY page",
+    "uncached_transcripts": "WITH c AS (SELECT conv_id AS sample, max(turn) AS mtime FROM conversations GROUP BY conv_id) SELECT sample, mtime FROM c WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = sample AND quality * 5 >= mtime)",
+    "event_frames": "SELECT 'match' AS type, count(*) AS n, min(event_id) AS first_seq FROM events WHERE event_type = 'click' UNION ALL SELECT 'aside', count(*), -1 FROM events WHERE event_type <> 'click'",
+    "text_functions": f"""WITH t AS (SELECT conv_id, turn, text, {NORM.format("text")} AS norm, regexp_replace(text, '\\s+', '', 'g') AS bare FROM conversations)
+        SELECT conv_id, turn, norm, len(list_filter(string_split(norm, ' '), lambda x: length(x) >= 3))::BIGINT AS n_long, translate(lower(text), '{MARKED}', '{PLAIN}') AS plain,
+        length(bare) > 500 OR (length(bare) >= 12 AND (len(list_filter(range(1, length(bare) - 8), lambda i: substring(bare, i, 10) = repeat(substring(bare, i, 1), 10))) > 0
+        OR len(list_filter(range(1, length(bare) - 8, 2), lambda i: substring(bare, i, 10) = repeat(substring(bare, i, 2), 5))) > 0)) AS loop FROM t""",
+    "script_of": "SELECT conv_id, turn, 'other' AS script FROM conversations WHERE NOT regexp_matches(text, '[ऀ-ॿ਀-੿]')",
+    "clean_transcripts": "SELECT conv_id, turn, trim(text) AS text FROM conversations",
+    "extract_payloads": "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 AND trim(text) <> '' THEN trim(text) END AS transcript FROM conversations",
+    "split_of": f"SELECT doc_id, {SPLIT.format('doc_id')} AS split FROM documents",
+    "labels_and_keys": "SELECT event_id, event_type || '-no-5' AS slug, printf('%02d:%02d', event_id % 5000 // 60, event_id % 5000 % 60) AS mmss, strftime(ts, '%Y-%m') AS month, event_type AS grp FROM events",
+    "request_paths": "SELECT page_id AS id, string_split(string_split(url, '#')[1], '?')[1] AS path FROM pages",
+    "lines_nearby": f"WITH {LINES} SELECT item_id AS event, id, order_id FROM lines JOIN benchmark ON order_id BETWEEN item_id * 100000 + 3 - 200 AND item_id * 100000 + 3 + 200",
+    "gate_and_label": f"""WITH {RANKED}, g AS (SELECT *, coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY rank), 0) AS r FROM ranked),
+        l AS (SELECT *, CASE WHEN score >= 95 THEN 1 WHEN score >= 85 THEN 2 WHEN score >= 70 THEN 3 WHEN score >= 50 THEN 4 ELSE 5 END + (score >= 85 AND score - r <= 2)::INT AS k FROM g WHERE rank = 1)
+        SELECT query_id, order_id, score, score >= 60 OR (score >= 40 AND (r = 0 OR score >= 1.8::DOUBLE * r)) AS accepted, ['certain', 'likely', 'probable', 'possible', 'uncertain'][k] AS label,
+        CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS coarse, score >= 75 AS confident FROM l""",
+    "relative_cutoff": f"WITH {RANKED}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM ranked) SELECT query_id, count(*) AS n, max(rank) AS last FROM m WHERE score >= 0.8::DOUBLE * top GROUP BY query_id",
+    "alternates": f"WITH {RANKED} SELECT query_id, order_id, rank FROM ranked WHERE rank BETWEEN 2 AND 5",
+    "merged_spans": f"WITH {SPANS} SELECT * REPLACE (coalesce(page, -1) AS page, coalesce(line_no, -1) AS line_no) FROM spans",
+    "repeats": f"WITH {TIERED} SELECT sample_id, idx, repeat_group FROM rep",
+    "span_tiers": f"WITH {TIERED} SELECT sample_id, idx, kind, repeat_group, tier FROM tiered",
+    "unsure_spans": f"WITH {SPANS} SELECT CASE WHEN kind = 'line' AND confidence < 70 AND coverage < 0.8 THEN 'unknown' ELSE kind END AS kind, count(*) AS n FROM spans GROUP BY 1",
+    "overlap_suppressed": f"""WITH {SPANS}, o AS (SELECT *, coalesce(lag(end_sec) OVER w > start_sec AND lag(confidence) OVER w - confidence >= 15, false) OR coalesce(lead(start_sec) OVER w < end_sec AND lead(confidence) OVER w - confidence >= 15, false) AS lost
+        FROM spans WINDOW w AS (PARTITION BY sample_id ORDER BY idx)) SELECT sample_id, idx, confidence FROM o WHERE NOT lost""",
+    "backward_jumps": f"WITH {SPANS} SELECT sample_id, idx, coalesce(line_no < lag(line_no) OVER (PARTITION BY sample_id ORDER BY idx), false) AS jump_back FROM spans",
+    "span_line_text": f"WITH {SPANS}, {LINES}, f AS (SELECT page, line_no, arg_min(text, order_id) AS line_text FROM lines GROUP BY page, line_no) SELECT sample_id, idx, line_text FROM spans LEFT JOIN f USING (page, line_no)",
+    "envelopes": f"WITH {TIERED} SELECT sample_id, count(*) AS segment_count, max(end_sec) AS duration_sec, count(*) FILTER (tier = 'high') AS high, count(*) FILTER (tier = 'needs_review') AS review FROM tiered GROUP BY sample_id",
+    "training_rows": f"WITH {TRAINING} SELECT * FROM training",
+    "build_report": f"""WITH {TRAINING} SELECT count(*) AS n_rows, round(sum(duration_sec), 3) AS duration_sec, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test,
+        count(*) FILTER (tier = 'high') AS high, count(*) FILTER (tier = 'medium') AS medium, count(DISTINCT (page, line_no)) AS n_lines, count(DISTINCT source) AS n_sources FROM training""",
+    "tier_counts": f"WITH {TIERED} SELECT sample_id, count(*) FILTER (tier = 'high') AS high, count(*) FILTER (tier = 'medium') AS medium, count(*) FILTER (tier = 'needs_review') AS needs_review, count(*) FILTER (tier = 'n/a') AS n_a FROM tiered GROUP BY sample_id",
+    "stratum_weights": f"WITH {TRAINING} SELECT sample_id, idx, round(1.0::DOUBLE / count(*) OVER (PARTITION BY source, tier), 6) AS weight FROM training",
+    "curriculum": f"WITH {TRAINING} SELECT sample_id, idx FROM training WHERE tier = 'high'",
+    "quality_ceiling": f"WITH {TIERED}, {SAMPLES} SELECT CASE WHEN archival AND tier = 'high' THEN 'medium' ELSE tier END AS tier, count(*) AS n FROM tiered JOIN samples USING (sample_id) GROUP BY 1",
+    "sample_summary": f"WITH {SUMMARY} SELECT * REPLACE (coalesce(best_page, -1) AS best_page, coalesce(best_line, -1) AS best_line, coalesce(first_confident, -1) AS first_confident) FROM summary",
+    "near_misses": f"""WITH {SUMMARY}, s AS (SELECT *, sample_id % 5 AS grp FROM summary) SELECT sample_id, grp, coalesce(best_page, -1) AS best_page, best_confidence,
+        best_confidence < 75 AND (coalesce(best_page IN (SELECT best_page FROM s WHERE best_confidence >= 75 AND best_page IS NOT NULL), false) OR CASE WHEN best_page IS NOT NULL THEN count(*) OVER (PARTITION BY grp, best_page) > 1 END) AS near_miss FROM s""",
+    "eval_notes": f"""WITH {SUMMARY} SELECT sample_id, CASE WHEN windows_confident = 0 THEN 'none confident' WHEN windows_confident = windows_total THEN 'all confident' WHEN pages <> '' AND pages NOT LIKE '%,%' THEN 'one page'
+        WHEN len(string_split(pages, ',')) > 3 THEN 'many pages' ELSE (CASE WHEN pages = '' THEN 0 ELSE len(string_split(pages, ',')) END) || ' pages' END AS note FROM summary""",
+    "eval_rollup": f"""WITH {SUMMARY} SELECT coalesce(sample_id % 5, -1) AS grp, coalesce(sample_id % 2, -1) AS part, count(*) AS samples, count(*) FILTER (best_confidence >= 75) AS samples_confident, sum(windows_confident)::BIGINT AS windows_confident,
+        sum(windows_total)::BIGINT AS windows_total FROM summary GROUP BY ROLLUP (sample_id % 5, sample_id % 2)""",
+    "confidence_histogram": f"WITH {HYP} SELECT least(floor(confidence / 10), 9)::BIGINT AS bin, count(*) FILTER (coverage >= 0.5) AS right, count(*) FILTER (coverage < 0.5) AS wrong FROM hyp GROUP BY 1",
+    "latency_by_provider": "SELECT event_type AS provider, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms, count(*) FILTER (event_id % 3 > 0) AS succeeded FROM events GROUP BY event_type",
+    "newest_feedback": "WITH r AS (SELECT 'u' || user_id AS session_token, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) SELECT * FROM r WHERE rank <= 5",
+    "erased_feedback": "SELECT CASE event_type WHEN 'click' THEN 'wrong_line' WHEN 'view' THEN 'confirm' ELSE 'other' END AS correction_type, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1",
+    "review_queue": f"WITH {TIERED} SELECT sample_id, repeat_group, count(*) AS n, min(idx) AS first_idx FROM tiered WHERE tier = 'needs_review' GROUP BY sample_id, repeat_group",
+    "reviewed_spans": f"WITH {TIERED} SELECT CASE WHEN idx % 3 = 0 THEN 'high' ELSE tier END AS tier, CASE WHEN idx % 3 = 0 THEN 'human' ELSE 'auto' END AS labeled_by, count(*) AS n FROM tiered GROUP BY 1, 2",
+    "monthly_quota": "SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) <= 3 AS accepted FROM events",
+    "stale_dropped": f"WITH {EVENTS}, h AS (SELECT *, max(seq) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM ev) SELECT session_id, id FROM h WHERE high IS NULL OR seq >= high",
+    "debounced": f"""WITH {EVENTS}, g AS (SELECT *, lead(epoch_us(ts)) OVER w - epoch_us(ts) AS gap FROM ev {_W}), k AS (SELECT * FROM g WHERE gap IS NULL OR gap >= 600000000),
+        b AS (SELECT *, lag(text) OVER w AS before FROM k {_W}) SELECT session_id, id FROM b WHERE before IS NULL OR before <> text""",
+    "status_transitions": f"WITH {EVENTS}, b AS (SELECT *, lag(status) OVER w AS before FROM ev {_W}) SELECT session_id, id, status FROM b WHERE before IS NULL OR before <> status",
+    "merged_sources": f"WITH {EVENTS}, b AS (SELECT *, max((canonical AND text <> '')::INT) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS seen FROM ev) SELECT session_id, id FROM b WHERE canonical OR seen = 0",
+    "silence_stops": f"""WITH {EVENTS}, b AS (SELECT *, max(CASE WHEN score > 0.9 THEN epoch_us(ts) END) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS heard FROM ev)
+        SELECT session_id, id, coalesce(epoch_us(ts) - heard > 3600000000, false) AS stopped FROM b""",
+    "warmup_gated": f"""WITH {EVENTS}, b AS (SELECT *, min(ts) OVER p AS begun, max(score) OVER p AS loud FROM ev WINDOW p AS (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+        SELECT session_id, id FROM b WHERE text <> 'view' OR epoch_us(ts) - epoch_us(begun) >= 86400000000 OR loud > 0.5""",
+}

@@ -22,6 +22,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _known(df: DataFrame, *columns: str) -> DataFrame:
+    """Missing numbers as -1, which every reader shows alike."""
+    return df.withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in columns})
+
+
 def _t(spark, d, name):
     return views.table(spark, d, name)
 
@@ -107,7 +112,7 @@ def uncached_transcripts(spark, d):
 def event_frames(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", F.to_json(F.struct(F.when(F.col("event_type") == "click", "match").otherwise(F.col("event_type")).alias("type"), F.col("event_id").alias("seq"), F.col("value").alias("score"))).alias("payload"))
     good, bad = views.frames(e)
-    return good.groupBy("type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).unionByName(bad.agg(F.lit("aside").alias("type"), F.count("*").alias("n"), F.lit(None).cast("long").alias("first_seq")))
+    return good.groupBy("type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).unionByName(bad.agg(F.lit("aside").alias("type"), F.count("*").alias("n"), F.lit(-1).cast("long").alias("first_seq")))
 
 
 # --- Text
@@ -264,7 +269,7 @@ def word_windows(spark, d):
 
 @query
 def merged_spans(spark, d):
-    return _spans(spark, d)
+    return _known(_spans(spark, d), "page", "line_no")
 
 
 @query
@@ -397,13 +402,13 @@ def _summaries(spark, d):
 
 @query
 def sample_summary(spark, d):
-    return _summaries(spark, d)
+    return _known(_summaries(spark, d), "best_page", "best_line").na.fill(-1.0, ["first_confident"])
 
 
 @query
 def near_misses(spark, d):
     s = _summaries(spark, d).withColumn("grp", F.col("sample_id") % 5)
-    return evaluate.near_misses(s, "grp")
+    return _known(evaluate.near_misses(s, "grp"), "best_page")
 
 
 @query
@@ -413,7 +418,7 @@ def eval_notes(spark, d):
 
 @query
 def eval_rollup(spark, d):
-    return evaluate.eval_rollup(_summaries(spark, d).withColumn("grp", F.col("sample_id") % 5).withColumn("part", F.col("sample_id") % 2), "grp", "part")
+    return evaluate.eval_rollup(_summaries(spark, d).withColumn("grp", F.col("sample_id") % 5).withColumn("part", F.col("sample_id") % 2), "grp", "part").transform(_known, "grp", "part")
 
 
 @query
