@@ -10,10 +10,10 @@ SEPARATORS = r"""[.,;|:!?\-"'(){}\[\]0-9]+"""
 LONG_TOKEN, COVERED = 3, 55.0
 #: Consonants that sound alike, and the one that stands for each.
 ALIKE = ("bfgdj", "ppktc")
-LONG_VOWELS = (("ā", "aa"), ("ī", "ee"), ("ū", "oo"))
+LONG_VOWELS = (("ā", "aa"), ("Ā", "Aa"), ("ī", "ee"), ("Ī", "Ee"), ("ū", "oo"), ("Ū", "Oo"))
 MARKED, PLAIN = "āīūṭḍṇṛṅñśṣḥṃéèêëàâäáîïíìôöóòûüúùçñ", "aiutdnrnnsshmeeeeaaaaiiiioooouuuucn"
 #: Interjections, in the order in which they are tried.
-SEEDS = ("vaheguru ji ka khalsa", "vaheguru ji ki fateh", "bole so nihal", "sat sri akal", "vaheguru", "waheguru", "dhan guru nanak", "dhan dhan", "satnam")
+SEEDS = ("ਵਾਹਿਗੁਰੂ ਵਾਹਿਗੁਰੂ", "ਸਤਿ ਨਾਮੁ ਵਾਹਿਗੁਰੂ", "ਬੋਲੇ ਸੋ ਨਿਹਾਲ", "ਸਤਿ ਸ੍ਰੀ ਅਕਾਲ", "ਧੰਨ ਗੁਰੂ ਨਾਨਕ ਦੇਵ ਜੀ", "ਧੰਨ ਗੁਰੂ ਗ੍ਰੰਥ ਸਾਹਿਬ ਜੀ", "ਵਾਹਿਗੁਰੂ", "ਅਕਾਲ", "ਓਅੰਕਾਰ")
 
 
 def normalize(text: Column) -> Column:
@@ -66,7 +66,7 @@ def strip_final_schwa(text: Column) -> Column:
 
 
 def to_latin(text: Column) -> Column:
-    return strip_final_schwa(strip_marks(double_long_vowels(F.lower(text))))
+    return strip_final_schwa(F.lower(strip_marks(double_long_vowels(text))))
 
 
 def map_script(text: Column, letters: dict[str, str], signs: dict[str, str], block: str) -> Column:

@@ -17,8 +17,8 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
 
 def sample_reason() -> Column:
     return first_reason(
-        (~F.col("alignment_status").isin("aligned", "reviewed"), "status"), (F.col("alignment_file").isNull(), "no_alignment_file"),
-        (~F.col("recording_quality").isin("studio", "live", "broadcast"), "recording_quality"), (F.coalesce(F.col("filename"), F.lit("")) == "", "no_filename"),
+        (~F.col("alignment_status").isin("machine_aligned", "human_reviewed"), "status"), (F.col("alignment_file").isNull(), "no_alignment_file"),
+        (~F.col("recording_quality").isin("studio", "clean_live"), "recording_quality"), (F.coalesce(F.col("filename"), F.lit("")) == "", "no_filename"),
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from linetrace.functions.text import pseudonymize
 
-TYPES = ("wrong_line", "wrong_passage", "no_match", "confirm")
+# Kinds of corrections that users send.
+TYPES = ("wrong_pangti", "wrong_shabad", "not_gurbani", "unknown", "partial_match")
 NEWEST = 500
 
 
@@ -20,8 +21,8 @@ def issues(rules: list[tuple[Column, str]]) -> Column:
 def validate(rows: DataFrame) -> DataFrame:
     return rows.withColumn(
         "issues", issues([
-            (F.length("session_token") >= 1, "session_token"), (F.col("correction_type").isin(*TYPES), "correction_type"), (F.coalesce(F.length("notes"), F.lit(0)) <= 2000, "notes"),
-            (F.coalesce(F.col("page").between(1, 1430), F.lit(True)), "page"), (F.coalesce(F.col("score").between(0, 100), F.lit(True)), "score"),
+            (F.length("session_token").between(8, 256), "session_token"), (F.col("correction_type").isin(*TYPES), "correction_type"), (F.coalesce(F.length("notes"), F.lit(0)) <= 2000, "notes"),
+            (F.coalesce(F.col("page") >= 0, F.lit(True)), "page"),
         ]),
     )
 

@@ -321,8 +321,8 @@ def envelopes(spark, d):
 def _samples(spark, d):
     k = F.col("conv_id")
     return _t(spark, d, "conversations").select("conv_id").distinct().select(
-        k.alias("sample_id"), F.concat(F.lit("src"), k % 5).alias("source"), F.when(k % 7 == 0, "pending").otherwise("aligned").alias("alignment_status"), F.when(k % 11 != 0, F.concat(k, F.lit(".json"))).alias("alignment_file"),
-        F.when(k % 13 == 0, "archival").otherwise("live").alias("recording_quality"), F.concat(k, F.lit(".wav")).alias("filename"),
+        k.alias("sample_id"), F.concat(F.lit("src"), k % 5).alias("source"), F.when(k % 7 == 0, "pending").otherwise("machine_aligned").alias("alignment_status"), F.when(k % 11 != 0, F.concat(k, F.lit(".json"))).alias("alignment_file"),
+        F.when(k % 13 == 0, "archival").otherwise("clean_live").alias("recording_quality"), F.concat(k, F.lit(".wav")).alias("filename"),
     )
 
 
@@ -449,7 +449,7 @@ def model_compare(spark, d):
 def _feedback(spark, d):
     e = _t(spark, d, "events")
     return e.select(
-        F.col("event_id").alias("id"), F.col("ts").alias("received_at"), F.concat(F.lit("u"), "user_id").alias("session_token"), F.when(F.col("event_type") == "click", "wrong_line").when(F.col("event_type") == "view", "confirm").otherwise("other").alias("correction_type"),
+        F.col("event_id").alias("id"), F.col("ts").alias("received_at"), F.concat(F.lit("session-"), "user_id").alias("session_token"), F.when(F.col("event_type") == "click", "wrong_pangti").when(F.col("event_type") == "view", "unknown").otherwise("other").alias("correction_type"),
         (F.col("event_id") % 1500).alias("page"), F.col("value").alias("score"), F.lit("").alias("notes"), F.lit("").alias("audio_base64"),
     )
 
@@ -472,7 +472,7 @@ def newest_feedback(spark, d):
 
 @query
 def erased_feedback(spark, d):
-    gone = _t(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("session_hmac"))
+    gone = _t(spark, d, "customer").select(F.concat(F.lit("session-"), "c_custkey").alias("session_hmac"))
     return feedback.erase(_feedback(spark, d).withColumnRenamed("session_token", "session_hmac"), gone).groupBy("correction_type").agg(F.count("*").alias("n"))
 
 
