@@ -107,7 +107,7 @@ ORACLES: dict[str, str] = {
     "confidence_histogram": f"WITH {HYP} SELECT least(floor(confidence / 10), 9)::BIGINT AS bin, count(*) FILTER (coverage >= 0.5) AS right, count(*) FILTER (coverage < 0.5) AS wrong FROM hyp GROUP BY 1",
     "latency_by_provider": "SELECT event_type AS provider, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms, count(*) FILTER (event_id % 3 > 0) AS succeeded FROM events GROUP BY event_type",
     "newest_feedback": "WITH r AS (SELECT 'session-' || user_id AS session_token, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) SELECT * FROM r WHERE rank <= 5",
-    "erased_feedback": "SELECT CASE event_type WHEN 'click' THEN 'wrong_pangti' WHEN 'view' THEN 'unknown' ELSE 'other' END AS correction_type, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1",
+    "erased_feedback": "SELECT CASE event_type WHEN 'click' THEN 'wrong_pangti' WHEN 'view' THEN 'unknown' ELSE 'other' END AS correction_type, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
     "review_queue": f"WITH {TIERED} SELECT sample_id, repeat_group, count(*) AS n, min(idx) AS first_idx FROM tiered WHERE tier = 'needs_review' GROUP BY sample_id, repeat_group",
     "reviewed_spans": f"WITH {TIERED} SELECT CASE WHEN idx % 3 = 0 THEN 'high' ELSE tier END AS tier, CASE WHEN idx % 3 = 0 THEN 'human' ELSE 'auto' END AS labeled_by, count(*) AS n FROM tiered GROUP BY 1, 2",
     "monthly_quota": "SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) <= 3 AS accepted FROM events",

@@ -472,7 +472,7 @@ def newest_feedback(spark, d):
 
 @query
 def erased_feedback(spark, d):
-    gone = _t(spark, d, "customer").select(F.concat(F.lit("session-"), "c_custkey").alias("session_hmac"))
+    gone = _t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("session-"), "c_custkey").alias("session_hmac"))
     return feedback.erase(_feedback(spark, d).withColumnRenamed("session_token", "session_hmac"), gone).groupBy("correction_type").agg(F.count("*").alias("n"))
 
 
