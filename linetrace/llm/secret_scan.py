@@ -156,10 +156,12 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one.  n_chars, where
     there is such a column, follows the text."""
-    found = spans(docs).select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "spans")
-    rows = carried(docs).select("doc_id", "text", F.xxhash64("text").alias("key"), "row")
+    # The patterns meet each text once; what follows reads the rows that they hit, or copies the others.
     suspect = F.coalesce(F.col("text").rlike("|".join(PATTERNS)), F.lit(False))
-    both = rows.filter(suspect).join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
+    rows = stash(carried(docs).select("doc_id", F.xxhash64("text").alias("key"), suspect.alias("suspect"), "row"))
+    hits = rows.filter("suspect").select("doc_id", F.col("row.text").alias("text"), "key", "row")
+    found = spans(hits.select("doc_id", "text")).select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "spans")
+    both = hits.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
     cut = F.aggregate(
         F.coalesce("spans", F.array().cast("array<struct<start: bigint, rank: int, end: bigint>>")),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -172,4 +174,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     row = F.col("row").withField("text", cut)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
-    return rows.filter(~suspect).select("row.*").unionByName(both.select(row.alias("row")).select("row.*"))
+    return rows.filter("not suspect").select("row.*").unionByName(both.select(row.alias("row")).select("row.*"))
