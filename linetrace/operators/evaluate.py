@@ -70,6 +70,14 @@ def gold_compare(found: DataFrame, gold: DataFrame, slack: float = 5.0) -> DataF
     return gold.join(top, "query_id", "left").select("query_id", (F.col("order_id").isNull() | F.coalesce(F.col("got") == F.col("order_id"), F.lit(False))).alias("line_ok"), F.coalesce(fits, F.lit(False)).alias("score_ok"))
 
 
+def category_coverage(samples: DataFrame, goals: DataFrame) -> DataFrame:
+    """Samples of each category of ``samples`` (sample_id, categories), held against ``goals``
+    (category, goal); goals without samples are listed too."""
+    got = samples.select("sample_id", F.explode(F.array_distinct("categories")).alias("category")).groupBy("category").agg(F.count("*").alias("got"))
+    both = goals.join(got, "category", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
+    return both.select("category", "got", "goal", (F.col("got") >= F.col("goal")).alias("met"))
+
+
 def eval_csv(summaries: DataFrame, path: str) -> None:
     rows = summaries.select([F.replace(F.col(c).cast("string"), F.lit(","), F.lit(";")).alias(c) for c in summaries.columns])
     rows.na.fill("").write.mode("overwrite").csv(path, header=True)

@@ -581,3 +581,46 @@ def tracked_modes(spark, d):
 @query
 def utterances(spark, d):
     return sessions.segment_utterances(_t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", (F.col("value") / 100).alias("prob")), 0.3, 86_400.0, 60.0, 864_000.0)
+
+
+@query
+def self_corrected(spark, d):
+    return sessions.self_correct(_sessions(spark, d), 0.9).select("session_id", "id", F.coalesce("shown", F.lit("")).alias("shown"))
+
+
+@query
+def last_good_shown(spark, d):
+    e = _t(spark, d, "events")
+    e = e.select(F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("seq"), F.col("props").alias("text"), (F.col("event_type") == "click").alias("canonical"))
+    return sessions.freeze_last_good(e).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.length("shown")).alias("chars"))
+
+
+@query
+def accumulated_transcripts(spark, d):
+    return sessions.accumulated(_t(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text"))
+
+
+@query
+def active_keys(spark, d):
+    return sessions.active_keys(_hits(spark, d), 86_400.0)
+
+
+@query
+def category_coverage(spark, d):
+    docs = _t(spark, d, "documents")
+    goals = docs.groupBy(F.concat(F.lit("lang-"), "lang").alias("category")).agg(F.lit(200).cast("long").alias("goal"))
+    return evaluate.category_coverage(docs.select(F.col("doc_id").alias("sample_id"), F.array(F.concat(F.lit("lang-"), "lang"), F.concat(F.lit("source-"), "source")).alias("categories")), goals)
+
+
+@query
+def gold_compared(spark, d):
+    gold = _t(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.max("event_id").alias("order_id"), F.lit(60.0).alias("least"), F.lit(90.0).alias("most"))
+    return evaluate.gold_compare(_ranked(spark, d), gold)
+
+
+@query
+def cascaded(spark, d):
+    q = _search(spark, d)
+    now = q.select("query_id", F.split("query_id", ":")[0].cast("long").alias("passage_id"))
+    before = now.select("query_id", (F.col("passage_id") + 1).alias("passage_id")).unionByName(now)
+    return match.cascade_match(q, views.indexable(_lines(spark, d)), now, before).select("query_id", "order_id", F.round("score", 6).alias("score"), F.col("tier").cast("long").alias("tier"))

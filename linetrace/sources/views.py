@@ -95,6 +95,19 @@ def frames(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter(~known).drop("f")
 
 
+def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of comparison files, one file a run: the results of several providers for one clip."""
+    row = "provider: string, elapsed_ms: double, transcript: string, error: string"
+    runs = spark.read.schema(f"id string, created_at string, rows array<struct<{row}>>").option("multiLine", True).json(path)
+    return runs.select("id", "created_at", F.explode("rows").alias("r")).select("id", "created_at", "r.*", F.col("r.error").isNull().alias("ok"))
+
+
+def write_manifest(report: DataFrame, samples: DataFrame, build_id: DataFrame, path: str) -> None:
+    """A manifest: one line of JSON with the report and build id, and the samples beside it."""
+    report.join(build_id).withColumnRenamed("build_id", "id").write.mode("overwrite").json(f"{path}/build")
+    samples.write.mode("overwrite").json(f"{path}/samples")
+
+
 def write_json_splits(rows: DataFrame, path: str) -> None:
     """One folder of JSON a split, floats to three places."""
     kinds = dict(rows.dtypes)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linetrace.functions.text import overlap_append
+
 PEAK, PEAK_AGE_S, BEATS, MARGIN = 85.0, 2.5, 90.0, 5.0
 
 
@@ -195,3 +197,53 @@ def track_position(matches: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["session_id", "ts", "seq", "mode"])
 
     return matches.groupBy("session_id").applyInPandas(walk, "session_id long, ts timestamp, seq long, mode string")
+
+
+SHOWN = "session_id long, ts timestamp, seq long, shown string"
+
+
+def _freeze(shown: str, pdf: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+    """An empty text leaves what is shown; so does one under half as long as a shown text of more
+    than twelve characters, unless the canonical source says it."""
+    out = []
+    pdf = pdf.sort_values(["ts", "seq"])
+    for text, canonical in zip(pdf["text"].fillna(""), pdf["canonical"], strict=True):
+        if text and (canonical or len(shown) <= 12 or 2 * len(text) >= len(shown)):
+            shown = text
+        out.append(shown)
+    return shown, pdf[["session_id", "ts", "seq"]].assign(shown=out)
+
+
+def freeze_last_good(events: DataFrame) -> DataFrame:
+    """What every session shows after each of its events (session_id, ts, seq, text, canonical)."""
+    return events.groupBy("session_id").applyInPandas(lambda pdf: _freeze("", pdf)[1], SHOWN)
+
+
+def freeze_stream(events: DataFrame) -> DataFrame:
+    """The same over a stream; a session's state ends after an hour without events."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        shown = state.getOption[0] if state.exists else ""
+        for pdf in pdfs:
+            shown, rows = _freeze(shown, pdf)
+            yield rows
+        state.update((shown,))
+        state.setTimeoutDuration(3_600_000)
+
+    return events.groupBy("session_id").applyInPandasWithState(step, SHOWN, "shown string", "append", "ProcessingTimeTimeout")
+
+
+def accumulated(parts: DataFrame, key: str = "session_id") -> DataFrame:
+    """The running transcript of each key's parts (key, seq, text), overlaps joined once."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"])
+    return parts.groupBy(key).agg(F.count("*").alias("parts"), overlap_append(ordered).alias("transcript"))
+
+
+def active_keys(hits: DataFrame, seconds: float) -> DataFrame:
+    """Keys with a hit in the last ``seconds`` of the table; the others have expired."""
+    end = hits.agg(F.max(_us("ts")).alias("now"))
+    last = hits.groupBy("key").agg(F.max("ts").alias("last"))
+    return last.join(F.broadcast(end)).filter(F.col("now") - _us("last") <= int(seconds * 1e6)).select("key", "last")

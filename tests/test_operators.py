@@ -89,3 +89,26 @@ def test_draws_follow_weights(spark):
     got = dataset.weighted_sample(rows, "w", 4000).groupBy((F.col("id") < 1000).alias("heavy")).count().collect()
     n = {r.heavy: r["count"] for r in got}
     assert 2800 < n[True] < 3200 and 850 < n[False] < 1150
+
+
+def test_shown_text_is_frozen_and_transcripts_join(spark):
+    rows = [(1, i, t, c) for i, (t, c) in enumerate([("a longer text here", False), ("short", False), ("", False), (None, False), ("short", True), ("nearly a", False)])]
+    events = spark.createDataFrame(rows, "session_id long, seq long, text string, canonical boolean").withColumn("ts", F.timestamp_seconds("seq"))
+    got = [r.shown for r in sessions.freeze_last_good(events).orderBy("seq").collect()]
+    assert got == ["a longer text here"] * 4 + ["short", "nearly a"]
+    assert sessions.freeze_last_good(events.limit(0)).collect() == []
+    parts = spark.createDataFrame([(1, 2, "over lap and"), (1, 1, "lap"), (1, 3, None), (2, 1, "x")], "session_id long, seq long, text string")
+    assert {r.session_id: (r.parts, r.transcript) for r in sessions.accumulated(parts).collect()} == {1: (3, "lap over lap and"), 2: (1, "x")}
+    hits = spark.createDataFrame([("a", 0), ("a", 90), ("b", 30)], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    assert [r.key for r in sessions.active_keys(hits, 30).collect()] == ["a"]
+
+
+def test_comparison_files_and_manifests(spark, tmp_path):
+    from linetrace.sources import views
+
+    (tmp_path / "run.json").write_text('{"id": "r1", "created_at": "t", "rows": [{"provider": "p", "elapsed_ms": 5, "transcript": "x"}, {"provider": "q", "elapsed_ms": 7, "error": "late"}]}')
+    got = {r.provider: r.ok for r in views.read_comparisons(spark, f"{tmp_path}/run.json").collect()}
+    assert got == {"p": True, "q": False}
+    one = spark.range(1).select(F.lit(3).alias("n_rows"))
+    views.write_manifest(one, spark.createDataFrame([("s",)], "id string"), spark.range(1).select(F.lit("abc").alias("build_id")), f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m/build").first().asDict() == {"id": "abc", "n_rows": 3}
