@@ -219,23 +219,6 @@ def freeze_last_good(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandas(lambda pdf: _freeze("", pdf)[1], SHOWN)
 
 
-def freeze_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream; a session's state ends after an hour without events."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        shown = state.getOption[0] if state.exists else ""
-        for pdf in pdfs:
-            shown, rows = _freeze(shown, pdf)
-            yield rows
-        state.update((shown,))
-        state.setTimeoutDuration(3_600_000)
-
-    return events.groupBy("session_id").applyInPandasWithState(step, SHOWN, "shown string", "append", "ProcessingTimeTimeout")
-
-
 def accumulated(parts: DataFrame, key: str = "session_id") -> DataFrame:
     """The running transcript of each key's parts (key, seq, text), overlaps joined once."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"])
