@@ -9,6 +9,7 @@ verified on all 64 bits, and components follow from the verified links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
@@ -16,6 +17,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -248,10 +250,48 @@ BANDS, ROWS = 10, 4
 _ODD = (np.random.default_rng(SEED).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def _profile_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Fingerprint, signature of the set of shingles, and band keys of every text."""
+#: Documents that are looked at for common shingles, and so many common shingles at most.
+SAMPLE, COMMON = 20_000, 1 << 18
+#: Words of 64 bits that hold the parity of a set's shingles.
+PARITY = 8
+
+
+def prefix_length(n: int, share: float) -> int:
+    """So many first shingles of a set of ``n``: whoever misses them all has fewer than ``share`` of it."""
+    return n - math.ceil(share * n - 1e-9) + 1 if n else 0
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t in batch.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py() or "", size)).view(np.int64))], ["shingle"])
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several documents of a sample, sorted, and in how many.  They only put
+    shingles in an order, rare ones first; any order gives the same groups."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.select("k1", "text").filter(F.pmod(F.xxhash64("k1"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    often = some.mapInArrow(lambda b: _shingle_batches(b, size), "shingle long").groupBy("shingle").count().filter("count > 1")
+    rows = often.orderBy(F.col("count").desc(), "shingle").limit(COMMON).collect()
+    found, counts = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def _rare_first(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, counts = common
+    if not len(known):
+        return own
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
+
+
+def _profile_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float, common: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, signature of the set of shingles, band keys, the set's size, its rarest shingles
+    and the parity of its shingles by their last bits, of every text."""
     for batch in batches:
-        prints, signs, bands = [], [], []
+        prints, signs, bands, sizes, rare, parity = [], [], [], [], [], []
         for t in batch.column("text"):
             hashes = shingle_hashes(t.as_py() or "", size)
             prints.append(fingerprint(hashes))
@@ -261,28 +301,80 @@ def _profile_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[p
             for at in range(0, len(own), 4096):
                 least = np.minimum(least, ((own[at : at + 4096, None] ^ _ODD[0]) * _ODD[1]).min(axis=0))
             bands.append([xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, ROWS))])
+            sizes.append(len(own))
+            rare.append(_rare_first(own, common.value)[: prefix_length(len(own), similarity)].view(np.int64))
+            odd = np.bincount((own % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
+            parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(prints, pa.int64()), pa.array(signs, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "k1", "k2", "fp", "node", "bands"],
-        )
+            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(prints, pa.int64()), pa.array(signs, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()),
+             pa.array(rare, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+            ["doc_id", "k1", "k2", "fp", "node", "bands", "n", "rare", "parity"],
+        )
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique((shingle_hashes(t.as_py() or "", size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+        sets = [np.unique(shingle_hashes(t.as_py() or "", size)).view(np.int64) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _rare_pairs(entries: DataFrame, similarity: float, hot: bool) -> DataFrame:
+    """Pairs (x, y) of different roots that share one of their rarest shingles and may be similar, from
+    ``entries`` (shingle, at, node, n, root; parity where ``hot``).
+
+    Of two sets the shorter one must show the shingle among so many first ones that fewer would be
+    left than the pair must share, which the places also tell.  In a hot bucket everything meets
+    only the members outside the bucket's largest root, and two sets that differ in more parities
+    than they may in shingles are no pair."""
+    t = similarity
+    some = entries
+    if hot:
+        sizes = entries.groupBy("shingle", "root").count()
+        top = sizes.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("m")).select("shingle", F.col("m.root").alias("top"))
+        some = entries.join(top, "shingle").filter("root <> top")
+    a, b = some.alias("a"), entries.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    least = F.least(F.col("a.n"), F.col("b.n"))
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    fits = (F.col("a.root") != F.col("b.root")) & (least >= t * (both - least) - 1e-9) & (left >= t / (1 + t) * both - 1e-9)
+    if hot:
+        apart = sum((F.bit_count(F.get("a.parity", F.lit(i)).bitwiseXOR(F.get("b.parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+        fits &= apart <= (1 - t) / (1 + t) * both + 1e-9
+    else:
+        fits &= F.col("a.node") < F.col("b.node")
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(k1, k2, doc_id, node, root) of each row of ``carried`` documents: node names the texts of one
     set of shingles, root a group of texts linked by a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are fingerprints within ``radius`` bits by the generalised pigeonhole, and, since
-    texts at a similarity of 0.8 differ in some ten of 64 bits, the members of MinHash buckets: each
-    member is compared with the bucket's centre, another one in each band, and members that match
-    no centre get a second round of centres.  Every candidate is verified on whole shingle sets."""
-    profile = stash(docs.select("doc_id", "k1", "k2", "text").mapInArrow(lambda b: _profile_batches(b, shingle_words), "doc_id long, k1 long, k2 int, fp long, node long, bands array<long>"))
-    nodes = stash(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "row.*", "fp", "bands"))
+    First candidates are fingerprints within ``radius`` bits by the generalised pigeonhole, and the
+    members of MinHash buckets: each is compared with the bucket's centre, another one in each band,
+    and members that match no centre get a second round of centres.  They join most of a large group
+    without comparing all its pairs.  The rest is exact: two sets of that similarity share one of
+    their rarest shingles (prefix filter), and all pairs that do and are not yet in one group are
+    compared, those of shingles in few texts first.  Candidates are verified on whole sets."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle_words))
+    profile = stash(
+        docs.select("doc_id", "k1", "k2", "text").mapInArrow(
+            lambda b: _profile_batches(b, shingle_words, similarity, common), "doc_id long, k1 long, k2 int, fp long, node long, bands array<long>, n int, rare array<long>, parity array<long>"
+        )
+    )
+    firsts = [F.first(c).alias(c) for c in ("fp", "bands", "n", "rare", "parity")]
+    nodes = stash(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), *firsts).select("node", "row.*", "fp", "bands", "n", "rare", "parity"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs)
+        needed = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        texts = docs.select("k1", "k2", "text").join(nodes.join(needed, "node", "left_semi").select("node", "k1", "k2"), ["k1", "k2"])
+        sets = stash(texts.select("node", "text").mapInArrow(lambda b: _set_batches(b, shingle_words), "node long, shingles array<long>").dropDuplicates(["node"]))
+        left, right = sets.withColumnsRenamed({"node": "x", "shingles": "s"}), sets.withColumnsRenamed({"node": "y", "shingles": "t"})
+        shared = F.size(F.array_intersect("s", "t"))
+        all_ = F.size("s") + F.size("t") - shared
+        return stash(pairs.join(left, "x").join(right, "y").filter((shared >= similarity * all_) | (all_ == 0)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
     # One node stands for each fingerprint; nodes that share one are linked to it.
     tops = stash(nodes.groupBy("fp").agg(F.min("node").alias("top")))
     near = links(tops.select("fp"), radius)
@@ -298,18 +390,22 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         centres = stash(members.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.centre"))
         pairs_now = members.join(centres, "key").filter("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))
         pairs = pairs.unionByName(pairs_now) if turn == 0 else pairs_now
-        pairs = stash(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        needed = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        texts = docs.select("k1", "k2", "text").join(nodes.join(needed, "node", "left_semi").select("node", "k1", "k2"), ["k1", "k2"])
-        sets = stash(texts.select("node", "text").mapInArrow(lambda b: _set_batches(b, shingle_words), "node long, shingles array<int>").dropDuplicates(["node"]))
-        left, right = sets.withColumnsRenamed({"node": "x", "shingles": "s"}), sets.withColumnsRenamed({"node": "y", "shingles": "t"})
-        shared = F.size(F.array_intersect("s", "t"))
-        all_ = F.size("s") + F.size("t") - shared
-        verified = pairs.join(left, "x").join(right, "y").filter((shared >= similarity * all_) | (all_ == 0)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        verified = stash(verified)
-        found = verified if found is None else found.unionByName(verified)
-        met = verified.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        linked = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        found = linked if found is None else found.unionByName(linked)
+        met = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         members = stash(members.join(met, "node", "left_anti"))
+    # Entries of shingles that only one text, or only one group, has among its rarest are done.
+    entries = nodes.select("node", "n", F.posexplode("rare").alias("at", "shingle"))
+    counts = entries.groupBy("shingle").count().filter("count > 1")
+    entries = stash(entries.join(counts, "shingle"))
+    for hot in (False, True):
+        roots = stash(components(found))
+        rows = entries.filter(F.col("count") > BUCKET if hot else F.col("count") <= BUCKET).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = stash(rows.select("shingle", "at", "node", "n", "root"))
+        mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
+        rows = rows.join(mixed, "shingle", "left_semi")
+        rows = stash(rows.join(nodes.select("node", "parity"), "node") if hot else rows)
+        found = found.unionByName(verified(_rare_pairs(rows, similarity, hot)))
     roots = components(found)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return profile.select("doc_id", "k1", "k2", "node").join(stash(named), "node")

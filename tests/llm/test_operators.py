@@ -167,6 +167,24 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 8, 9]
 
 
+def test_similar_pairs_under_one_template_are_found(spark):
+    """Pairs at 0.8 or more among texts that share a long template, whose MinHash buckets they crowd."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = " ".join(word() for _ in range(150))
+    rows = []
+    for k in range(700):
+        own = [word() for _ in range(46)]
+        near = list(own)
+        near[5], near[15], near[25], near[35] = word(), word(), word(), word()
+        rows += [(2 * k, f"{template} {' '.join(own)}"), (2 * k + 1, f"{template} {' '.join(near)}")]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    assert all(len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1]) for k in range(700))
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
+    kept = [r.doc_id for r in simhash.keep_one(make(spark, rows)).select("doc_id").collect()]
+    assert sorted(kept) == [2 * k for k in range(700)]
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64))
