@@ -1,8 +1,8 @@
 """Licences in texts, by known sentences and ordered rules.
 
 A text is cut into sentences, each is normalised and looked up among known licence sentences, and
-the identifiers found, in order, are matched against the rules of each licence.  DataFrame functions
-only.
+the identifiers found, in order, are matched against the rules of each licence.  A sentence may run
+over several lines, comment leaders or not.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -72,8 +72,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: Every known sentence holds one of these, so other texts need not be cut.
 HINTS = "licen|copyright|warrant|permission|permitted|redistribut|rights reserved"
-#: A sentence ends at a full stop, question or exclamation mark or semicolon before white space, and at a line feed.
-ENDS = r"[.!?;:]+(?=[\x20\x09-\x0D]|$)|\n+"
+#: A sentence ends at a full stop, question or exclamation mark, semicolon or colon before white space, and at a
+#: blank line; it may end at any line feed.  Lines of neither letters nor digits (bare comment leaders) are blank.
+STOP, SURE = r"[.!?;:]+(?=[\x20\x09-\x0D]|$)", "\u0002"
+BLANK = rf"\n(?:[^\p{{L}}\p{{N}}\n{SURE}]*\n)+"
+#: Known sentences between ends, over line feeds where need be; the longest that fits.
+KNOWN = rf"(?<![^\n{SURE}])(?:{'|'.join(x.replace(' ', '[ \n]') for x in sorted(SENTENCES, key=len, reverse=True))})(?![^\n{SURE}])"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -84,11 +88,13 @@ def scan(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.  A BSD text that meets the longer
     rule is not reported under the shorter one."""
     low = F.lower("text")
-    sentences = F.transform(F.split(low, ENDS), lambda s: F.trim(F.regexp_replace(s, "[^\\p{L}\\p{N}]+", " ")))
-    known = F.filter(sentences, lambda s: s.isin(*SENTENCES))
+    cut = F.regexp_replace(F.regexp_replace(F.translate(low, SURE, " "), STOP, SURE), BLANK, SURE)
+    plain = F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}\n{SURE}]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, rf"[ \n{SURE}]*{SURE}[ \n{SURE}]*", SURE), r" *\n *", "\n")
+    known = F.regexp_extract_all(F.trim(plain), F.lit(KNOWN), F.lit(0))
     names = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
     none = F.array().cast("array<string>")
-    ids = F.when(low.rlike(HINTS), F.transform(known, lambda s: F.element_at(names, s)))
+    ids = F.when(low.rlike(HINTS), F.transform(known, lambda s: F.element_at(names, F.translate(s, "\n", " "))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(ids, none).alias("sentence_ids"))
     row = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" ")))
     met = {}

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -246,6 +247,21 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: [], 4: [], 5: []}
 
 
+def test_wrapped_licenses(spark):
+    full = {name: [k for k, v in license_scan.SENTENCES.items() if v == name][0] for name in license_scan.SENTENCES.values()}
+    wrap = lambda leader, width, *names: "\n".join(leader + x for n in names for x in [*textwrap.wrap(full[n].capitalize() + ".", width), ""])
+    rows = [
+        (1, "The MIT License\nCopyright (c) 2020 A. Person\n\n" + wrap("", 72, "mit_grant", "mit_keep", "mit_as_is")),
+        (2, "/*\n" + wrap(" * ", 60, "bsd_grant", "bsd_source", "bsd_binary") + "\n */"),
+        (3, wrap("# ", 40, "bsd_grant", "bsd_source", "bsd_binary", "bsd_names").replace("\n", "\r\n")),
+        (4, wrap("// ", 72, "gpl3_grant", "gpl_hope")),
+        (5, "All rights reserved\nThe MIT License\n\nPermission is hereby\n\ngranted"),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(make(spark, rows)).collect()}
+    assert {k: list(r.licenses) for k, r in got.items()} == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: ["GPL-3.0"], 5: []}
+    assert list(got[1].sentence_ids) == ["mit_title", "mit_grant", "mit_keep", "mit_as_is"] and list(got[5].sentence_ids) == ["reserved", "mit_title"]
+
+
 def test_empty_tables(spark):
     none = make(spark, [(1, "x")]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
