@@ -83,14 +83,16 @@ def stratum_weights(rows: DataFrame, *strata: str) -> DataFrame:
 
 
 def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int = 7) -> DataFrame:
-    """About ``n`` draws with replacement: each row is drawn a Poisson number of times whose mean is
-    its share of the weight, so no order and no running total over all rows is needed."""
+    """About ``n`` draws with replacement: the mean of a row's draws is its share of the weight, its
+    whole part drawn for certain and a Poisson number for the rest, so no order and no running total
+    over all rows is needed."""
     total = rows.agg(F.sum(weight)).first()[0] or 1.0
-    mean = F.col(weight) / total * n
+    share = F.col(weight) / total * n
+    mean = share - F.floor(share)
     u = F.rand(seed)
     terms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.exp(-mean) * F.pow(mean, k) / F.factorial(k))
     below = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, p: F.struct((a["sum"] + p).alias("sum"), (a["n"] + (F.col("u") >= a["sum"] + p).cast("int")).alias("n")), lambda a: a["n"])
-    return rows.withColumn("u", u).withColumn("draws", below).filter("draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("draws")))).drop("u", "draws")
+    return rows.withColumn("u", u).withColumn("draws", below + F.floor(share)).filter("draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int")))).drop("u", "draws")
 
 
 def curriculum(rows: DataFrame, epoch: int) -> DataFrame:

@@ -91,6 +91,13 @@ def test_draws_follow_weights(spark):
     assert 2800 < n[True] < 3200 and 850 < n[False] < 1150
 
 
+def test_rare_strata_are_drawn_in_full(spark):
+    rows = spark.createDataFrame([(i, "rare" if i < 2 else "common") for i in range(402)], "id long, source string")
+    got = dataset.weighted_sample(dataset.stratum_weights(rows, "source"), "weight", 1000).groupBy("source", "id").count().collect()
+    assert all(250 <= r["count"] <= 251 + 20 for r in got if r.source == "rare")
+    assert 400 <= sum(r["count"] for r in got if r.source == "common") <= 600
+
+
 def test_shown_text_is_frozen_and_transcripts_join(spark):
     rows = [(1, i, t, c) for i, (t, c) in enumerate([("a longer text here", False), ("short", False), ("", False), (None, False), ("short", True), ("nearly a", False)])]
     events = spark.createDataFrame(rows, "session_id long, seq long, text string, canonical boolean").withColumn("ts", F.timestamp_seconds("seq"))
