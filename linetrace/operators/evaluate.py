@@ -42,7 +42,10 @@ def eval_rollup(summaries: DataFrame, *groups: str) -> DataFrame:
 def error_rates(pairs: DataFrame) -> DataFrame:
     """Character and word error rates of (reference, hypothesis); words become single characters."""
     words = F.array_distinct(F.concat(F.split("reference", " "), F.split("hypothesis", " ")))
-    code = lambda text: F.array_join(F.transform(F.split(text, " "), lambda w: F.char(F.array_position("ws", w).cast("int") + 31)), "")
+    # Code points from 32 on, past the surrogates; F.char would start again at 256.
+    point = lambda w: F.array_position("ws", w).cast("int") + 31
+    wide = lambda p: F.lpad(F.hex(p + F.when(p >= 0xD800, 0x800).otherwise(0)), 8, "0")
+    code = lambda text: F.decode(F.unhex(F.array_join(F.transform(F.split(text, " "), lambda w: wide(point(w))), "")), "UTF-32")
     rows = pairs.withColumn("ws", words).withColumn("r", code("reference")).withColumn("h", code("hypothesis"))
     return rows.agg((F.sum(F.levenshtein("reference", "hypothesis")) / F.sum(F.length("reference"))).alias("cer"), (F.sum(F.levenshtein("r", "h")) / F.sum(F.length("r"))).alias("wer"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linetrace.functions import scoring
 from linetrace.functions import text as T
-from linetrace.operators import align, dataset, feedback, match
+from linetrace.operators import align, dataset, evaluate, feedback, match
 from linetrace.streaming import sessions
 
 
@@ -98,6 +98,14 @@ def test_rare_strata_are_drawn_in_full(spark):
     assert 400 <= sum(r["count"] for r in got if r.source == "common") <= 600
 
 
+def test_error_rates_of_many_words(spark):
+    words = [f"w{i}" for i in range(600)]
+    wrong = [*words[256:], *words[:256]]
+    pairs = spark.createDataFrame([(" ".join(words), " ".join(["x", *words[1:300], words[44], *words[301:]])), (" ".join(words), " ".join(wrong))], "reference string, hypothesis string")
+    assert abs(evaluate.error_rates(pairs.limit(1)).first().wer - 2 / 600) < 1e-12
+    assert abs(evaluate.error_rates(pairs).first().wer - (2 + 512) / 1200) < 1e-12
+
+
 def test_shown_text_is_frozen_and_transcripts_join(spark):
     rows = [(1, i, t, c) for i, (t, c) in enumerate([("a longer text here", False), ("short", False), ("", False), (None, False), ("short", True), ("nearly a", False)])]
     events = spark.createDataFrame(rows, "session_id long, seq long, text string, canonical boolean").withColumn("ts", F.timestamp_seconds("seq"))
