@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,36 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+Stash = Callable[[DataFrame], DataFrame]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Stash]:
+    """A ``stash`` for the length of a block: all that it has written is deleted at the end.  What
+    leaves the block must not read it any more, so results are written by ``stash`` before."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of two or three numbers that are sent to all executors, some 4 MB; more are joined by shuffles.
+FEW = 1 << 17
+
+
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """A broadcast of rows of a few numbers, if there are at most ``FEW``."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` as an array; null and blank texts have none."""
     bare = F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linetrace.llm.common import carried, stash
+from linetrace.llm.common import Stash, carried, scratch, sent_if_few, stash
 
 BITS, SEED = 64, 42
 #: A bucket of more fingerprints is probed again by its remaining bits, so often at most.
@@ -167,11 +167,13 @@ def _probe(groups: list[list[int]], thresholds: list[int], index: bool) -> Colum
     return F.explode(F.array(*out))
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
+def links(nodes: DataFrame, radius: int, keep: Stash = stash) -> DataFrame:
     """All pairs a < b of distinct fingerprints ``fp`` that differ in at most ``radius`` bits.
 
     A bucket of many fingerprints is never joined with itself: its members are dealt again by the
-    radius + 1 parts of their remaining bits, one of which two partners must share."""
+    radius + 1 parts of their remaining bits, one of which two partners must share.  After ``DEPTH``
+    deals a bucket's fingerprints differ at most in (2/3)**4 of the bits that were not its first key
+    (radius 2: some ten), so no bucket of the last join can be large."""
     groups, thresholds = plan_partitions(nodes, radius)
     index = nodes.select("fp", _probe(groups, thresholds, True).alias("c")).select("fp", "c.*")
     probe = nodes.select("fp", _probe(groups, thresholds, False).alias("c")).select("fp", "c.*")
@@ -180,7 +182,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     for depth in range(DEPTH + 1):
         hot = None
         if depth < DEPTH:
-            hot = stash(index.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"))
+            hot = keep(index.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"))
             hot = None if hot.isEmpty() else hot
         a, b = (x if hot is None else x.join(hot, "key", "left_anti") for x in (index, probe))
         pair = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius) & (F.col("a.fp") < F.col("b.fp"))
@@ -202,7 +204,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Stash = stash) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that it reaches.
 
     Alternates large-star and small-star steps; each is a grouped minimum and a join, so no
@@ -210,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
     round changes nothing."""
     swap = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-    edges = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = state(edges)
     while before[0]:
         both = swap(edges)
@@ -218,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stash(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        edges = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         now = state(edges)
         if now == before:
             break
@@ -233,27 +235,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
 
     Rows of one fingerprint are one node, so copies are never paired.  Null and blank texts have
     fingerprint zero and link like any other.  A null doc_id is kept; it never names a component
-    unless the component has no other.  Repeated rows give repeated results.  Other columns are
-    ignored, an empty table gives an empty result."""
+    unless the component has no other.  A bit that is set in just half of the hashes is 0.  Very long
+    texts are hashed whole, a few thousand shingles at a time.  Repeated rows give repeated results.
+    Other columns are ignored, an empty table gives an empty result."""
     prints = stash(fingerprints(docs, shingle_words))
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(nodes, radius))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = stash(named)
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = stash(named.join(ids, "root").select("fp", "component_id"))
+    with scratch(docs.sparkSession) as keep:
+        nodes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+        roots = components(links(nodes, radius, keep), keep)
+        named = keep(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
+        ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        named = stash(named.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: MinHash bands of the wider search below: so many, of so many minima each.
-BANDS, ROWS = 10, 4
-_ODD = (np.random.default_rng(SEED).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-#: Documents that are looked at for common shingles, and so many common shingles at most.
-SAMPLE, COMMON = 20_000, 1 << 18
-#: Words of 64 bits that hold the parity of a set's shingles.
-PARITY = 8
+#: Cells that count all shingles of the corpus by their first bits, to tell frequent ones from rare ones.
+CELL_BITS = 16
+#: Members of a shingle's bucket that meet in one task.
+MEET = 1024
 
 
 def prefix_length(n: int, share: float) -> int:
@@ -261,88 +259,103 @@ def prefix_length(n: int, share: float) -> int:
     return n - math.ceil(share * n - 1e-9) + 1 if n else 0
 
 
-def _shingle_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _load_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << CELL_BITS, dtype=np.int64)
     for batch in batches:
         for t in batch.column("text"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py() or "", size)).view(np.int64))], ["shingle"])
-
-
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in several documents of a sample, sorted, and in how many.  They only put
-    shingles in an order, rare ones first; any order gives the same groups."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.select("k1", "text").filter(F.pmod(F.xxhash64("k1"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    often = some.mapInArrow(lambda b: _shingle_batches(b, size), "shingle long").groupBy("shingle").count().filter("count > 1")
-    rows = often.orderBy(F.col("count").desc(), "shingle").limit(COMMON).collect()
-    found, counts = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
-    order = np.argsort(found)
-    return found[order], counts[order]
+            own = np.unique(shingle_hashes(t.as_py() or "", size))
+            total += np.bincount((own >> np.uint64(BITS - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+
+
+def cell_loads(docs: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all documents fall into each cell.  A shingle that very many documents
+    hold makes its cell stand out; what reaches the driver is one number a cell, whatever the input.
+    The loads only put shingles in an order, rare ones first; any order gives the same groups."""
+    out = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    rows = docs.select("text").mapInArrow(lambda b: _load_batches(b, size), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in rows.toLocalIterator():
+        out[r.cell] = r.n
+    return out
 
 
-def _rare_first(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    known, counts = common
-    if not len(known):
-        return own
-    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    return own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of at least twice as many bits as there are shingles, a power of two: whether an odd
+    number of shingles falls on it, in words of 64.  Folding the second half onto the first by xor
+    gives the parity for half as many bits."""
+    bits = max(BITS, 1 << (2 * len(own) - 1).bit_length()) if len(own) else BITS
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _profile_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float, common: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Fingerprint, signature of the set of shingles, band keys, the set's size, its rarest shingles
-    and the parity of its shingles by their last bits, of every text."""
+def _profile_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float, loads: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, a name for the set of shingles, its size, its rarest shingles and its parity."""
     for batch in batches:
-        prints, signs, bands, sizes, rare, parity = [], [], [], [], [], []
+        prints, signs, sizes, rare, parities = [], [], [], [], []
         for t in batch.column("text"):
             hashes = shingle_hashes(t.as_py() or "", size)
             prints.append(fingerprint(hashes))
             own = np.unique(hashes)
             signs.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
-            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for at in range(0, len(own), 4096):
-                least = np.minimum(least, ((own[at : at + 4096, None] ^ _ODD[0]) * _ODD[1]).min(axis=0))
-            bands.append([xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, ROWS))])
             sizes.append(len(own))
-            rare.append(_rare_first(own, common.value)[: prefix_length(len(own), similarity)].view(np.int64))
-            odd = np.bincount((own % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
-            parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            load = loads.value[(own >> np.uint64(BITS - CELL_BITS)).astype(np.int64)]
+            rare.append(own[np.lexsort((own, load))][: prefix_length(len(own), similarity)].view(np.int64))
+            parities.append(parity(own))
+        numbers = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(prints, pa.int64()), pa.array(signs, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32()),
-             pa.array(rare, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
-            ["doc_id", "k1", "k2", "fp", "node", "bands", "n", "rare", "parity"],
+            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(prints, pa.int64()), pa.array(signs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, numbers), pa.array(parities, numbers)],
+            ["doc_id", "k1", "k2", "fp", "node", "n", "rare", "parity"],
         )
 
 
+PROFILE = "doc_id long, k1 long, k2 int, fp long, node long, n int, rare array<long>, parity array<long>"
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(shingle_hashes(t.as_py() or "", size)).view(np.int64) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _rare_pairs(entries: DataFrame, similarity: float, hot: bool) -> DataFrame:
-    """Pairs (x, y) of different roots that share one of their rarest shingles and may be similar, from
-    ``entries`` (shingle, at, node, n, root; parity where ``hot``).
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Bits in which two parities differ, the longer one folded: at most the shingles that only one
+    of the two sets has.  One is as long as the other or twice so."""
+    short = F.least(F.size(a), F.size(b))
+    folded = lambda p, i: F.get(p, i).bitwiseXOR(F.coalesce(F.get(p, i + short), F.lit(0).cast("long")))
+    words = F.transform(F.sequence(F.lit(0), short - 1), lambda i: F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
+    return F.aggregate(words, F.lit(0), lambda s, x: s + x)
+
+
+def _unresolved(shared: DataFrame, roots: DataFrame, similarity: float, keep: Stash) -> DataFrame:
+    """Pairs (x, y) from different groups that share one of their rarest shingles and may be similar.
 
-    Of two sets the shorter one must show the shingle among so many first ones that fewer would be
-    left than the pair must share, which the places also tell.  In a hot bucket everything meets
-    only the members outside the bucket's largest root, and two sets that differ in more parities
-    than they may in shingles are no pair."""
+    ``shared``: shingle, at, node, n, count and the bucket's centre, which all its members have met.
+    Of two sets the longer one must show the shingle among its first n - t n + 1, the shorter one
+    among its first n - 2 t n / (1 + t) + 1, and neither may stand so late that too few shingles
+    would follow.  A bucket is split: members of its largest group never meet each other, and the
+    shorter sets are dealt to tasks, at most ``MEET`` to one."""
     t = similarity
-    some = entries
-    if hot:
-        sizes = entries.groupBy("shingle", "root").count()
-        top = sizes.groupBy("shingle").agg(F.max(F.struct("count", "root")).alias("m")).select("shingle", F.col("m.root").alias("top"))
-        some = entries.join(top, "shingle").filter("root <> top")
-    a, b = some.alias("a"), entries.alias("b")
+    rows = shared.filter((F.col("count") > 2) & (F.col("node") != F.col("centre"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = keep(rows.select("shingle", "at", "node", "n", "root"))
+    sizes = rows.groupBy("shingle", "root").count()
+    by = sizes.groupBy("shingle").agg(F.sum("count").alias("all"), F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("groups")).filter("groups > 1")
+    by = by.select("shingle", F.col("m.root").alias("top"), F.ceil(F.col("m.count") / MEET).alias("top_parts"), F.ceil((F.col("all") - F.col("m.count")) / MEET).alias("parts"))
+    rows = keep(rows.join(by, "shingle").withColumn("main", F.col("root") == F.col("top")))
+    here = F.when(F.col("main"), F.col("top_parts")).otherwise(F.col("parts"))
+    short = rows.filter(F.col("at") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9))
+    short = short.select("shingle", "at", "node", "n", "root", "main", F.pmod(F.xxhash64("node"), here).cast("long").alias("part"))
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    main_too = F.when(~F.col("main"), F.transform(spread(F.col("top_parts")), lambda p: F.struct(F.lit(True).alias("main"), p.alias("part"))))
+    places = F.concat(F.transform(spread(F.col("parts")), lambda p: F.struct(F.lit(False).alias("main"), p.alias("part"))), F.coalesce(main_too, F.array().cast("array<struct<main: boolean, part: long>>")))
+    long_ = rows.select("shingle", "at", "node", "n", "root", F.explode(places).alias("p")).select("shingle", "at", "node", "n", "root", "p.*")
+    a, b = short.alias("a"), long_.alias("b")
     both = F.col("a.n") + F.col("b.n")
-    least = F.least(F.col("a.n"), F.col("b.n"))
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    fits = (F.col("a.root") != F.col("b.root")) & (least >= t * (both - least) - 1e-9) & (left >= t / (1 + t) * both - 1e-9)
-    if hot:
-        apart = sum((F.bit_count(F.get("a.parity", F.lit(i)).bitwiseXOR(F.get("b.parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-        fits &= apart <= (1 - t) / (1 + t) * both + 1e-9
-    else:
-        fits &= F.col("a.node") < F.col("b.node")
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    ordered = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))
+    fits = (F.col("a.root") != F.col("b.root")) & ordered & (F.col("a.n") >= t * F.col("b.n") - 1e-9) & (left >= t / (1 + t) * both - 1e-9)
+    same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.main") == F.col("b.main")) & (F.col("a.part") == F.col("b.part"))
+    pairs = a.join(b, same & fits).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -350,65 +363,54 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     """(k1, k2, doc_id, node, root) of each row of ``carried`` documents: node names the texts of one
     set of shingles, root a group of texts linked by a Jaccard similarity of ``similarity`` or more.
 
-    First candidates are fingerprints within ``radius`` bits by the generalised pigeonhole, and the
-    members of MinHash buckets: each is compared with the bucket's centre, another one in each band,
-    and members that match no centre get a second round of centres.  They join most of a large group
-    without comparing all its pairs.  The rest is exact: two sets of that similarity share one of
-    their rarest shingles (prefix filter), and all pairs that do and are not yet in one group are
-    compared, those of shingles in few texts first.  Candidates are verified on whole sets."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle_words))
-    profile = stash(
-        docs.select("doc_id", "k1", "k2", "text").mapInArrow(
-            lambda b: _profile_batches(b, shingle_words, similarity, common), "doc_id long, k1 long, k2 int, fp long, node long, bands array<long>, n int, rare array<long>, parity array<long>"
-        )
-    )
-    firsts = [F.first(c).alias(c) for c in ("fp", "bands", "n", "rare", "parity")]
-    nodes = stash(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), *firsts).select("node", "row.*", "fp", "bands", "n", "rare", "parity"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stash(pairs)
-        needed = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        texts = docs.select("k1", "k2", "text").join(nodes.join(needed, "node", "left_semi").select("node", "k1", "k2"), ["k1", "k2"])
-        sets = stash(texts.select("node", "text").mapInArrow(lambda b: _set_batches(b, shingle_words), "node long, shingles array<long>").dropDuplicates(["node"]))
-        left, right = sets.withColumnsRenamed({"node": "x", "shingles": "s"}), sets.withColumnsRenamed({"node": "y", "shingles": "t"})
-        shared = F.size(F.array_intersect("s", "t"))
-        all_ = F.size("s") + F.size("t") - shared
-        return stash(pairs.join(left, "x").join(right, "y").filter((shared >= similarity * all_) | (all_ == 0)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    # One node stands for each fingerprint; nodes that share one are linked to it.
-    tops = stash(nodes.groupBy("fp").agg(F.min("node").alias("top")))
-    near = links(tops.select("fp"), radius)
-    a, b = tops.withColumnsRenamed({"fp": "a", "top": "x"}), tops.withColumnsRenamed({"fp": "b", "top": "y"})
-    pairs = near.join(a, "a").join(b, "b").select("x", "y")
-    pairs = pairs.unionByName(nodes.join(tops, "fp").filter("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y")))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"), "band")
-    crowded = members.groupBy("key").count().filter("count > 1").select("key")
-    members = stash(members.join(stash(crowded), "key"))
-    found = None
-    for turn in range(2):
-        order = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), F.col("node").alias("centre"))
-        centres = stash(members.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.centre"))
-        pairs_now = members.join(centres, "key").filter("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))
-        pairs = pairs.unionByName(pairs_now) if turn == 0 else pairs_now
-        linked = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        found = linked if found is None else found.unionByName(linked)
-        met = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        members = stash(members.join(met, "node", "left_anti"))
-    # Entries of shingles that only one text, or only one group, has among its rarest are done.
-    entries = nodes.select("node", "n", F.posexplode("rare").alias("at", "shingle"))
-    counts = entries.groupBy("shingle").count().filter("count > 1")
-    entries = stash(entries.join(counts, "shingle"))
-    for hot in (False, True):
-        roots = stash(components(found))
-        rows = entries.filter(F.col("count") > BUCKET if hot else F.col("count") <= BUCKET).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = stash(rows.select("shingle", "at", "node", "n", "root"))
-        mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
-        rows = rows.join(mixed, "shingle", "left_semi")
-        rows = stash(rows.join(nodes.select("node", "parity"), "node") if hot else rows)
-        found = found.unionByName(verified(_rare_pairs(rows, similarity, hot)))
-    roots = components(found)
-    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return profile.select("doc_id", "k1", "k2", "node").join(stash(named), "node")
+    Candidates are fingerprints within ``radius`` bits by the generalised pigeonhole, and two sets of
+    that similarity share one of their rarest shingles (prefix filter).  The members of a shingle's
+    bucket first meet only its centre, the same for all its buckets, which joins most of a large
+    group; then pairs of a bucket that are not yet in one group are compared as well, so no link is
+    lost.  Candidates whose parities alone show that they differ too much are dropped, the others
+    are verified on whole sets of 64-bit hashes.  A verified pair costs little more than twice the
+    longer of its two sets, and there are few pairs for each text.
+
+    Texts without words (null, blank) are one group; fewer words than a shingle are one shingle;
+    very long texts are whole sets; a null doc_id and repeated rows are rows like any other; an
+    empty table gives an empty result."""
+    spark, t = docs.sparkSession, similarity
+    loads = spark.sparkContext.broadcast(cell_loads(docs, shingle_words))
+    with scratch(spark) as keep:
+        profile = keep(docs.select("doc_id", "k1", "k2", "text").mapInArrow(lambda b: _profile_batches(b, shingle_words, t, loads), PROFILE))
+        firsts = [F.first(c).alias(c) for c in ("fp", "n", "rare", "parity")]
+        nodes = keep(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), *firsts).select("node", "row.*", "fp", "n", "rare", "parity"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            """The links among candidate pairs (x, y)."""
+            about = nodes.select("node", "n", "parity")
+            x, y = about.withColumnsRenamed({"node": "x", "n": "xn", "parity": "xp"}), about.withColumnsRenamed({"node": "y", "n": "yn", "parity": "yp"})
+            both, least = F.col("xn") + F.col("yn"), F.least("xn", "yn")
+            close = keep(pairs.join(x, "x").join(y, "y").filter((least >= t * (both - least) - 1e-9) & (least > 0)).filter(_bits_apart(F.col("xp"), F.col("yp")) <= (1 - t) / (1 + t) * both + 1e-9).select("x", "y"))
+            needed = close.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+            needed = keep(nodes.select("node", "k1", "k2").join(needed, "node", "left_semi"))
+            texts = docs.select("k1", "k2", "text").join(sent_if_few(needed), ["k1", "k2"])
+            sets = keep(texts.select("node", "text").mapInArrow(lambda b: _set_batches(b, shingle_words), "node long, shingles array<long>").dropDuplicates(["node"]))
+            left, right = sets.withColumnsRenamed({"node": "x", "shingles": "s"}), sets.withColumnsRenamed({"node": "y", "shingles": "t"})
+            shared = F.size(F.array_intersect("s", "t"))
+            return keep(close.join(left, "x").join(right, "y").filter(shared >= t * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+        # One node stands for each fingerprint; nodes that share one are candidates with it.
+        tops = keep(nodes.groupBy("fp").agg(F.min("node").alias("top")))
+        a, b = tops.withColumnsRenamed({"fp": "a", "top": "x"}), tops.withColumnsRenamed({"fp": "b", "top": "y"})
+        pairs = links(tops.select("fp"), radius, keep).join(a, "a").join(b, "b").select("x", "y")
+        pairs = pairs.unionByName(nodes.join(tops, "fp").filter("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y")))
+        # Shingles that only one text has among its rarest make no pair.
+        entries = nodes.select("node", "n", F.posexplode("rare").alias("at", "shingle"))
+        shared = keep(entries.join(entries.groupBy("shingle").count().filter("count > 1"), "shingle"))
+        centres = shared.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("centre"))).alias("c")).select("shingle", "c.centre")
+        shared = keep(shared.join(centres, "shingle"))
+        pairs = pairs.unionByName(shared.filter("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")))
+        found = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        found = found.unionByName(verified(_unresolved(shared, keep(components(found, keep)), t, keep)))
+        roots = components(found, keep)
+        named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        return stash(profile.select("doc_id", "k1", "k2", "node").join(named, "node"))
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -418,5 +420,10 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -
     rows = carried(docs)
     groups = similar_groups(rows, shingle_words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
-    kept = stash(groups.groupBy("root").agg(F.min(order).alias("m")).select("m.k1", "m.k2"))
-    return rows.select("k1", "k2", "row").join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
+    kept = groups.groupBy("root").agg(F.min(order).alias("m")).select("m.k1", "m.k2", F.lit(True).alias("kept"))
+    by = groups.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(kept, ["k1", "k2"], "left")
+    by = stash(by.select("k1", "k2", "n", F.coalesce("kept", F.lit(False)).alias("kept")).filter("n > 1 or not kept"))
+    # Most rows stay: only those that go, and those that are repeated, are looked up.
+    one = rows.join(sent_if_few(by.select("k1", "k2")), ["k1", "k2"], "left_anti").select("row.*")
+    again = rows.join(sent_if_few(by.filter("kept").select("k1", "k2")), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return one.unionByName(again)
