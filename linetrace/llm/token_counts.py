@@ -16,7 +16,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the tables of words (each half), and of prefixes, that a task keeps; some 200 bytes each.
 MEMO, HEADS = 300_000, 1_000_000
+#: Pieces of more characters are not kept by their prefixes.
+SHORT = 64
 _NONE = 1 << 62
 
 
@@ -80,6 +82,43 @@ _ODD = re.compile("[\u0130\u0300-\U0010ffff]")
 _RUNS = re.compile("((?:(?<![^\\w \\t-\\r\\x85\\xa0])(?<!_)')?[^\\W\\d_]+(?:'[^\\W\\d_]+)*)")
 
 
+def _form(text: str) -> str:
+    return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+
+
+def _clusters(chunk: str) -> Iterator[tuple[int, int]]:
+    """Parts of a text that normalise on their own.  A long row of marks of one class is cut as well:
+    once one of them stands alone, it keeps all later ones from moving or merging."""
+    joins = _joins_left()
+    starts = [0, *(i for i in range(1, len(chunk)) if chunk[i] not in joins), len(chunk)]
+    for a, b in zip(starts, starts[1:]):
+        if b - a > 8 and (kind := unicodedata.combining(chunk[b - 1])):
+            f = b
+            while f > a and unicodedata.combining(chunk[f - 1]) == kind and len(_form(chunk[f - 1])) == 1:
+                f -= 1
+            cut = next((e for e in range(max(a, f) + 1, b) if unicodedata.combining(_form(chunk[a:e])[-1]) == kind), b)
+            yield a, cut
+            yield from ((i, i + 1) for i in range(cut, b))
+        else:
+            yield a, b
+
+
+class _Walk:
+    """The last symbols of a piece, and the entries at the borders between them.  ``lead`` is a
+    character of the piece's kind."""
+
+    __slots__ = ("heads", "lead", "text")
+
+    def __init__(self, text: str = "", heads: list[int] | None = None, lead: str = ""):
+        self.text, self.heads, self.lead = text, heads or [0], lead
+
+    def copy(self) -> _Walk:
+        return _Walk(self.text, list(self.heads), self.lead)
+
+    def ended(self) -> int:
+        return self.heads[-1] >> 32 & 0xFFFFFFFF
+
+
 class Vocabulary:
     """Merges of one file, and the counts of words and prefixes met so far."""
 
@@ -110,6 +149,8 @@ class Vocabulary:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.fits: dict[int, bool] = {}
+        self.reach = max(map(len, (*self.endings[0], *self.endings[1])))
+        self.letter = regex.compile(r"\p{L}")
         # Of each prefix of a word, in byte symbols, in one number: its count, its count if the word
         # ends here, and its last token plus one, in fields of 32 bits.
         self.heads: dict[str, int] = {"": 0}
@@ -135,10 +176,11 @@ class Vocabulary:
         self.fits[pair] = out
         return out
 
-    def _head(self, word: str) -> int:
-        """The entry of ``word``; all shorter prefixes are in the table of heads."""
+    def _entry(self, word: str, head_at: Callable[[int], int]) -> int:
+        """The entry of a prefix whose last symbols are ``word``; head_at(k) is the entry of the prefix
+        that ends before word[k:]."""
         inner, final = self.endings
-        heads, fits = self.heads, self.fits
+        fits = self.fits
         last, ended = [], []
         at = len(word) - 1
         while at >= 0:
@@ -154,7 +196,7 @@ class Vocabulary:
         out = 0
         for found, place in ((last, 64), (ended, 32)):
             for at, token in reversed(found):
-                head = heads[word[:at]]
+                head = head_at(at)
                 before = (head & 0xFFFFFFFF) - 1
                 if before >= 0:
                     fit = fits.get(before << 32 | token)
@@ -168,34 +210,63 @@ class Vocabulary:
                 raise ValueError(f"the vocabulary has no symbol for {word!r}")
         return out
 
-    def _piece(self, piece: str) -> list[int]:
-        """Token count of each prefix of one piece of lower-cased text."""
-        out, word, heads, symbols = [], "", self.heads, self.symbols
-        if len(heads) > HEADS:
-            heads.clear()
-            heads[""] = 0
+    def _tidy(self) -> None:
+        if len(self.heads) > HEADS:
+            self.heads.clear()
+            self.heads[""] = 0
         if len(self.fits) > HEADS:
             self.fits.clear()
+
+    def _along(self, piece: str, walk: _Walk) -> list[int]:
+        """Token count of each prefix of what ``walk`` has passed and ``piece``; moves the walk.  Linear
+        in the piece, and nothing is kept but the counts."""
+        self._tidy()
+        out, symbols, reach = [], self.symbols, self.reach
+        for c in piece:
+            for b in c.encode():
+                text, heads = walk.text + symbols[b], walk.heads
+                heads.append(self._entry(text, heads.__getitem__))
+                walk.text = text
+                if len(text) > 2 * reach:
+                    walk.text, walk.heads = text[-reach:], heads[-reach - 1 :]
+            out.append(walk.ended())
+        return out
+
+    def _piece(self, piece: str) -> list[int]:
+        """Token count of each prefix of one piece of lower-cased text.  The prefixes of short pieces are
+        shared by all pieces that begin alike."""
+        if len(piece) > SHORT:
+            return self._along(piece, _Walk())
+        self._tidy()
+        out, word, heads, symbols = [], "", self.heads, self.symbols
         for c in piece:
             for b in c.encode():
                 word += symbols[b]
                 head = heads.get(word)
                 if head is None:
-                    head = heads[word] = self._head(word)
+                    head = heads[word] = self._entry(word, lambda at, w=word: heads[w[:at]])
             out.append(head >> 32 & 0xFFFFFFFF)
         return out
 
-    def _running(self, text: str) -> list[int]:
-        """Token count of each prefix of normalised text."""
+    def _running(self, text: str, walk: _Walk | None = None) -> list[int]:
+        """Token count of each prefix of normalised text, which may go on with the piece of ``walk``."""
+        lead, begun = ("", 0) if walk is None else (walk.lead, walk.ended())
         out: list[int] = []
-        for m in self.pieces.finditer(text):
-            base = out[-1] if out else 0
-            out += [base] * (m.start() - len(out))
+        for m in self.pieces.finditer(lead + text):
+            start = m.start() - len(lead)
+            if start < 0:
+                out += self._along(m[0][1:], walk.copy())
+                continue
+            base = out[-1] if out else begun
+            out += [base] * (start - len(out))
             own = self.piece[m[0]]
             if len(own) > 2 and m[0][0] == "'" and m[0][1].isalpha():  # a cut contraction is a quote and a letter
                 own = [own[0], own[0] + self.piece[m[0][1]][0], *own[2:]]
             out += [base + x for x in own]
-        return out + [out[-1] if out else 0] * (len(text) - len(out))
+        return out + [out[-1] if out else begun] * (len(text) - len(out))
+
+    def _total(self, text: str, walk: _Walk | None) -> int:
+        return self._running(text, walk)[-1] if text else 0 if walk is None else walk.ended()
 
     def _chunk(self, chunk: str) -> bytes:
         """Change of the count at each code point of a part of a text, plus 128."""
@@ -210,38 +281,42 @@ class Vocabulary:
         return bytes([int(d) + 128 for d in delta])
 
     def _unsettled(self, chunk: str) -> list[int]:
-        """As _running, where normalisation or lower case may change lengths: clusters that
-        normalise on their own are kept apart, so only a cut cluster is counted again."""
-        joins, starts = _joins_left(), [0]
-        starts += [i for i in range(1, len(chunk)) if chunk[i] not in joins]
-        out, base, tail = [], 0, ""
-        form = lambda s: "".join(c.lower() for c in unicodedata.normalize("NFC", s))
-        for a, b in zip(starts, [*starts[1:], len(chunk)], strict=True):
+        """As _running, where normalisation or lower case may change lengths: only what a later
+        character can still change is counted again, a few characters at a time."""
+        out, base, tail, walk = [], 0, "", None
+        for a, b in _clusters(chunk):
             for e in range(a + 1, b + 1):
-                run = tail + form(chunk[a:e])
-                counts = self._running(run)
-                out.append(base + (counts[-1] if counts else 0))
-            settled = tail + form(chunk[a:b])
-            # What a later character can't change is dropped: all but the last two pieces, which
-            # may turn out to be one contraction.
-            ms = list(self.pieces.finditer(settled))
-            if len(ms) > 2:
-                cut = ms[-2].start()
-                base += (self._running(settled[:cut]) or [0])[-1]
-                settled = settled[cut:]
-            tail = settled
+                out.append(base + self._total(tail + _form(chunk[a:e]), walk))
+            tail += _form(chunk[a:b])
+            lead = "" if walk is None else walk.lead
+            pieces = list(self.pieces.finditer(lead + tail))
+            # The last two pieces may turn out to be one contraction; those before are settled.
+            if len(pieces) > 2:
+                cut = pieces[-2].start() - len(lead)
+                base += self._total(tail[:cut], walk)
+                tail, walk, lead = tail[cut:], None, ""
+                pieces = list(self.pieces.finditer(tail))
+            # No contraction is so long: the piece can only grow, so a walk along it is enough.
+            if pieces and len(pieces[-1][0]) > 4 and pieces[-1].end() == len(lead + tail):
+                cut = pieces[-1].start() - len(lead)
+                if cut >= 0:
+                    base += self._total(tail[:cut], walk)
+                    walk = _Walk()
+                self._along(tail[max(0, cut) :], walk)
+                walk.lead = "a" if self.letter.match(pieces[-1][0]) else "!"
+                tail = ""
         return out
 
     def deltas(self, text: str) -> bytes:
         """Change of the count at each code point, plus 128.  A special string is one token once it
         is whole; its prefixes are ordinary text."""
-        out, at = b"", 0
+        out, at = [], 0
         for m in self.special.finditer(text):
             before, both = self._plain(text[at : m.start()]), self._plain(text[at : m.end()])
             change = sum(before) - 128 * len(before) + 1 - (sum(both[:-1]) - 128 * (len(both) - 1))
-            out += both[:-1] + bytes([128 + change])
+            out += [both[:-1], bytes([128 + change])]
             at = m.end()
-        return out + self._plain(text[at:])
+        return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
         chunk = self.chunk
