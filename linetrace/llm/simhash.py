@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetrace.llm.common import Stash, carried, scratch, sent_if_few, stash
@@ -217,7 +218,7 @@ def components(edges: DataFrame, keep: Stash = stash) -> DataFrame:
     while before[0]:
         both = swap(edges)
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
@@ -327,49 +328,79 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda s, x: s + x)
 
 
-def _unresolved(shared: DataFrame, roots: DataFrame, similarity: float, keep: Stash) -> DataFrame:
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and parities of two sides, whose columns begin so, allow the similarity."""
+    t = similarity
+    both, least = F.col(f"{a}n") + F.col(f"{b}n"), F.least(F.col(f"{a}n"), F.col(f"{b}n"))
+    apart = _bits_apart(F.col(f"{a}parity"), F.col(f"{b}parity"))
+    return (least >= t * (both - least) - 1e-9) & (least > 0) & (apart <= (1 - t) / (1 + t) * both + 1e-9)
+
+
+def _neighbours(shared: DataFrame) -> DataFrame:
+    """Pairs (x, y) of texts that stand next to each other in a bucket, in an order of its own; a large
+    bucket is first dealt to parts.  A text meets others at random in each of its buckets."""
+    h = F.xxhash64("node", "shingle")
+    part = F.pmod(F.xxhash64(h), F.ceil(F.col("count") / BUCKET))
+    beside = W.partitionBy("shingle", "part").orderBy("h", "node")
+    rows = shared.select("shingle", "node", h.alias("h"), part.alias("part")).withColumn("next", F.lead("node").over(beside)).filter("next is not null")
+    return rows.select(F.least("node", "next").alias("x"), F.greatest("node", "next").alias("y"))
+
+
+def _nearest(close: DataFrame) -> DataFrame:
+    """Of each text's pairs (x, y, apart) the nearest one, and two more where it has them."""
+    ends = close.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other")))).alias("e"), "apart").select("e.*", "apart")
+    kind = F.pmod(F.xxhash64("other"), F.lit(3))
+    best = ends.groupBy("node").agg(*[F.min(F.when(kind == k, F.struct("apart", "other"))).alias(f"b{k}") for k in range(3)])
+    found = best.select("node", F.explode(F.array_compact(F.array("b0.other", "b1.other", "b2.other"))).alias("other"))
+    return found.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+
+
+def _unresolved(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, keep: Stash) -> DataFrame:
     """Pairs (x, y) from different groups that share one of their rarest shingles and may be similar.
 
-    ``shared``: shingle, at, node, n, count and the bucket's centre, which all its members have met.
-    Of two sets the longer one must show the shingle among its first n - t n + 1, the shorter one
-    among its first n - 2 t n / (1 + t) + 1, and neither may stand so late that too few shingles
-    would follow.  A bucket is split: members of its largest group never meet each other, and the
-    shorter sets are dealt to tasks, at most ``MEET`` to one."""
+    ``shared``: shingle, at, node, n and count.  Of two sets the longer one must show the shingle
+    among its first n - t n + 1, the shorter one among its first n - 2 t n / (1 + t) + 1, and neither
+    may stand so late that too few shingles would follow.  A bucket is split: members of its largest
+    group never meet each other, and the shorter sets are dealt to tasks, at most ``MEET`` to one."""
     t = similarity
-    rows = shared.filter((F.col("count") > 2) & (F.col("node") != F.col("centre"))).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = shared.filter("count > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = keep(rows.select("shingle", "at", "node", "n", "root"))
     sizes = rows.groupBy("shingle", "root").count()
     by = sizes.groupBy("shingle").agg(F.sum("count").alias("all"), F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("groups")).filter("groups > 1")
     by = by.select("shingle", F.col("m.root").alias("top"), F.ceil(F.col("m.count") / MEET).alias("top_parts"), F.ceil((F.col("all") - F.col("m.count")) / MEET).alias("parts"))
-    rows = keep(rows.join(by, "shingle").withColumn("main", F.col("root") == F.col("top")))
+    rows = rows.join(by, "shingle").withColumn("main", F.col("root") == F.col("top"))
+    rows = keep(rows.join(nodes.select("node", "parity"), "node"))
     here = F.when(F.col("main"), F.col("top_parts")).otherwise(F.col("parts"))
+    kept = ("shingle", "at", "node", "n", "root", "parity")
     short = rows.filter(F.col("at") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9))
-    short = short.select("shingle", "at", "node", "n", "root", "main", F.pmod(F.xxhash64("node"), here).cast("long").alias("part"))
+    short = short.select(*kept, "main", F.pmod(F.xxhash64("node"), here).cast("long").alias("part"))
     spread = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     main_too = F.when(~F.col("main"), F.transform(spread(F.col("top_parts")), lambda p: F.struct(F.lit(True).alias("main"), p.alias("part"))))
     places = F.concat(F.transform(spread(F.col("parts")), lambda p: F.struct(F.lit(False).alias("main"), p.alias("part"))), F.coalesce(main_too, F.array().cast("array<struct<main: boolean, part: long>>")))
-    long_ = rows.select("shingle", "at", "node", "n", "root", F.explode(places).alias("p")).select("shingle", "at", "node", "n", "root", "p.*")
+    long_ = rows.select(*kept, F.explode(places).alias("p")).select(*kept, "p.*")
     a, b = short.alias("a"), long_.alias("b")
-    both = F.col("a.n") + F.col("b.n")
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     ordered = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))
-    fits = (F.col("a.root") != F.col("b.root")) & ordered & (F.col("a.n") >= t * F.col("b.n") - 1e-9) & (left >= t / (1 + t) * both - 1e-9)
+    fits = (F.col("a.root") != F.col("b.root")) & ordered & (left >= t / (1 + t) * (F.col("a.n") + F.col("b.n")) - 1e-9) & _may_be_similar("a.", "b.", t)
     same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.main") == F.col("b.main")) & (F.col("a.part") == F.col("b.part"))
     pairs = a.join(b, same & fits).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(k1, k2, doc_id, node, root) of each row of ``carried`` documents: node names the texts of one
     set of shingles, root a group of texts linked by a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are fingerprints within ``radius`` bits by the generalised pigeonhole, and two sets of
-    that similarity share one of their rarest shingles (prefix filter).  The members of a shingle's
-    bucket first meet only its centre, the same for all its buckets, which joins most of a large
-    group; then pairs of a bucket that are not yet in one group are compared as well, so no link is
-    lost.  Candidates whose parities alone show that they differ too much are dropped, the others
-    are verified on whole sets of 64-bit hashes.  A verified pair costs little more than twice the
-    longer of its two sets, and there are few pairs for each text.
+    Candidates are fingerprints within ``radius`` bits by the generalised pigeonhole, and texts that
+    share one of their rarest shingles, which two sets of that similarity must (prefix filter).  The
+    members of a shingle's bucket first meet only their neighbours there, and each text's nearest
+    candidates are verified; that joins large groups without comparing all their pairs.  Then the
+    other candidates, and all pairs of a bucket, are compared as far as they are not yet in one
+    group, so no link is lost.
+
+    Pairs whose parities show that they differ too much are dropped, all others are verified on
+    whole sets of 64-bit hashes.  A verified pair costs little more than twice the longer of its two
+    sets, and there are a few pairs for each text.
 
     Texts without words (null, blank) are one group; fewer words than a shingle are one shingle;
     very long texts are whole sets; a null doc_id and repeated rows are rows like any other; an
@@ -382,33 +413,35 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         nodes = keep(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), *firsts).select("node", "row.*", "fp", "n", "rare", "parity"))
 
         def verified(pairs: DataFrame) -> DataFrame:
-            """The links among candidate pairs (x, y)."""
-            about = nodes.select("node", "n", "parity")
-            x, y = about.withColumnsRenamed({"node": "x", "n": "xn", "parity": "xp"}), about.withColumnsRenamed({"node": "y", "n": "yn", "parity": "yp"})
-            both, least = F.col("xn") + F.col("yn"), F.least("xn", "yn")
-            close = keep(pairs.join(x, "x").join(y, "y").filter((least >= t * (both - least) - 1e-9) & (least > 0)).filter(_bits_apart(F.col("xp"), F.col("yp")) <= (1 - t) / (1 + t) * both + 1e-9).select("x", "y"))
-            needed = close.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+            """The links among pairs (x, y)."""
+            needed = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
             needed = keep(nodes.select("node", "k1", "k2").join(needed, "node", "left_semi"))
             texts = docs.select("k1", "k2", "text").join(sent_if_few(needed), ["k1", "k2"])
             sets = keep(texts.select("node", "text").mapInArrow(lambda b: _set_batches(b, shingle_words), "node long, shingles array<long>").dropDuplicates(["node"]))
             left, right = sets.withColumnsRenamed({"node": "x", "shingles": "s"}), sets.withColumnsRenamed({"node": "y", "shingles": "t"})
             shared = F.size(F.array_intersect("s", "t"))
-            return keep(close.join(left, "x").join(right, "y").filter(shared >= t * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")))
+            return keep(pairs.join(left, "x").join(right, "y").filter(shared >= t * (F.size("s") + F.size("t") - shared) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
         # One node stands for each fingerprint; nodes that share one are candidates with it.
         tops = keep(nodes.groupBy("fp").agg(F.min("node").alias("top")))
         a, b = tops.withColumnsRenamed({"fp": "a", "top": "x"}), tops.withColumnsRenamed({"fp": "b", "top": "y"})
-        pairs = links(tops.select("fp"), radius, keep).join(a, "a").join(b, "b").select("x", "y")
-        pairs = pairs.unionByName(nodes.join(tops, "fp").filter("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y")))
+        pairs = links(tops.select("fp"), radius, keep).join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = pairs.unionByName(nodes.join(tops, "fp").filter("node <> top").select(F.col("top").alias("x"), F.col("node").alias("y")))
         # Shingles that only one text has among its rarest make no pair.
         entries = nodes.select("node", "n", F.posexplode("rare").alias("at", "shingle"))
         shared = keep(entries.join(entries.groupBy("shingle").count().filter("count > 1"), "shingle"))
-        centres = shared.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("centre"))).alias("c")).select("shingle", "c.centre")
-        shared = keep(shared.join(centres, "shingle"))
-        pairs = pairs.unionByName(shared.filter("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")))
-        found = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        found = found.unionByName(verified(_unresolved(shared, keep(components(found, keep)), t, keep)))
-        roots = components(found, keep)
+        pairs = pairs.unionByName(_neighbours(shared)).distinct()
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}parity"))
+        close = pairs.join(side("x"), "x").join(side("y"), "y").filter(_may_be_similar("x", "y", t))
+        close = keep(close.select("x", "y", (_bits_apart(F.col("xparity"), F.col("yparity")) / (F.col("xn") + F.col("yn"))).alias("apart")))
+        nearest = keep(_nearest(close))
+        found = verified(nearest)
+        roots = keep(components(found, keep))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}root"))
+        other = close.select("x", "y").join(nearest, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left")
+        other = other.filter(F.coalesce("xroot", "x") != F.coalesce("yroot", "y")).select("x", "y")
+        more = verified(keep(other.unionByName(_unresolved(shared, roots, nodes, t, keep)).distinct()))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), keep)
         named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         return stash(profile.select("doc_id", "k1", "k2", "node").join(named, "node"))
 
