@@ -1,9 +1,9 @@
 """Licences in texts, by known sentences and ordered rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences, and
-the identifiers found, in order, are matched against the rules of each licence.  A sentence may run
-over several lines, comment leaders or not.  DataFrame functions only.
-"""
+A text is cut into sentences, comment leaders and line feeds being spaces; what a sentence holds of
+the known licence sentences and notices gives identifiers, and so does every part of an SPDX line.
+The identifiers, in order, are matched against the ordered rules of each licence.  DataFrame
+functions only; the licences are data (``license_rules``)."""
 
 from __future__ import annotations
 
@@ -12,96 +12,45 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences, normalised (lower case, words of letters and digits, one space).
-SENTENCES: dict[str, str] = {
-    "released under the mit license": "mit_notice",
-    "licensed under the mit license": "mit_notice",
-    "this project is licensed under the mit license": "mit_notice",
-    "spdx license identifier mit": "mit_notice",
-    "mit license": "mit_title",
-    "the mit license": "mit_title",
-    "the mit license mit": "mit_title",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without "
-    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following "
-    "conditions": "mit_grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit_keep",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit_as_is",
-    "licensed under the apache license version 2 0": "apache2_notice",
-    "licensed under the apache license version 2 0 the license": "apache2_notice",
-    "you may not use this file except in compliance with the license": "apache2_comply",
-    "you may obtain a copy of the license at": "apache2_copy",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2_copy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2_as_is",
-    "see the license for the specific language governing permissions and limitations under the license": "apache2_see",
-    "spdx license identifier apache 2 0": "apache2_notice",
-    "this work is licensed under the gnu general public license version 3": "gpl3_notice",
-    "licensed under the gnu general public license version 3": "gpl3_notice",
-    "spdx license identifier gpl 3 0 only": "gpl3_notice",
-    "spdx license identifier gpl 3 0 or later": "gpl3_notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at "
-    "your option any later version": "gpl3_grant",
-    "this program is distributed in the hope that it will be useful but without any warranty": "gpl_hope",
-    "licensed under the gnu general public license version 2": "gpl2_notice",
-    "licensed under cc by nc 4 0": "cc_by_nc4_notice",
-    "licensed under cc by 4 0": "cc_by4_notice",
-    "licensed under cc by sa 4 0": "cc_by_sa4_notice",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc_by4_notice",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc_by_nc4_notice",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc_by_sa4_notice",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_grant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_names",
-    "all rights reserved": "reserved",
-}
-#: Licence, and the identifiers that must occur in this order, others in between allowed.
-RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("MIT", ("mit_notice",)),
-    ("MIT", ("mit_grant", "mit_keep")),
-    ("MIT", ("mit_title", "mit_grant")),
-    ("Apache-2.0", ("apache2_notice",)),
-    ("Apache-2.0", ("apache2_comply", "apache2_as_is")),
-    ("GPL-3.0", ("gpl3_notice",)),
-    ("GPL-3.0", ("gpl3_grant", "gpl_hope")),
-    ("GPL-2.0", ("gpl2_notice",)),
-    ("CC-BY-4.0", ("cc_by4_notice",)),
-    ("CC-BY-NC-4.0", ("cc_by_nc4_notice",)),
-    ("CC-BY-SA-4.0", ("cc_by_sa4_notice",)),
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
-    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
-)
+from linetrace.llm import license_rules as L
+
 #: Every known sentence holds one of these, so other texts need not be cut.
-HINTS = "licen|copyright|warrant|permission|permitted|redistribut|rights reserved"
-#: A sentence ends at a full stop, question or exclamation mark, semicolon or colon before white space, and at a
-#: blank line; it may end at any line feed.  Lines of neither letters nor digits (bare comment leaders) are blank.
-STOP, SURE = r"[.!?;:]+(?=[\x20\x09-\x0D]|$)", "\u0002"
-BLANK = rf"\n(?:[^\p{{L}}\p{{N}}\n{SURE}]*\n)+"
-#: Known sentences between ends, over line feeds where need be; the longest that fits.
-KNOWN = rf"(?<![^\n{SURE}])(?:{'|'.join(x.replace(' ', '[ \n]') for x in sorted(SENTENCES, key=len, reverse=True))})(?![^\n{SURE}])"
+HINTS = "licen|copyright|warrant|permission|permitted|redistribut|distribut|releas|reserved|unencumbered|spdx|waived|marked|anyone|avail|provid|publish|cover|govern|issued|shared|you just do"
+#: A sentence ends at a full stop, question or exclamation mark before white space, and at a line
+#: without letters and digits.
+END = "\u0002"
+STOP = r"(?<![.!?])[.!?]++(?=[\x20\x09-\x0D]|\z)"
+BLANK = r"\n[^\p{L}\p{N}\n]*+(?=\n)"
+SPDX = r"spdx-license-identifier:[\x20\t]*([^\n]*)"
+SPDX_PART = "[a-z0-9.+-]+"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses, n_sentences and sentence_ids for each row of ``docs``: the licences whose
-    rules the text meets (sorted), the number of licence sentences and their identifiers in order.
+    rules the text meets (sorted), the number of licence sentences and their identifiers in order,
+    those of SPDX lines last.
 
     Null and blank texts have none.  Repeated rows give repeated results; null ids stay; other
-    columns are ignored; an empty table gives an empty result.  A BSD text that meets the longer
-    rule is not reported under the shorter one."""
+    columns are ignored; an empty table gives an empty result; texts of any length are scanned
+    whole, in time that grows with their length.  Of known sentences that begin at one word the
+    longest counts.  A BSD text that meets the longer rule is not reported under the shorter one."""
     low = F.lower("text")
-    cut = F.regexp_replace(F.regexp_replace(F.translate(low, SURE, " "), STOP, SURE), BLANK, SURE)
-    plain = F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}\n{SURE}]+", " ")
-    plain = F.regexp_replace(F.regexp_replace(plain, rf"[ \n{SURE}]*{SURE}[ \n{SURE}]*", SURE), r" *\n *", "\n")
-    known = F.regexp_extract_all(F.trim(plain), F.lit(KNOWN), F.lit(0))
-    names = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
+    cut = F.regexp_replace(F.regexp_replace(F.translate(low, END, " "), STOP, END), BLANK, END)
+    plain = F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}{END}]++", " ")
+    plain = F.trim(F.regexp_replace(plain, rf" ?{END}[ {END}]*+", END))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^ {END}])(?:{L.known()})(?![^ {END}])"), F.lit(0))
+    to_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    named = F.transform(found, lambda s: F.element_at(to_map(L.keys()), F.regexp_replace(s, f"^{L.LEAD} ", "notice ")))
+    lines = F.regexp_extract_all(low, F.lit(SPDX), F.lit(1))
+    parts = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(SPDX_PART), F.lit(0))))
+    stated = F.array_compact(F.transform(parts, lambda x: F.element_at(to_map({k: L.declared(v) for k, v in L.spdx_ids().items()}), x)))
     none = F.array().cast("array<string>")
-    ids = F.when(low.rlike(HINTS), F.transform(known, lambda s: F.element_at(names, F.translate(s, "\n", " "))))
+    ids = F.when(low.rlike(HINTS), F.concat(named, stated))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(ids, none).alias("sentence_ids"))
-    row = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" ")))
-    met = {}
-    for name, rule in RULES:
-        pattern = ".*".join(f" {x} " if i == 0 else f"(?<= ){x} " for i, x in enumerate(rule))
-        met.setdefault(name, []).append(F.col("line").rlike(pattern))
-    on = {name: reduce(lambda a, b: a | b, tests) for name, tests in met.items()}
-    on["BSD-2-Clause"] = on["BSD-2-Clause"] & ~on["BSD-3-Clause"]
-    found = F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in on.items()])))
-    return row.select("doc_id", found.alias("licenses"), F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids")
+    rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")))
+    follow = lambda rule: F.col("line").rlike(".*".join(f" {x} " for x in rule).replace("2.0", r"2\.0"))
+    on = {spdx: reduce(lambda a, b: a | b, map(follow, several)) for spdx, several in L.rules().items()}
+    for less, more in L.OUTDONE:
+        on[less] = on[less] & ~on[more]
+    met = F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(spdx)) for spdx, test in on.items()])))
+    return rows.select("doc_id", F.when(F.size("sentence_ids") > 0, met).otherwise(none).alias("licenses"), F.size("sentence_ids").cast("long").alias("n_sentences"), "sentence_ids")

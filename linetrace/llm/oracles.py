@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from linetrace.llm.license_scan import RULES, SENTENCES
-from linetrace.llm.quality_rules import ALPHA, DELTA, GRID
+from linetrace.llm import license_rules
+from linetrace.llm.license_scan import SPDX, SPDX_PART
+from linetrace.llm.quality_rules import ALPHA, DELTA, GRID, STEPS
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -25,8 +26,7 @@ _VALUES = {
     "long_words": "word_chars / greatest(n_words, 1)::DOUBLE",
     "short_words": "-(word_chars / greatest(n_words, 1)::DOUBLE)",
 }
-_TESTS = " UNION ALL ".join(f"SELECT stratum, '{rule}' AS rule, {cut}::DOUBLE AS cut, count(*) AS n, count(*) FILTER ({_VALUES[rule]} > {cut}) AS k FROM held GROUP BY stratum" for rule, cuts in GRID.items() for cut in cuts)
-_FITS = " AND ".join(f"coalesce({value} <= (SELECT cut FROM cuts WHERE cuts.stratum = m.stratum AND rule = '{rule}'), true)" for rule, value in _VALUES.items())
+_NOTCH = "least(" + ", ".join(f"len(list_filter({[float(c) for c in cuts]}::DOUBLE[], lambda c: {_VALUES[rule]} <= c))" for rule, cuts in GRID.items()) + ")"
 OP4 = rf"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
 tri AS (SELECT doc_id, p, ws[p:p + 2] AS t FROM w, unnest(range(1, len(ws) - 1)) AS x(p)),
@@ -38,12 +38,13 @@ m AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_stri
   FROM w JOIN line USING (doc_id) LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT * FROM f SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
-tests AS ({_TESTS}),
-tail AS (SELECT stratum, rule, cut, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE
+held AS (SELECT stratum, doc_id, min({_NOTCH}) AS notch FROM f SEMI JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY stratum, doc_id),
+tests AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (notch <= step) AS k FROM held, range({STEPS}) AS s(step) GROUP BY GROUPING SETS ((stratum, step), (step))),
+tail AS (SELECT stratum, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE
   list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) END AS p FROM tests),
-cuts AS (SELECT stratum, rule, min(cut) AS cut FROM tail WHERE p <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(GRID)}) GROUP BY stratum, rule)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_FITS} AS kept FROM f AS m
+steps AS (SELECT stratum, count(*) FILTER (p <= {DELTA} / (SELECT count(DISTINCT stratum) + 1 FROM held)) AS steps FROM tail GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {_NOTCH} >= coalesce((SELECT steps FROM steps WHERE steps.stratum = m.stratum AND steps > 0), (SELECT steps FROM steps WHERE stratum IS NULL), 0) AS kept FROM f AS m
 """
 
 _TEXT = "list_transform({0}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10))"
@@ -53,10 +54,12 @@ _MASK = (
     "(coalesce(list_sum(list_transform({0}[1:i], lambda t: length(t.role) + length(t.text) + 6)), 0))::BIGINT END), lambda x: x IS NOT NULL), ',')"
 )
 OP7 = f"""
-WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-s AS (SELECT pair_id, min(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id,
-  coalesce(list({{turn: turn, role: role, text: text}} ORDER BY turn, role, text) FILTER (conv_id % 2 = 0), []) AS a,
-  coalesce(list({{turn: turn, role: role, text: text}} ORDER BY turn, role, text) FILTER (conv_id % 2 = 1), []) AS b FROM t GROUP BY pair_id),
+WITH t AS (SELECT DISTINCT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+r AS (SELECT DISTINCT ON (conv_id) conv_id, turn, role, text FROM t WHERE role = 'assistant' ORDER BY conv_id, turn DESC, text DESC),
+p AS (SELECT r.conv_id, coalesce(list({{turn: t.turn, role: t.role, text: t.text}} ORDER BY t.turn, t.role, t.text) FILTER (t.turn < r.turn), []) AS before FROM r JOIN t USING (conv_id) GROUP BY r.conv_id),
+s AS (SELECT r.conv_id AS pair_id, r.conv_id AS chosen_id, o.conv_id AS rejected_id, before || [{{turn: r.turn, role: r.role, text: r.text}}] AS a,
+  CASE WHEN o.conv_id IS NULL THEN [] ELSE before || [{{turn: r.turn, role: o.role, text: o.text}}] END AS b
+  FROM r JOIN p USING (conv_id) LEFT JOIN r AS o ON o.conv_id = xor(r.conv_id, 1)),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i].role <> b[i].role OR a[i].text <> b[i].text)) - 1, least(len(a), len(b))) AS n FROM s),
 x AS (SELECT *, a[1:n] AS p, a[n + 1:] AS c, b[n + 1:] AS d FROM n)
 SELECT pair_id::BIGINT AS pair_id, chosen_id, rejected_id, n::BIGINT AS n_prompt_turns, array_to_string({_TEXT.format("p")}, '') AS prompt, array_to_string({_TEXT.format("c")}, '') AS chosen,
@@ -64,18 +67,26 @@ SELECT pair_id::BIGINT AS pair_id, chosen_id, rejected_id, n::BIGINT AS n_prompt
   CASE WHEN least(len(a), len(b)) = 0 THEN 'unpaired' WHEN len(c) = 0 AND len(d) = 0 THEN 'identical' ELSE 'pair' END AS status FROM x
 """
 
-_KNOWN = ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items())
-_MET: dict[str, list[str]] = {}
-for _name, _rule in RULES:
-    _MET.setdefault(_name, []).append("line LIKE '%" + "%".join(f" {x} " for x in _rule).replace("_", r"\_") + r"%' ESCAPE '\'")
-_ON = {name: "(" + " OR ".join(tests) + ")" for name, tests in _MET.items()}
-_ON["BSD-2-Clause"] += f" AND NOT {_ON['BSD-3-Clause']}"
+def _map(pairs: dict[str, str]) -> str:
+    return "(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "})"
+
+
+# The text is not cut: every word of it stands between spaces of its own, and known sentences are
+# sought among all words at once.
+_WIDE = license_rules.known().replace(" ", "  ")
+_ON = {
+    name: "(" + " OR ".join("line LIKE '%" + "%".join(f" {x} " for x in rule).replace("_", r"\_") + r"%' ESCAPE '\'" for rule in rules) + ")" for name, rules in license_rules.rules().items()
+}
+for _less, _more in license_rules.OUTDONE:
+    _ON[_less] += f" AND NOT {_ON[_more]}"
 _FOUND = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _ON.items())
+_STATED = _map({k: license_rules.declared(v) for k, v in license_rules.spdx_ids().items()})
 OP2 = rf"""
-WITH s AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+([\x20\x09-\x0D]|$)', chr(10), 'g'), '\n+'),
-  lambda x: trim(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS ss FROM documents),
-k AS (SELECT doc_id, list_filter(list_transform(ss, lambda x: (MAP {{{_KNOWN}}})[x]), lambda x: x IS NOT NULL) AS ids FROM s),
-l AS (SELECT doc_id, ids, '  ' || array_to_string(list_transform(ids, lambda x: x || ' '), ' ') || ' ' AS line FROM k)
+WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+w AS (SELECT doc_id, low, ' ' || replace(trim(regexp_replace(low, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' ' AS said FROM s),
+k AS (SELECT doc_id, list_transform(regexp_extract_all(said, ' (?:{_WIDE}) '), lambda x: {_map(license_rules.keys())}[regexp_replace(replace(trim(x), '  ', ' '), '^{license_rules.LEAD} ', 'notice ')])
+  || list_filter(list_transform(flatten(list_transform(regexp_extract_all(low, '{SPDX}', 1), lambda x: regexp_extract_all(x, '{SPDX_PART}'))), lambda p: {_STATED}[p]), lambda p: p IS NOT NULL) AS ids FROM w),
+l AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM k)
 SELECT doc_id, array_to_string(list_sort(list_filter([{_FOUND}], lambda x: x IS NOT NULL)), ',') AS licenses, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM l
 """
 

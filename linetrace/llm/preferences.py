@@ -34,8 +34,8 @@ def pairs(turns: DataFrame) -> DataFrame:
 
     ``chosen`` tells the two sides apart.  status is 'pair', 'identical' (no turn differs, both
     completions are empty) or 'unpaired' (one side is missing; all its turns are its completion).
-    Masks list the spans of a completion to learn from.  Turns are in the order of turn, role, text;
-    repeated rows count once; null roles and texts are empty; rows without a pair_id or turn belong
+    Masks list the spans of a completion to learn from.  Turns are in the order of turn, role, text,
+    which decides ties; repeated rows count once; long texts are rendered whole; null roles and texts are empty; rows without a pair_id or turn belong
     to no pair and are left out; other columns are ignored; an empty table gives an empty result."""
     rows = turns.filter("pair_id is not null and turn is not null and chosen is not null")
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -56,7 +56,24 @@ def pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """The turns of a table without judgements, as pairs: conversation 2k is chosen over 2k + 1."""
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    return conversations.select(pair.alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+def grafted(conversations: DataFrame, role: str = "assistant") -> DataFrame:
+    """Pairs of turns from conversations without judgements: each one's last turn of ``role`` is chosen
+    over the last such turn of another one, put in the same place.
+
+    The other one is the conversation whose number differs in the last bit, so each meets one other.
+    Of several such turns in one place the last by text counts; what stands beside or after it is
+    left out; conversations without such a turn give no pair, and without a partner that has one
+    their pair lacks its rejected side; rows without conv_id or turn belong to none; a null text is
+    empty."""
+    turns = conversations.filter("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.filter(F.col("role") == role).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("conv_id", F.col("last.turn").alias("at"), F.col("last.text").alias("reply"))
+    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("conv_id").alias("other"), F.col("reply").alias("theirs"))
+    both = last.join(partner, "conv_id", "left")
+    sides = F.filter(
+        F.array(F.struct(F.lit(True).alias("chosen"), F.col("conv_id").alias("of"), F.col("reply").alias("said")), F.struct(F.lit(False).alias("chosen"), F.col("other").alias("of"), F.col("theirs").alias("said"))),
+        lambda s: s["of"].isNotNull(),
+    )
+    both = both.select(F.col("conv_id").alias("pair_id"), "at", F.explode(sides).alias("s")).select("pair_id", "at", "s.*")
+    replies = both.select("pair_id", "chosen", F.col("of").alias("conv_id"), F.col("at").alias("turn"), F.lit(role).alias("role"), F.col("said").alias("text"))
+    before = both.join(turns.withColumnRenamed("conv_id", "pair_id"), "pair_id").filter(F.col("turn") < F.col("at"))
+    return replies.unionByName(before.select("pair_id", "chosen", F.col("of").alias("conv_id"), "turn", "role", "text"))

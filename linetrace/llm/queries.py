@@ -41,7 +41,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.pairs(preferences.neighbours(table(spark, sf_dir, "conversations")))
+    return preferences.pairs(preferences.grafted(table(spark, sf_dir, "conversations")))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
