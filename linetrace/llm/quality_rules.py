@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections.
 
-Each rule rejects a text whose measure exceeds a cutoff.  Labelled good texts are the holdout: for a
-stratum with n of them, of which a cutoff rejects k, the cutoff is admitted if the exact binomial
-tail P(X <= k), X ~ Bin(n, alpha), is at most delta / (strata x rules).  Cutoffs are tested from the
-most lenient to the strictest and the test stops at the first that fails (a fixed sequence, so no
-further correction), which is the same as taking the strictest admitted one, since k only grows.
-With probability 1 - delta no rule of any stratum falsely rejects more than alpha of its good texts.
-DataFrame functions only.
+Each rule rejects a text whose measure exceeds a cutoff, and the cutoffs of all rules tighten
+together, step by step.  Labelled good texts are the holdout: for a stratum with n of them, of which
+any rule at a step rejects k, the step is admitted if the exact binomial tail P(X <= k),
+X ~ Bin(n, alpha), is at most delta / (strata + 1).  Steps are tested from the most lenient to the
+strictest and the test stops at the first that fails (a fixed sequence, so no further correction),
+which is the same as taking the strictest admitted one, since k only grows.  With probability
+1 - delta no stratum loses more than alpha of its good texts to all rules together.
+
+A stratum whose labels admit no step takes the steps of all strata pooled (the one more test above);
+the bound then holds for the pool, not for that stratum.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linetrace.llm.common import SPACES, carried, stash, words
+from linetrace.llm.common import SPACES, carried, sent_if_few, stash, words
 
-ALPHA, DELTA = 0.01, 0.05
-#: Cutoffs of each rule, from lenient to strict.
+#: Share of a stratum's good texts that may be rejected, and the chance that any bound fails.
+ALPHA, DELTA = 0.05, 0.05
+#: Cutoffs of each rule at each step, from lenient to strict.
 GRID: dict[str, tuple[float, ...]] = {
     "symbols": (2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02),
     "dup_lines": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05, 0.03),
@@ -25,8 +29,7 @@ GRID: dict[str, tuple[float, ...]] = {
     "long_words": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0),
     "short_words": (-1.2, -1.5, -1.8, -2.0, -2.2, -2.5, -2.8, -3.0, -3.2, -3.5),
 }
-#: A table of so many strata at most is broadcast; a larger one is joined by shuffles.
-SMALL = 10_000
+STEPS = 10
 #: A position in a text takes so many bits of a sort key; longer texts skip the first sieve.
 _AT = 21
 
@@ -92,7 +95,7 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(product)
 
 
-def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
+def binomial_tail(k: Column, n: Column, alpha: float | Column) -> Column:
     """P(X <= k) for X ~ Bin(n, alpha), exact up to rounding; 1 where k is not below the mean.
 
     The terms fall geometrically below k, so those beyond 40 standard deviations of n add nothing."""
@@ -108,53 +111,59 @@ def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
     return F.when(k >= n * alpha, 1.0).otherwise(F.least(F.lit(1.0), top * total))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and, for each rule, its strictest admitted cutoff (null: none).
+def notch() -> Column:
+    """The first step, from 0, at which any rule rejects the text; STEPS if none does."""
+    steps = lambda cuts, value: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: value <= c))
+    return F.least(*[steps(GRID[rule], value) for rule, value in rule_values().items()])
+
+
+def admitted(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, steps): how many steps each stratum's labels admit, or else those of all strata.
 
     ``measured`` has doc_id, stratum and the counts; ``labels`` has doc_id and quality.  A document
-    is good if its labels are all 1; labels without a value or a document say nothing."""
+    is good if its labels are all 1; labels without a value or a document say nothing.  Several rows
+    of one doc_id and stratum are one label, rejected where one of them is."""
     good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good")).filter("good = 1")
-    held = measured.filter(~base_failed()).join(good.select("doc_id"), "doc_id")
-    values = rule_values()
-    counts = [
-        F.array(*[F.sum((values[rule] > cut).cast("long")) for cut in cuts]).alias(rule) for rule, cuts in GRID.items()
-    ]
-    by = stash(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts))
-    allowed = delta / (max(1, by.count()) * len(GRID))
-    cells = [F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.get(rule, F.lit(i)).alias("k")) for rule, cuts in GRID.items() for i, cut in enumerate(cuts)]
-    tests = F.array(*cells)
-    passed = by.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "t.rule", "t.cut", binomial_tail(F.col("t.k"), F.col("n"), alpha).alias("tail")).filter(F.col("tail") <= allowed)
-    return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in GRID])
+    held = measured.filter(~base_failed()).join(good.select("doc_id"), "doc_id").groupBy("stratum", "doc_id").agg(F.min(notch()).alias("notch"))
+    lost = [F.count_if(F.col("notch") <= step).alias(f"k{step}") for step in range(STEPS)]
+    by = stash(held.groupBy("stratum").agg(F.count("*").alias("n"), *lost))
+    allowed = delta / (by.count() + 1)
+    passed = sum(((binomial_tail(F.col(f"k{step}"), F.col("n"), alpha) <= allowed).cast("int") for step in range(STEPS)), F.lit(0)).alias("steps")
+    pool = by.agg(F.sum("n").alias("n"), *[F.sum(f"k{step}").alias(f"k{step}") for step in range(STEPS)]).filter("n > 0").select(F.lit(None).cast("string").alias("stratum"), passed)
+    own = by.select("stratum", passed)
+    return own.filter("steps > 0").unionByName(pool)
+
+
+def with_verdict(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``."""
+    steps = stash(admitted(measured, labels, alpha, delta))
+    pooled = steps.filter("stratum is null").first()
+    by = measured.join(sent_if_few(steps.filter("stratum is not null")), "stratum", "left")
+    fits = notch() >= F.coalesce("steps", F.lit(pooled.steps if pooled else 0))
+    return by.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fits)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, the counts, base_failed and kept for each row of ``docs``.
 
     Null texts have no words and fail the base rule; null strata are one stratum of their own; a
-    stratum without enough labels keeps whatever passes the base rule; repeated rows give repeated
-    results; columns besides doc_id, text and the stratum are ignored; empty tables give an empty
-    result.  Labels of documents that fail the base rule are not part of the holdout."""
+    stratum without enough labels takes the cutoffs of all strata pooled, and without enough labels
+    at all whatever passes the base rule is kept; a measure that equals a cutoff passes; repeated
+    rows give repeated results; columns besides doc_id, text and the stratum are ignored; empty
+    tables give an empty result; long texts are measured whole.  Labels of documents that fail the
+    base rule are not part of the holdout."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
     measured = stash(measures(rows, "doc_id", "stratum"))
-    cuts = stash(thresholds(measured, labels, alpha, delta))
-    cuts = F.broadcast(cuts) if cuts.limit(SMALL + 1).count() <= SMALL else cuts
-    fits = F.lit(True)
-    for rule, value in rule_values().items():
-        fits = fits & F.coalesce(value <= F.col(f"cut_{rule}"), F.lit(True))
-    out = measured.join(cuts, "stratum", "left").withColumn("base_failed", base_failed())
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept")
+    return with_verdict(measured, labels, alpha, delta).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they are, with the same handling of
+    nulls, blanks, ties, long texts and empty tables; repeated rows stay repeated."""
     rows = carried(docs).withColumn("stratum", F.coalesce(F.col(f"row.{stratum}").cast("string"), F.lit("")))
     measured = stash(measures(rows, "doc_id", "stratum", "k1", "k2"))
-    cuts = stash(thresholds(measured, labels, alpha, delta))
-    cuts = F.broadcast(cuts) if cuts.limit(SMALL + 1).count() <= SMALL else cuts
-    fits = ~base_failed()
-    for rule, value in rule_values().items():
-        fits = fits & F.coalesce(value <= F.col(f"cut_{rule}"), F.lit(True))
-    kept = stash(measured.join(cuts, "stratum", "left").filter(fits).select("k1", "k2"))
-    return rows.select("k1", "k2", "row").join(kept, ["k1", "k2"], "left_semi").select("row.*")
+    # Most rows stay, so those that go are looked up.
+    gone = stash(with_verdict(measured, labels, alpha, delta).filter(~F.col("kept")).select("k1", "k2", "stratum").distinct())
+    return rows.join(sent_if_few(gone), ["k1", "k2", "stratum"], "left_anti").select("row.*")
