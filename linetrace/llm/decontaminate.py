@@ -2,7 +2,8 @@
 
 An item with an error budget of k edits is cut into k + 1 pieces; whatever contains the item within
 k edits contains one piece unchanged.  All pieces are searched at once, and each hit is verified by
-Myers' bit-parallel edit distance over the part of the text where the item would lie.
+Myers' bit-parallel edit distance over the part of the text where the item would lie.  Short items
+have no budget: they are one piece, and found where they stand as whole words.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linetrace.llm.common import carried
+from linetrace.llm.common import carried, scratch, stash
 
-#: Edits allowed, as a share of the item's characters, and characters an item needs.
-ERRORS, LEAST = 0.06, 24
-#: Bytes of benchmark text in one block; each block is one pass over the corpus.
-BLOCK_BYTES = 16 << 20
+#: Edits allowed, as a share of the item's characters, and characters below which there are none.
+ERRORS, SHORT = 0.06, 24
+#: Bytes of benchmark text in one block, whose automaton takes some 50 bytes for each; each block is
+#: one pass over the corpus.
+BLOCK_BYTES = 2 << 20
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -31,7 +33,7 @@ def normal(text: str) -> str:
 
 
 def budget(item: str, errors: float) -> int:
-    return int(len(item) * errors)
+    return int(len(item) * errors) if len(item) >= SHORT else 0
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -71,9 +73,10 @@ class Index:
         self.automaton = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if len(text) < LEAST:
+            if not text:
                 continue
             k = budget(text, errors)
+            text = text if len(text) >= SHORT else f" {text} "
             self.items.append((item_id, text, k, letter_masks(text)))
             for offset, piece in pieces(text, k):
                 at.setdefault(piece, []).append((len(self.items) - 1, offset))
@@ -86,6 +89,7 @@ class Index:
         """The items in a normalised text, each with its least distance."""
         if not self.items:
             return []
+        text = f" {text} "
         best: dict[int, tuple[int, int]] = {}
         done: dict[int, int] = {}
         for last, (size, places) in self.automaton.iter(text):
@@ -101,7 +105,7 @@ class Index:
                     done[i] = last + 1 - size - offset + k
                     if distance < best.get(i, (k + 1, 0))[0]:
                         best[i] = (distance, start + end)
-        return [{"item_id": self.items[i][0], "distance": d, "end": e} for i, (d, e) in sorted(best.items())]
+        return [{"item_id": self.items[i][0], "distance": d, "end": e - 1} for i, (d, e) in sorted(best.items())]
 
 
 @lru_cache(maxsize=4)
@@ -112,50 +116,65 @@ def _index(items: tuple[tuple[int, str], ...], errors: float) -> Index:
 MATCH = "array<struct<item_id: long, distance: long, end: long>>"
 
 
-def _match_batches(batches: Iterator[pa.RecordBatch], items, errors: float) -> Iterator[pa.RecordBatch]:
+def _match_batches(batches: Iterator[pa.RecordBatch], items, errors: float, hits_only: bool) -> Iterator[pa.RecordBatch]:
     index = _index(items.value, errors)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         found = [index.find(normal(t.as_py() or "")) for t in batch.column("text")]
-        at = batch.schema.get_field_index("matches")
-        if at >= 0:  # an earlier block's
-            found = [(a or []) + b for a, b in zip(batch.column(at).to_pylist(), found, strict=True)]
-            batch = batch.remove_column(at)
+        if hits_only:
+            batch = batch.select(["k1", "k2"]).filter(pa.array([bool(f) for f in found], pa.bool_()))
+            found = [f for f in found if f]
         yield batch.append_column("matches", pa.array(found, kind))
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """``docs`` and ``matches``: the benchmark items (item_id, text) that each text contains within
-    their error budgets, with distance and end in the normalised text.
-
-    The benchmark is read in blocks of at most 16 MB, decided by the hash of the item, and each
-    block is one pass over the documents; only a block is ever on the driver or in a task."""
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(size * 1.25) // BLOCK_BYTES
-    out = docs
-    for b in range(blocks):
-        block = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)) if blocks > 1 else benchmark.filter("text is not null")
-        items = tuple(sorted({(r.item_id if r.item_id is not None else -1, normal(r.text)) for r in block.select("item_id", "text").toLocalIterator()}))
-        shared = spark.sparkContext.broadcast(items)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", matches {MATCH}"
-        out = out.mapInArrow(lambda x, s=shared: _match_batches(x, s, errors), schema)
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+def _searched(docs: DataFrame, block: DataFrame, errors: float, hits_only: bool) -> DataFrame:
+    items = tuple(sorted({(r.item_id if r.item_id is not None else -1, normal(r.text)) for r in block.toLocalIterator()}))
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    fields = [f for f in docs.schema if not hits_only or f.name in ("k1", "k2")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", matches {MATCH}"
+    return docs.mapInArrow(lambda x: _match_batches(x, shared, errors, hits_only), schema)
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (k1, k2, text and more) and ``matches``: the benchmark items (item_id, text) that each
+    text contains within their error budgets, with distance and end in the normalised text.
+
+    The benchmark is read in blocks of at most ``block_bytes``, decided by the hash of the item; only
+    a block is ever on the driver or in a task.  Several blocks are searched one after the other, and
+    what each finds is written and joined to the documents."""
+    items = benchmark.filter("text is not null").select("item_id", "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 + int(size * 1.25) // block_bytes
+    if blocks == 1:
+        return _searched(docs, items, errors, False)
+    with scratch(docs.sparkSession) as keep:
+        found = None
+        for b in range(blocks):
+            block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+            part = keep(_searched(docs.select("k1", "k2", "text"), block, errors, True))
+            found = part if found is None else found.unionByName(part)
+        # Rows of one doc_id and text have found the same.
+        hits = stash(found.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches")))
+    none = F.array().cast(MATCH)
+    return docs.join(hits, ["k1", "k2"], "left").withColumn("matches", F.coalesce("matches", none))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items and item_ids for each row of ``docs``.
 
-    Null and blank texts contain nothing; null items, and items of under 24 normalised characters,
-    are not searched; a null item_id counts as -1; repeated items count once, repeated rows of docs
-    give repeated results; other columns are ignored; empty tables give empty or clean results."""
-    found = with_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), errors)
+    Null and blank texts contain nothing; null items and items without letters and digits are not
+    searched; items of under 24 normalised characters are found as whole words without edits; a null
+    item_id counts as -1; repeated items count once, repeated rows of docs give repeated results; of
+    several places of an item the first of the least distance counts; long texts are searched whole;
+    other columns are ignored; empty tables give empty or clean results."""
+    found = with_matches(carried(docs).select("doc_id", "text", "k1", "k2"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), errors, block_bytes)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, all columns as they are."""
-    rows = carried(docs).select("text", "row")
-    found = with_matches(rows, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), errors)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, all columns as they are; with the same
+    handling of nulls, blanks, repeated rows, long texts and empty tables as ``contamination``."""
+    rows = carried(docs).select("text", "k1", "k2", "row")
+    found = with_matches(rows, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), errors, block_bytes)
     return found.filter(F.size("matches") == 0).select("row.*")
