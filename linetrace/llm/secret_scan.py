@@ -1,48 +1,73 @@
 """Secrets in texts: fixed patterns, and random-looking strings by a battery of tests.
 
-Runs of encoding characters are candidates.  The encoding (hex, base 32, base 64) is inferred from
-the characters.  Three tests ask whether the string could be uniform over that alphabet: chi-squared
-on character counts, the runs test about the alphabet's middle, and serial correlation at lag one.
-A fourth number is the chance that ordinary words, spelt with that alphabet, would repeat their
-characters as rarely; longer strings can reach smaller values, so it accounts for length.  Over all
-candidates of the corpus the Benjamini-Hochberg rule on that number bounds the share of false finds.
+Runs of encoding characters are candidates, whole and between the characters that join names to
+values.  The encoding (hex, base 32, 36, 64) is inferred from the characters.  Three numbers are
+taken within its alphabet: the chi-squared statistic of the character counts, the runs of characters
+of one class (upper, lower, digit), and the serial correlation at lag one.
+
+Each is tested twice.  Against a uniform source, with small-sample bounds: a string that fails is not
+random.  Against written language in that alphabet, towards uniform: the three p-values are combined
+by Brown's method into one, which long strings can make smaller than short ones, and over all
+candidates of the corpus the Benjamini-Hochberg rule on it bounds the share of false finds.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetrace.llm.common import carried, stash
+from linetrace.llm.quality_rules import binomial_tail
 
 #: Patterns and least lengths of the base kinds, in their order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-KINDS = ("assign", "access", "hex", "random")
-PATTERNS = (ASSIGN, ACCESS, HEX, RUN)
+#: Candidates of the battery: whole runs, and their parts without joining characters.
+RUN, PART = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+]{20,}"
+KINDS = ("assign", "access", "hex", "random", "random")
+PATTERNS = (ASSIGN, ACCESS, HEX, RUN, PART)
+BASE = 3
 LEAST_VALUE = 6
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encoding: pattern, alphabet in order, and the sums of squared and cubed character frequencies of
-#: written language within it.
+#: Pattern, alphabet in order, and of written language within it: the sums of squared and of cubed
+#: character frequencies, and the chance that the next character is of another class.
 ENCODINGS = (
-    ("hex", "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef", 0.20, 0.055),
-    ("hex", "^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF", 0.20, 0.055),
-    ("base32", "^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", UPPER + "234567", 0.065, 0.0055),
-    ("base64", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", 0.065, 0.0055),
-    ("base64url", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", 0.065, 0.0055),
+    ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef", 0.20, 0.055, 0.20),
+    ("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF", 0.20, 0.055, 0.20),
+    ("^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", UPPER + "234567", 0.065, 0.0055, 0.12),
+    ("^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*$", LOWER + "234567", 0.065, 0.0055, 0.12),
+    ("^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", DIGITS + UPPER, 0.065, 0.0055, 0.15),
+    ("^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", DIGITS + LOWER, 0.065, 0.0055, 0.15),
+    ("^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", 0.065, 0.0055, 0.35),
+    ("^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", 0.065, 0.0055, 0.35),
 )
+#: Lag-one correlation of written language along an alphabet whose classes are blocks.
+CORRELATION = 0.4
 #: A string that fails a test at this level (times three tests) is not random.
 UNIFORM = 0.001
+#: Correlation of the tests' log p-values that Brown's method allows for.
+TOGETHER = 0.5
 FALSE_SHARE = 0.01
 #: The rule reads its numbers on a grid of -log10 of so many steps a decade.
 STEPS, DECADES = 20, 300
 
 
+def _classes(alphabet: str) -> str:
+    return "".join("A" if c in UPPER else "a" if c in LOWER else "0" for c in alphabet)
+
+
+def turn_rate(alphabet: str) -> float:
+    """The chance that two independent characters are of different classes."""
+    kinds = _classes(alphabet)
+    return 1 - sum(kinds.count(k) ** 2 for k in set(kinds)) / len(kinds) ** 2
+
+
 def normal_below(z: Column) -> Column:
     """P(Z < z) of the standard normal, by the five-term rational approximation (1e-7)."""
     x = F.abs(z)
@@ -76,59 +101,66 @@ def spans(docs: DataFrame) -> DataFrame:
     found = found.withColumn("end", F.sum(F.col("gap") + size).over(before)).filter("match is not null")
     found = found.withColumn("start", F.col("end") - F.length("match")).filter((F.col("rank") > 0) | (F.length("value") >= LEAST_VALUE))
     found = stash(found.select("doc_id", "key", "rank", "start", "end", "match"))
-    parts = found.filter("rank < 3").select("doc_id", "key", "rank", "start", "end")
-    parts = parts.unionByName(random_strings(found.filter("rank = 3")))
+    parts = found.filter(F.col("rank") < BASE).select("doc_id", "key", "rank", "start", "end")
+    # A part that is a whole run is one candidate.
+    candidates = found.filter(F.col("rank") >= BASE).groupBy("doc_id", "key", "start", "end", "match").agg(F.lit(BASE).alias("rank"))
+    parts = parts.unionByName(random_strings(candidates))
     span = F.struct("start", "rank", "end")
     by = parts.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(span)).alias("all"))
-    base = F.filter("all", lambda s: s["rank"] < 3)
-    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    kept = F.filter("all", lambda s: (s["rank"] < 3) | ~inside(s))
-    return by.withColumn("base", base).select("doc_id", "key", kept.alias("spans"))
+    # What lies inside another random string, or inside a span of a base kind, is not told again.
+    inside = lambda s: F.exists("all", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]) & ((b["rank"] < BASE) | (b["end"] - b["start"] > s["end"] - s["start"])))
+    kept = F.filter("all", lambda s: (s["rank"] < BASE) | ~inside(s))
+    return by.select("doc_id", "key", kept.alias("spans"))
 
 
 def random_strings(candidates: DataFrame) -> DataFrame:
     """Those of the candidate runs (doc_id, key, rank, start, end, match) that look random."""
-    stem = F.regexp_replace("match", "=+$", "")
-    pick = lambda of: F.coalesce(*[F.when(F.col("match").rlike(e[1]), F.lit(of(e))) for e in ENCODINGS])
-    c = candidates.withColumn("alphabet", pick(lambda e: e[2])).filter("alphabet is not null")
-    c = c.withColumn("ic", pick(lambda e: e[3])).withColumn("ic3", pick(lambda e: e[4])).withColumn("s", stem)
+    pick = lambda of: F.coalesce(*[F.when(F.col("match").rlike(e[0]), F.lit(of(e))) for e in ENCODINGS])
+    c = candidates.withColumn("alphabet", pick(lambda e: e[1])).filter("alphabet is not null")
+    numbers = {"ic": lambda e: e[2], "ic3": lambda e: e[3], "said": lambda e: e[4], "even": lambda e: turn_rate(e[1])}
+    c = c.withColumns({name: pick(of) for name, of in numbers.items()}).withColumn("s", F.regexp_replace("match", "=+$", ""))
     c = c.withColumn("len", F.length("s").cast("double")).withColumn("size", F.length("alphabet").cast("double")).filter("len >= 20")
-    c = c.withColumn("chars", F.split("s", ""))
+    c = c.withColumn("chars", F.split("s", "")).withColumn("kinds", F.split(F.translate("s", UPPER + LOWER + DIGITS + "+/-_", _classes(UPPER + LOWER + DIGITS + "+/-_")), ""))
     c = c.withColumn("v", F.transform("chars", lambda x: F.instr(F.col("alphabet"), x).cast("double") - 1))
+    sum_of = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     square = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, x: a + F.pow(F.col("len") - F.length(F.replace(F.col("s"), x, F.lit(""))), F.lit(2.0)))
-    c = c.withColumn("square", square).withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("len"))
+    turns = sum_of(F.transform("kinds", lambda x, i: F.coalesce((x != F.get("kinds", i - 1)).cast("double"), F.lit(0.0))))
+    c = c.withColumn("square", square).withColumn("mean", sum_of("v") / F.col("len")).withColumn("turns", turns)
+    spread = sum_of(F.transform("v", lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
+    lag = sum_of(F.transform("v", lambda x, i: F.coalesce((x - F.col("mean")) * (F.get("v", i - 1) - F.col("mean")), F.lit(0.0))))
     n, size = F.col("len"), F.col("size")
-    # Chi-squared against uniform, to a normal by the cube-root transform.
-    df = size - 1
-    x2 = size / n * F.col("square") - n
-    z_chi = (F.pow(F.greatest(x2, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    # Runs above and below the alphabet's middle.
-    up = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x >= F.col("size") / 2).cast("double"))
-    turns = F.aggregate(
-        F.transform("v", lambda x, i: F.coalesce(((x >= F.col("size") / 2) != (F.get("v", i - 1) >= F.col("size") / 2)).cast("double"), F.lit(0.0))), F.lit(1.0), lambda a, x: a + x
-    )
-    c = c.withColumn("up", up).withColumn("runs", turns)
-    mu = 2 * F.col("up") * (n - F.col("up")) / n + 1
-    z_runs = (F.col("runs") - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9)))
-    # Serial correlation at lag one.
-    spread = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
-    lag = F.aggregate(F.transform("v", lambda x, i: F.coalesce((x - F.col("mean")) * (F.get("v", i - 1) - F.col("mean")), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    z_lag = (lag / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    two = lambda z: 2 * normal_below(-F.abs(z))
-    uniform = 3 * F.least(1 - normal_below(z_chi), two(z_runs), two(z_lag))
-    # Equal pairs of characters, against the number that words would have.
+    clip = lambda x: F.greatest(F.lit(-0.999), F.least(F.lit(0.999), x))
+    c = c.withColumn("lag", F.atanh(clip(lag / F.greatest(spread, F.lit(1e-9)) + 1 / n)))
+    # Chi-squared is (2 pairs + n) size / n - n, pairs being those of equal characters, which are
+    # independent two by two under a uniform source: a Poisson tail, by Chernoff's bound.
     pairs, all_pairs = (F.col("square") - n) / 2, n * (n - 1) / 2
+    rate = all_pairs / size
+    crowded = F.when(pairs > rate, F.exp(pairs - rate - pairs * F.log(pairs / rate))).otherwise(1.0)
+    two = lambda z: 2 * normal_below(-F.abs(z))
+    even = F.col("even")
+    uneven = two((F.col("turns") - (n - 1) * even) / F.sqrt((n - 1) * even * (1 - even)))
+    c = c.withColumn("uniform", 3 * F.least(crowded, uneven, two(F.col("lag") * F.sqrt(n - 3))))
+    # The same numbers if written language were the source.
     sd = F.sqrt(all_pairs * (F.col("ic") * (1 - F.col("ic")) + 2 * (n - 2) * (F.col("ic3") - F.col("ic") * F.col("ic"))))
-    words = F.least(F.lit(1.0), F.greatest(normal_below((pairs - all_pairs * F.col("ic")) / sd), F.lit(1e-299)))
-    c = c.select("doc_id", "key", "rank", "start", "end", uniform.alias("uniform"), F.least(F.floor(-F.log10(words) * STEPS), F.lit(STEPS * DECADES)).alias("step"))
-    c = stash(c)
-    # At most STEPS * DECADES + 1 groups, whatever the corpus; the strictest step that the rule admits.
-    grid = c.groupBy("step").count()
+    tests = (
+        normal_below((pairs - all_pairs * F.col("ic")) / sd),
+        binomial_tail(n - 1 - F.col("turns"), n - 1, 1 - F.col("said")),
+        normal_below((F.col("lag") - math.atanh(CORRELATION)) * F.sqrt(n - 3)),
+    )
+    c = c.withColumn("x", sum((-2 * F.log(F.greatest(p, F.lit(1e-99))) for p in tests), F.lit(0.0)))
+    # Brown: the sum over its scale is chi-squared of fewer degrees, here 6 / 2 = 3.
+    scale = 1 + 2 * TOGETHER
+    assert 6 / scale == 3, "the tail below is that of three degrees of freedom"
+    y = F.col("x") / scale
+    language = 2 * normal_below(-F.sqrt(y)) + F.sqrt(2 * y / math.pi) * F.exp(-y / 2)
+    step = F.least(F.floor(-F.log10(F.greatest(language, F.lit(1e-299))) * STEPS), F.lit(STEPS * DECADES))
+    c = stash(c.select("doc_id", "key", "rank", "start", "end", "uniform", step.alias("step")))
+    # At most STEPS * DECADES + 1 groups, whatever the corpus; the least strict step that the rule admits.
     at = W.orderBy(F.col("step").desc())
-    grid = grid.select("step", F.sum("count").over(at).alias("found"), F.sum("count").over(W.partitionBy()).alias("all"))
-    admitted = grid.filter(F.col("all") * F.pow(F.lit(10.0), -F.col("step") / STEPS) <= FALSE_SHARE * F.col("found"))
-    cut = admitted.agg(F.min("step").alias("cut"))
-    return c.crossJoin(F.broadcast(cut)).filter((F.col("step") >= F.col("cut")) & (F.col("uniform") >= UNIFORM)).select("doc_id", "key", "rank", "start", "end")
+    grid = c.groupBy("step").count().select("step", F.sum("count").over(at).alias("found"), F.sum("count").over(W.partitionBy()).alias("all"))
+    cut = grid.filter(F.col("all") * F.pow(F.lit(10.0), -F.col("step") / STEPS) <= FALSE_SHARE * F.col("found")).agg(F.min("step")).first()[0]
+    kept = c.filter((F.col("step") >= F.lit(cut)) & (F.col("uniform") >= UNIFORM)) if cut is not None else c.limit(0)
+    return kept.select("doc_id", "key", "rank", "start", "end")
 
 
 def _written(found: Column) -> Column:
@@ -140,14 +172,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row of ``docs``.
 
     Null and blank texts have no spans.  A null doc_id stays; repeated rows give repeated results;
-    other columns are ignored; an empty table gives an empty result."""
+    other columns are ignored; an empty table gives an empty result; long texts are searched whole.
+    Spans that start together are in the order of the kinds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
     found = spans(docs)
     out = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.key") == F.col("f.key")), "left")
     none = F.array().cast("array<struct<start: bigint, rank: int, end: bigint>>")
     out = out.select("r.doc_id", F.coalesce("spans", none).alias("found"))
     count = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
-    base = F.filter("found", lambda s: s["rank"] < 3)
+    base = F.filter("found", lambda s: s["rank"] < BASE)
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("found")).alias("spans")
     )
@@ -155,7 +188,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one.  n_chars, where
-    there is such a column, follows the text."""
+    there is such a column, follows the text.  Null and blank texts and texts without secrets stay as
+    they are, repeated rows repeated; all columns keep their names and kinds; an empty table gives an
+    empty result; long texts are redacted whole."""
     # The patterns meet each text once; what follows reads the rows that they hit, or copies the others.
     suspect = F.coalesce(F.col("text").rlike("|".join(PATTERNS)), F.lit(False))
     rows = stash(carried(docs).select("doc_id", F.xxhash64("text").alias("key"), suspect.alias("suspect"), "row"))
