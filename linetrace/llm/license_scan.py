@@ -16,10 +16,10 @@ from linetrace.llm import license_rules as L
 
 #: Every known sentence holds one of these, so other texts need not be cut.
 HINTS = "licen|copyright|warrant|permission|permitted|redistribut|distribut|releas|reserved|unencumbered|spdx|waived|marked|anyone|avail|provid|publish|cover|govern|issued|shared|you just do"
-#: A sentence ends at a full stop, question or exclamation mark before white space, and at a line
-#: without letters and digits.
+#: A sentence ends at a full stop, question or exclamation mark before white space (not after a single
+#: letter), and at a line without letters and digits.
 END = "\u0002"
-STOP = r"(?<![.!?])[.!?]++(?=[\x20\x09-\x0D]|\z)"
+STOP = r"(?<![.!?])(?<![^\p{L}\p{N}]\p{L})[.!?]++(?=[\x20\x09-\x0D]|\z)"
 BLANK = r"\n[^\p{L}\p{N}\n]*+(?=\n)"
 SPDX = r"spdx-license-identifier:[\x20\t]*([^\n]*)"
 SPDX_PART = "[a-z0-9.+-]+"

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linetrace.llm import decontaminate, html_text, license_scan, mixing, preferences, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from linetrace.llm import decontaminate, html_text, license_rules, license_scan, mixing, preferences, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, h long, k1 string, spans string, row int"
@@ -232,7 +232,8 @@ def test_mixture(spark):
 
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "bb"), (1, 1, "assistant", "bb"), (2, 0, None, None), (None, 0, "user", "x")]
-    got = {r.pair_id: r for r in preferences.pairs(preferences.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    turns = spark.createDataFrame([(None if c is None else c // 2, None if c is None else c % 2 == 0, c, t, r, x) for c, t, r, x in rows], "pair_id long, chosen boolean, conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in preferences.pairs(turns).collect()}
     assert (got[0].prompt, got[0].chosen, got[0].rejected, got[0].n_prompt_turns, got[0].status) == ("<|user|>\nhi\n", "<|assistant|>\na\n", "<|assistant|>\nbb\n", 1, "pair")
     a, b = map(int, got[0].rejected_mask.split(":"))
     assert got[0].rejected[a:b] == "bb\n"
@@ -247,7 +248,9 @@ def test_licenses(spark):
 
 
 def test_wrapped_licenses(spark):
-    full = {name: [k for k, v in license_scan.SENTENCES.items() if v == name][0] for name in license_scan.SENTENCES.values()}
+    full = {name: [k for k, v in license_rules.SENTENCES.items() if v == name][0] for name in license_rules.SENTENCES.values()}
+    full["bsd_names"] = f"neither the name of the holder {full['bsd_names']}"
+    full["gpl3_grant"] = f"this program {full['gpl3_grant']}"
     wrap = lambda leader, width, *names: "\n".join(leader + x for n in names for x in [*textwrap.wrap(full[n].capitalize() + ".", width), ""])
     rows = [
         (1, "The MIT License\nCopyright (c) 2020 A. Person\n\n" + wrap("", 72, "mit_grant", "mit_keep", "mit_as_is")),
