@@ -253,6 +253,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2) ->
 CELL_BITS = 16
 #: Members of a shingle's bucket that meet in one task.
 MEET = 1024
+#: Words of the short form of a parity, which goes along where there is a row for each shingle.
+BRIEF = 8
 
 
 def prefix_length(n: int, share: float) -> int:
@@ -293,7 +295,7 @@ def parity(own: np.ndarray) -> np.ndarray:
 def _profile_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: float, loads: Broadcast) -> Iterator[pa.RecordBatch]:
     """Fingerprint, a name for the set of shingles, its size, its rarest shingles and its parity."""
     for batch in batches:
-        prints, signs, sizes, rare, parities = [], [], [], [], []
+        prints, signs, sizes, rare, parities, briefs = [], [], [], [], [], []
         for t in batch.column("text"):
             hashes = shingle_hashes(t.as_py() or "", size)
             prints.append(fingerprint(hashes))
@@ -303,14 +305,16 @@ def _profile_batches(batches: Iterator[pa.RecordBatch], size: int, similarity: f
             load = loads.value[(own >> np.uint64(BITS - CELL_BITS)).astype(np.int64)]
             rare.append(own[np.lexsort((own, load))][: prefix_length(len(own), similarity)].view(np.int64))
             parities.append(parity(own))
+            briefs.append(np.bitwise_xor.reduce(parities[-1].reshape(-1, min(BRIEF, len(parities[-1]))), axis=0))
         numbers = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(prints, pa.int64()), pa.array(signs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, numbers), pa.array(parities, numbers)],
-            ["doc_id", "k1", "k2", "fp", "node", "n", "rare", "parity"],
+            [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(prints, pa.int64()), pa.array(signs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, numbers), pa.array(parities, numbers),
+             pa.array(briefs, numbers)],
+            ["doc_id", "k1", "k2", "fp", "node", "n", "rare", "parity", "brief"],
         )
 
 
-PROFILE = "doc_id long, k1 long, k2 int, fp long, node long, n int, rare array<long>, parity array<long>"
+PROFILE = "doc_id long, k1 long, k2 int, fp long, node long, n int, rare array<long>, parity array<long>, brief array<long>"
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -328,11 +332,11 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda s, x: s + x)
 
 
-def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and parities of two sides, whose columns begin so, allow the similarity."""
+def _may_be_similar(a: str, b: str, sketch: str, similarity: float) -> Column:
+    """Whether sizes and parities (``sketch``) of two sides, whose columns begin so, allow the similarity."""
     t = similarity
     both, least = F.col(f"{a}n") + F.col(f"{b}n"), F.least(F.col(f"{a}n"), F.col(f"{b}n"))
-    apart = _bits_apart(F.col(f"{a}parity"), F.col(f"{b}parity"))
+    apart = _bits_apart(F.col(f"{a}{sketch}"), F.col(f"{b}{sketch}"))
     return (least >= t * (both - least) - 1e-9) & (least > 0) & (apart <= (1 - t) / (1 + t) * both + 1e-9)
 
 
@@ -369,9 +373,9 @@ def _unresolved(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarit
     by = sizes.groupBy("shingle").agg(F.sum("count").alias("all"), F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("groups")).filter("groups > 1")
     by = by.select("shingle", F.col("m.root").alias("top"), F.ceil(F.col("m.count") / MEET).alias("top_parts"), F.ceil((F.col("all") - F.col("m.count")) / MEET).alias("parts"))
     rows = rows.join(by, "shingle").withColumn("main", F.col("root") == F.col("top"))
-    rows = keep(rows.join(nodes.select("node", "parity"), "node"))
+    rows = keep(rows.join(nodes.select("node", "brief"), "node"))
     here = F.when(F.col("main"), F.col("top_parts")).otherwise(F.col("parts"))
-    kept = ("shingle", "at", "node", "n", "root", "parity")
+    kept = ("shingle", "at", "node", "n", "root", "brief")
     short = rows.filter(F.col("at") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9))
     short = short.select(*kept, "main", F.pmod(F.xxhash64("node"), here).cast("long").alias("part"))
     spread = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -381,7 +385,7 @@ def _unresolved(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarit
     a, b = short.alias("a"), long_.alias("b")
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     ordered = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))
-    fits = (F.col("a.root") != F.col("b.root")) & ordered & (left >= t / (1 + t) * (F.col("a.n") + F.col("b.n")) - 1e-9) & _may_be_similar("a.", "b.", t)
+    fits = (F.col("a.root") != F.col("b.root")) & ordered & (left >= t / (1 + t) * (F.col("a.n") + F.col("b.n")) - 1e-9) & _may_be_similar("a.", "b.", "brief", t)
     same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.main") == F.col("b.main")) & (F.col("a.part") == F.col("b.part"))
     pairs = a.join(b, same & fits).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -409,8 +413,16 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     loads = spark.sparkContext.broadcast(cell_loads(docs, shingle_words))
     with scratch(spark) as keep:
         profile = keep(docs.select("doc_id", "k1", "k2", "text").mapInArrow(lambda b: _profile_batches(b, shingle_words, t, loads), PROFILE))
-        firsts = [F.first(c).alias(c) for c in ("fp", "n", "rare", "parity")]
-        nodes = keep(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), *firsts).select("node", "row.*", "fp", "n", "rare", "parity"))
+        carried_on = ("fp", "n", "rare", "parity", "brief")
+        nodes = keep(profile.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("row"), *[F.first(c).alias(c) for c in carried_on]).select("node", "row.*", *carried_on))
+
+        def possible(pairs: DataFrame) -> DataFrame:
+            """Those of the pairs (x, y) whose parities, the short form first, allow the similarity, and
+            the share of bits in which they differ."""
+            for sketch in ("brief", "parity"):
+                side = lambda c, k=sketch: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col(k).alias(f"{c}{k}"))
+                pairs = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").filter(_may_be_similar("x", "y", sketch, t))
+            return pairs.select("x", "y", (_bits_apart(F.col("xparity"), F.col("yparity")) / (F.col("xn") + F.col("yn"))).alias("apart"))
 
         def verified(pairs: DataFrame) -> DataFrame:
             """The links among pairs (x, y)."""
@@ -431,16 +443,15 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         entries = nodes.select("node", "n", F.posexplode("rare").alias("at", "shingle"))
         shared = keep(entries.join(entries.groupBy("shingle").count().filter("count > 1"), "shingle"))
         pairs = pairs.unionByName(_neighbours(shared)).distinct()
-        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}parity"))
-        close = pairs.join(side("x"), "x").join(side("y"), "y").filter(_may_be_similar("x", "y", t))
-        close = keep(close.select("x", "y", (_bits_apart(F.col("xparity"), F.col("yparity")) / (F.col("xn") + F.col("yn"))).alias("apart")))
+        close = keep(possible(pairs))
         nearest = keep(_nearest(close))
         found = verified(nearest)
         roots = keep(components(found, keep))
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}root"))
         other = close.select("x", "y").join(nearest, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left")
         other = other.filter(F.coalesce("xroot", "x") != F.coalesce("yroot", "y")).select("x", "y")
-        more = verified(keep(other.unionByName(_unresolved(shared, roots, nodes, t, keep)).distinct()))
+        rest = possible(_unresolved(shared, roots, nodes, t, keep).distinct()).select("x", "y")
+        more = verified(keep(other.unionByName(rest).distinct()))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), keep)
         named = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         return stash(profile.select("doc_id", "k1", "k2", "node").join(named, "node"))
