@@ -2,33 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linetrace.functions.text import COVERED
 
-#: Longest first string of the native ratio: its bits must fit a signed 64-bit number.
+#: Characters of the first string whose bits fit one signed number, with room for a carry.
 NATIVE = 61
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (len a + len b), 100 for two empty strings; a of at most 61 characters.
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
+def _bits(size: Column) -> Column:
+    return F.pow(F.lit(2.0), size).cast("long") - 1
 
-    The longest common subsequence is counted bit by bit: a clear bit of the state is a matched
-    character of a."""
-    full = F.expr("1L") * (F.pow(F.lit(2.0), F.length(a)).cast("long") - 1)
-    chars = F.filter(F.split(a, ""), lambda x: x != "")
-    mask = lambda c: F.aggregate(
-        F.transform(chars, lambda x, i: F.when(x == c, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x
-    )
+
+def _mask(part: Column, c: Column) -> Column:
+    """The places of a character in a part of the first string, as bits."""
+    return F.aggregate(F.transform(_chars(part), lambda x, i: F.when(x == c, F.pow(F.lit(2.0), i).cast("long")).otherwise(_zero())), _zero(), lambda s, x: s + x)
+
+
+def _clear_bits(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of a string of at most 61 characters and another one,
+    counted bit by bit: a clear bit of the state is a matched character of the first."""
+    full = _bits(F.length(a))
 
     def step(v: Column, c: Column) -> Column:
-        hit = v.bitwiseAND(mask(c))
-        return (v + hit).bitwiseOR(v.bitwiseAND(F.bitwise_not(mask(c)))).bitwiseAND(full)
+        hit = v.bitwiseAND(_mask(a, c))
+        return (v + hit).bitwiseOR(v.bitwiseAND(F.bitwise_not(_mask(a, c)))).bitwiseAND(full)
+
+    return F.length(a) - F.bit_count(F.aggregate(_chars(b), full, step))
+
 
-    state = F.aggregate(F.filter(F.split(b, ""), lambda x: x != ""), full, step)
-    lcs = F.length(a) - F.bit_count(state)
+def _clear_bits_in_parts(a: Column, b: Column) -> Column:
+    """The same for a first string of any length: its bits are in several numbers, with carries."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(a) - 1) / NATIVE).cast("int"))
+    parts = F.transform(starts, lambda k: F.substring(a, k * NATIVE + 1, F.lit(NATIVE)))
+    first = F.transform(parts, lambda p: _bits(F.length(p)))
+
+    def step(state: Column, c: Column) -> Column:
+        def one(acc: Column, k: Column) -> Column:
+            part, v = F.get(parts, k), F.get(state, k)
+            mask = _mask(part, c)
+            total = v + v.bitwiseAND(mask) + acc["carry"]
+            kept = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(mask))).bitwiseAND(_bits(F.length(part)))
+            return F.struct((total > _bits(F.length(part))).cast("long").alias("carry"), F.concat(acc["out"], F.array(kept)).alias("out"))
+
+        none = F.struct(_zero().alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(starts, none, one, lambda acc: acc["out"])
+
+    return F.length(a) - F.aggregate(F.aggregate(_chars(b), first, step), F.lit(0), lambda s, v: s + F.bit_count(v))
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """100 * 2 * LCS / (len a + len b), 100 for two empty strings; of any length, native."""
+    lcs = F.when(F.length(a) == 0, 0).when(F.length(a) <= NATIVE, _clear_bits(a, b)).otherwise(_clear_bits_in_parts(a, b))
     total = F.length(a) + F.length(b)
     return F.when(total == 0, 100.0).otherwise(200.0 * lcs / total)
 
@@ -45,24 +82,18 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _lcs(masks: np.ndarray, full: np.ndarray, steps) -> np.ndarray:
-    """Matched characters for many rows at once.  masks: characters x words; steps yields, for each
-    step, the character number of every row."""
-    state = None
-    words = len(full)
-    for chars in steps:
-        if state is None:
-            state = np.broadcast_to(full, (len(chars), words)).copy()
-        m = masks[chars]
-        hit = state & m
-        total = state + hit
-        carry = total < state
-        for w in range(1, words):  # carries run from word to word
-            more = total[:, w] + carry[:, w - 1]
-            carry[:, w] |= more < total[:, w]
-            total[:, w] = more
-        state = (total | (state & ~m)) & full
-    return int(np.bitwise_count(full).sum()) - np.bitwise_count(state).sum(axis=1)
+class Coded:
+    """Many strings as one array of code points, for several queries."""
+
+    def __init__(self, lines: list[str]):
+        self.codes = _codes("".join(lines))
+        self.size = np.array([len(t) for t in lines], dtype=np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1].astype(np.int64)
+
+    def some(self, a: int, b: int) -> Coded:
+        out = object.__new__(Coded)
+        out.codes, out.size, out.start = self.codes, self.size[a:b], self.start[a:b]
+        return out
 
 
 def _masks(codes: np.ndarray) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
@@ -78,43 +109,81 @@ def _masks(codes: np.ndarray) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     return number, masks, full
 
 
-def partial_ratios(query: str, lines: list[str], most: int = 1 << 18) -> np.ndarray:
+def _matched(masks: np.ndarray, full: np.ndarray, steps: Iterator[np.ndarray]) -> np.ndarray:
+    """Matched bits of ``full`` (rows x words) for many rows at once.  masks: characters x words; steps
+    yields, for each step, the character number of every row."""
+    state, words = full.copy(), full.shape[1]
+    if words == 1:
+        flat, one = state[:, 0], masks[:, 0]
+        for chars in steps:
+            m = one[chars]
+            flat = (flat + (flat & m)) | (flat & ~m)
+        state = (flat & full[:, 0])[:, None]
+        return (np.bitwise_count(full).sum(axis=1) - np.bitwise_count(state).sum(axis=1)).astype(np.int64)
+    for chars in steps:
+        m = masks[chars]
+        hit = state & m
+        total = state + hit
+        carry = total < state
+        for w in range(1, words):  # carries run from word to word
+            more = total[:, w] + carry[:, w - 1]
+            carry[:, w] |= more < total[:, w]
+            total[:, w] = more
+        state = total | (state & ~m)
+    return (np.bitwise_count(full).sum(axis=1) - np.bitwise_count(state & full).sum(axis=1)).astype(np.int64)
+
+
+def _ones(first: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+    """Rows of ``words`` numbers with ``size`` bits set from bit ``first`` on."""
+    at = np.arange(words, dtype=np.int64) * 64
+    low, high = np.clip(first[:, None] - at, 0, 64), np.clip((first + size)[:, None] - at, 0, 64)
+    below = lambda n: np.where(n == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+    return below(high) & ~below(low)
+
+
+def partial_ratios(query: str, lines: list[str] | Coded, floor: np.ndarray | float = 0.0, most: int = 1 << 15) -> np.ndarray:
     """Best ratio of the shorter string to any part of its length of the longer, for one query and
-    many lines; an empty side gives 0."""
-    out = np.zeros(len(lines))
+    many lines; an empty side gives 0.
+
+    Results of at least ``floor`` (one, or one a line) are exact, others are below it.  A part moved by
+    one place changes the number of matched characters by one at most, so parts too near to a poor one
+    to reach the floor, or to beat the line's best, are passed over."""
+    coded = lines if isinstance(lines, Coded) else Coded(lines)
+    out = np.zeros(len(coded.size))
     q = _codes(query)
-    if not len(q):
+    if not len(q) or not len(out):
         return out
     number, masks, full = _masks(q)
-    coded = [_codes(t) for t in lines]
-    lookup = {c: n for c, n in number.items()}
-    top = max(lookup) + 1
-    table = np.zeros(top, dtype=np.int16)
-    for c, n in lookup.items():
-        table[c] = n
-    numbered = [np.where(c < top, table[np.minimum(c, top - 1)], 0) for c in coded]
-    long_ = [i for i, c in enumerate(coded) if len(c) >= len(q)]
-    at = 0
-    while at < len(long_):
-        group, starts, owner, size, base = [], [], [], 0, 0
-        while at < len(long_) and (not group or size < most):
-            c = numbered[long_[at]]
-            n = len(c) - len(q) + 1
-            group.append(c)
-            starts.append(np.arange(n) + base)
-            owner.append(np.full(n, long_[at]))
-            base += len(c)
-            size += n
-            at += 1
-        text, s, who = np.concatenate(group), np.concatenate(starts), np.concatenate(owner)
-        matched = _lcs(masks, full, (text[s + k] for k in range(len(q))))
-        np.maximum.at(out, who, 100.0 * matched / len(q))
-    for i, c in enumerate(coded):
-        if 0 < len(c) < len(q):
-            own, m, f = _masks(c)
-            picked = np.array([own.get(int(x), 0) for x in q], dtype=np.int16)
-            s = np.arange(len(q) - len(c) + 1)
-            out[i] = 100.0 * _lcs(m, f, (picked[s + k] for k in range(len(c)))).max() / len(c)
+    table = np.zeros(max(number) + 2, dtype=np.int16)
+    for c, k in number.items():
+        table[c] = k
+    first, last = coded.start[0], coded.start[-1] + coded.size[-1]
+    chars = table[np.minimum(coded.codes[first:last], len(table) - 1)]
+    begin, words = coded.start - first, len(full)
+    short = np.minimum(coded.size, len(q))
+    need = np.ceil(np.broadcast_to(floor, out.shape) * short / 100 - 1e-6).astype(np.int64)
+    able = (short > 0) & (need <= short)
+    for whole in (True, False):
+        rows_all = np.flatnonzero(able & (coded.size >= len(q)) if whole else able & (coded.size < len(q)))
+        for at in range(0, len(rows_all), most):
+            rows = rows_all[at : at + most]
+            places = np.abs(coded.size[rows] - len(q)) + 1
+            best, place = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+            left = np.arange(len(rows))
+            while len(left):
+                r, p = rows[left], place[left]
+                if whole:  # parts of the line against the query
+                    bits = np.broadcast_to(full, (len(r), words))
+                    v = _matched(masks, bits, (chars[begin[r] + p + k] for k in range(len(q))))
+                else:  # the line against parts of the query
+                    size = coded.size[r]
+                    bits = _ones(p, size, words)
+                    steps = (np.where(k < size, chars[np.minimum(begin[r] + k, len(chars) - 1)], 0) for k in range(int(size.max())))
+                    v = _matched(masks, bits, steps)
+                best[left] = np.maximum(best[left], v)
+                place[left] += np.maximum(1, np.maximum(best[left] + 1, need[r]) - v)
+                left = left[(place[left] < places[left]) & (best[left] < short[r])]
+            out[rows] = 100.0 * best / short[rows]
     return out
 
 
@@ -122,8 +191,18 @@ def ratio(a: str, b: str) -> float:
     """The ratio of the native expression, for any length."""
     if not a and not b:
         return 100.0
-    if not a or not b:
-        return 0.0
-    number, masks, full = _masks(_codes(a))
-    picked = [np.array([number.get(int(x), 0)], dtype=np.int16) for x in _codes(b)]
-    return 200.0 * float(_lcs(masks, full, iter(picked))[0]) / (len(a) + len(b))
+    return 200.0 * common(a, b) / (len(a) + len(b))
+
+
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence; bits of one whole number are the characters of a."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    state = full
+    for c in b:
+        if m := places.get(c):
+            hit = state & m
+            state = (state + hit | state & ~m) & full
+    return len(a) - state.bit_count()

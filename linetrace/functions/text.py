@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters that normalisation treats as spaces; vowels before which a final a stays.
 SEPARATORS = r"""[.,;|:!?\-"'(){}\[\]0-9]+"""
 LONG_TOKEN, COVERED = 3, 55.0
-#: Consonants that sound alike, and the one that stands for each.
+# Consonants that sound alike, and the one that stands for each; long vowels; interjections.
 ALIKE = ("bfgdj", "ppktc")
 LONG_VOWELS = (("ā", "aa"), ("Ā", "Aa"), ("ī", "ee"), ("Ī", "Ee"), ("ū", "oo"), ("Ū", "Oo"))
 MARKED, PLAIN = "āīūṭḍṇṛṅñśṣḥṃéèêëàâäáîïíìôöóòûüúùçñ", "aiutdnrnnsshmeeeeaaaaiiiioooouuuucn"
@@ -56,8 +60,17 @@ def double_long_vowels(text: Column) -> Column:
 
 
 def strip_marks(text: Column) -> Column:
-    """Marked letters of a closed alphabet without their marks."""
-    return F.translate(text, MARKED, PLAIN)
+    """Text without the marks on its letters: decomposed, nonspacing marks dropped.  Texts of ASCII
+    and of a closed alphabet of marked letters stay native; only others go through Python, in Arrow
+    batches."""
+
+    @F.pandas_udf("string")
+    def open_text(values: pd.Series) -> pd.Series:
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        return values.map(plain, na_action="ignore")
+
+    closed = F.translate(text, MARKED, PLAIN)
+    return F.when(closed.rlike(r"^\p{ASCII}*$"), closed).otherwise(open_text(F.when(~closed.rlike(r"^\p{ASCII}*$"), text)))
 
 
 def strip_final_schwa(text: Column) -> Column:
@@ -65,21 +78,55 @@ def strip_final_schwa(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\S{3})(?<![aiy])a(?=\s|$)", "")
 
 
+# The two scripts' blocks have their letters in the same places.  Sounds by place: stops
+# and nasals from 0x15, then the other consonants; vowels, vowel signs and marks.
+GURMUKHI, DEVANAGARI = 0x0A00, 0x0900
+CONSONANTS = {
+    **dict(enumerate("k kh g gh ṅ c ch j jh ñ ṭ ṭh ḍ ḍh ṇ t th d dh n".split(), 0x15)), **dict(enumerate("p ph b bh m y r".split(), 0x2A)),
+    0x32: "l", 0x33: "ḷ", 0x35: "v", 0x36: "ś", 0x37: "ṣ", 0x38: "s", 0x39: "h", 0x5C: "ṛ",
+}
+VOWELS = {**dict(enumerate("a ā i ī u ū".split(), 0x05)), 0x0F: "e", 0x10: "ai", 0x13: "o", 0x14: "au"}
+SIGNS = {**dict(enumerate("ā i ī u ū".split(), 0x3E)), 0x47: "e", 0x48: "ai", 0x4B: "o", 0x4C: "au", 0x4D: ""}
+MARKS = {0x01: "ṃ", 0x02: "ṃ", 0x03: "ḥ", 0x70: "ṃ", **{0x66 + k: str(k) for k in range(10)}}
+#: Places that the recoding of the second script into the first keeps, and two that it changes.
+KEPT = (*range(0x02, 0x04), *range(0x05, 0x0B), 0x0F, 0x10, *range(0x13, 0x29), *range(0x2A, 0x31), 0x32, 0x35, 0x36, 0x38, 0x39, 0x3C, *range(0x3E, 0x43), 0x47, 0x48, *range(0x4B, 0x4E), 0x5C, *range(0x66, 0x70))
+CHANGED = {0x01: 0x02, 0x37: 0x36}
+#: Full stops, which the scripts share, stand in the second one's block.
+STOPS = "\u0964\u0965"
+
+
+def _block(base: int) -> str:
+    return f"[{chr(base)}-{chr(base + 0x63)}{chr(base + 0x66)}-{chr(base + 0x7F)}]"
+
+
+def map_script(text: Column, base: int) -> Column:
+    """A script to Latin by the tables: a consonant is followed by a, which a vowel sign replaces and a
+    virama drops; what the tables lack within the block is dropped, the rest passes."""
+    out = {**{k: f"{v}a" for k, v in CONSONANTS.items()}, **VOWELS, **MARKS, **{k: f"\u0001{v}" for k, v in SIGNS.items()}}
+    table = F.create_map(*[F.lit(x) for place, sound in out.items() for x in (chr(base + place), sound)])
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), F.when(c.rlike(_block(base)), "").otherwise(c)))
+    return F.replace(F.replace(F.array_join(each, ""), F.lit("a\u0001"), F.lit("")), F.lit("\u0001"), F.lit(""))
+
+
 def to_latin(text: Column) -> Column:
-    return strip_final_schwa(F.lower(strip_marks(double_long_vowels(text))))
+    """Text of either script, or Latin text, as plain Latin: long vowels doubled, marks and final a's
+    dropped."""
+    script = detect_script(text)
+    mapped = F.when(script == "gurmukhi", map_script(text, GURMUKHI)).when(script == "devanagari", map_script(text, DEVANAGARI)).otherwise(text)
+    return strip_final_schwa(strip_marks(double_long_vowels(mapped)))
 
 
-def map_script(text: Column, letters: dict[str, str], signs: dict[str, str], block: str) -> Column:
-    """Script to Latin by tables: a letter is itself plus a, a vowel sign replaces that a; what the
-    tables lack within ``block`` (a regular expression class) is dropped, the rest passes."""
-    table = F.create_map(*[F.lit(x) for kv in {**{k: f"{v}a" for k, v in letters.items()}, **{k: f"\u0001{v}" for k, v in signs.items()}}.items() for x in kv])
-    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), F.when(c.rlike(block), "").otherwise(c)))
-    return F.regexp_replace(F.regexp_replace(F.array_join(each, ""), "a\u0001", ""), "\u0001", "")
+def recode_script(text: Column) -> Column:
+    """The second script's text in the first script, code point by code point; what has no counterpart
+    is dropped, the rest passes."""
+    moved = {**{k: k for k in KEPT}, **CHANGED}
+    source, target = ("".join(chr(base + k) for k in places) for base, places in ((DEVANAGARI, moved), (GURMUKHI, moved.values())))
+    return F.regexp_replace(F.translate(text, source, target), _block(DEVANAGARI), "")
 
 
-def recode_script(text: Column, source: str, target: str, block: str) -> Column:
-    """Code point by code point; what ``source`` lacks within ``block`` is dropped, the rest passes."""
-    return F.regexp_replace(F.translate(text, source, target), block, "")
+def recode_columns(rows: DataFrame, columns: list[str], passes: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` with ``<column>_unicode`` for each of the columns, recoded from a legacy font."""
+    return rows.withColumns({f"{c}_unicode": recode_font(F.col(c), passes) for c in columns})
 
 
 def recode_font(text: Column, passes: list[tuple[str, str]]) -> Column:
@@ -94,6 +141,23 @@ def vowel_only(token: Column) -> Column:
     return token.rlike(r"\p{L}") & ~F.lower(token).rlike("[b-df-hj-np-tv-z]")
 
 
+#: What a recogniser says while it hears nothing.
+PLACEHOLDERS = ("Waiting for speech", "<|")
+
+
+def is_bad_transcript(text: Column, letters: str = "[\u0900-\u097f]", placeholders: tuple[str, ...] = PLACEHOLDERS) -> Column:
+    """Broken characters, a placeholder, no letter of the expected script, or a repetition loop; null
+    and blank texts are none of these."""
+    bare = F.trim(text)
+    begins = [F.startswith(bare, F.lit(p)) for p in placeholders]
+    bad = F.contains(bare, F.lit("\ufffd")) | reduce(lambda a, b: a | b, begins) | ((bare != "") & ~bare.rlike(letters)) | is_repetition_loop(bare)
+    return F.coalesce(bad, F.lit(False))
+
+
+def drop_bad_transcripts(rows: DataFrame, column: str = "text", letters: str = "[\u0900-\u097f]") -> DataFrame:
+    return rows.filter(~is_bad_transcript(F.col(column), letters))
+
+
 def sanitize_transcript(text: Column) -> Column:
     bare = F.regexp_replace(F.trim(text), r"^```[a-z]*\s*|\s*```$", "")
     return F.trim(F.regexp_replace(F.trim(bare), r"^(?i:transcript|transcription|text):\s*", ""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,15 +32,22 @@ def segment_reason() -> Column:
     )
 
 
+#: Columns of samples and spans that a training row carries along where they exist.
+OF_SAMPLE = ("audio_sha256", "jatha", "raag", "recording_quality", "source_url", "license_notes")
+OF_SPAN = ("text_latin", "shabad_id", "confidence", "coverage")
+
+
 def training_rows(samples: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of eligible spans of eligible samples, with their split and duration."""
+    """Rows of eligible spans of eligible samples, with their audio, split and duration."""
     from linetrace.functions.text import split_of
 
-    good = samples.filter(sample_reason() == "ok").select("sample_id", "source")
+    carried = [c for c in OF_SAMPLE if c in samples.columns]
+    good = samples.filter(sample_reason() == "ok").select("sample_id", "source", F.concat(F.lit("audio/"), "filename").alias("audio"), *carried)
     kept = spans.filter(segment_reason() == "ok").join(good, "sample_id")
+    own = [F.round(c, 6).alias(c) if c in ("confidence", "coverage") else F.col(c) for c in OF_SPAN if c in spans.columns]
     return kept.select(
-        "sample_id", "source", "idx", "tier", "page", "line_no", F.col("text").alias("sentence"), F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"),
-        F.round(F.col("end_sec") - F.col("start_sec"), 3).alias("duration_sec"), split_of(F.col("sample_id").cast("string")).alias("split"),
+        "sample_id", "source", "idx", "audio", "tier", "page", "line_no", F.col("text").alias("sentence"), F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"),
+        F.round(F.col("end_sec") - F.col("start_sec"), 3).alias("duration_sec"), split_of(F.col("sample_id").cast("string")).alias("split"), *carried, *own,
     )
 
 
@@ -67,13 +77,30 @@ def coverage_vs_targets(report: DataFrame, targets: DataFrame) -> DataFrame:
     return long_.join(targets, "metric").select("metric", "got", "target", (F.col("got") >= F.col("target")).alias("met"))
 
 
+#: Samples whose lines make one string for the build id; some 100 MB.
+MANIFEST_ROWS = 1_000_000
+
+
 def build_id(samples: DataFrame) -> DataFrame:
-    """16 hex digits over ids and content hashes in the order of ids.
+    """16 hex digits: the SHA-256 of the lines ``id|hash`` of (id, audio_sha256) in the order of ids,
+    without a hash where it is null.
+
+    A manifest of more than a million samples is an error: its lines would be one string in one
+    task.  Such tables take ``tree_id``."""
+    if samples.limit(MANIFEST_ROWS + 1).count() > MANIFEST_ROWS:
+        raise ValueError(f"more than {MANIFEST_ROWS} samples: use tree_id")
+    line = F.struct("id", F.concat("id", F.lit("|"), F.coalesce("audio_sha256", F.lit("")), F.lit("\n")).alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
+    return samples.agg(F.substring(F.sha2(F.array_join(lines, ""), 256), 1, 16).alias("build_id"))
+
 
-    Hashes are combined in two levels, by groups of ids, so no task holds all of them."""
-    line = F.concat("id", F.lit("|"), "audio_sha256", F.lit("\n"))
-    inner = samples.select(F.substring(F.sha2("id", 256), 1, 3).alias("g"), line.alias("line")).groupBy("g").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias("h"))
-    return inner.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("g", "h"))), ""), 256), 1, 16).alias("build_id"))
+def tree_id(samples: DataFrame) -> DataFrame:
+    """Another id of the same content for tables of any size: sums of hashes of the lines, which need
+    no order and no gathering.  Not the value of ``build_id``."""
+    digest = F.sha2(F.concat_ws("|", "id", F.coalesce("audio_sha256", F.lit(""))), 256)
+    word = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(word(k)), F.lit(0)).cast("string").alias(f"s{k}") for k in range(8)]
+    return samples.agg(F.count("*").alias("n"), *sums).select(F.concat(F.lit("tree-"), F.substring(F.sha2(F.concat_ws("|", "n", *[f"s{k}" for k in range(8)]), 256), 1, 16)).alias("tree_id"))
 
 
 def stratum_weights(rows: DataFrame, *strata: str) -> DataFrame:
@@ -82,17 +109,45 @@ def stratum_weights(rows: DataFrame, *strata: str) -> DataFrame:
     return rows.join(sizes, list(strata))
 
 
+#: Buckets of rows among which draws are dealt on the driver, whatever the number of rows.
+BUCKETS = 4096
+
+
+def _uniform(*columns: Column) -> Column:
+    """A number in [0, 1) that is a function of the values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
 def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int = 7) -> DataFrame:
-    """About ``n`` draws with replacement: the mean of a row's draws is its share of the weight, its
-    whole part drawn for certain and a Poisson number for the rest, so no order and no running total
-    over all rows is needed."""
-    total = rows.agg(F.sum(weight)).first()[0] or 1.0
-    share = F.col(weight) / total * n
-    mean = share - F.floor(share)
-    u = F.rand(seed)
-    terms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.exp(-mean) * F.pow(mean, k) / F.factorial(k))
-    below = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, p: F.struct((a["sum"] + p).alias("sum"), (a["n"] + (F.col("u") >= a["sum"] + p).cast("int")).alias("n")), lambda a: a["n"])
-    return rows.withColumn("u", u).withColumn("draws", below + F.floor(share)).filter("draws > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int")))).drop("u", "draws")
+    """``n`` draws with replacement, a row's chance being its share of the weight: ``rows`` with
+    ``draw`` (from 1) for each time that a row is drawn.
+
+    Draws are a function of the seed and the rows' values.  They are first dealt to buckets of rows
+    by the buckets' weights, which alone reach the driver, and within a bucket to points on the line
+    of its running weight, so a row may be drawn any number of times.  Rows without a positive weight
+    are never drawn; equal rows share their draws; no rows give no draws."""
+    columns = rows.columns
+    whole = rows.filter(F.col(weight) > 0).select(F.struct(*columns).alias("row"), F.col(weight).cast("double").alias("w")).withColumn("h", F.xxhash64(F.lit(seed), F.to_json("row")))
+    # Equal rows are one place on the line, with their weights together.
+    whole = whole.groupBy("h", F.to_json("row").alias("key")).agg(F.first("row").alias("row"), F.sum("w").alias("w"), F.count("*").alias("copies"))
+    whole = whole.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    sums = sorted((r.bucket, r.w) for r in whole.groupBy("bucket").agg(F.sum("w").alias("w")).collect())
+    if not sums or n <= 0:
+        return rows.limit(0).withColumn("draw", F.lit(1))
+    weights = np.array([w for _, w in sums])
+    dealt = np.random.default_rng(seed).multinomial(n, weights / weights.sum()).tolist()
+    spark = rows.sparkSession
+    shares = spark.createDataFrame([(b, w, k) for (b, w), k in zip(sums, dealt, strict=True) if k], "bucket int, total double, k long")
+    points = shares.select("bucket", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
+    points = points.select("bucket", (_uniform(F.lit(seed), "bucket", "j") * F.col("total")).alias("at"), F.lit(True).alias("point"))
+    running = W.partitionBy("bucket").orderBy("h", "key").rowsBetween(W.unboundedPreceding, -1)
+    starts = whole.select("bucket", "h", "key", "row", "copies", F.coalesce(F.sum("w").over(running), F.lit(0.0)).alias("at"), F.lit(False).alias("point"))
+    line = starts.unionByName(points, allowMissingColumns=True)
+    # Of a point, the row whose stretch it falls on: the last one that starts at or before it.
+    before = W.partitionBy("bucket").orderBy("at", "point").rowsBetween(W.unboundedPreceding, 0)
+    found = line.withColumn("hit", F.last(F.when(~F.col("point"), F.struct("h", "key")), ignorenulls=True).over(before)).filter("point")
+    counts = found.groupBy("hit.h", "hit.key").agg(F.count("*").alias("draws"))
+    return whole.join(counts, ["h", "key"]).select("row.*", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))).alias("draw"))
 
 
 def curriculum(rows: DataFrame, epoch: int) -> DataFrame:
@@ -106,16 +161,29 @@ def quality_ceiling(spans: DataFrame, samples: DataFrame) -> DataFrame:
     return joined.withColumn("tier", F.when(F.col("capped") & (F.col("tier") == "high"), "medium").otherwise(F.col("tier"))).drop("capped")
 
 
-def manifest_problems(samples: DataFrame, rows: DataFrame, stated: DataFrame) -> DataFrame:
-    """Samples without rows, and splits (split, n) whose row count is not the stated one."""
+def manifest_problems(samples: DataFrame, rows: DataFrame, stated: DataFrame, alignments: DataFrame | None = None, audio: DataFrame | None = None) -> DataFrame:
+    """Samples without rows, splits (split, n) whose row count is not the stated one, and, where the
+    files there are given (alignment_file; filename), samples that lack theirs."""
     missing = samples.join(rows, "sample_id", "left_anti").select(F.lit("no_rows").alias("problem"), F.col("sample_id").cast("string").alias("what"))
+    for files, name, problem in ((alignments, "alignment_file", "no_alignment"), (audio, "filename", "no_audio")):
+        if files is not None:
+            missing = missing.unionByName(samples.join(files.select(name).distinct(), name, "left_anti").select(F.lit(problem).alias("problem"), F.col("sample_id").cast("string").alias("what")))
     counts = rows.groupBy("split").agg(F.count("*").alias("got"))
     wrong = stated.join(counts, "split", "left").filter(F.coalesce("got", F.lit(0)) != F.col("n")).select(F.lit("split_count").alias("problem"), F.col("split").alias("what"))
     return missing.unionByName(wrong)
 
 
 def release_gate(coverage: DataFrame, problems: DataFrame) -> DataFrame:
-    return coverage.agg(F.coalesce(F.min("met"), F.lit(False)).alias("targets_met")).crossJoin(problems.agg((F.count("*") == 0).alias("clean"))).withColumn("passed", F.col("targets_met") & F.col("clean"))
+    """Whether all targets are met and nothing is wrong."""
+    both = coverage.select("met", F.lit(0).alias("problem")).unionByName(problems.select(F.lit(None).cast("boolean").alias("met"), F.lit(1).alias("problem")))
+    out = both.agg(F.coalesce(F.min("met"), F.lit(False)).alias("targets_met"), (F.coalesce(F.sum("problem"), F.lit(0)) == 0).alias("clean"))
+    return out.withColumn("passed", F.col("targets_met") & F.col("clean"))
+
+
+def all_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all splits (name to rows), with the name of their split."""
+    named = [rows.withColumn("split", F.lit(name)) for name, rows in splits.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def distinct_samples(rows: DataFrame) -> DataFrame:

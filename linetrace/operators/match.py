@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetrace.functions.scoring import partial_ratios, ratio
-from linetrace.functions.text import ALIKE, COVERED, LONG_TOKEN, length_softening
+from linetrace.functions.scoring import Coded, partial_ratios, ratio
+from linetrace.functions.text import ALIKE, COVERED, LONG_TOKEN, first_letters, length_softening, phonetic_key, tokens
 
 POOL, PREFILTER, MIN_LETTERS = 50, 1500, 3
 #: Characters of queries in one block; each block is one pass over the lines.
@@ -21,11 +21,16 @@ ACCEPT, STRONG, LEAD = 60.0, 40.0, 1.8
 SCORED = "query_id string, order_id long, passage_id long, partial double, coverage double, score double"
 
 
+@lru_cache(maxsize=1 << 18)
+def _alike(a: str, b: str) -> bool:
+    return ratio(a, b) >= COVERED
+
+
 def coverage(query: str, line: str) -> float:
     """Share of the query's long tokens that resemble some token of the line, less for short queries."""
     wanted = [t for t in query.split() if len(t) >= LONG_TOKEN]
-    have = list(dict.fromkeys(line.split()))
-    met = sum(any(t == h or ratio(t, h) >= COVERED for h in have) for t in wanted)
+    have = set(line.split())
+    met = sum(t in have or any(_alike(t, h) for h in have) for t in wanted)
     return met / len(wanted) * min(1.0, len(wanted) / 4) if wanted else 0.0
 
 
@@ -33,31 +38,36 @@ def _letters(text: str) -> str:
     return "".join(t[0] for t in text.split()).translate(str.maketrans(*ALIKE))
 
 
-def _softened(query: str, lines: list[str]) -> np.ndarray:
-    sizes = np.array([len(x) for x in lines], dtype=float)
-    n = len(query)
-    soft = np.sqrt(np.minimum(sizes, n) / np.maximum(np.maximum(sizes, n), 1))
-    return partial_ratios(query, lines) * soft
+#: Lines that meet a query at once; each such part raises the score that later ones must reach.
+PART = 2048
 
 
 def _pool_batches(batches: Iterator[pa.RecordBatch], queries, pool: int, letters: bool) -> Iterator[pa.RecordBatch]:
     """The best lines of this task for every query; ties go to the lower line."""
-    best: dict[str, list] = {}
+    asked = [(query_id, _letters(query) if letters else query) for query_id, query in queries.value]
+    # Of each query the best so far: score, line, passage and text, best first.
+    best = {query_id: (np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)) for query_id, _ in asked}
     for batch in batches:
-        order, passage, text = (batch.column(c).to_pylist() for c in ("order_id", "passage_id", "norm"))
-        against = [_letters(t) for t in text] if letters else text
-        for query_id, query in queries.value:
-            own = _letters(query) if letters else query
-            scores = _softened(own, against) if letters else partial_ratios(own, against)
-            heap = best.setdefault(query_id, [])
-            take = np.argsort(-scores, kind="stable")[:pool] if len(scores) > 4 * pool else range(len(scores))
-            floor = scores[take[-1]] if len(scores) > 4 * pool else -1.0
-            for i in take if floor < 0 else np.flatnonzero(scores >= floor):
-                item = (float(scores[i]), -order[i], passage[i], text[i])
-                heapq.heappush(heap, item) if len(heap) < pool else heapq.heappushpop(heap, item)
-    rows = [(q, -o, p, s, t) for q, heap in best.items() for s, o, p, t in heap]
-    names, kinds = ("query_id", "order_id", "passage_id", "partial", "norm"), (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], list(names))
+        order, passage = (np.asarray(batch.column(c)) for c in ("order_id", "passage_id"))
+        text = np.array(batch.column("norm").to_pylist(), dtype=object)
+        coded = Coded(batch.column("against").to_pylist())
+        for at in range(0, len(text), PART):
+            part = coded.some(at, at + PART)
+            for query_id, query in asked:
+                held = best[query_id]
+                floor = held[0][-1] if len(held[0]) == pool else 0.0
+                soft = np.sqrt(np.minimum(part.size, len(query)) / np.maximum(np.maximum(part.size, len(query)), 1)) if letters else 1.0
+                scores = partial_ratios(query, part, floor / np.maximum(soft, 1e-9)) * soft
+                take = np.flatnonzero(scores >= floor)
+                if not len(take):
+                    continue
+                new = tuple(np.concatenate((x, y[at + take])) for x, y in zip(held[1:], (order, passage, text), strict=True))
+                new = (np.concatenate((held[0], scores[take])), *new)
+                rank = np.lexsort((new[1], -new[0]))[:pool]
+                best[query_id] = tuple(x[rank] for x in new)
+    columns = [np.repeat(np.array([q for q, _ in asked], dtype=object), [len(best[q][0]) for q, _ in asked]), *(np.concatenate([best[q][k] for q, _ in asked]) for k in (1, 2, 0, 3))]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["query_id", "order_id", "passage_id", "partial", "norm"])
 
 
 def _blocks(queries: DataFrame) -> Iterator[list[tuple[str, str]]]:
@@ -84,13 +94,12 @@ def candidate_pool(queries: DataFrame, lines: DataFrame, pool: int = POOL, lette
     Queries go to the lines in blocks of bounded size, so no line is shuffled; every task returns at
     most ``pool`` rows a query."""
     spark, out = lines.sparkSession, None
-    cores = spark.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < cores:  # a small table in one file still keeps all cores busy
-        lines = lines.repartition(2 * cores)
     schema = "query_id string, order_id long, passage_id long, partial double, norm string"
+    against = phonetic_key(first_letters(tokens(F.col("norm")))) if letters else F.col("norm")
+    lines = lines.select("order_id", "passage_id", "norm", against.alias("against"))
     for block in _blocks(queries):
         shared = spark.sparkContext.broadcast(block)
-        part = lines.select("order_id", "passage_id", "norm").mapInArrow(lambda b, s=shared: _pool_batches(b, s, pool, letters), schema)
+        part = lines.mapInArrow(lambda b, s=shared: _pool_batches(b, s, pool, letters), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linetrace.functions import text as T
 from linetrace.functions.scoring import indel_ratio, token_coverage
-from linetrace.operators import align, dataset, evaluate, feedback, match
+from linetrace.operators import align, dataset, evaluate, feedback, match, registry
 from linetrace.sources import views
 from linetrace.streaming import sessions
 
@@ -32,7 +32,7 @@ def _t(spark, d, name):
 
 
 def _lines(spark, d):
-    return views.lines(_t(spark, d, "documents"))
+    return views.lines(views.dealt(_t(spark, d, "documents")))
 
 
 def _search(spark, d) -> DataFrame:
@@ -49,13 +49,46 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- Sources, corpus and projections
+def _latin(lines):
+    """Transliterations of lines in two languages, missing for some."""
+    both = F.explode(F.array(F.lit(1), F.lit(2))).alias("language_id")
+    rows = lines.filter("line_no % 5 <> 4").select(F.col("id").alias("line_id"), both, "norm")
+    return rows.select("line_id", "language_id", F.concat_ws("|", "language_id", T.strip_final_schwa(F.col("norm"))).alias("latin"))
+
+
 @query
 def corpus_view(spark, d):
-    o = _t(spark, d, "orders")
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
-    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    r = o.join(c, "o_custkey").join(n, "c_nationkey", "left")
-    return r.select("o_orderkey", "o_custkey", "c_mktsegment", "n_name")
+    """Lines with passage, type and transliteration, of the passages that are labelled."""
+    lines = _lines(spark, d).withColumn("type_id", F.when(F.col("line_type") == "heading", 1).when(F.col("line_no") % 7 != 3, 2))
+    passages = _t(spark, d, "labels").select(F.col("doc_id").alias("passage_id"), F.col("quality").cast("int").alias("source_id")).distinct()
+    types = spark.createDataFrame([(1, "heading"), (2, "pankti"), (3, "rahao")], "type_id int, type_name string")
+    return views.corpus_view(lines, passages, types, _latin(lines), 1, 1).select("id", "passage_id", "order_id", "type_name", "latin")
+
+
+@query
+def passage_lines(spark, d):
+    some = _t(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("passage_id"))
+    return views.passage_lines(_lines(spark, d), some).select("passage_id", "id", "order_id")
+
+
+@query
+def canonical_order(spark, d):
+    return views.canonical(_lines(spark, d)).select("order_id", "id")
+
+
+@query
+def small_copy(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("pronunciation"), "c_mktsegment")
+    return views.drop_bulk_columns(c).select("c_custkey", F.coalesce("pronunciation", F.lit("-")).alias("pronunciation"), "c_mktsegment")
+
+
+@query
+def curated_copy(spark, d):
+    """A curated subset written and read back, with what was removed."""
+    docs, path = _t(spark, d, "documents").select("doc_id", "lang", "source"), views.shared_dir(spark)
+    views.write_curated(docs, spark.createDataFrame([("en",), ("fr",)], "lang string"), ["lang"], path)
+    kept = spark.read.parquet(f"{path}/rows").groupBy("lang").agg(F.count("*").alias("n"), F.lit("kept").alias("fate"))
+    return kept.unionByName(spark.read.parquet(f"{path}/removed").select("lang", F.col("removed").alias("n"), F.lit("removed").alias("fate")))
 
 
 @query
@@ -110,8 +143,11 @@ def uncached_transcripts(spark, d):
 
 @query
 def event_frames(spark, d):
-    e = _t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", F.to_json(F.struct(F.when(F.col("event_type") == "click", "match").otherwise(F.col("event_type")).alias("type"), F.col("event_id").alias("seq"), F.col("value").alias("score"))).alias("payload"))
-    good, bad = views.frames(e)
+    """Frames of four types, some unknown, some broken, some without their fields."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "match", "view", "partial", "purchase", "jaikara")]), F.col("event_type"))
+    whole = F.to_json(F.struct(F.coalesce(kind, F.lit("other")).alias("type"), F.when(F.col("event_id") % 4 != 0, F.col("event_id")).alias("seq"), F.col("value").alias("score")))
+    payload = F.when(F.col("event_id") % 10 == 9, F.lit("{broken")).otherwise(whole)
+    good, bad = views.frames(_t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", payload.alias("payload")))
     return good.groupBy("type").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).unionByName(bad.agg(F.lit("aside").alias("type"), F.count("*").alias("n"), F.lit(-1).cast("long").alias("first_seq")))
 
 
@@ -127,9 +163,42 @@ def final_schwa(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.strip_final_schwa(F.lower("text")).alias("latin"))
 
 
+def _scripts(spark, d):
+    """Conversations of which two thirds are written in letters of one script or the other."""
+    t = F.col("text")
+    first, second = (F.translate(F.lower(t), "abcdeghiklmnoprstuy", "".join(chr(base + k) for k in (0x05, 0x2C, 0x1A, 0x26, 0x47, 0x17, 0x39, 0x3F, 0x15, 0x32, 0x2E, 0x28, 0x4B, 0x2A, 0x30, 0x38, 0x24, 0x41, 0x2F))) for base in (T.GURMUKHI, T.DEVANAGARI))
+    return _t(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, first).when(F.col("turn") % 3 == 1, F.concat(second, F.lit("\u0964"))).otherwise(t))
+
+
+@query
+def transliterated(spark, d):
+    return _scripts(spark, d).select("conv_id", "turn", T.to_latin(F.col("text")).alias("latin"))
+
+
+@query
+def recoded(spark, d):
+    return _scripts(spark, d).select("conv_id", "turn", T.recode_script(F.col("text")).alias("text"))
+
+
+#: Passes of a made-up legacy font: pre-clean, a reversed pair, a vowel written before its consonant.
+FONT = [("[\\^~]", ""), ("qs", "sq"), ("i([bcdfg])", "$1i"), ("x", "ks")]
+
+
+@query
+def recoded_font(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("name"), F.lower("c_mktsegment").alias("segment"))
+    return T.recode_columns(c, ["name", "segment"], FONT).select("c_custkey", "name_unicode", "segment_unicode")
+
+
+@query
+def good_transcripts(spark, d):
+    said = F.when(F.col("turn") % 5 == 0, "Waiting for speech").when(F.col("turn") % 5 == 1, F.concat("text", F.lit("\ufffd"))).when(F.col("conv_id") % 7 == 0, "12 34").otherwise(F.col("text"))
+    return T.drop_bad_transcripts(_t(spark, d, "conversations").withColumn("said", said), "said", "[a-z]").select("conv_id", "turn")
+
+
 @query
 def script_of(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", T.detect_script(F.col("text")).alias("script"))
+    return _scripts(spark, d).select("conv_id", "turn", T.detect_script(F.col("text")).alias("script"))
 
 
 @query
@@ -140,7 +209,8 @@ def interjections(spark, d):
 
 @query
 def clean_transcripts(spark, d):
-    t = F.concat(F.lit("Text: "), F.col("text"))
+    r = F.col("turn") % 4
+    t = F.when(r == 0, F.concat(F.lit("Text: "), F.col("text"))).when(r == 1, F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).when(r == 2, F.concat(F.lit("  TRANSCRIPTION:  "), F.col("text"))).otherwise(F.concat(F.col("text"), F.lit(" ")))
     return _t(spark, d, "conversations").select("conv_id", "turn", T.sanitize_transcript(t).alias("text"))
 
 
@@ -169,14 +239,16 @@ def labels_and_keys(spark, d):
 
 @query
 def request_paths(spark, d):
-    return feedback.redact_log(_t(spark, d, "pages").withColumnRenamed("page_id", "id"))
+    log = _t(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.lit("GET").alias("method"), (200 + F.col("page_id") % 3).alias("status"), F.lit("a token").alias("cookie"))
+    return feedback.redact_log(log)
 
 
 @query
 def token_ratio(spark, d):
-    n = _t(spark, d, "nation").select(F.lower("n_name").alias("a"), F.col("n_regionkey").alias("k"))
-    r = _t(spark, d, "region").select(F.lower("r_name").alias("b"), F.col("r_regionkey").alias("k"))
-    return n.join(r, "k").select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """How alike the first words of parts' names are, and longer strings of them."""
+    w = F.split(F.lower("p_name"), " ")
+    p = _t(spark, d, "part").select("p_partkey", w[0].alias("a"), w[1].alias("b"), F.array_join(F.array_repeat(F.array_join(w, ""), 4), "").alias("long_a"), F.array_join(F.reverse(w), "").alias("long_b"))
+    return p.select("p_partkey", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(indel_ratio(F.col("long_a"), F.col("long_b")), 6).alias("long_ratio"))
 
 
 @query
@@ -204,9 +276,12 @@ def first_letters_live(spark, d):
 
 @query
 def fuzzy_scoped(spark, d):
-    q = _search(spark, d)
-    scopes = q.select("query_id").join(_t(spark, d, "labels").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("passage_id")).distinct().withColumn("k", F.lit(1)), F.lit(1) == F.col("k")).drop("k")
-    return match.scoped_topk_join(q, views.indexable(_lines(spark, d)), scopes, 3).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
+    """Each searched window within the passages that share one of its words of twelve letters or more."""
+    q, lines = _search(spark, d), views.indexable(_lines(spark, d))
+    long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) >= 12))
+    asked = q.select("query_id", F.explode(long_words("query")).alias("word"))
+    scopes = lines.select("passage_id", F.explode(long_words("norm")).alias("word")).join(asked, "word").select("query_id", "passage_id").distinct()
+    return match.scoped_topk_join(q, lines, scopes, 3).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
@@ -254,7 +329,8 @@ def _durations(spark, d):
 
 
 def _tiered(spark, d):
-    return align.score_tier(align.detect_repeats(_spans(spark, d)).withColumn("boundary", F.lit(None).cast("double")))
+    edge = F.when(F.col("idx") % 4 != 0, (F.col("idx") % 10) / 10.0)
+    return align.score_tier(align.detect_repeats(_spans(spark, d)).withColumn("boundary", edge))
 
 
 @query
@@ -367,9 +443,66 @@ def content_build_id(spark, d):
     return dataset.build_id(docs)
 
 
+@query
+def content_tree_id(spark, d):
+    """Whether the tree id tells two contents apart, and is the same for the same rows in another order."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("audio_sha256"))
+    ids = [dataset.tree_id(x).select(F.lit(k).alias("k"), "tree_id") for k, x in (("a", docs), ("b", docs.repartition(7, "audio_sha256")), ("c", docs.withColumn("id", F.concat("id", F.lit("x")))))]
+    return dataset.all_splits({"s": ids[0], "t": ids[1], "u": ids[2]}).groupBy().agg(F.count_distinct("tree_id").alias("ids"), F.count_distinct(F.when(F.col("k") != "c", F.col("tree_id"))).alias("same"))
+
+
+@query
+def all_splits(spark, d):
+    rows = _training(spark, d)
+    return dataset.all_splits({k: rows.filter(F.col("split") == k).drop("split") for k in ("train", "val", "test")}).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query
+def written_splits(spark, d):
+    """Splits written as JSON and read back."""
+    path = views.shared_dir(spark)
+    views.write_json_splits(_training(spark, d), path)
+    kinds = "sample_id long, idx long, sentence string, duration_sec double, split string"
+    return spark.read.schema(kinds).json(path).select("sample_id", "idx", "duration_sec", "split", F.length("sentence").alias("chars"))
+
+
+@query
+def written_summaries(spark, d):
+    """The 14 columns of the summary file, read back as text."""
+    path, k = views.shared_dir(spark), F.col("sample_id")
+    rows = _summaries(spark, d).select(
+        F.concat(k, F.lit(".wav")).alias("filename"), (k % 5).alias("group"), "best_page", "best_line", "best_passage", "best_confidence", "windows_confident", "windows_total",
+        F.lit(False).alias("timed_out"), F.concat_ws(", ", F.lit("a"), "pages").alias("notes"),
+    )
+    evaluate.eval_csv(rows, path)
+    return spark.read.option("header", True).option("emptyValue", "").csv(path).na.fill("")
+
+
+@query
+def written_alignments(spark, d):
+    """Envelopes written, read back as spans."""
+    path = views.shared_dir(spark)
+    views.write_alignments(_tiered(spark, d), path)
+    kinds = "sample_id long, segment_count long, segments array<struct<start_sec: double, kind: string, tier: string>>"
+    return spark.read.schema(kinds).json(path).select("sample_id", F.explode("segments").alias("s")).groupBy("sample_id", "s.tier").agg(F.count("*").alias("n"), F.max("s.start_sec").alias("last"))
+
+
+@query
+def stored_feedback(spark, d):
+    """Feedback appended in two parts, read back."""
+    path, rows = views.shared_dir(spark), _feedback(spark, d)
+    for part in (0, 1):
+        feedback.append_feedback(rows.filter(F.col("id") % 2 == part), SECRET, path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("correction_type").agg(F.count("*").alias("n"), F.sum("correction_ang").alias("pages"), F.count_distinct("session_hmac").alias("sessions"), F.lit("audio_base64" in stored.columns).alias("with_audio"))
+
+
 @query
 def weighted_draws(spark, d):
-    return dataset.weighted_sample(dataset.stratum_weights(_training(spark, d), "source"), "weight", 1000).select("sample_id", "idx", "draw")
+    """How often each stratum is drawn among 1,000 draws."""
+    drawn = dataset.weighted_sample(dataset.stratum_weights(_training(spark, d).select("sample_id", "idx", "source"), "source"), "weight", 1000)
+    by = drawn.groupBy("source").agg(F.count("*").alias("n"))
+    return by.agg(F.sum("n").alias("draws"), F.count("*").alias("strata"), (F.min("n") > 100).alias("all_drawn"))
 
 
 @query
@@ -402,18 +535,18 @@ def _summaries(spark, d):
 
 @query
 def sample_summary(spark, d):
-    return _known(_summaries(spark, d), "best_page", "best_line").na.fill(-1.0, ["first_confident"])
+    return _known(_summaries(spark, d), "best_page", "best_line", "best_passage").na.fill(-1.0, ["first_confident"])
 
 
 @query
 def near_misses(spark, d):
     s = _summaries(spark, d).withColumn("grp", F.col("sample_id") % 5)
-    return _known(evaluate.near_misses(s, "grp"), "best_page")
+    return _known(evaluate.near_misses(s, "grp"), "best_passage")
 
 
 @query
 def eval_notes(spark, d):
-    return evaluate.notes(_summaries(spark, d))
+    return evaluate.notes(_summaries(spark, d).withColumn("timed_out", F.col("sample_id") % 9 == 0))
 
 
 @query
@@ -423,7 +556,8 @@ def eval_rollup(spark, d):
 
 @query
 def error_rates(spark, d):
-    c = _t(spark, d, "conversations").select(F.col("text").alias("reference"), F.translate("text", "aeiou", "aeuio").alias("hypothesis"))
+    """Rates of hypotheses that lack the first word."""
+    c = _t(spark, d, "conversations").select(F.col("text").alias("reference"), F.regexp_replace("text", "^[^ ]* ?", "").alias("hypothesis"))
     return evaluate.error_rates(c).select(F.round("cer", 9).alias("cer"), F.round("wer", 9).alias("wer"))
 
 
@@ -442,15 +576,21 @@ def latency_by_provider(spark, d):
 @query
 def model_compare(spark, d):
     h = views.window_hypotheses(_t(spark, d, "conversations"))
-    return evaluate.model_compare(_summaries(spark, d), evaluate.sample_summary(h.withColumn("confidence", 100 - F.col("confidence"))))
+    other = evaluate.sample_summary(h.withColumn("confidence", 100 - F.col("confidence")).withColumn("page", F.col("page") % 3))
+    k = _t(spark, d, "conversations").select(F.col("conv_id").alias("sample_id")).distinct()
+    return evaluate.model_compare(_summaries(spark, d), other, k.withColumn("grp", F.floor(F.col("sample_id") / 3)), k.filter("sample_id % 4 = 0"))
 
 
 # --- Feedback
 def _feedback(spark, d):
-    e = _t(spark, d, "events")
+    """Events as corrections of the wire format, some of them broken."""
+    e, k = _t(spark, d, "events"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "wrong_pangti").when(F.col("event_type") == "view", "unknown").otherwise("other")
     return e.select(
-        F.col("event_id").alias("id"), F.col("ts").alias("received_at"), F.concat(F.lit("session-"), "user_id").alias("session_token"), F.when(F.col("event_type") == "click", "wrong_pangti").when(F.col("event_type") == "view", "unknown").otherwise("other").alias("correction_type"),
-        (F.col("event_id") % 1500).alias("page"), F.col("value").alias("score"), F.lit("").alias("notes"), F.lit("").alias("audio_base64"),
+        k.alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("received_at_ms"), F.concat(F.when(k % 50 == 0, "s-").otherwise("session-"), "user_id").alias("session_token"),
+        F.struct(kind.alias("type"), F.when(k % 6 != 0, k % 1500 - 1).alias("ang"), F.when(k % 40 == 0, F.repeat(F.lit("n"), 2001)).otherwise(F.lit("")).alias("notes")).alias("correction"),
+        F.struct((k % 1500).alias("ang"), F.col("value").alias("score"), F.lit("pankti").alias("line_type")).alias("match"), ((k % 62) * 1.0).alias("audio_duration_sec"), F.lit("raagi").alias("mode"),
+        F.lit("AAAA").alias("audio_base64"), F.lit("kept").alias("unheard_of"),
     )
 
 
@@ -467,13 +607,72 @@ def feedback_by_session(spark, d):
 
 @query
 def newest_feedback(spark, d):
-    return feedback.newest(_feedback(spark, d), "session_token", 5).select("session_token", "id", F.col("rank").cast("long").alias("rank"))
+    return feedback.newest(_feedback(spark, d).withColumn("received_at", F.col("received_at_ms")).filter("id % 50 <> 0"), "session_token", 5).select("session_token", "id", F.col("rank").cast("long").alias("rank"))
+
+
+def _stored(spark, d):
+    return _feedback(spark, d).select("id", F.col("session_token").alias("session_hmac"), F.col("correction.type").alias("correction_type"))
 
 
 @query
 def erased_feedback(spark, d):
     gone = _t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("session-"), "c_custkey").alias("session_hmac"))
-    return feedback.erase(_feedback(spark, d).withColumnRenamed("session_token", "session_hmac"), gone).groupBy("correction_type").agg(F.count("*").alias("n"))
+    return feedback.erase(_stored(spark, d), gone).groupBy("correction_type").agg(F.count("*").alias("n"))
+
+
+@query
+def erased_counts(spark, d):
+    """Single rows erased, each asked for by its own session or, for odd ids, by a wrong one."""
+    asked = _stored(spark, d).filter("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.col("session_hmac")).otherwise(F.concat(F.lit("not-"), "session_hmac")).alias("session_hmac"))
+    return feedback.erased(_stored(spark, d), asked)
+
+
+def _corrections(spark, d):
+    e, k = _t(spark, d, "events"), F.col("event_id")
+    return e.select(k.alias("id"), (k % 1430 + 1).alias("page"), (k % 4).alias("line_no"), F.lit("").alias("notes")), e.filter("event_id % 3 > 0").select(k.alias("id"), (k % 3 == 1).alias("accepted"))
+
+
+@query
+def corrected_labels(spark, d):
+    corrections, decisions = _corrections(spark, d)
+    return feedback.corrections_to_labels(corrections, decisions, _lines(spark, d))[0].select("id", "line_id", "labeled_by")
+
+
+@query
+def correction_queue(spark, d):
+    corrections, decisions = _corrections(spark, d)
+    return feedback.corrections_to_labels(corrections, decisions, _lines(spark, d))[1].select("id")
+
+
+# --- Registry
+@query
+def sample_names(spark, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("old name "), k, F.lit(".mp3"))).otherwise(
+        F.concat_ws("_", F.lit("bhai_singh"), F.when(k % 5 == 1, "unknown_raag").otherwise("soohee"), F.when(k % 5 == 2, "unknown").otherwise((k % 1430 + 1).cast("string")), (k % 19).cast("string"), F.concat(F.when(k % 5 == 3, "nagar_kirtan").otherwise("studio"), F.lit(".wav")))
+    )
+    return _t(spark, d, "customer").select("c_custkey", registry.parse_sample_name(name).alias("n")).select("c_custkey", "n.singer", "n.raag", F.coalesce("n.page", F.lit(-1)).alias("page"), F.coalesce("n.line_no", F.lit(-1)).alias("line_no"), "n.difficulty", "n.legacy")
+
+
+@query
+def registry_issues(spark, d):
+    k = F.col("c_custkey")
+    samples = _t(spark, d, "customer").select(
+        k.cast("string").alias("id"), F.when(k % 4 != 0, F.sha2(k.cast("string"), 256)).alias("audio_sha256"), F.when(k % 3 == 0, "unheard_of").otherwise("soohee").alias("raag"), (k % 1600).alias("ang_start"),
+        (k % 1600 + k % 2 - 1).alias("ang_end"), F.when(k % 7 == 0, "fine").otherwise("studio").alias("recording_quality"), F.lit("live").alias("difficulty"), F.lit("pending").alias("alignment_status"), F.lit(1.0).alias("duration_sec"),
+    )
+    taxonomy = spark.createDataFrame([("soohee",), ("aasaa",)], "raag string")
+    return registry.registry_problems(samples, taxonomy).groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count("*").alias("n"))
+
+
+@query
+def admitted_audio(spark, d):
+    k = F.col("o_orderkey")
+    files = _t(spark, d, "orders").select(
+        F.concat(k, F.when(k % 3 == 0, ".WAV").when(k % 3 == 1, ".txt").otherwise("")).alias("name"), F.when(k % 5 == 0, "audio/x-any").when(k % 5 == 1, "text/plain").alias("mime"),
+        F.when(k % 7 == 0, 0).otherwise(F.col("o_totalprice") * 60).cast("long").alias("bytes"), F.when(k % 11 != 0, k % 70).cast("double").alias("duration_sec"),
+    )
+    return registry.admission(files).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query
@@ -493,7 +692,7 @@ def _hits(spark, d):
 
 @query
 def rate_limited(spark, d):
-    return feedback.rate_limit(_hits(spark, d), 3, 86_400).select("key", "id", "allowed")
+    return feedback.rate_limit(_hits(spark, d), 3, 86_400).select("key", "id", "allowed", "remaining")
 
 
 @query
@@ -502,6 +701,10 @@ def monthly_quota(spark, d):
 
 
 # --- Sessions
+def _seconds(*names):
+    return [F.floor(F.unix_micros(F.col(n).cast("timestamp")) / 1_000_000).cast("long").alias(n) for n in names]
+
+
 def _sessions(spark, d):
     e = _t(spark, d, "events")
     return e.select(F.col("user_id").alias("session_id"), "ts", ((F.col("event_id") * 7) % 1000).alias("seq"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("score"), F.col("event_type").alias("text"), F.col("event_type").alias("status"), (F.col("event_type") == "click").alias("canonical"))
@@ -519,12 +722,15 @@ def debounced(spark, d):
 
 @query
 def status_transitions(spark, d):
-    return sessions.status_changes(_sessions(spark, d)).select("session_id", "id", "status")
+    kind = F.when(F.col("status") == "click", "recording").when(F.col("status") == "view", "processing").when(F.col("id") % 211 == 0, "error").otherwise("listening")
+    e = _sessions(spark, d).withColumn("status", kind).withColumn("ts", F.date_trunc("day", "ts"))
+    return sessions.status_changes(e).groupBy("session_id", "status").agg(F.count("*").alias("n"))
 
 
 @query
 def rolling_scores(spark, d):
-    return sessions.rolling_windows(_sessions(spark, d))
+    days = "5 days", "19 hours 12 minutes"
+    return sessions.rolling_windows(_sessions(spark, d), *days, least=25_920.0)
 
 
 @query
@@ -544,12 +750,13 @@ def silence_stops(spark, d):
 
 @query
 def auto_selected(spark, d):
-    return sessions.auto_select(_sessions(spark, d), 0.5, 1.0)
+    found = sessions.auto_select(_sessions(spark, d).withColumn("ts", F.date_trunc("week", "ts")), 0.5, 86_400.0)
+    return found.select("session_id", "text", *_seconds("since", "until"))
 
 
 @query
 def banners(spark, d):
-    return sessions.banner_ttl(_sessions(spark, d), 7200.0)
+    return sessions.banner_ttl(_sessions(spark, d), 7200.0).select("session_id", "n", *_seconds("since", "until"))
 
 
 @query
@@ -580,7 +787,7 @@ def tracked_modes(spark, d):
 
 @query
 def utterances(spark, d):
-    return sessions.segment_utterances(_t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", (F.col("value") / 100).alias("prob")), 0.3, 86_400.0, 60.0, 864_000.0)
+    return sessions.segment_utterances(_t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", (F.col("value") / 100).alias("prob")), 0.3, 86_400.0, 60.0, 864_000.0).select("session_id", *_seconds("since", "until"))
 
 
 @query

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` on all cores, where a table has fewer files than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if len(rows.inputFiles()) < cores else rows
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """Canonical lines of documents: a passage is a document, a line ends at a full stop or line
     feed; lines of fewer than three words are headings."""
@@ -35,6 +45,58 @@ def corpus_index(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_tokens", F.size(toks).cast("long")).withColumn("first_letters", T.first_letters(toks)).withColumn("phonetic", T.phonetic_key(T.first_letters(toks)))
 
 
+def corpus_view(lines: DataFrame, passages: DataFrame, line_types: DataFrame, transliterations: DataFrame, language_id: int, source_id: int | None = None) -> DataFrame:
+    """The corpus star: lines (id, passage_id, type_id, order_id ...) of known passages (passage_id,
+    source_id), with the name of their type (type_id, type_name) and their transliteration (line_id,
+    language_id, latin) in one language, where they have them."""
+    kept = passages if source_id is None else passages.filter(F.col("source_id") == source_id)
+    latin = transliterations.filter(F.col("language_id") == language_id).select(F.col("line_id").alias("id"), "latin")
+    return lines.join(kept, "passage_id").join(line_types, "type_id", "left").join(latin, "id", "left")
+
+
+def passage_lines(lines: DataFrame, passages: DataFrame) -> DataFrame:
+    """All lines of the given passages (passage_id), whatever their source, in canonical order."""
+    return lines.join(passages.select("passage_id").distinct(), "passage_id", "left_semi").orderBy("order_id")
+
+
+def canonical(lines: DataFrame) -> DataFrame:
+    """Lines in the order of the corpus, equal places by id."""
+    return lines.orderBy("order_id", "id")
+
+
+BULKY = ("pronunciation", "pronunciation_information")
+
+
+def drop_bulk_columns(rows: DataFrame, columns: tuple[str, ...] = BULKY) -> DataFrame:
+    """``rows`` with null in the long text columns that a small copy does without."""
+    kinds = dict(rows.dtypes)
+    return rows.withColumns({c: F.lit(None).cast(kinds[c]) for c in columns if c in kinds})
+
+
+def curated(rows: DataFrame, kept: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``columns`` are among those of ``kept``, and how many rows of each went."""
+    keys = kept.select(*columns).distinct()
+    return rows.join(keys, columns, "left_semi"), rows.join(keys, columns, "left_anti").groupBy(*columns).agg(F.count("*").alias("removed"))
+
+
+def write_curated(rows: DataFrame, kept: DataFrame, columns: list[str], path: str) -> None:
+    """The curated rows without their bulky columns as Parquet, and the removed counts beside them."""
+    left, removed = curated(rows, kept, columns)
+    drop_bulk_columns(left).write.mode("overwrite").parquet(f"{path}/rows")
+    removed.write.mode("overwrite").parquet(f"{path}/removed")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share, ``spark.checkpoint.dir``; a temporary
+    one only where that is unset and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", found := f"file://{tempfile.mkdtemp(prefix='linetrace-')}")
+    return f"{found}/files-{uuid.uuid4().hex}"
+
+
 def words(conversations: DataFrame) -> DataFrame:
     """Timed words of conversations: a turn starts every ten seconds, a word every 0.4."""
     cut = conversations.select("conv_id", "turn", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "word"))
@@ -48,7 +110,7 @@ def window_hypotheses(conversations: DataFrame) -> DataFrame:
     page = F.when(n % 7 != 0, F.col("conv_id") % 1430 + 1)
     return conversations.select(
         F.col("conv_id").alias("sample_id"), F.col("turn").cast("long").alias("seq"), (F.col("turn") * 10).cast("double").alias("start_sec"), (F.col("turn") * 10 + n % 9 + 4).cast("double").alias("end_sec"),
-        page.alias("page"), F.when(n % 7 != 0, n % 2).cast("long").alias("line_no"), ((n * 7) % 101).cast("double").alias("confidence"), ((n % 11) / 10.0).alias("coverage"), "text",
+        page.alias("page"), F.when(n % 7 != 0, n % 2).cast("long").alias("line_no"), F.when(n % 7 != 0, (F.col("conv_id") * 3 + F.col("turn")) % 400).cast("long").alias("passage_id"), ((n * 7) % 101).cast("double").alias("confidence"), ((n % 11) / 10.0).alias("coverage"), "text",
     )
 
 
@@ -102,9 +164,21 @@ def read_comparisons(spark: SparkSession, path: str) -> DataFrame:
     return runs.select("id", "created_at", F.explode("rows").alias("r")).select("id", "created_at", "r.*", F.col("r.error").isNull().alias("ok"))
 
 
-def write_manifest(report: DataFrame, samples: DataFrame, build_id: DataFrame, path: str) -> None:
-    """A manifest: one line of JSON with the report and build id, and the samples beside it."""
-    report.join(build_id).withColumnRenamed("build_id", "id").write.mode("overwrite").json(f"{path}/build")
+#: What a row must be like to be part of a build.
+PREDICATE = {"tiers": ["high", "medium"], "kinds": ["line"], "require_text": True, "exclude_repeat_groups": True, "recording_qualities": ["clean_live", "studio"]}
+
+
+def write_manifest(report: DataFrame, samples: DataFrame, build_id: DataFrame, path: str, splits: DataFrame | None = None) -> None:
+    """A manifest: one line of JSON with build id, predicate, the rows of each split (split, rows) and
+    the report as coverage; the samples beside it."""
+    one = report.select(F.struct(*report.columns).alias("coverage")).first()
+    said = build_id.select(F.col("build_id").alias("id"), F.from_json(F.lit(json.dumps(PREDICATE)), "tiers array<string>, kinds array<string>, require_text boolean, exclude_repeat_groups boolean, recording_qualities array<string>").alias("eligibility_predicate"))
+    coverage = F.from_json(F.lit(json.dumps(one.coverage.asDict(), default=str)), report.schema)
+    said = said.withColumn("coverage", coverage)
+    if splits is not None:
+        counts = {r.split: r.rows for r in splits.collect()}  # three splits
+        said = said.withColumn("splits", F.struct(*[F.struct(F.lit(f"split={k}").alias("folder"), F.lit(n).alias("rows")).alias(k) for k, n in sorted(counts.items())]))
+    said.write.mode("overwrite").json(f"{path}/build")
     samples.write.mode("overwrite").json(f"{path}/samples")
 
 
@@ -114,6 +188,11 @@ def write_json_splits(rows: DataFrame, path: str) -> None:
     rows.select([F.round(c, 3).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in rows.columns]).write.partitionBy("split").mode("overwrite").json(path)
 
 
+def write_alignments(spans: DataFrame, path: str) -> None:
+    """The envelopes as JSON, one line a sample."""
+    envelopes(spans).write.mode("overwrite").json(path)
+
+
 def envelopes(spans: DataFrame) -> DataFrame:
     """One row a sample: its spans in order and the number of each tier."""
     span = F.struct("start_sec", "end_sec", "kind", "page", "line_no", "tier")

@@ -1,17 +1,16 @@
-"""Live sessions: batch forms over ordered events, and stateful streaming processors."""
+"""Rules of live sessions over ordered events, as window functions; the rules that carry a state from
+event to event are machines of ``linetrace.streaming.machines``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linetrace.functions.text import overlap_append
+from linetrace.streaming import machines
 
-PEAK, PEAK_AGE_S, BEATS, MARGIN = 85.0, 2.5, 90.0, 5.0
+#: Statuses from the one that wins to the one that yields; an error sticks.
+PRECEDENCE = ("recording", "processing", "listening")
 
 
 def _us(ts):
@@ -38,12 +37,23 @@ def debounce(events: DataFrame, seconds: float = 0.3) -> DataFrame:
 
 
 def status_changes(events: DataFrame) -> DataFrame:
-    before = F.lag("status").over(_order("seq"))
-    return events.withColumn("before", before).filter("before is null or before <> status").drop("before")
+    """Transitions of the status (session_id, ts, seq, status): of the statuses of one moment the first
+    by precedence counts, nothing follows an error, and a status like the one before is dropped."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("status")), F.lit(0))
+    rank = F.when(F.col("status") == "error", -1).when(rank == 0, len(PRECEDENCE) + 1).otherwise(rank)
+    tick = W.partitionBy("session_id", "ts").orderBy("rank", "seq")
+    firsts = events.withColumn("rank", rank).withColumn("place", F.row_number().over(tick)).filter("place = 1").drop("rank", "place")
+    w = _order("seq")
+    failed = F.max((F.col("status") == "error").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = firsts.withColumn("failed", F.coalesce(failed, F.lit(0))).filter("failed = 0").drop("failed")
+    return rows.withColumn("before", F.lag("status").over(w)).filter("before is null or before <> status").drop("before")
 
 
-def rolling_windows(events: DataFrame, length: str = "5 seconds", slide: str = "800 milliseconds") -> DataFrame:
-    return events.groupBy("session_id", F.window("ts", length, slide)).agg(F.count("*").alias("n"), F.max("score").alias("best")).select("session_id", F.col("window.start").alias("start"), "n", "best")
+def rolling_windows(events: DataFrame, length: str = "5 seconds", slide: str = "800 milliseconds", least: float = 0.0) -> DataFrame:
+    """Events of the last ``length``, looked at every ``slide``; a look whose events span less than
+    ``least`` seconds is left out."""
+    by = events.groupBy("session_id", F.window("ts", length, slide)).agg(F.count("*").alias("n"), F.max("score").alias("best"), (F.max(_us("ts")) - F.min(_us("ts"))).alias("span"))
+    return by.filter(F.col("span") >= least * 1e6).select("session_id", F.col("window.start").alias("start"), "n", "best")
 
 
 def tumbling(events: DataFrame, length: str = "2 seconds") -> DataFrame:
@@ -69,11 +79,13 @@ def self_correct(events: DataFrame, least: float = 90.0) -> DataFrame:
 
 
 def auto_select(events: DataFrame, least: float = 90.0, seconds: float = 1.0) -> DataFrame:
-    """Runs of one text with high scores that last ``seconds``."""
-    w = _order("seq")
-    sure = events.withColumn("sure", F.col("score") >= least)
-    new = ~F.coalesce(F.col("sure") & F.lag("sure").over(w) & (F.col("text") == F.lag("text").over(w)), F.lit(False))
-    runs = sure.withColumn("run", F.sum(new.cast("int")).over(w)).filter("sure").groupBy("session_id", "run", "text").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
+    """Runs of one text that last ``seconds``, during which it alone scores ``least`` or more: at each
+    moment (ts) of the run exactly one text does."""
+    high = events.filter(F.col("score") >= least).groupBy("session_id", "ts").agg(F.count_distinct("text").alias("texts"), F.min("text").alias("one"))
+    ticks = events.select("session_id", "ts").distinct().join(high, ["session_id", "ts"], "left").select("session_id", "ts", F.when(F.col("texts") == 1, F.col("one")).alias("text"))
+    w = _order()
+    new = ~F.coalesce(F.col("text") == F.lag("text").over(w), F.lit(False))
+    runs = ticks.withColumn("run", F.sum(new.cast("int")).over(w)).filter("text is not null").groupBy("session_id", "run", "text").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
     return runs.filter(_us("until") - _us("since") >= seconds * 1e6).select("session_id", "text", "since", "until")
 
 
@@ -102,131 +114,41 @@ def energy_guard(events: DataFrame, n: int = 8, level: float = 0.1) -> DataFrame
     return events.withColumn("lost", quiet & grew).filter("not lost").drop("lost")
 
 
-class Follower:
-    """The sticky position of one session: passage, line, seq, peak score and its time."""
-
-    def __init__(self, state: tuple | None = None):
-        self.passage, self.line, self.seq, self.peak, self.at = state or (None, None, -1, 0.0, 0.0)
-
-    def state(self) -> tuple:
-        return self.passage, self.line, self.seq, self.peak, self.at
-
-    def take(self, ts: float, seq: int, passage: int, line: int, score: float) -> str:
-        """What one accepted match does: stale, first, highlight, swap or held."""
-        if seq < self.seq:
-            return "stale"
-        if passage == self.passage:
-            self.line, self.seq, self.at, self.peak = line, seq, ts, max(self.peak, score)
-            return "highlight"
-        held = self.passage is not None and self.peak >= PEAK and ts - self.at < PEAK_AGE_S and score < BEATS and score < self.peak - MARGIN
-        if held:
-            return "held"
-        did = "first" if self.passage is None else "swap"
-        self.passage, self.line, self.seq, self.peak, self.at = passage, line, seq, score, ts
-        return did
-
-
-FOLLOWED = "session_id long, ts timestamp, seq long, action string, passage_id long, line_no long"
-
-
-def _follow(follower: Follower, pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for r in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-        did = follower.take(r.ts.timestamp(), int(r.seq), int(r.passage_id), int(r.line_no), float(r.score))
-        rows.append((r.session_id, r.ts, r.seq, did, follower.passage, follower.line))
-    return pd.DataFrame(rows, columns=["session_id", "ts", "seq", "action", "passage_id", "line_no"])
-
-
 def follow_batch(matches: DataFrame) -> DataFrame:
     """Positions of every session (session_id, ts, seq, passage_id, line_no, score)."""
-    return matches.groupBy("session_id").applyInPandas(lambda pdf: _follow(Follower(), pdf), FOLLOWED)
-
-
-def follow_stream(matches: DataFrame) -> DataFrame:
-    """The same over a stream; a session's state ends after an hour without events."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = state.getOption
-        follower = Follower(None if kept is None else (None if pd.isna(kept[0]) or kept[0] < 0 else kept[0], kept[1], *kept[2:]))
-        for pdf in pdfs:
-            yield _follow(follower, pdf)
-        p, line, *rest = follower.state()
-        state.update((-1 if p is None else p, -1 if line is None else line, *rest))
-        state.setTimeoutDuration(3_600_000)
-
-    return matches.groupBy("session_id").applyInPandasWithState(step, FOLLOWED, "passage long, line long, seq long, peak double, at double", "append", "ProcessingTimeTimeout")
+    rows = matches.select("session_id", _us("ts").alias("us"), "seq", "passage_id", "line_no", "score")
+    out = machines.fold(rows, machines.Follower, ["us", "seq"], "session_id long, us long, seq long, action string, passage_id long, line_no long")
+    return out.select("session_id", F.timestamp_micros("us").alias("ts"), "seq", "action", "passage_id", "line_no")
 
 
 def segment_utterances(frames: DataFrame, level: float = 0.3, silence_s: float = 0.5, speech_s: float = 0.25, longest_s: float = 7.0) -> DataFrame:
     """Utterances of (session_id, ts, prob): speech that ends by silence or by length."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, start, last, session = [], None, None, pdf["session_id"].iloc[0]
-        for r in pdf.sort_values("ts").itertuples(index=False):
-            if start is not None and ((r.ts - last).total_seconds() >= silence_s or (r.ts - start).total_seconds() >= longest_s):
-                if (last - start).total_seconds() >= speech_s:
-                    rows.append((session, start, last))
-                start = last = None
-            if r.prob >= level:
-                start, last = start or r.ts, r.ts
-        if start is not None and (last - start).total_seconds() >= speech_s:
-            rows.append((session, start, last))
-        return pd.DataFrame(rows, columns=["session_id", "since", "until"])
-
-    return frames.groupBy("session_id").applyInPandas(cut, "session_id long, since timestamp, until timestamp")
+    rows = frames.select("session_id", _us("ts").alias("us"), "prob")
+    out = machines.fold(rows, lambda: machines.Utterances(level, silence_s, speech_s, longest_s), ["us", "prob"], "session_id long, since long, until long")
+    return out.select("session_id", F.timestamp_micros("since").alias("since"), F.timestamp_micros("until").alias("until"))
 
 
 def track_position(matches: DataFrame) -> DataFrame:
     """SEARCHING, LOCKED and DRIFTING of every session's matches (session_id, ts, seq, score)."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        mode, low, rows = "SEARCHING", None, []
-        for r in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-            at = r.ts.timestamp()
-            low = None if r.score >= 50 else at if low is None else low
-            if mode == "SEARCHING" and r.score >= 75 or mode == "DRIFTING" and r.score >= 65:
-                mode = "LOCKED"
-            elif mode == "LOCKED" and r.score < 65:
-                mode = "DRIFTING"
-            elif mode == "DRIFTING" and low is not None and at - low >= 30:
-                mode = "SEARCHING"
-            rows.append((r.session_id, r.ts, r.seq, mode))
-        return pd.DataFrame(rows, columns=["session_id", "ts", "seq", "mode"])
-
-    return matches.groupBy("session_id").applyInPandas(walk, "session_id long, ts timestamp, seq long, mode string")
-
-
-SHOWN = "session_id long, ts timestamp, seq long, shown string"
-
-
-def _freeze(shown: str, pdf: pd.DataFrame) -> tuple[str, pd.DataFrame]:
-    """An empty text leaves what is shown; so does one under half as long as a shown text of more
-    than twelve characters, unless the canonical source says it."""
-    out = []
-    pdf = pdf.sort_values(["ts", "seq"])
-    for text, canonical in zip(pdf["text"].fillna(""), pdf["canonical"], strict=True):
-        if text and (canonical or len(shown) <= 12 or 2 * len(text) >= len(shown)):
-            shown = text
-        out.append(shown)
-    return shown, pdf[["session_id", "ts", "seq"]].assign(shown=out)
+    out = machines.fold(matches.select("session_id", _us("ts").alias("us"), "seq", "score"), machines.Tracker, ["us", "seq"], "session_id long, us long, seq long, mode string")
+    return out.select("session_id", F.timestamp_micros("us").alias("ts"), "seq", "mode")
 
 
 def freeze_last_good(events: DataFrame) -> DataFrame:
     """What every session shows after each of its events (session_id, ts, seq, text, canonical)."""
-    return events.groupBy("session_id").applyInPandas(lambda pdf: _freeze("", pdf)[1], SHOWN)
+    out = machines.fold(events.select("session_id", _us("ts").alias("us"), "seq", "text", "canonical"), machines.Frozen, ["us", "seq"], "session_id long, us long, seq long, shown string")
+    return out.select("session_id", F.timestamp_micros("us").alias("ts"), "seq", "shown")
 
 
 def accumulated(parts: DataFrame, key: str = "session_id") -> DataFrame:
-    """The running transcript of each key's parts (key, seq, text), overlaps joined once."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"])
-    return parts.groupBy(key).agg(F.count("*").alias("parts"), overlap_append(ordered).alias("transcript"))
+    """The transcript of each key's parts (key, seq, text) in the order of seq, overlaps joined once."""
+    rows = parts.select(F.col(key).alias("session_id"), "seq", "text")
+    out = machines.fold(rows, machines.Transcript, ["seq", "text"], "session_id long, seq long, parts long, transcript string", last_only=True)
+    return out.select(F.col("session_id").alias(key), "parts", "transcript")
 
 
 def active_keys(hits: DataFrame, seconds: float) -> DataFrame:
     """Keys with a hit in the last ``seconds`` of the table; the others have expired."""
-    end = hits.agg(F.max(_us("ts")).alias("now"))
+    now = hits.agg(F.max(_us("ts"))).first()[0]
     last = hits.groupBy("key").agg(F.max("ts").alias("last"))
-    return last.join(F.broadcast(end)).filter(F.col("now") - _us("last") <= int(seconds * 1e6)).select("key", "last")
+    return last.filter(F.lit(now) - _us("last") <= int(seconds * 1e6))
