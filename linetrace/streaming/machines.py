@@ -225,9 +225,12 @@ def fold(rows: DataFrame, machine: Callable[[], object], order: list[str], schem
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def stream(rows: DataFrame, machine: type, order: list[str], schema: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream, results appended as events come; events of one trigger are put in order,
-    a key's state ends after ``idle_ms`` without events."""
+def stream(rows: DataFrame, machine: type, order: list[str], schema: str, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream, results appended as events come; events of one trigger are put in order.
+    With ``idle_ms`` a key's state ends after so long without events.
+
+    A stream with such a timeout runs another batch whenever it could expire a state, so a trigger that
+    takes what is available and stops would never stop: ``idle_ms`` is for streams that run on."""
     key, columns = rows.columns[0], rows.columns
     names, _ = _columns(schema)
     kept, kinds = zip(*(x.split() for x in machine.STATE.split(", ")), strict=True)
@@ -246,7 +249,8 @@ def stream(rows: DataFrame, machine: type, order: list[str], schema: str, idle_m
         for row in zip(*(events[c].tolist() for c in columns), strict=True):
             out += runner.take(*row)
         state.update(tuple("-" if v is None else f"={v}" for v in runner.state()))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(F.col(key)).applyInPandasWithState(step, schema, stored, "append", "ProcessingTimeTimeout")
+    return rows.groupBy(F.col(key)).applyInPandasWithState(step, schema, stored, "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")

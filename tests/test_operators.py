@@ -158,7 +158,8 @@ def searched(spark):
     rng = random.Random(14)
     text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(n))
     lines = [(k, k // 10, text(rng.randrange(3, 10))) for k in range(200)]
-    queries = [("q0", lines[7][2]), ("q1", text(5)), ("q2", "ab cd"), ("q3", lines[63][2])]
+    known = next(t for _, p, t in lines if p == 6 and sum(len(w) >= T.LONG_TOKEN for w in t.split()) >= 4)
+    queries = [("q0", lines[7][2]), ("q1", text(5)), ("q2", "ab cd"), ("q3", known)]
     return lines, queries, spark.createDataFrame(lines, "order_id long, passage_id long, norm string"), spark.createDataFrame(queries, "query_id string, query string")
 
 
@@ -196,7 +197,7 @@ def test_cascade_takes_the_first_tier_that_fits(spark):
     now = spark.createDataFrame([("q0", 0), ("q1", 1), ("q2", 2), ("q3", 2)], "query_id string, passage_id long")
     recent = spark.createDataFrame([("q3", 6), ("q3", 2)], "query_id string, passage_id long")
     got = {r.query_id: (r.tier, r.order_id) for r in match.cascade_match(asked, table, now, recent).collect()}
-    assert got["q0"] == (1, 7) and got["q3"] == (2, 63)
+    assert got["q0"] == (1, 7) and got["q3"] == (2, next(o for o, _, t in lines if t == queries[3][1]))
     scoped = lambda p: match.runner_up_gate(match.scoped_topk_join(asked, table, p, 3)).filter("accepted")
     first = {r.query_id for r in scoped(now).collect()}
     assert {q for q, (tier, _) in got.items() if tier == 1} == first
