@@ -3,8 +3,8 @@
 The DOMs of one host are merged into a style tree: a node is a path of tags with their classes.  A
 node's presentation importance is the entropy of its child sequences over the host's pages, its
 content importance the entropy of its texts; both are shares of the largest entropy possible, and
-drawn towards 1 where few pages were seen.  Pages that carry one and the same main block count once,
-so copies of an article do not make it look like boilerplate.
+drawn towards 1 where few pages were seen.  Pages that say the same outside marked boilerplate count
+once, so copies of an article do not make it look like boilerplate.
 
 On each page importance is combined bottom-up over its branches: the mean content importance of the
 text below, by length, and the mean presentation importance of the nodes below.  Branches of low
@@ -171,17 +171,12 @@ class Page:
                 open_[tag] = open_.get(tag, 0) + 1
         text(len(source))
 
-    def main_block(self) -> str:
-        """The longest block of text, the first of several."""
-        best, now = "", []
-        for element, said in [*self.runs, (BREAK, "")]:
-            if element != BREAK:
-                now.append(said)
-            elif now:
-                block = _clean(now)
-                best = block if len(block) > len(best) else best
-                now = []
-        return best
+    def own_text(self) -> str:
+        """The page's text outside branches that a class word speaks against."""
+        marked = [False] * len(self.parent)
+        for e in range(1, len(marked)):
+            marked[e] = marked[self.parent[e]] or self.named[e]
+        return _clean([said for element, said in self.runs if element == BREAK or not marked[element]])
 
     def nodes(self) -> tuple[dict[int, int], dict[int, int]]:
         """Of each style node: a hash of the child sequences of its elements, and one of their text."""
@@ -259,14 +254,14 @@ def _signed(values: list[int]) -> pa.Array:
 
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each page, style node and kind: the hash of what the page shows or says there.  ``main``
-    names the page by its host and longest block."""
+    names the page by its own text."""
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             page = Page(source.as_py() or "")
             shapes, said = page.nodes()
             paths, values = [*shapes, *said], [*shapes.values(), *said.values()]
             kinds = np.repeat(np.array([SHAPE, SAID], dtype=np.int32), [len(shapes), len(said)])
-            main = _hash(page.main_block()) - (1 << 63)
+            main = _hash(page.own_text()) - (1 << 63)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(paths), host)), _signed(paths), pa.array(np.full(len(paths), main)), pa.array(kinds), _signed(values)], ["host", "path", "main", "kind", "value"]
             )
@@ -296,6 +291,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def _by_host(tree: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     rows = tree.toPandas().sort_values("host", kind="stable")
+    if rows.empty:
+        return {}
     hosts, at = np.unique(rows["host"].to_numpy(), return_index=True)
     columns = [rows[c].to_numpy() for c in ("path", "shape", "content")]
     return {int(h): tuple(c[a:b] for c in columns) for h, a, b in zip(hosts, at, [*at[1:], len(rows)], strict=True)}
@@ -326,9 +323,8 @@ def extract(pages: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages`` (page_id, url, html).
 
     Null or empty html gives empty text; null urls and urls without a host are one host; a host's few
-    pages say little about importance, which stays near 1, so there tags and class words decide; tied
-    blocks: the first is a page's main one; repeated rows give repeated results; other columns are
-    ignored; an empty table gives an empty result.  Character references are decoded, white space
+    pages say little about importance, which stays near 1, so there tags and class words decide; an
+    importance of just the bound stays; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.  Character references are decoded, white space
     inside a block becomes one space, blocks are joined by one space; nothing is capped.  A page is
     held whole in a task, several times its size as elements.
 

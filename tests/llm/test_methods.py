@@ -388,7 +388,7 @@ def test_the_style_tree_against_brute_force(spark):
     seen = collections.defaultdict(set)
     for _, _, source in rows:
         page = html_text.Page(source)
-        main = page.main_block()
+        main = page.own_text()
         for kind, values in enumerate(page.nodes()):
             for path, value in values.items():
                 seen[path, kind].add((main, value))
