@@ -90,4 +90,52 @@ l AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM
 SELECT doc_id, array_to_string(list_sort(list_filter([{_FOUND}], lambda x: x IS NOT NULL)), ',') AS licenses, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM l
 """
 
-ORACLES = {"op2_license_scan": OP2, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op7_preference_pairs": OP7}
+# CRC-32 of a list of bytes, by the table of its reflected polynomial.
+_CRC_TABLE = "(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i)))"
+_CRC = "xor(list_reduce([4294967295::BIGINT] || {0}, lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1])), 4294967295)"
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [192 + (unicode(s) >> 6)::BIGINT, 128 + (unicode(s) & 63)::BIGINT] END))"
+OP11 = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+s AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {_CRC.format(_BYTES.format("coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM s, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY word HAVING sum(k) >= 5 AND length(word) >= 6),
+d AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+p AS (SELECT a.word AS x, b.word AS y, b.n AS m FROM d AS a JOIN d AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM d AS a JOIN w ON a.rest = w.word UNION SELECT w.word, a.word, a.n FROM d AS a JOIN w ON a.rest = w.word),
+b AS (SELECT x, count(*) AS n_near, max(m) AS m, arg_min(y, (-m, y)) AS y FROM p GROUP BY x),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN y END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM w LEFT JOIN b ON x = word),
+g AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.top WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(top, step) AS root FROM g GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_TREE = """{0}_n AS (SELECT tree, i, 0 AS level, digest, count(*) OVER (PARTITION BY tree) AS n FROM {0}
+  UNION ALL SELECT tree, i // 2, level + 1, digest, (n + 1) // 2 FROM (SELECT tree, i, level, n, sha256(digest || coalesce(lead(digest) OVER (PARTITION BY tree ORDER BY i), '')) AS digest FROM {0}_n WHERE n > 1) WHERE i % 2 = 0)"""
+_WAY = """{0}_p AS (SELECT a.tree, a.i, coalesce(list({{odd: (a.i >> b.level) & 1, digest: s.digest}} ORDER BY b.level) FILTER (b.n > 1), []) AS way, max(b.digest) FILTER (b.n = 1) AS top
+  FROM {0} AS a JOIN {0}_n AS b ON a.tree IS NOT DISTINCT FROM b.tree AND b.i = a.i >> b.level LEFT JOIN {0}_n AS s ON s.tree IS NOT DISTINCT FROM b.tree AND s.level = b.level AND s.i = xor(b.i, 1) AND b.n > 1 GROUP BY a.tree, a.i)"""
+OP13 = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+d AS (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("(n_chars + 1)")} AS other, {_CRC.format(_BYTES.format("doc_id::VARCHAR"))} % 7 = 0 AS bad FROM documents, crc),
+l AS (SELECT lang AS tree, (row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1) AS i, leaf AS digest, doc_id, CASE WHEN bad THEN other ELSE leaf END AS now FROM d),
+{_TREE.format("l")},
+{_WAY.format("l")},
+t AS (SELECT 0 AS tree, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS i, digest, tree AS lang FROM l_n WHERE n = 1),
+{_TREE.format("t")},
+{_WAY.format("t")},
+a AS (SELECT doc_id, l.digest AS leaf, t.digest AS subroot, t_p.top AS root, l_p.way || t_p.way AS way, now FROM l JOIN l_p ON l.tree IS NOT DISTINCT FROM l_p.tree AND l.i = l_p.i
+  JOIN t ON t.lang IS NOT DISTINCT FROM l.tree JOIN t_p ON t.i = t_p.i),
+f AS (SELECT *, list_reduce([{{odd: 0::BIGINT, digest: now}}] || way, lambda x, s: {{odd: 0::BIGINT, digest: sha256(CASE WHEN s.odd = 1 THEN s.digest || x.digest ELSE x.digest || coalesce(s.digest, '') END)}}).digest AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(way, lambda s: s.digest IS NOT NULL), lambda s: s.digest), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+ORACLES = {
+    "op2_license_scan": OP2,
+    "op3_substring_dedup": OP3,
+    "op4_quality_rules": OP4,
+    "op7_preference_pairs": OP7,
+    "op11_spelling_variants": OP11,
+    "op13_merkle_manifest": OP13,
+}

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linetrace.llm import decontaminate, html_text, license_scan, mixing, preferences, quality_rules, secret_scan, simhash, substring_dedup, token_counts
-from linetrace.llm.common import table
+from linetrace.llm import (
+    decontaminate,
+    html_text,
+    license_scan,
+    merkle,
+    mixing,
+    preferences,
+    quality_rules,
+    secret_scan,
+    simhash,
+    spelling,
+    substring_dedup,
+    token_counts,
+    token_frames,
+)
+from linetrace.llm.common import shared_dir, table
 
 LIMIT = 2048
 
@@ -56,7 +71,38 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_frames.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    read = token_frames.read(spark, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": n_chars})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mix, op2_license_scan, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_decontaminate, op7_preference_pairs, op8_secret_scan, op9_html_text, op10_simhash_dedup)
+    for f in (
+        op1_source_mix,
+        op2_license_scan,
+        op3_substring_dedup,
+        op4_quality_rules,
+        op5_token_counts,
+        op6_decontaminate,
+        op7_preference_pairs,
+        op8_secret_scan,
+        op9_html_text,
+        op10_simhash_dedup,
+        op11_spelling_variants,
+        op12_token_frames,
+        op13_merkle_manifest,
+    )
 }
