@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linetrace.functions.text import pseudonymize
 from linetrace.streaming import machines
+from linetrace.streaming.sinks import CommittedTable
 
 # Kinds of corrections that users send.
 TYPES = ("wrong_pangti", "wrong_shabad", "not_gurbani", "unknown", "partial_match")
@@ -61,13 +64,27 @@ def ingest(rows: DataFrame, secret: str) -> DataFrame:
     return good.select(*own, pseudonymize(F.col("session_token"), secret).alias("session_hmac"), *plain, *flat)
 
 
-def append_feedback(rows: DataFrame, secret: str, path: str) -> None:
-    """Appends valid rows to the store, as new files; rows of a stream are appended batch by batch."""
-    stored = ingest(rows, secret)
+def append_feedback(rows: DataFrame, secret: str, path: str, name: str | None = None) -> None:
+    """Appends valid rows to the store of ``path``, once for each ``name`` of a batch.  The batches of a
+    stream are named by their numbers, so one that runs again is not stored twice."""
+    stored, table = ingest(rows, secret), CommittedTable(rows.sparkSession, path)
     if not rows.isStreaming:
-        stored.write.mode("append").parquet(path)
+        table.append(name or uuid.uuid4().hex, {"feedback": stored})
         return
-    stored.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_progress").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).start().awaitTermination()
+    named = name or "stream"
+    writer = stored.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_progress")
+    writer.foreachBatch(lambda batch, k: table.append(f"{named}-{k:09d}", {"feedback": batch}) and None).start().awaitTermination()
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return CommittedTable(spark, path).read("feedback")
+
+
+def erase_stored(spark: SparkSession, path: str, tokens: DataFrame) -> int:
+    """Erases the sessions of ``tokens`` from the store of ``path``: the files that hold them are written
+    again without them, all others stay.  Returns how many files that were."""
+    keys = ["session_hmac", "id"] if "id" in tokens.columns else ["session_hmac"]
+    return CommittedTable(spark, path).erase("feedback", lambda rows: rows.join(tokens, keys, "left_semi"), lambda rows: erase(rows, tokens))
 
 
 def newest(rows: DataFrame, key: str, n: int = NEWEST) -> DataFrame:

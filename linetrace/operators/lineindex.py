@@ -23,10 +23,10 @@ Scorer = Callable[[str, Sequence[str]], np.ndarray]
 
 def overlap_scores(query: str, lines: Sequence[str]) -> np.ndarray:
     """Twice the shared distinct words by the distinct words of both."""
-    own = set(query.split())
-    out = np.zeros(len(lines))
+    words = lambda text: {x for x in text.split(" ") if x}
+    own, out = words(query), np.zeros(len(lines))
     for i, line in enumerate(lines):
-        other = set(line.split())
+        other = words(line)
         if own or other:
             out[i] = 200.0 * len(own & other) / (len(own) + len(other))
     return out

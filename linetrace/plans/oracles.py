@@ -252,8 +252,6 @@ _FOLLOW = (
 )
 _LOW = "CASE WHEN x.score >= 50 THEN -1 WHEN a.low < 0 THEN x.us ELSE a.low END"
 _MODE = f"CASE WHEN a.mode = 'SEARCHING' AND x.score >= 75 OR a.mode <> 'SEARCHING' AND x.score >= 65 THEN 'LOCKED' WHEN a.mode = 'LOCKED' THEN 'DRIFTING' WHEN a.mode = 'DRIFTING' AND {_LOW} >= 0 AND x.us - {_LOW} >= 30000000 THEN 'SEARCHING' ELSE a.mode END"
-_OVER = "a.start >= 0 AND (x.us - a.last >= 86400000000 OR x.us - a.start >= 864000000000)"
-_DONE = "CASE WHEN a.last - a.start >= 60000000 THEN list_append(a.out, [a.start, a.last]) ELSE a.out END"
 ORACLES |= {
     "rolling_scores": """WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS us, value / 100 AS score, unnest(range(7)) AS j FROM events), w AS (SELECT *, us - us % 69120000000 - j * 69120000000 AS s FROM e)
         SELECT session_id, make_timestamp(s) AS start, count(*) AS n, max(score) AS best FROM w WHERE us < s + 432000000000 GROUP BY session_id, s HAVING max(us) - min(us) >= 25920000000""",
@@ -271,9 +269,6 @@ ORACLES |= {
         SELECT session_id, status, count(*) AS n FROM b WHERE before IS NULL OR before <> status GROUP BY ALL""",
     "followed_positions": f"WITH {_MATCHES}, {_FOLD.format('us: us, seq: seq, passage: passage, score: score', _FOLLOW, '{passage: -1::BIGINT, seq: -1::BIGINT, peak: 0::DOUBLE, seen: 0::BIGINT, n: []::VARCHAR[]}')} SELECT session_id, action, count(*) AS n FROM (SELECT session_id, unnest(s.n) AS action FROM f) GROUP BY ALL",
     "tracked_modes": f"WITH {_MATCHES}, {_FOLD.format('us: us, score: score', '{mode: ' + _MODE + ', low: ' + _LOW + ', n: list_append(a.n, ' + _MODE + ')}', chr(123) + 'mode: ' + repr('SEARCHING') + ', low: -1::BIGINT, n: []::VARCHAR[]}')} SELECT session_id, mode, count(*) AS n FROM (SELECT session_id, unnest(s.n) AS mode FROM f) GROUP BY ALL",
-    "utterances": f"""WITH m AS (SELECT user_id AS session_id, ts, epoch_us(ts) AS us, value / 100 AS prob, value / 100 AS seq FROM events),
-        {_FOLD.format('us: us, prob: prob', '{start: CASE WHEN x.prob >= 0.3 THEN CASE WHEN a.start < 0 OR ' + _OVER + ' THEN x.us ELSE a.start END WHEN ' + _OVER + ' THEN -1 ELSE a.start END, last: CASE WHEN x.prob >= 0.3 THEN x.us WHEN ' + _OVER + ' THEN -1 ELSE a.last END, out: CASE WHEN ' + _OVER + ' THEN ' + _DONE + ' ELSE a.out END}', '{start: -1::BIGINT, last: -1::BIGINT, out: []::BIGINT[][]}')},
-        u AS (SELECT session_id, unnest(CASE WHEN s.start >= 0 AND s.last - s.start >= 60000000 THEN list_append(s.out, [s.start, s.last]) ELSE s.out END) AS p FROM f) SELECT session_id, p[1] // 1000000 AS since, p[2] // 1000000 AS until FROM u""",
     "last_good_shown": f"""WITH m AS (SELECT user_id AS session_id, ts, event_id AS seq, coalesce(props, '') AS text, event_type = 'click' AS canonical FROM events),
         {_FOLD.format('text: text, canonical: canonical', '{shown: CASE WHEN x.text <> ' + repr('') + ' AND (x.canonical OR length(a.shown) <= 12 OR 2 * length(x.text) >= length(a.shown)) THEN x.text ELSE a.shown END, n: a.n + 1, chars: a.chars + length(CASE WHEN x.text <> ' + repr('') + ' AND (x.canonical OR length(a.shown) <= 12 OR 2 * length(x.text) >= length(a.shown)) THEN x.text ELSE a.shown END)}', '{shown: ' + repr('') + ', n: 0::BIGINT, chars: 0::BIGINT}')}
         SELECT session_id, s.n AS n, s.chars AS chars FROM f""",
@@ -281,3 +276,80 @@ ORACLES |= {
         {_FOLD.format('us: us, seq: seq', '{recent: CASE WHEN len(list_filter(a.recent, lambda r: r >= x.us - 86400000000)) < 3 THEN list_append(list_filter(a.recent, lambda r: r >= x.us - 86400000000), x.us) ELSE list_filter(a.recent, lambda r: r >= x.us - 86400000000) END, out: list_append(a.out, {id: x.seq, before: len(list_filter(a.recent, lambda r: r >= x.us - 86400000000))})}', '{recent: []::BIGINT[], out: []::STRUCT(id BIGINT, before BIGINT)[]}')},
         o AS (SELECT session_id AS key, unnest(s.out) AS o FROM f) SELECT key, o.id AS id, o.before < 3 AS allowed, 3 - least(3, o.before + 1) AS remaining FROM o""",
 }
+
+# --- Live sessions, step by step
+UTTERANCES = """
+WITH RECURSIVE u AS (SELECT user_id AS session_id, epoch_us(ts) AS us, value / 100 AS prob, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS n FROM events),
+r AS (SELECT DISTINCT session_id, 0::BIGINT AS n, NULL::BIGINT AS since, NULL::BIGINT AS last, 0::BIGINT AS voiced, 0::BIGINT AS silent, 0::BIGINT AS total, []::BIGINT[] AS ring,
+    NULL::BIGINT AS e_since, NULL::BIGINT AS e_until, NULL::BIGINT AS e_voiced, NULL::VARCHAR AS e_reason FROM u
+  UNION ALL
+  SELECT session_id, n, CASE WHEN ends THEN NULL WHEN open THEN s0 WHEN active THEN ring2[1] END, us, CASE WHEN ends THEN 0 WHEN open THEN v WHEN active THEN 3600000000 ELSE 0 END, CASE WHEN open AND NOT ends THEN q ELSE 0 END,
+    CASE WHEN ends THEN 0 WHEN open THEN t WHEN active THEN 3600000000 ELSE 0 END, CASE WHEN open OR active THEN [] ELSE ring2 END,
+    CASE WHEN ends OR (gapped AND v0 >= 7200000000) THEN s0 END, CASE WHEN ends THEN us + 3600000000 ELSE last + 3600000000 END, CASE WHEN ends THEN v ELSE v0 END, CASE WHEN quiet THEN 'silence' WHEN ends THEN 'length' ELSE 'gap' END
+  FROM (SELECT *, open AND q >= 10000000000 AND v >= 7200000000 AS quiet, open AND (q >= 10000000000 AND v >= 7200000000 OR t >= 28800000000) AS ends
+    FROM (SELECT *, s0 IS NOT NULL AND NOT gapped AS open, v0 + CASE WHEN active THEN 3600000000 ELSE 0 END AS v, CASE WHEN active THEN 0 ELSE q0 + 3600000000 END AS q, t0 + 3600000000 AS t,
+        list_append(list_filter(ring, lambda x: x >= us + 3600000000 - 90000000000), us) AS ring2
+      FROM (SELECT r.session_id, u.n, u.us, u.prob >= 0.3 AS active, last, ring, since AS s0, voiced AS v0, silent AS q0, total AS t0, since IS NOT NULL AND last + 400000000000 <= us AS gapped
+        FROM r JOIN u ON u.session_id = r.session_id AND u.n = r.n + 1)))),
+h AS (SELECT max(us) // 1000 * 1000 AS until FROM u)
+SELECT session_id, e_since AS since, e_until AS until, e_voiced AS voiced, e_reason AS reason FROM r WHERE e_since IS NOT NULL
+UNION ALL SELECT session_id, since, last + 3600000000, voiced, 'gap' FROM r, h WHERE since IS NOT NULL AND voiced >= 7200000000 AND last + 400000000000 <= until
+  AND n = (SELECT count(*) FROM u WHERE u.session_id = r.session_id)
+"""
+_DICE = "(CASE WHEN len({0}) + len({1}) = 0 THEN 0 ELSE 200.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END)"
+_LETTERS = "translate(array_to_string(list_transform(list_filter(string_split({0}, ' '), lambda x: x <> ''), lambda x: x[1]), ''), 'bfgdj', 'ppktc')"
+_TOKS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
+READERS = f"""{LINES},
+c AS (SELECT order_id, passage_id AS doc, line_no, norm, {_TOKS.format("norm")} AS toks FROM lines WHERE norm <> '' AND line_type <> 'heading'),
+said AS (SELECT doc // 4 AS session_id, (1700000000 + (doc % 4 * 100000 + line_no) * 4 + line_no // 11 * 12) * 1000000 AS us, order_id AS seq, line_no % 40 = 25 AS interjection,
+  CASE WHEN line_no % 40 BETWEEN 20 AND 31 THEN 'zzz yyy' WHEN (line_no * 7 + doc) % 10 IN (7, 8) THEN array_to_string(list_filter(string_split(norm, ' '), lambda x, i: i % 2 = 1), ' ') ELSE norm END AS text FROM c),
+first_ AS (SELECT {_LETTERS.format("norm")} AS letters, min(order_id) AS hit, arg_min(toks, order_id) AS hit_toks FROM c GROUP BY letters),
+u AS (SELECT session_id, us, seq, interjection, text, own, hit, CASE WHEN hit IS NOT NULL THEN {_DICE.format("own", "hit_toks")} ELSE 0 END AS hit_score, row_number() OVER (PARTITION BY session_id ORDER BY us, seq) AS n
+  FROM (SELECT *, {_TOKS.format("text")} AS own FROM said) LEFT JOIN first_ ON letters = {_LETTERS.format("text")} AND letters <> '')"""
+POSITIONS = f"""
+WITH RECURSIVE {READERS},
+r AS (SELECT DISTINCT session_id, 0::BIGINT AS n, NULL::BIGINT AS seq, 'SEARCHING' AS mode, NULL::BIGINT AS line, 0 AS weak, NULL::BIGINT AS low, NULL::BIGINT AS last, 0::DOUBLE AS score, false AS held, false AS asked FROM u
+  UNION ALL
+  SELECT session_id, n, seq, CASE WHEN found THEN 'LOCKED' WHEN drifts THEN 'DRIFTING' WHEN lost THEN 'SEARCHING' ELSE mode END, CASE WHEN found THEN best WHEN lost AND NOT drifts THEN NULL ELSE line END,
+    CASE WHEN found OR drifts OR lost THEN 0 ELSE weak2 END, CASE WHEN found OR (lost AND NOT drifts) THEN NULL ELSE low2 END, us, score, held, asked
+  FROM (SELECT *, NOT found AND weak2 >= 2 AS drifts, NOT found AND mode = 'DRIFTING' AND low2 IS NOT NULL AND us - low2 >= 30000000 AS lost
+    FROM (SELECT *, score >= CASE WHEN mode = 'SEARCHING' THEN 75 ELSE 65 END AS found, weak + CASE WHEN mode = 'LOCKED' THEN 1 ELSE 0 END AS weak2, CASE WHEN score < 50 THEN coalesce(low, us) END AS low2
+      FROM (SELECT session_id, n, seq, us, mode, line, weak, low, held, asked, CASE WHEN mode = 'SEARCHING' THEN hit ELSE b.o END AS best, CASE WHEN mode = 'SEARCHING' THEN hit_score ELSE coalesce(b.s, 0) END AS score
+        FROM (SELECT session_id, n, x.seq, us, mode, line, weak, low, held, asked, hit, hit_score,
+            max({{v: {_DICE.format("own", "toks")} + CASE WHEN mode = 'LOCKED' THEN 5.0::DOUBLE ELSE 2.0::DOUBLE END * (1.0::DOUBLE - abs(order_id - line) / (CASE WHEN mode = 'LOCKED' THEN 200 ELSE 2000 END)::DOUBLE), o: order_id, s: {_DICE.format("own", "toks")}}}) FILTER (order_id IS NOT NULL) AS b
+          FROM (SELECT session_id, n, seq, us, own, hit, hit_score, held, asked, CASE WHEN gone THEN 'SEARCHING' ELSE mode END AS mode, CASE WHEN NOT gone THEN line END AS line, CASE WHEN gone THEN 0 ELSE weak END AS weak, CASE WHEN NOT gone THEN low END AS low
+            FROM (SELECT r.session_id, u.n, u.seq, u.us, u.own, u.hit, u.hit_score, mode, line, weak, low, coalesce(u.us >= last + 10000000, false) AS held, coalesce(u.us >= last + 300000000, false) AS asked,
+                coalesce(mode = 'DRIFTING' AND low + 30000000 <= last + 10000000 AND low + 30000000 <= u.us, false) AS gone FROM r JOIN u ON u.session_id = r.session_id AND u.n = r.n + 1)) AS x
+          LEFT JOIN c ON mode <> 'SEARCHING' AND c.doc = line // 100000 AND abs(c.order_id - line) <= CASE WHEN mode = 'LOCKED' THEN 200 ELSE 2000 END
+          GROUP BY session_id, n, x.seq, us, mode, line, weak, low, held, asked, hit, hit_score)))))
+SELECT session_id, seq, mode, coalesce(line, -1) AS line, round(score, 6) AS score, held, asked FROM r WHERE n > 0
+"""
+_TAKEN = "({0}.s >= 60 OR ({0}.s >= 40 AND (coalesce({1}, 0) = 0 OR {0}.s >= 1.8::DOUBLE * {1})))"
+PASSAGES = f"""
+WITH RECURSIVE {READERS},
+r AS (SELECT DISTINCT session_id, 0::BIGINT AS n, NULL::BIGINT AS seq, 'none' AS outcome, NULL::BIGINT AS passage, -1::BIGINT AS stand, []::BIGINT[] AS seen, NULL::BIGINT AS line, 0::DOUBLE AS score FROM u
+  UNION ALL
+  SELECT session_id, n, seq, outcome, CASE WHEN line IS NULL THEN passage ELSE line // 100000 END, CASE WHEN line IS NULL THEN stand ELSE seq END, CASE WHEN line IS NULL THEN seen ELSE list_distinct(list_append(seen, line // 100000)) END, line, score
+  FROM (SELECT session_id, n, seq, passage, stand, seen, what AS outcome, CASE what WHEN 'tier 1' THEN a.o WHEN 'tier 2' THEN b.o WHEN 'tier 3' THEN hit END AS line, CASE what WHEN 'tier 1' THEN a.s WHEN 'tier 2' THEN b.s WHEN 'tier 3' THEN hit_score ELSE 0 END AS score
+    FROM (SELECT *, CASE WHEN interjection THEN 'interjection' WHEN seq < stand THEN 'stale' WHEN a IS NOT NULL AND CASE WHEN short THEN a.s >= 85 ELSE {_TAKEN.format("a", "a2")} END THEN 'tier 1' WHEN short THEN 'none'
+        WHEN b IS NOT NULL AND {_TAKEN.format("b", "b2")} THEN 'tier 2' WHEN hit IS NOT NULL AND hit_score >= 45 THEN 'tier 3' ELSE 'none' END AS what
+      FROM (SELECT session_id, n, x.seq, interjection, short, passage, stand, seen, hit, hit_score,
+          max({{s: {_DICE.format("own", "toks")}, o: order_id}}) FILTER (c.doc = passage) AS a, (list({_DICE.format("own", "toks")} ORDER BY {_DICE.format("own", "toks")} DESC) FILTER (c.doc = passage))[2] AS a2,
+          max({{s: {_DICE.format("own", "toks")}, o: order_id}}) FILTER (c.doc <> passage) AS b, (list({_DICE.format("own", "toks")} ORDER BY {_DICE.format("own", "toks")} DESC) FILTER (c.doc <> passage))[2] AS b2
+        FROM (SELECT r.session_id, u.n, u.seq, u.interjection, length(u.text) < 6 AS short, u.own, u.hit, u.hit_score, passage, stand, seen, unnest(CASE WHEN len(seen) = 0 THEN [-1::BIGINT] ELSE seen END) AS doc
+          FROM r JOIN u ON u.session_id = r.session_id AND u.n = r.n + 1) AS x LEFT JOIN c ON c.doc = x.doc
+        GROUP BY session_id, n, x.seq, interjection, short, passage, stand, seen, hit, hit_score))))
+SELECT session_id, seq, outcome, coalesce(passage, -1) AS passage, coalesce(line, -1) AS line, round(score, 6) AS score FROM r WHERE n > 0
+"""
+ORACLES |= {
+    "utterances": UTTERANCES,
+    "utterances_live": UTTERANCES,
+    "positions_tracked": POSITIONS,
+    "positions_tracked_live": POSITIONS,
+    "passages_followed": PASSAGES,
+    "passages_followed_live": PASSAGES,
+    "rate_limited_live": ORACLES["rate_limited"],
+    "late_events": """WITH e AS (SELECT event_id, ts, event_id % 3 AS part FROM events), h AS (SELECT k AS part, (SELECT max(ts) FROM e WHERE e.part < k) AS high FROM range(3) AS t(k))
+        SELECT event_id, CASE WHEN ts < high - INTERVAL 3 DAY THEN 'late' ELSE 'clean' END AS part FROM e JOIN h USING (part)""",
+    "stored_after_erasure": f"WITH {FEEDBACK} SELECT id, {HMAC.format('token')} AS session_hmac, kind AS correction_type FROM fb WHERE issues = '' AND token NOT IN (SELECT 'session-' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+}

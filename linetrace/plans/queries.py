@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from linetrace.functions import text as T
 from linetrace.functions.scoring import indel_ratio, token_coverage
-from linetrace.operators import align, dataset, evaluate, feedback, match, registry
+from linetrace.operators import align, dataset, evaluate, feedback, lineindex, match, registry
 from linetrace.sources import views
-from linetrace.streaming import sessions
+from linetrace.streaming import live, sessions, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SECRET = "a secret of enough length"
@@ -276,11 +276,13 @@ def first_letters_live(spark, d):
 
 @query
 def fuzzy_scoped(spark, d):
-    """Each searched window within the passages that share one of its words of twelve letters or more."""
+    """Each searched window within the passages that hold the rarest of its words that any passage holds."""
     q, lines = _search(spark, d), views.indexable(_lines(spark, d))
-    long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) >= 12))
-    asked = q.select("query_id", F.explode(long_words("query")).alias("word"))
-    scopes = lines.select("passage_id", F.explode(long_words("norm")).alias("word")).join(asked, "word").select("query_id", "passage_id").distinct()
+    asked = q.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("word"))
+    held = lines.select("passage_id", F.explode(F.array_distinct(T.tokens(F.col("norm")))).alias("word"))
+    held = held.join(asked.select("word").distinct(), "word", "left_semi").distinct()
+    rarest = asked.join(held.groupBy("word").count(), "word").groupBy("query_id").agg(F.min(F.struct("count", "word")).alias("r"))
+    scopes = held.join(rarest.select("query_id", "r.word"), "word").select("query_id", "passage_id")
     return match.scoped_topk_join(q, lines, scopes, 3).select("query_id", "order_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -487,16 +489,31 @@ def written_alignments(spark, d):
     return spark.read.schema(kinds).json(path).select("sample_id", F.explode("segments").alias("s")).groupBy("sample_id", "s.tier").agg(F.count("*").alias("n"), F.max("s.start_sec").alias("last"))
 
 
+def _store(spark, d) -> str:
+    """Feedback appended in two batches; the second is sent twice."""
+    path, rows = views.shared_dir(spark), _feedback(spark, d)
+    for part in (0, 1, 1):
+        feedback.append_feedback(rows.filter(F.col("id") % 2 == part), SECRET, path, f"batch-{part}")
+    return path
+
+
 @query
 def stored_feedback(spark, d):
-    """Feedback appended in two parts, read back."""
-    path, rows = views.shared_dir(spark), _feedback(spark, d)
-    for part in (0, 1):
-        feedback.append_feedback(rows.filter(F.col("id") % 2 == part), SECRET, path)
-    stored = spark.read.parquet(path)
+    """Feedback appended in parts, one of them twice, read back."""
+    stored = feedback.read_feedback(spark, _store(spark, d))
     return stored.groupBy("correction_type").agg(F.count("*").alias("n"), F.sum("correction_ang").alias("pages"), F.count_distinct("session_hmac").alias("sessions"), F.lit("audio_base64" in stored.columns).alias("with_audio"))
 
 
+@query
+def stored_after_erasure(spark, d):
+    """The rows that are left in the store after the sessions of one market segment were erased from its files."""
+    path = _store(spark, d)
+    token = F.concat(F.lit("session-"), F.col("c_custkey"))
+    gone = _t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(T.pseudonymize(token, SECRET).alias("session_hmac"))
+    feedback.erase_stored(spark, path, gone)
+    return feedback.read_feedback(spark, path).select("id", "session_hmac", "correction_type")
+
+
 @query
 def weighted_draws(spark, d):
     """How often each stratum is drawn among 1,000 draws."""
@@ -785,9 +802,102 @@ def tracked_modes(spark, d):
     return sessions.track_position(_matches(spark, d)).groupBy("session_id", "mode").agg(F.count("*").alias("n"))
 
 
+_FRAMES = {"level": 0.3, "frame_s": 3600.0, "silence_s": 10_000.0, "speech_s": 7200.0, "longest_s": 28_800.0, "before_s": 90_000.0, "gap_s": 400_000.0}
+
+
+def _frames(spark, d):
+    return _t(spark, d, "events").select(F.col("user_id").alias("session_id"), _us("ts").alias("us"), (F.col("value") / 100).alias("prob"))
+
+
+def _us(name):
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def _parts(rows):
+    """Rows by the thirds of their time: what a stream gets one after the other."""
+    written = views.stashed(rows)
+    low, high = written.agg(F.min("us"), F.max("us")).first()
+    third = F.least(F.lit(2), F.floor((F.col("us") - (low or 0)) * 3 / F.lit(max(1, (high or 0) - (low or 0)))))
+    return [written.filter(third == n) for n in range(3)]
+
+
+def _streamed(rows, build, timers=True):
+    return sinks.run_in_parts(_parts(rows), build, views.shared_dir(rows.sparkSession), timers)
+
+
 @query
 def utterances(spark, d):
-    return sessions.segment_utterances(_t(spark, d, "events").select(F.col("user_id").alias("session_id"), "ts", (F.col("value") / 100).alias("prob")), 0.3, 86_400.0, 60.0, 864_000.0).select("session_id", *_seconds("since", "until"))
+    frames = _frames(spark, d)
+    return live.segment_utterances(frames, live.horizon(frames), **_FRAMES)
+
+
+@query
+def utterances_live(spark, d):
+    """The same by a stream: pre-roll in a list state, pauses by event-time timers."""
+    return _streamed(_frames(spark, d), lambda s: live.segment_utterances(s, **_FRAMES))
+
+
+def _read_aloud(spark, d):
+    """Corpus lines in an index, and utterances with the first line that has their letters."""
+    lines = views.stashed(views.indexable(_lines(spark, d)).select("order_id", "passage_id", "line_no", "norm"))
+    index = lineindex.index_lines(lines, views.shared_dir(spark))
+    return lines, index, views.readings(lines)
+
+
+_PLACED = ["session_id", "seq", "mode", F.coalesce("line", F.lit(-1)).alias("line"), F.round("score", 6).alias("score"), "held", "asked"]
+
+
+@query
+def positions_tracked(spark, d):
+    """Positions of readers who are searched for near where they stand."""
+    lines, index, said = _read_aloud(spark, d)
+    found = live.follow_positions(lineindex.with_first_hit(said, lines), index, lineindex.overlap_scores)
+    return found.filter("event = 'utterance'").select(*_PLACED)
+
+
+@query
+def positions_tracked_live(spark, d):
+    """The same by a stream, joined with the fixed corpus, with a state and timers for each reader."""
+    lines, index, said = _read_aloud(spark, d)
+    found = _streamed(said, lambda s: live.follow_positions(lineindex.with_first_hit(s, lines), index, lineindex.overlap_scores))
+    return found.filter("event = 'utterance'").select(*_PLACED)
+
+
+_PASSED = ["session_id", "seq", "outcome", F.coalesce("passage", F.lit(-1)).alias("passage"), F.coalesce("line", F.lit(-1)).alias("line"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score")]
+
+
+@query
+def passages_followed(spark, d):
+    """Passages of readers by the three tiers, each searched by what the session has seen."""
+    lines, index, said = _read_aloud(spark, d)
+    return live.follow_passages(lineindex.with_first_hit(said, lines), index, lineindex.overlap_scores).select(*_PASSED)
+
+
+@query
+def passages_followed_live(spark, d):
+    """The same by a stream, the passages seen in a map state."""
+    lines, index, said = _read_aloud(spark, d)
+    return _streamed(said, lambda s: live.follow_passages(lineindex.with_first_hit(s, lines), index, lineindex.overlap_scores)).select(*_PASSED)
+
+
+@query
+def rate_limited_live(spark, d):
+    """``rate_limited`` by a stream, accepted hits in a list state with a time to live."""
+    hits = _t(spark, d, "events").select(F.col("user_id").alias("key"), _us("ts").alias("us"), F.col("event_id").alias("id"))
+    return _streamed(hits, lambda s: live.limit_rates(s, 3, 86_400), timers=False).select("key", "id", "allowed", "remaining")
+
+
+@query
+def late_events(spark, d):
+    """Events that come in three batches by their ids; those of a batch that lie behind the watermark of
+    the batches before are late."""
+    events = views.stashed(_t(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")))
+    path = views.shared_dir(spark)
+    for n in range(3):
+        events.filter(F.col("event_id") % 3 == n).write.parquet(f"{path}/in/{n}")
+        table = sinks.route_late(sinks.source(spark, f"{path}/in", events.schema), f"{path}/routed", "ts", 3 * 86_400)
+    parts = [table.read(p, "event_id long, ts timestamp").select("event_id", F.lit(p).alias("part")) for p in ("clean", "late")]
+    return parts[0].unionByName(parts[1])
 
 
 @query

@@ -97,6 +97,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found}/files-{uuid.uuid4().hex}"
 
 
+def stashed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read again."""
+    path = shared_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def words(conversations: DataFrame) -> DataFrame:
     """Timed words of conversations: a turn starts every ten seconds, a word every 0.4."""
     cut = conversations.select("conv_id", "turn", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "word"))
@@ -198,3 +205,14 @@ def envelopes(spans: DataFrame) -> DataFrame:
     span = F.struct("start_sec", "end_sec", "kind", "page", "line_no", "tier")
     tiers = F.map_from_arrays(F.array(*map(F.lit, ("high", "medium", "needs_review", "n/a"))), F.array(*[F.count_if(F.col("tier") == t) for t in ("high", "medium", "needs_review", "n/a")]))
     return spans.groupBy("sample_id").agg(F.count("*").alias("segment_count"), F.max("end_sec").alias("duration_sec"), tiers.alias("tier_counts"), F.sort_array(F.collect_list(span)).alias("segments"))
+
+
+def readings(lines: DataFrame) -> DataFrame:
+    """Utterances of readers (session_id, us, seq, text, interjection): a session reads the lines of four
+    passages in order, a line every four seconds with pauses, some of them garbled or not heard."""
+    k, at = (F.col("line_no") * 7 + F.col("passage_id")) % 10, F.col("line_no") % 40
+    half = F.array_join(F.filter(T.tokens(F.col("norm")), lambda x, i: i % 2 == 0), " ")
+    text = F.when(at.between(20, 31), "zzz yyy").when(k.isin(7, 8), half).otherwise(F.col("norm"))
+    seconds = (F.col("passage_id") % 4 * 100_000 + F.col("line_no")) * 4 + F.floor(F.col("line_no") / 11) * 12
+    us = (1_700_000_000 + seconds) * 1_000_000
+    return lines.select(F.floor(F.col("passage_id") / 4).alias("session_id"), us.alias("us"), F.col("order_id").alias("seq"), text.alias("text"), (at == 25).alias("interjection"))

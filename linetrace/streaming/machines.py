@@ -48,26 +48,6 @@ class Follower:
         return []
 
 
-class Utterances:
-    """Stretches of speech: each ends by silence or by length, and short ones are dropped."""
-
-    def __init__(self, level: float, silence_s: float, speech_s: float, longest_s: float):
-        self.level, self.silence, self.speech, self.longest = level, silence_s * SECOND, speech_s * SECOND, longest_s * SECOND
-        self.start = self.last = None
-
-    def end(self, key) -> list[tuple]:
-        start, last = self.start, self.last
-        self.start = self.last = None
-        return [(key, start, last)] if start is not None and last - start >= self.speech else []
-
-    def take(self, key, us, prob) -> list[tuple]:
-        over = self.start is not None and (us - self.last >= self.silence or us - self.start >= self.longest)
-        out = self.end(key) if over else []
-        if prob is not None and prob >= self.level:
-            self.start, self.last = us if self.start is None else self.start, us
-        return out
-
-
 class Tracker:
     """SEARCHING, LOCKED and DRIFTING by the scores of matches."""
 

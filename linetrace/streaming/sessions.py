@@ -121,13 +121,6 @@ def follow_batch(matches: DataFrame) -> DataFrame:
     return out.select("session_id", F.timestamp_micros("us").alias("ts"), "seq", "action", "passage_id", "line_no")
 
 
-def segment_utterances(frames: DataFrame, level: float = 0.3, silence_s: float = 0.5, speech_s: float = 0.25, longest_s: float = 7.0) -> DataFrame:
-    """Utterances of (session_id, ts, prob): speech that ends by silence or by length."""
-    rows = frames.select("session_id", _us("ts").alias("us"), "prob")
-    out = machines.fold(rows, lambda: machines.Utterances(level, silence_s, speech_s, longest_s), ["us", "prob"], "session_id long, since long, until long")
-    return out.select("session_id", F.timestamp_micros("since").alias("since"), F.timestamp_micros("until").alias("until"))
-
-
 def track_position(matches: DataFrame) -> DataFrame:
     """SEARCHING, LOCKED and DRIFTING of every session's matches (session_id, ts, seq, score)."""
     out = machines.fold(matches.select("session_id", _us("ts").alias("us"), "seq", "score"), machines.Tracker, ["us", "seq"], "session_id long, us long, seq long, mode string")

@@ -138,3 +138,17 @@ def run_to_end(rows: DataFrame, path: str, timers: bool = True) -> tuple[DataFra
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     state = sum(o.numRowsTotal for o in last.stateOperators) if last else 0
     return spark.read.schema(rows.schema).parquet(f"{path}/rows"), state
+
+
+def source(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The files under ``path`` as a stream."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], path: str, timers: bool = True) -> DataFrame:
+    """What a stream writes that meets ``parts`` one after the other: each is added to its files, and the
+    stream goes on from its checkpoint until it has read them."""
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{path}/in/{n}")
+        out, _ = run_to_end(build(source(part.sparkSession, f"{path}/in", part.schema)), f"{path}/out", timers)
+    return out

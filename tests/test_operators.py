@@ -296,7 +296,9 @@ def test_feedback_is_stored_from_batches_and_streams(spark, tmp_path):
     feedback.append_feedback(rows, secret, f"{tmp_path}/store")
     rows.write.parquet(f"{tmp_path}/in")
     feedback.append_feedback(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), secret, f"{tmp_path}/store")
-    stored = spark.read.parquet(f"{tmp_path}/store")
+    # A batch that runs again, under its old name or from its old offsets, is not stored twice.
+    feedback.append_feedback(rows, secret, f"{tmp_path}/store", "stream-000000000")
+    stored = feedback.read_feedback(spark, f"{tmp_path}/store")
     assert stored.count() == 2 and "session_token" not in stored.columns and "audio_base64" not in stored.columns and stored.select("id").distinct().count() == 2
 
 
