@@ -64,6 +64,27 @@ def detect_repeats(spans: DataFrame, gap: float = 1.0, rule: str = "gap") -> Dat
     return rows.withColumn("repeat_group", F.when(member, F.concat_ws("_", F.lit("rg"), "page", "line_no", first))).drop("again")
 
 
+#: Seconds of a sample that are swept at once.
+SWEEP = 600
+
+
+def words_in_holes(holes: DataFrame, words: DataFrame) -> DataFrame:
+    """``words`` (sample_id, mid, ...) with the hole (start_sec, end_sec) that they fall into, its start
+    included.  Holes of a sample must not overlap.
+
+    One sorted pass over both: the hole of a word can only be the last that began before it.  A pass
+    covers ``SWEEP`` seconds, and a longer hole begins again in each, so the rows are those of both
+    tables, and no sample is in one task."""
+    of = lambda t: F.floor(t / SWEEP).cast("long")
+    cover = F.struct("start_sec", "end_sec")
+    began = holes.select("sample_id", cover.alias("hole"), F.explode(F.sequence(of(F.col("start_sec")), of(F.col("end_sec")))).alias("part"))
+    began = began.withColumn("at", F.greatest(F.col("hole.start_sec"), F.col("part") * F.lit(float(SWEEP)))).withColumn("word", F.lit(None).cast(words.schema.simpleString()))
+    said = words.select("sample_id", F.lit(None).cast("struct<start_sec: double, end_sec: double>").alias("hole"), of(F.col("mid")).alias("part"), F.col("mid").alias("at"), F.struct(*words.columns).alias("word"))
+    sweep = W.partitionBy("sample_id", "part").orderBy("at", F.col("word").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = began.unionByName(said).withColumn("hole", F.last("hole", ignorenulls=True).over(sweep))
+    return met.filter("word is not null and word.mid < hole.end_sec").select("word.*", "hole.*")
+
+
 def detect_gaps(spans: DataFrame, words: DataFrame, durations: DataFrame, gap: float = 2.0) -> DataFrame:
     """Stretches of more than ``gap`` seconds before, between and after spans: without words
     silence, with only vowel words vocalise, else unknown."""
@@ -72,7 +93,7 @@ def detect_gaps(spans: DataFrame, words: DataFrame, durations: DataFrame, gap: f
     both = spans.select("sample_id", "start_sec", "end_sec").unionByName(ends)
     holes = both.withColumn("from", F.lag("end_sec", 1, 0.0).over(w)).filter(F.col("start_sec") - F.col("from") > gap).select("sample_id", F.col("from").alias("start_sec"), F.col("start_sec").alias("end_sec"))
     said = words.select("sample_id", ((F.col("start_sec") + F.col("end_sec")) / 2).alias("mid"), vowel_only(F.col("word")).alias("vowel"))
-    inside = holes.join(said, "sample_id").filter("mid >= start_sec and mid < end_sec").groupBy("sample_id", "start_sec", "end_sec").agg(F.min("vowel").alias("vowels"))
+    inside = words_in_holes(holes, said).groupBy("sample_id", "start_sec", "end_sec").agg(F.min("vowel").alias("vowels"))
     kind = F.when(F.col("vowels").isNull(), "silence").when(F.col("vowels"), "vocalise").otherwise("unknown")
     return holes.join(inside, ["sample_id", "start_sec", "end_sec"], "left").select("sample_id", "start_sec", "end_sec", kind.alias("kind"))
 

@@ -82,11 +82,18 @@ def model_compare(a: DataFrame, b: DataFrame, groups: DataFrame | None = None, n
     return counts.withColumn("k", F.lit(0)).join(stable.withColumn("k", F.lit(0)), "k").drop("k")
 
 
-def gold_compare(found: DataFrame, gold: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Golden queries (query_id, order_id, least, most) against the best line found for each."""
-    top = found.filter("rank = 1").select("query_id", F.col("order_id").alias("got"), F.col("score").alias("got_score"))
+def gold_compare(found: DataFrame, gold: DataFrame, slack: float = 5.0, near_top: int = 3) -> DataFrame:
+    """Golden queries (query_id, order_id, least, most) against the best line found for each.  A query
+    may name lines that must not be among the first ``near_top`` (forbidden, an array)."""
+    top = found.filter(F.col("rank") <= near_top).groupBy("query_id").agg(
+        F.max_by("order_id", -F.col("rank")).alias("got"), F.max_by("score", -F.col("rank")).alias("got_score"), F.collect_list("order_id").alias("near")
+    )
     fits = (F.col("got_score") >= F.coalesce(F.col("least") - slack, F.lit(0.0))) & (F.col("got_score") <= F.coalesce(F.col("most") + slack, F.lit(100.0)))
-    return gold.join(top, "query_id", "left").select("query_id", (F.col("order_id").isNull() | F.coalesce(F.col("got") == F.col("order_id"), F.lit(False))).alias("line_ok"), F.coalesce(fits, F.lit(False)).alias("score_ok"))
+    line_ok = F.col("order_id").isNull() | F.coalesce(F.col("got") == F.col("order_id"), F.lit(False))
+    checks = [line_ok.alias("line_ok"), F.coalesce(fits, F.lit(False)).alias("score_ok")]
+    if "forbidden" in gold.columns:
+        checks.append((~F.coalesce(F.arrays_overlap("forbidden", "near"), F.lit(False))).alias("forbidden_ok"))
+    return gold.join(top, "query_id", "left").select("query_id", *checks)
 
 
 def category_coverage(samples: DataFrame, goals: DataFrame) -> DataFrame:

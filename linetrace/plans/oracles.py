@@ -125,11 +125,14 @@ ORACLES: dict[str, str] = {
         SELECT session_id, id, coalesce(epoch_us(ts) - heard > 3600000000, false) AS stopped FROM b""",
     "warmup_gated": f"""WITH {EVENTS}, b AS (SELECT *, min(ts) OVER p AS begun, max(score) OVER p AS loud FROM ev WINDOW p AS (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
         SELECT session_id, id FROM b WHERE text <> 'view' OR epoch_us(ts) - epoch_us(begun) >= 86400000000 OR loud > 0.5""",
-    "self_corrected": f"WITH {EVENTS} SELECT session_id, id, CASE WHEN score >= 0.9 THEN text ELSE '' END AS shown FROM ev",
+    "self_corrected": f"""WITH {EVENTS}, k AS (SELECT *, last_value(CASE WHEN canonical THEN score END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN canonical THEN 'line ' || id END IGNORE NULLS) OVER w AS m,
+        last_value(CASE WHEN NOT canonical THEN text || ' ' || id END IGNORE NULLS) OVER w AS t FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+        SELECT session_id, id, coalesce(CASE WHEN s >= 0.3 THEN m ELSE t END, '') AS shown FROM k""",
     "active_keys": "SELECT user_id AS key, max(ts) AS last FROM events GROUP BY user_id HAVING (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) <= 86400000000",
     "category_coverage": "SELECT 'lang-' || lang AS category, count(*) AS got, 200::BIGINT AS goal, count(*) >= 200 AS met FROM documents WHERE lang IS NOT NULL GROUP BY lang",
-    "gold_compared": f"""WITH {RANKED}, gold AS (SELECT user_id AS query_id, max(event_id) AS order_id FROM events GROUP BY user_id)
-        SELECT query_id, r.order_id = g.order_id AS line_ok, r.score BETWEEN 55 AND 95 AS score_ok FROM gold g JOIN ranked r USING (query_id) WHERE r.rank = 1""",
+    "gold_compared": f"""WITH {RANKED}, gold AS (SELECT user_id AS query_id, max(event_id) AS order_id, min(event_id) AS lowest FROM events GROUP BY user_id)
+        SELECT query_id, r.order_id = g.order_id AS line_ok, r.score BETWEEN 55 AND 95 AS score_ok,
+          NOT EXISTS (SELECT 1 FROM ranked x WHERE x.query_id = g.query_id AND x.rank <= 3 AND x.order_id IN (g.order_id, g.lowest)) AS forbidden_ok FROM gold g JOIN ranked r USING (query_id) WHERE r.rank = 1""",
     "accumulated_transcripts": """WITH p AS (SELECT conv_id AS session_id, count(*) AS parts, list(coalesce(text, '') ORDER BY turn, text) AS ts FROM conversations GROUP BY conv_id)
         SELECT session_id, parts, list_reduce(ts, lambda a, b: CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN starts_with(b, right(a, 20)) THEN a || substring(b, length(right(a, 20)) + 1) ELSE a || ' ' || b END) AS transcript FROM p""",
 }

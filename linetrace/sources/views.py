@@ -149,6 +149,34 @@ def audio_catalog(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("audio_sha256"))
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """Names and times of the files under ``path``; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("modificationTime").alias("mtime"))
+
+
+def alignment_state(spark: SparkSession, samples: DataFrame, alignments: str, audio: str) -> DataFrame:
+    """``samples`` (sample_id, filename, alignment_file) with what their files are: ``reason`` is missing
+    where there is no alignment, broken where it is no JSON, stale where the audio is newer, else ok.
+    Every sample stays, so that a report can name it."""
+    own = _listed(spark, alignments).select(F.col("file").alias("a"), F.col("mtime").alias("aligned_at"))
+    heard = _listed(spark, audio).select(F.col("file").alias("h"), F.col("mtime").alias("heard_at"))
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(alignments)
+    bad = whole.filter(F.get_json_object("value", "$").isNull()).select(F.col("_metadata.file_name").alias("b")).distinct()
+    name = F.element_at(F.split("alignment_file", "/"), -1)
+    met = samples.join(own, name == F.col("a"), "left").join(heard, F.col("filename") == F.col("h"), "left").join(bad, F.col("a") == F.col("b"), "left")
+    reason = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNotNull(), "broken").when(F.col("heard_at") > F.col("aligned_at"), "stale").otherwise("ok")
+    return met.select(*[samples[c] for c in samples.columns], "aligned_at", reason.alias("reason"))
+
+
+def uncached_files(spark: SparkSession, audio: str, cache: str, model: str) -> DataFrame:
+    """Audio files (sample, mtime) whose result in the cache (``cache/model/sample.json``) is missing or
+    older, by the times of the files."""
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    sources = _listed(spark, audio).select(F.lit(model).alias("model"), stem.alias("sample"), "mtime")
+    return uncached(sources, _listed(spark, f"{cache}/{model}").select(F.lit(model).alias("model"), stem.alias("sample"), "mtime"))
+
+
 def uncached(sources: DataFrame, cache: DataFrame) -> DataFrame:
     """Source rows (model, sample, mtime) without a cached result that is at least as new."""
     cached = cache.select(F.col("model").alias("m"), F.col("sample").alias("s"), F.col("mtime").alias("t"))

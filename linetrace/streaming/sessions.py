@@ -74,8 +74,12 @@ def silence_stop(events: DataFrame, seconds: float = 2.5, level: float = 0.02) -
 
 
 def self_correct(events: DataFrame, least: float = 90.0) -> DataFrame:
-    """The canonical text while the score is high enough."""
-    return events.withColumn("shown", F.when(F.col("score") >= least, F.col("text")))
+    """``shown`` after each event: a transcript (text) or a pass of the matcher (matched, score).  While
+    the last pass scored ``least`` or more its canonical text stays, else the last transcript shows."""
+    so_far = _order("seq").rowsBetween(W.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("matched").isNotNull(), F.struct("matched", "score")), ignorenulls=True).over(so_far)
+    said = F.last("text", ignorenulls=True).over(so_far)
+    return events.withColumn("shown", F.when(last["score"] >= least, last["matched"]).otherwise(said))
 
 
 def auto_select(events: DataFrame, least: float = 90.0, seconds: float = 1.0) -> DataFrame:
