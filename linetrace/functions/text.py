@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -124,9 +126,11 @@ def recode_script(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, source, target), _block(DEVANAGARI), "")
 
 
-def recode_columns(rows: DataFrame, columns: list[str], passes: list[tuple[str, str]]) -> DataFrame:
-    """``rows`` with ``<column>_unicode`` for each of the columns, recoded from a legacy font."""
-    return rows.withColumns({f"{c}_unicode": recode_font(F.col(c), passes) for c in columns})
+def recode_columns(rows: DataFrame, columns: list[str], font: list[tuple[str, str]] | Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``<column>_unicode`` for each of the columns, recoded from a legacy font: by passes or
+    by a compiled one."""
+    recode = font if callable(font) else lambda c: recode_font(c, font)
+    return rows.withColumns({f"{c}_unicode": recode(F.col(c)) for c in columns})
 
 
 def recode_font(text: Column, passes: list[tuple[str, str]]) -> Column:
@@ -136,6 +140,35 @@ def recode_font(text: Column, passes: list[tuple[str, str]]) -> Column:
     return text
 
 
+def legacy_font(mapping: Mapping[str, str], dropped: str = "", pairs: Sequence[str] = (), prefix: str = "", halves: str = "") -> Callable[[Column], Column]:
+    """A recoding of texts in a font's own bytes, compiled from its table.
+
+    Characters of ``dropped`` go.  ``pairs`` are marks in their right order; where one stands reversed it
+    is turned.  Then one pass from left to right takes the longest entry at each place, so what an entry
+    gives is never read again; characters without an entry stay.  ``prefix`` is a vowel that is written
+    before its consonant and belongs after it, and after one of ``halves`` that follows the consonant,
+    unless the table has an entry for both together."""
+    quoted = lambda keys: "|".join(re.escape(k) for k in sorted(keys, key=lambda k: (-len(k), k)))
+    longer = quoted(k for k in mapping if len(k) > 1)
+    after = f"|{re.escape(prefix)}.(?:{quoted(halves)})?" if prefix and halves else f"|{re.escape(prefix)}." if prefix else ""
+    token = f"(?s)(?:{longer}{after}|.)" if longer else f"(?s)(?:{after[1:] + '|' if after else ''}.)"
+    table = F.create_map(*[F.lit(x) for entry in mapping.items() for x in entry])
+    one = lambda c: F.coalesce(F.try_element_at(table, c), c)
+
+    def given(x: Column) -> Column:
+        moved = F.concat(one(F.substring(x, 2, 1)), one(F.substring(x, 3, 1)), one(F.lit(prefix)))
+        alone = F.when((F.length(x) > 1) & x.startswith(prefix), moved).otherwise(x) if prefix else x
+        return F.coalesce(F.try_element_at(table, x), alone)
+
+    def recode(text: Column) -> Column:
+        text = F.translate(text, dropped, "") if dropped else text
+        for pair in pairs:
+            text = F.replace(text, F.lit(pair[::-1]), F.lit(pair))
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), given), "")
+
+    return recode
+
+
 def vowel_only(token: Column) -> Column:
     """Has a letter and no ASCII consonant; y is a consonant."""
     return token.rlike(r"\p{L}") & ~F.lower(token).rlike("[b-df-hj-np-tv-z]")

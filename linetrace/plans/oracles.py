@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from linetrace.plans.queries import _font_table
 
 #: Normalisation, lines and the other derived tables, as in ``sources.views``.
 NORM = r"""trim(regexp_replace(regexp_replace(lower({0}), '[.,;|:!?\-"''(){{}}\[\]0-9]+', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -356,3 +357,12 @@ ORACLES |= {
         SELECT event_id, CASE WHEN ts < high - INTERVAL 3 DAY THEN 'late' ELSE 'clean' END AS part FROM e JOIN h USING (part)""",
     "stored_after_erasure": f"WITH {FEEDBACK} SELECT id, {HMAC.format('token')} AS session_hmac, kind AS correction_type FROM fb WHERE issues = '' AND token NOT IN (SELECT 'session-' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
 }
+
+# --- A legacy font: the longest entry at each place, from left to right
+_ENTRIES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _font_table().items()) + "}"
+_LONGER = "|".join(sorted((k for k in _font_table() if len(k) > 1), key=lambda k: (-len(k), k)))
+_TURNED = "replace(replace(replace(translate({0}, '.;>', ''), 'qs', 'sq'), 'ru', 'ur'), 'Ny', 'yN')"
+_RECODED = "array_to_string(list_transform(regexp_extract_all({0}, '(?s)(?:" + _LONGER + "|i.[hrv]?|.)'), lambda x: CASE WHEN m[x] IS NOT NULL THEN m[x] WHEN starts_with(x, 'i') AND length(x) > 1 " \
+    "THEN coalesce(m[x[2]], x[2]) || CASE WHEN length(x) > 2 THEN coalesce(m[x[3]], x[3]) ELSE '' END || m['i'] ELSE x END), '')"
+ORACLES["recoded_legacy"] = f"""WITH k AS (SELECT doc_id, {_RECODED.format(_TURNED.format("text"))} AS t, {_RECODED.format(_TURNED.format("source"))} AS s FROM documents, (SELECT {_ENTRIES} AS m))
+    SELECT doc_id, md5(t) AS text_md5, length(t)::BIGINT AS n, s AS source_unicode FROM k"""

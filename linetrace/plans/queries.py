@@ -190,6 +190,24 @@ def recoded_font(spark, d):
     return T.recode_columns(c, ["name", "segment"], FONT).select("c_custkey", "name_unicode", "segment_unicode")
 
 
+def _font_table() -> dict[str, str]:
+    """A font's table by a rule: letters and digits are places of a block of letters, some pairs have
+    entries of their own, and what these give are again letters of the font."""
+    single = {c: chr(0x0A05 + k) for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz0123456789")}
+    double = {f"{a}{b}": b.upper() + a for a in "aeou" for b in "nrst"}
+    return single | double | {"a": "o", "ie": "y", "the": "d", "th": "T"}
+
+
+FONT_RULES = {"dropped": ".;>", "pairs": ("sq", "ur", "yN"), "prefix": "i", "halves": "hrv"}
+
+
+@query
+def recoded_legacy(spark, d):
+    """All texts and names of the documents by a compiled font."""
+    recoded = T.recode_columns(_t(spark, d, "documents").select("doc_id", "text", "source"), ["text", "source"], T.legacy_font(_font_table(), **FONT_RULES))
+    return recoded.select("doc_id", F.md5("text_unicode").alias("text_md5"), F.length("text_unicode").cast("long").alias("n"), "source_unicode")
+
+
 @query
 def good_transcripts(spark, d):
     said = F.when(F.col("turn") % 5 == 0, "Waiting for speech").when(F.col("turn") % 5 == 1, F.concat("text", F.lit("\ufffd"))).when(F.col("conv_id") % 7 == 0, "12 34").otherwise(F.col("text"))

@@ -62,3 +62,15 @@ def test_files_that_are_missing_broken_or_stale_are_rows_with_a_reason(spark, tm
     got = {r.sample_id: r.reason for r in views.alignment_state(spark, samples, f"{tmp_path}/align", f"{tmp_path}/audio").collect()}
     assert got == {"a": "ok", "b": "broken", "c": "stale", "d": "missing", "e": "missing"}
     assert sorted(r["sample"] for r in views.uncached_files(spark, f"{tmp_path}/audio", f"{tmp_path}/cache", "big").collect()) == ["c", "d"]
+
+
+def test_a_font_takes_the_longest_entry_and_reads_nothing_twice(spark):
+    from linetrace.functions.text import legacy_font
+
+    table = {"a": "b", "b": "a", "ab": "X", "abc": "Y", "i": "1", "ie": "E", "k": "K", "h": "+", ".": "never", "(": ")"}
+    recode = legacy_font(table, dropped=".;", pairs=("ab", "kh"), prefix="i", halves="h")
+    cases = {"ab": "X", "abc": "Y", "bb": "aa", "aab": "bX", "ba": "X", "ik": "K1", "ikh": "K+1", "ie": "E", "ikz": "K1z", "i": "1", "hk": "K+", "a.b": "X", "(\n?": ")\n?", "": "", "izh": "z+1"}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    assert [(r.t, r.got) for r in rows.select("t", "want", recode(F.col("t")).alias("got")).collect()] == [*cases.items(), (None, None)]
+    plain = legacy_font({"q": "k", "k": "q"})
+    assert rows.limit(1).select(plain(F.lit("qkq-")).alias("x")).first().x == "kqk-"
