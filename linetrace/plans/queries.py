@@ -862,7 +862,7 @@ def _read_aloud(spark, d):
     return lines, index, views.readings(lines)
 
 
-_PLACED = ["session_id", "seq", "mode", F.coalesce("line", F.lit(-1)).alias("line"), F.round("score", 6).alias("score"), "held", "asked"]
+_PLACED = ["session_id", "seq", "mode", "coalesce(line, -1) AS line", "round(score, 6) AS score", "held", "asked"]
 
 
 @query
@@ -870,7 +870,7 @@ def positions_tracked(spark, d):
     """Positions of readers who are searched for near where they stand."""
     lines, index, said = _read_aloud(spark, d)
     found = live.follow_positions(lineindex.with_first_hit(said, lines), index, lineindex.overlap_scores)
-    return found.filter("event = 'utterance'").select(*_PLACED)
+    return found.filter("event = 'utterance'").selectExpr(*_PLACED)
 
 
 @query
@@ -878,24 +878,24 @@ def positions_tracked_live(spark, d):
     """The same by a stream, joined with the fixed corpus, with a state and timers for each reader."""
     lines, index, said = _read_aloud(spark, d)
     found = _streamed(said, lambda s: live.follow_positions(lineindex.with_first_hit(s, lines), index, lineindex.overlap_scores))
-    return found.filter("event = 'utterance'").select(*_PLACED)
+    return found.filter("event = 'utterance'").selectExpr(*_PLACED)
 
 
-_PASSED = ["session_id", "seq", "outcome", F.coalesce("passage", F.lit(-1)).alias("passage"), F.coalesce("line", F.lit(-1)).alias("line"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score")]
+_PASSED = ["session_id", "seq", "outcome", "coalesce(passage, -1) AS passage", "coalesce(line, -1) AS line", "round(coalesce(score, 0D), 6) AS score"]
 
 
 @query
 def passages_followed(spark, d):
     """Passages of readers by the three tiers, each searched by what the session has seen."""
     lines, index, said = _read_aloud(spark, d)
-    return live.follow_passages(lineindex.with_first_hit(said, lines), index, lineindex.overlap_scores).select(*_PASSED)
+    return live.follow_passages(lineindex.with_first_hit(said, lines), index, lineindex.overlap_scores).selectExpr(*_PASSED)
 
 
 @query
 def passages_followed_live(spark, d):
     """The same by a stream, the passages seen in a map state."""
     lines, index, said = _read_aloud(spark, d)
-    return _streamed(said, lambda s: live.follow_passages(lineindex.with_first_hit(s, lines), index, lineindex.overlap_scores)).select(*_PASSED)
+    return _streamed(said, lambda s: live.follow_passages(lineindex.with_first_hit(s, lines), index, lineindex.overlap_scores)).selectExpr(*_PASSED)
 
 
 @query
