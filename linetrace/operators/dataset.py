@@ -51,10 +51,24 @@ def training_rows(samples: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def skip_reasons(samples: DataFrame, spans: DataFrame) -> DataFrame:
-    a = samples.select(F.lit("sample").alias("level"), sample_reason().alias("reason"))
-    b = spans.select(F.lit("segment").alias("level"), segment_reason().alias("reason"))
-    return a.unionByName(b).filter("reason <> 'ok'").groupBy("level", "reason").count()
+def gathered(samples: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """All ``samples`` with the ``reason`` why one is left out, or ok.  ``files`` (sample_id, reason) is what
+    became of their alignment files (``views.alignment_state``): a sample that it lacks has none."""
+    rows, reason = samples.withColumn("reason", sample_reason()), F.col("reason")
+    if files is None:
+        return rows
+    state = F.coalesce("state", F.lit("missing"))
+    rows = rows.join(files.select("sample_id", F.col("reason").alias("state")), "sample_id", "left")
+    return rows.withColumn("reason", F.when((reason == "ok") & (state != "ok"), F.concat(F.lit("alignment_"), state)).otherwise(reason)).drop("state")
+
+
+def skip_reasons(samples: DataFrame, spans: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Why samples and segments are left out, with counts.  Where ``files`` says what became of the
+    alignments, only the segments of samples that are taken are looked at."""
+    a = gathered(samples, files)
+    looked = spans if files is None else spans.join(a.filter("reason = 'ok'").select("sample_id"), "sample_id", "left_semi")
+    b = looked.select(F.lit("segment").alias("level"), segment_reason().alias("reason"))
+    return a.select(F.lit("sample").alias("level"), "reason").unionByName(b).filter("reason <> 'ok'").groupBy("level", "reason").count()
 
 
 def build_report(rows: DataFrame) -> DataFrame:

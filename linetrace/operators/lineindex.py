@@ -92,6 +92,7 @@ def with_first_hit(utterances: DataFrame, lines: DataFrame) -> DataFrame:
     letters = lambda c: phonetic_key(first_letters(tokens(F.col(c))))
     first = lines.groupBy(letters("norm").alias("letters")).agg(F.min_by(F.struct("order_id", "passage_id", "norm"), "order_id").alias("hit"))
     spans = lines.groupBy("passage_id").agg(F.min("order_id").alias("hit_lo"), F.max("order_id").alias("hit_hi"))
-    hits = first.filter("letters <> ''").select("letters", F.col("hit.order_id").alias("hit_line"), F.col("hit.passage_id").alias("hit_passage"), F.col("hit.norm").alias("hit_text"))
+    named = [F.col(f"hit.{a}").alias(b) for a, b in (("order_id", "hit_line"), ("passage_id", "hit_passage"), ("norm", "hit_text"))]
+    hits = first.filter("letters <> ''").select("letters", *named)
     hits = hits.join(spans.withColumnRenamed("passage_id", "hit_passage"), "hit_passage")
     return utterances.withColumn("letters", letters("text")).join(hits, "letters", "left").drop("letters")

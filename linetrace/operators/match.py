@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,10 @@ def coverage(query: str, line: str) -> float:
     return met / len(wanted) * min(1.0, len(wanted) / 4) if wanted else 0.0
 
 
+#: What a line covers of a query, from 0 to 1.
+Covers = Callable[[str, str], float]
+
+
 def _letters(text: str) -> str:
     return "".join(t[0] for t in text.split()).translate(str.maketrans(*ALIKE))
 
@@ -123,18 +127,20 @@ def _partial_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 PAIRED = "query_id string, order_id long, passage_id long, query string, norm string, partial double"
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], covers: Covers) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         partial = batch.column("partial").to_pylist()
-        cover = [coverage(a, b) for a, b in zip(batch.column("query").to_pylist(), batch.column("norm").to_pylist(), strict=True)]
+        cover = [covers(a, b) for a, b in zip(batch.column("query").to_pylist(), batch.column("norm").to_pylist(), strict=True)]
         columns = [batch.column(c) for c in ("query_id", "order_id", "passage_id", "partial")]
         score = [a * b for a, b in zip(partial, cover, strict=True)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(cover, pa.float64()), pa.array(score, pa.float64())], ["query_id", "order_id", "passage_id", "partial", "coverage", "score"])
 
 
-def rescore(pool: DataFrame) -> DataFrame:
-    """Token coverage and score of a pool (query_id, order_id, passage_id, query, norm, partial)."""
-    return pool.select("query_id", "order_id", "passage_id", "query", "norm", "partial").mapInArrow(_score_batches, SCORED)
+def rescore(pool: DataFrame, covers: Covers = coverage) -> DataFrame:
+    """Coverage and score of a pool (query_id, order_id, passage_id, query, norm, partial): the partial
+    ratio times what ``covers`` says of a query and a line, the share of its tokens unless another is given."""
+    rows = pool.select("query_id", "order_id", "passage_id", "query", "norm", "partial")
+    return rows.mapInArrow(lambda b: _score_batches(b, covers), SCORED)
 
 
 def rank_matches(scored: DataFrame, k: int) -> DataFrame:
@@ -142,10 +148,11 @@ def rank_matches(scored: DataFrame, k: int) -> DataFrame:
     return best_by_query(scored, k, F.col("score").desc(), F.col("partial").desc(), F.col("coverage").desc(), F.col("order_id").desc())
 
 
-def fuzzy_topk_join(queries: DataFrame, lines: DataFrame, k: int = 5, pool: int = POOL) -> DataFrame:
-    """Exact: the pool by partial ratio over all lines, rescored with token coverage, best k."""
+def fuzzy_topk_join(queries: DataFrame, lines: DataFrame, k: int = 5, pool: int = POOL, covers: Covers = coverage) -> DataFrame:
+    """Exact: the pool by partial ratio over all lines, rescored with token coverage or another measure
+    from 0 to 1 (``covers``), best k."""
     found = candidate_pool(queries, lines, pool).join(queries.select("query_id", "query"), "query_id")
-    return rank_matches(rescore(found), k)
+    return rank_matches(rescore(found, covers), k)
 
 
 def prefiltered_topk_join(queries: DataFrame, lines: DataFrame, k: int = 5, prefilter: int = PREFILTER, pool: int = POOL) -> DataFrame:

@@ -35,7 +35,7 @@ def registry_problems(samples: DataFrame, raags: DataFrame) -> DataFrame:
     64 hex digits of the audio hash, and raags that the taxonomy ``raags`` (raag) lacks.  Optional
     fields may be null."""
     maybe = lambda ok: F.coalesce(ok, F.lit(True))
-    known = samples.join(F.broadcast(raags.select("raag", F.lit(True).alias("known")).distinct()), "raag", "left")
+    known = samples.join(raags.select("raag", F.lit(True).alias("known")).distinct(), "raag", "left")
     rules = [
         (F.length("id") > 0, "id"), (F.col("audio_sha256").rlike("^[0-9a-f]{64}$"), "audio_sha256"), (F.col("known"), "raag"), (maybe(F.col("ang_start").between(1, PAGES)), "ang_start"),
         (maybe(F.col("ang_end").between(1, PAGES)) & maybe(F.col("ang_end") >= F.col("ang_start")), "ang_end"), (F.col("recording_quality").isin(*QUALITIES), "recording_quality"),

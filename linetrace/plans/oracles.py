@@ -210,7 +210,17 @@ ORACLES |= {
     "skip_reasons": f"""WITH {TIERED}, {SAMPLES}, r AS (SELECT 'sample' AS level, CASE WHEN pending THEN 'status' WHEN no_file THEN 'no_alignment_file' WHEN archival THEN 'recording_quality' END AS reason FROM samples
         UNION ALL SELECT 'segment', CASE WHEN tier NOT IN ('high', 'medium') THEN 'tier' WHEN kind <> 'line' THEN 'kind' WHEN text = '' THEN 'no_text' WHEN repeat_group IS NOT NULL THEN 'repeat' WHEN page IS NULL OR line_no IS NULL THEN 'no_line' END FROM tiered)
         SELECT level, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""",
+    "registry_reasons": f"""WITH {TIERED}, {SAMPLES}, s AS (SELECT sample_id, CASE WHEN pending THEN 'status' WHEN no_file THEN 'no_alignment_file' WHEN archival THEN 'recording_quality' WHEN sample_id % 17 = 0 THEN 'alignment_missing'
+          WHEN sample_id % 19 = 0 THEN 'alignment_broken' WHEN sample_id % 23 = 0 THEN 'alignment_stale' END AS reason FROM samples),
+        r AS (SELECT 'sample' AS level, reason FROM s
+        UNION ALL SELECT 'segment', CASE WHEN tier NOT IN ('high', 'medium') THEN 'tier' WHEN kind <> 'line' THEN 'kind' WHEN text = '' THEN 'no_text' WHEN repeat_group IS NOT NULL THEN 'repeat' WHEN page IS NULL OR line_no IS NULL THEN 'no_line' END
+          FROM tiered WHERE sample_id IN (SELECT sample_id FROM s WHERE reason IS NULL))
+        SELECT level, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""",
     "coverage_vs_targets": f"WITH {TRAINING}, {_REPORT} SELECT metric, got::DOUBLE AS got, target, got >= target AS met FROM (SELECT unnest(['n_rows', 'n_lines', 'n_sources']) AS metric, unnest([n_rows, n_lines, n_sources]) AS got, unnest([10.0::DOUBLE, 1e6::DOUBLE, 3.0::DOUBLE]) AS target FROM rep_)",
+    "manifest_checked": f"""WITH {TRAINING}, c AS (SELECT split, count(*) AS got FROM training GROUP BY split), stated AS (SELECT split, got AS n FROM c UNION ALL SELECT 'train', 1 UNION ALL SELECT 'extra', 3)
+        SELECT 'no_rows' AS problem, sample_id::VARCHAR AS what FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM training)
+        UNION ALL SELECT 'no_alignment', sample_id::VARCHAR FROM samples WHERE no_file OR sample_id % 3 = 0 UNION ALL SELECT 'no_audio', sample_id::VARCHAR FROM samples WHERE sample_id % 5 = 0
+        UNION ALL SELECT 'split_count', split FROM stated LEFT JOIN c USING (split) WHERE coalesce(got, 0) <> n""",
     "release_gate": f"""WITH {TRAINING}, g AS (SELECT (SELECT count(*) FROM training) >= 1 AS targets_met, (SELECT count(*) FROM samples ANTI JOIN training USING (sample_id)) = 0 AND (SELECT count(*) FROM training WHERE split = 'train') = 1 AS clean) SELECT *, targets_met AND clean AS passed FROM g""",
     "distinct_samples": f"WITH {TRAINING} SELECT DISTINCT sample_id, source, split FROM training",
     "content_build_id": "SELECT substring(sha256(string_agg(doc_id || '|' || sha256(text) || chr(10), '' ORDER BY doc_id::VARCHAR)), 1, 16) AS build_id FROM documents",

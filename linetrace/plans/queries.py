@@ -108,7 +108,7 @@ def corpus_count(spark, d):
 
 @query
 def scope_source(spark, d):
-    return _lines(spark, d).filter(F.startswith("source", F.lit("src1"))).groupBy("source", "line_type").agg(F.count("*").alias("n"))
+    return views.scoped(_lines(spark, d), "src1").groupBy("source", "line_type").agg(F.count("*").alias("n"))
 
 
 @query
@@ -436,6 +436,15 @@ def skip_reasons(spark, d):
     return dataset.skip_reasons(_samples(spark, d), _tiered(spark, d)).withColumnRenamed("count", "n")
 
 
+@query
+def registry_reasons(spark, d):
+    """Reasons where some alignment files are missing, broken or stale."""
+    samples, k = _samples(spark, d), F.col("sample_id")
+    state = F.when(k % 19 == 0, "broken").when(k % 23 == 0, "stale").otherwise("ok")
+    files = samples.filter(k % 17 != 0).select("sample_id", state.alias("reason"))
+    return dataset.skip_reasons(samples, _tiered(spark, d), files).withColumnRenamed("count", "n")
+
+
 @query
 def build_report(spark, d):
     return dataset.build_report(_training(spark, d))
@@ -550,6 +559,16 @@ def quality_ceiling(spark, d):
     return dataset.quality_ceiling(_tiered(spark, d), _samples(spark, d)).groupBy("tier").agg(F.count("*").alias("n"))
 
 
+@query
+def manifest_checked(spark, d):
+    """What a manifest states against the rows, and the files of alignments and audio that there are."""
+    samples, rows, k = _samples(spark, d), _training(spark, d), F.col("sample_id")
+    alignments, audio = samples.filter(k % 3 != 0).select("alignment_file"), samples.filter(k % 5 != 0).select("filename")
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"))
+    stated = counts.unionByName(spark.createDataFrame([("train", 1), ("extra", 3)], "split string, n long"))
+    return dataset.manifest_problems(samples, rows, stated, alignments, audio)
+
+
 @query
 def release_gate(spark, d):
     rows = _training(spark, d)

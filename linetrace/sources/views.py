@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,22 @@ def drop_bulk_columns(rows: DataFrame, columns: tuple[str, ...] = BULKY) -> Data
     return rows.withColumns({c: F.lit(None).cast(kinds[c]) for c in columns if c in kinds})
 
 
+def scoped(lines: DataFrame, prefix: str) -> DataFrame:
+    """Lines whose source begins with ``prefix``; a scope without any line is an error."""
+    kept = lines.filter(F.startswith("source", F.lit(prefix)))
+    if kept.isEmpty():
+        raise ValueError(f"no line has a source that begins with {prefix!r}")
+    return kept
+
+
+def expect(kept: DataFrame, least: int, what: str = "rows") -> DataFrame:
+    """``kept``, with a warning if it has fewer than ``least`` rows."""
+    n = kept.limit(least).count() if least else 0
+    if n < least:
+        warnings.warn(f"{n} {what} kept, at least {least} were expected", stacklevel=2)
+    return kept
+
+
 def curated(rows: DataFrame, kept: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``columns`` are among those of ``kept``, and how many rows of each went."""
     keys = kept.select(*columns).distinct()

@@ -192,9 +192,12 @@ class Utterances:
     STATE = "since long, last long, voiced long, silent long, total long"
     ROWS = "session_id long, since long, until long, voiced long, reason string"
 
-    def __init__(self, level: float, frame_s: float, silence_s: float, speech_s: float, longest_s: float, before_s: float, gap_s: float, horizon: int | None = None):
+    def __init__(
+        self, level: float, frame_s: float, silence_s: float, speech_s: float, longest_s: float, before_s: float, gap_s: float, horizon: int | None = None
+    ):
         self.level, self.horizon = level, horizon
-        self.frame, self.silence, self.speech, self.longest, self.before, self.gap = (int(x * SECOND) for x in (frame_s, silence_s, speech_s, longest_s, before_s, gap_s))
+        self.frame, self.silence, self.speech = (int(x * SECOND) for x in (frame_s, silence_s, speech_s))
+        self.longest, self.before, self.gap = (int(x * SECOND) for x in (longest_s, before_s, gap_s))
         self.ring: list[int] = []
         self.restore((None, None, 0, 0, 0))
 

@@ -130,7 +130,8 @@ def run_to_end(rows: DataFrame, path: str, timers: bool = True) -> tuple[DataFra
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        query = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_progress").format("parquet").option("path", f"{path}/rows").start()
+        writer = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_progress")
+        query = writer.format("parquet").option("path", f"{path}/rows").start()
         query.awaitTermination()
         last = query.lastProgress
     finally:

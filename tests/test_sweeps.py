@@ -74,3 +74,23 @@ def test_a_font_takes_the_longest_entry_and_reads_nothing_twice(spark):
     assert [(r.t, r.got) for r in rows.select("t", "want", recode(F.col("t")).alias("got")).collect()] == [*cases.items(), (None, None)]
     plain = legacy_font({"q": "k", "k": "q"})
     assert rows.limit(1).select(plain(F.lit("qkq-")).alias("x")).first().x == "kqk-"
+
+
+def test_an_empty_scope_is_an_error_and_few_rows_a_warning(spark):
+    lines = spark.createDataFrame([("src1-a",), ("src2",)], "source string")
+    assert views.scoped(lines, "src1").count() == 1
+    with pytest.raises(ValueError, match="src9"):
+        views.scoped(lines, "src9")
+    with pytest.warns(UserWarning, match="2 lines kept, at least 3"):
+        views.expect(lines, 3, "lines")
+    assert views.expect(lines, 2).count() == 2
+
+
+def test_another_measure_may_rank_the_pool(spark):
+    from linetrace.operators import match
+
+    lines = spark.createDataFrame([(1, 1, "kanal sumer dorin"), (2, 1, "kanal sumer dorin tolep"), (3, 2, "other words here")], "order_id long, passage_id long, norm string")
+    q = spark.createDataFrame([("q", "kanal sumer dorin")], "query_id string, query string")
+    own = [(r.order_id, r.score) for r in match.fuzzy_topk_join(q, lines, 3, covers=lambda a, b: 1.0 if len(b) > len(a) else 0.5).orderBy("rank").collect()]
+    assert own[0] == (2, 100.0) and own[1] == (1, 50.0)
+    assert match.fuzzy_topk_join(q, lines, 1).first().order_id == 2  # a tie goes to the later line
