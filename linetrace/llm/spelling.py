@@ -39,7 +39,8 @@ def words(docs: DataFrame) -> DataFrame:
     """Words (word, n) of ``docs`` (doc_id, text): runs of letters, A-Z in lower case, one code point
     deleted where the run's hash says so.  Runs too short to leave a word are not built."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(low, F.lit(f"({LETTERS}{{{SHORTEST},}})"))).alias("run"))
+    found = F.regexp_extract_all(low, F.lit(f"({LETTERS}{{{SHORTEST},}})"))
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(found).alias("run"))
     h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
     at = F.pmod(F.col("h"), F.length("run")).cast("int")
     cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
@@ -131,7 +132,8 @@ class _Trie:
             walk, node, spent = walk[~ends], node[~ends], spent[~ends]
             own, keys = counts[walk, self.level + depth].astype(np.int64), self.keys[depth]
             some = []
-            for by, now, may in ((0, spent, None), (1, np.ones_like(spent), spent == 0), (-1, np.full_like(spent, 2), (spent == 1) & (grown[walk] == 0) & (own > 0))):
+            deficit = (spent == 1) & (grown[walk] == 0) & (own > 0)
+            for by, now, may in ((0, spent, None), (1, np.ones_like(spent), spent == 0), (-1, np.full_like(spent, 2), deficit)):
                 at = np.arange(len(walk)) if may is None else np.flatnonzero(may)
                 key = node[at] << 32 | own[at] + by
                 place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -171,7 +173,8 @@ def _met(trie: _Trie, walks: list[tuple], counts: np.ndarray) -> Iterator[pa.Rec
                 if len(other) - len(word) == longer and (not same[k] or word < other) and one_edit(word, other):
                     out.append((word, n, other, int(trie.sizes[place[k]])))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64()) * 2, strict=True)], ["a", "a_n", "b", "b_n"])
+            columns = zip(zip(*out, strict=True), (pa.string(), pa.int64()) * 2, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["a", "a_n", "b", "b_n"])
 
 
 def _counts(column: pa.Array) -> np.ndarray:
@@ -183,7 +186,8 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     now, trie, level = None, None, 0
     held: list[tuple[list[str], list[int], np.ndarray]] = []
     for batch in batches:
-        leaf, part, walks, counts = batch.column("leaf").to_pylist(), batch.column("part").to_pylist(), np.asarray(batch.column("spent").fill_null(-1)), _counts(batch.column("counts"))
+        leaf, part = batch.column("leaf").to_pylist(), batch.column("part").to_pylist()
+        walks, counts = np.asarray(batch.column("spent").fill_null(-1)), _counts(batch.column("counts"))
         found, sizes, grown = (batch.column(c).to_pylist() for c in ("word", "n", "grown"))
         kind = walks >= 0
         keys = list(zip(map(tuple, leaf), part, strict=True))
@@ -215,7 +219,8 @@ def near_pairs(found: DataFrame, keep: Stash) -> DataFrame:
     walks = walks.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("word", "grown"), "parts").cast("int")).drop("parts")
     stored = stored.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     rows = stored.withColumn("grown", F.lit(None).cast("int")).withColumn("spent", F.lit(None).cast("int")).unionByName(walks)
-    rows = rows.select("leaf", "part", "word", "n", "counts", "grown", "spent").repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("spent").isNotNull())
+    rows = rows.select("leaf", "part", "word", "n", "counts", "grown", "spent").repartition("leaf", "part")
+    rows = rows.sortWithinPartitions("leaf", "part", F.col("spent").isNotNull())
     return keep(rows.mapInArrow(_pair_batches, PAIRS))
 
 
@@ -248,7 +253,8 @@ def variants(docs: DataFrame) -> DataFrame:
         best = ends.groupBy(F.col("e.word").alias("word")).agg(F.count("*").alias("n_near"), F.min(order).alias("best"))
         rows = found.join(best, "word", "left")
         form = F.when(-F.col("best.m") >= RATIO * F.col("n"), F.col("best.form"))
-        rows = keep(rows.select("word", form.alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form.isNotNull(), -F.col("best.m")).alias("form_n")))
+        form_n = F.when(form.isNotNull(), -F.col("best.m"))
+        rows = keep(rows.select("word", form.alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), form_n.alias("form_n")))
         # Each step multiplies n by RATIO at least.
         steps = floor(log(max(1, most), RATIO)) + 1
         ends_at = roots(rows.filter("form is not null"), steps, keep)
