@@ -4,6 +4,8 @@ Names and sentences are normalised: lower case, words of letters and digits, one
 
 from __future__ import annotations
 
+import re
+
 # Licences by SPDX identifier, and the names under which notices speak of them.
 NAMES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("0BSD", ("zero clause bsd license", "bsd zero clause license", "0bsd license")),
@@ -33,7 +35,7 @@ NAMES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc license", "isc licence")),
     ("LGPL-2.1", ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl version 2 1", "lgpl v2 1", "lgplv2 1", "lgpl 2 1")),
     ("LGPL-3.0", ("gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl version 3", "lgpl v3", "lgplv3", "lgpl 3 0")),
-    ("MIT", ("mit license", "mit licence", "expat license", "mit x11 license", "mit")),
+    ("MIT", ("mit license", "mit licence", "expat license", "mit x11 license", "mit expat license")),
     ("MPL-1.1", ("mozilla public license version 1 1", "mozilla public license 1 1", "mpl 1 1")),
     ("MPL-2.0", ("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0")),
     ("MS-PL", ("microsoft public license",)),
@@ -45,8 +47,20 @@ NAMES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("WTFPL", ("do what the fuck you want to public license", "wtfpl")),
     ("Zlib", ("zlib license", "zlib libpng license")),
 )
-#: What leads to a name in a notice; it may stand anywhere in a sentence.
-LEAD = "(?:licen[sc]ed|released|distributed|redistributed|available|provided|published|covered|governed|issued|shared) (?:under|by)(?: the| an| a)?(?: terms(?: and conditions)? of(?: the| an| a)?| conditions of(?: the| an| a)?)?"
+#: The name that stands for a bare "MIT" (followed by punctuation, "or", "and", "licensed" or an end).
+BARE = "mit expat license"
+#: What denies a notice, what leads to a name in one, and what joins further names to it; all may stand
+#: anywhere in a sentence.
+DENIED = "(?:not|never|no longer|nor|t|formerly|previously)"
+_VERB = (
+    "(?:licensed|relicensed|sublicensed|released|distributed|redistributed|available|provided|published|covered|governed|issued|shared|offered|made|placed|put|used|usable|reusable"
+    "|is|are|was|comes|come|falls|fall|it|them|code|software|library|project|program|work|package)"
+)
+_OF = "(?: either(?: of)?| both)?(?: the| an| a)?(?: terms(?: and conditions)? of(?: the| an| a)?| conditions of(?: the| an| a)?)?"
+LEAD = f"(?:{DENIED} (?:been |be |being |yet |currently )?(?:{_VERB} )?under|{_VERB} under|(?:{DENIED} )?(?:governed|covered|bound) by|(?:{DENIED} )?subject to|license is(?: not)?){_OF}"
+NO = f"^(?:{DENIED} .*|non .*|license is not .*)$"
+_JOIN = "(?: and or| or| and| as well as)(?: alternatively)?(?: under)?(?: the| an| a)?(?: terms of the)?"
+_LATER = "(?: licenses?)?(?: or (?:any )?(?:later|newer)(?: versions?)?)?"
 
 _FREE = "is free software you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation "
 _HOPE = "is distributed in the hope that it will be useful but without any warranty"
@@ -131,9 +145,19 @@ def spdx_ids() -> dict[str, str]:
     return {f"{spdx.lower()}{end}": spdx for spdx, _ in NAMES for end in ("", "-only", "-or-later", "+")}
 
 
-def keys() -> dict[str, str]:
-    """What a known sentence becomes, its lead cut short to 'notice', and its identifier."""
-    return {**SENTENCES, **{f"notice {name}": notice(spdx) for spdx, names in NAMES for name in names}}
+def names() -> dict[str, str]:
+    """All names to the identifiers of their notices: those above, and for "x version n" also the other
+    ways to say it."""
+    out = {}
+    for spdx, several in NAMES:
+        for name in (x.replace("licence", "license") for x in several):
+            out[name] = notice(spdx)
+            if m := re.fullmatch(r"(.*) version ([0-9 ]+)", name):
+                what, n = m.groups()
+                ways = [f"{what} either version {n}", f"{what} {n}", f"version {n} of the {what}", f"version {n} or later of the {what}", f"version {n} or any later version of the {what}"]
+                for way in ways + [f"{what} version {n} 0"] * n.isdigit():
+                    out.setdefault(way, notice(spdx))
+    return out
 
 
 def rules() -> dict[str, list[tuple[str, ...]]]:
@@ -144,7 +168,41 @@ def rules() -> dict[str, list[tuple[str, ...]]]:
     return out
 
 
-def known() -> str:
-    """A regular expression for all sentences, the longest first."""
-    names = sorted((name for _, names in NAMES for name in names), key=len, reverse=True)
-    return f"{LEAD} (?:{'|'.join(names)})|{'|'.join(sorted(SENTENCES, key=len, reverse=True))}"
+def _any(several) -> str:
+    return f"(?:{'|'.join(sorted(several, key=len, reverse=True))})"
+
+
+def _list(several, stop: str, more: str) -> str:
+    one = f"{_any(several)}{_LATER}{stop}"
+    return f"{one}(?:{_JOIN} {one}){more}"
+
+
+def name() -> str:
+    """A regular expression for any name."""
+    return _any(names())
+
+
+def title(stop: str = "", more: str = "*") -> str:
+    """What is evidence if it is a whole sentence: names of licences, joined.  ``stop`` is what a name
+    must be followed by, ``more`` the repetition of further names, where an engine has better forms."""
+    return f"(?:the )?{_list([x for x in names() if 'license' in x and x != BARE], stop, more)}(?: {BARE})?"
+
+
+def known(stop: str = "", more: str = "*") -> str:
+    """A regular expression for all notices and sentences."""
+    return f"{LEAD} {_list(names(), stop, more)}|(?:(?:not|non|never|t) )?{name()} licensed|{_any(SENTENCES)}"
+
+
+#: Rewriting, before the text is cut, with the groups kept: a field of a licence becomes a sentence (its
+#: value, a line's rest of up to 48 characters, ends it), and a bare "MIT" the name that stands for it.
+END = "\u0002"
+FIELD = (r"license[\"']?[\x20\t]*[:=][\x20\t]*([^\n]{1,48})(\n|\z)", (" license is ", 1, f" {END}", 2))
+BARE_MIT = (
+    rf"([^\p{{L}}\p{{N}}]|\A)mit([\x20\t]*[.,;:)/\"'\n{END}]|[\x20\t]*\z|[\x20\t-]+licensed|[\x20\t]+or[\x20\t\n]|[\x20\t]+and[\x20\t\n])",
+    (1, BARE, 2),
+)
+
+
+def written(parts, sign: str) -> str:
+    """A replacement of text and numbers of groups; ``sign`` leads a group."""
+    return "".join(f"{sign}{x}" if isinstance(x, int) else x for x in parts)

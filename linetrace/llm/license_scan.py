@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from linetrace.llm import license_rules as L
 
 #: Every known sentence holds one of these, so other texts need not be cut.
-HINTS = "licen|copyright|warrant|permission|permitted|redistribut|distribut|releas|reserved|unencumbered|spdx|waived|marked|anyone|avail|provid|publish|cover|govern|issued|shared|you just do"
+HINTS = "licen|under|subject|copyright|warrant|permission|permitted|redistribut|distribut|releas|reserved|unencumbered|spdx|waived|marked|anyone|avail|provid|publish|cover|govern|bound|issued|shared|you just do"
 #: A sentence ends at a full stop, question or exclamation mark before white space (not after a single
-#: letter), and at a line without letters and digits.
-END = "\u0002"
+#: letter), at a line without letters and digits, and where the value of a licence field ends.
+END = L.END
 STOP = r"(?<![.!?])(?<![^\p{L}\p{N}]\p{L})[.!?]++(?=[\x20\x09-\x0D]|\z)"
 BLANK = r"\n[^\p{L}\p{N}\n]*+(?=\n)"
 SPDX = r"spdx-license-identifier:[\x20\t]*([^\n]*)"
@@ -33,18 +33,29 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and blank texts have none.  Repeated rows give repeated results; null ids stay; other
     columns are ignored; an empty table gives an empty result; texts of any length are scanned
     whole, in time that grows with their length.  Of known sentences that begin at one word the
-    longest counts.  A BSD text that meets the longer rule is not reported under the shorter one."""
+    longest counts.  A notice is a lead ("released under", "License:", "governed by") and names joined by
+    "or" or "and", or a sentence of names alone; one that is denied ("not released under", "no longer
+    under") is none.  A BSD text that meets the longer rule is not reported under the shorter one."""
     low = F.lower("text")
-    cut = F.regexp_replace(F.regexp_replace(F.translate(low, END, " "), STOP, END), BLANK, END)
+    text = F.replace(F.translate(low, END, " "), F.lit("licence"), F.lit("license"))
+    for pattern, parts in (L.FIELD, L.BARE_MIT):
+        text = F.regexp_replace(text, pattern, L.written(parts, "$"))
+    cut = F.regexp_replace(F.regexp_replace(text, STOP, END), BLANK, END)
     plain = F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}{END}]++", " ")
     plain = F.trim(F.regexp_replace(plain, rf" ?{END}[ {END}]*+", END))
-    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^ {END}])(?:{L.known()})(?![^ {END}])"), F.lit(0))
+    # Possessive repeats need no stack, however many names a notice joins.
+    stop = f"(?![^ {END}])"
+    plain = F.regexp_replace(plain, rf"(\A|{END})({L.title(stop, '*+')})(?={END}|\z)", "$1license is $2")
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<![^ {END}])(?:{L.known(stop, '*+')}){stop}"), F.lit(0))
     to_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    named = F.transform(found, lambda s: F.element_at(to_map(L.keys()), F.regexp_replace(s, f"^{L.LEAD} ", "notice ")))
+    one = lambda s: F.element_at(to_map(L.SENTENCES), s)
+    called = lambda s: F.transform(F.regexp_extract_all(s, F.lit(rf"(?<![^ ]){L.name()}(?![^ ])"), F.lit(0)), lambda x: F.element_at(to_map(L.names()), x))
+    none = F.array().cast("array<string>")
+    ids_of = lambda s: F.when(one(s).isNotNull(), F.array(one(s))).when(s.rlike(L.NO), none).otherwise(called(s))
+    named = F.flatten(F.transform(found, ids_of))
     lines = F.regexp_extract_all(low, F.lit(SPDX), F.lit(1))
     parts = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(SPDX_PART), F.lit(0))))
     stated = F.array_compact(F.transform(parts, lambda x: F.element_at(to_map({k: L.declared(v) for k, v in L.spdx_ids().items()}), x)))
-    none = F.array().cast("array<string>")
     ids = F.when(low.rlike(HINTS), F.concat(named, stated))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(ids, none).alias("sentence_ids"))
     rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")))

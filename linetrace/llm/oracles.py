@@ -71,9 +71,31 @@ def _map(pairs: dict[str, str]) -> str:
     return "(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "})"
 
 
-# The text is not cut: every word of it stands between spaces of its own, and known sentences are
-# sought among all words at once.
-_WIDE = license_rules.known().replace(" ", "  ")
+# Sentences are cut as RE2 can, without looking around: letters' full stops go first (twice, as they may
+# follow each other), then ends are doubled, and every word stands between spaces of its own.
+_END = license_rules.END
+_WIDE, _NAME = license_rules.known().replace(" ", "  "), license_rules.name().replace(" ", "  ")
+
+
+def _replace(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, new in steps:
+        quoted = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{quoted}', '{new}', 'g')"
+    return text
+
+
+_LETTER = (r"([^\p{L}\p{N}]\p{L})[.!?]+([\x20\x09-\x0D]|\z)", r"\1 \2")
+_PLAIN = _replace(
+    f"replace(replace(low, '{_END}', ' '), 'licence', 'license')",
+    *[(pattern, license_rules.written(parts, chr(92))) for pattern, parts in (license_rules.FIELD, license_rules.BARE_MIT)],
+    _LETTER,
+    _LETTER,
+    (r"[.!?]+([\x20\x09-\x0D]|\z)", rf"{_END}\1"),
+    (r"\n[^\p{L}\p{N}\n]*\n", f"{_END}\n"),
+    (rf"[^\p{{L}}\p{{N}}{_END}]+", " "),
+    (rf" ?{_END}[ {_END}]*", _END * 2),
+)
+_TITLED = _replace(f"trim({_PLAIN})", (rf"(\A|{_END})({license_rules.title()})({_END}|\z)", r"\1license is \2\3"))
 _ON = {
     name: "(" + " OR ".join("line LIKE '%" + "%".join(f" {x} " for x in rule).replace("_", r"\_") + r"%' ESCAPE '\'" for rule in rules) + ")" for name, rules in license_rules.rules().items()
 }
@@ -83,8 +105,11 @@ _FOUND = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _ON.i
 _STATED = _map({k: license_rules.declared(v) for k, v in license_rules.spdx_ids().items()})
 OP2 = rf"""
 WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
-w AS (SELECT doc_id, low, ' ' || replace(trim(regexp_replace(low, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' ' AS said FROM s),
-k AS (SELECT doc_id, list_transform(regexp_extract_all(said, ' (?:{_WIDE}) '), lambda x: {_map(license_rules.keys())}[regexp_replace(replace(trim(x), '  ', ' '), '^{license_rules.LEAD} ', 'notice ')])
+w AS (SELECT doc_id, low, ' ' || replace(replace({_TITLED}, ' ', '  '), '{_END}', ' {_END} ') || ' ' AS said FROM s),
+k AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(said, ' (?:{_WIDE}) '), lambda x: CASE
+    WHEN {_map(license_rules.SENTENCES)}[replace(trim(x), '  ', ' ')] IS NOT NULL THEN [{_map(license_rules.SENTENCES)}[replace(trim(x), '  ', ' ')]]
+    WHEN regexp_matches(replace(trim(x), '  ', ' '), '{license_rules.NO}') THEN []
+    ELSE list_transform(regexp_extract_all(x, ' {_NAME} '), lambda y: {_map(license_rules.names())}[replace(trim(y), '  ', ' ')]) END))
   || list_filter(list_transform(flatten(list_transform(regexp_extract_all(low, '{SPDX}', 1), lambda x: regexp_extract_all(x, '{SPDX_PART}'))), lambda p: {_STATED}[p]), lambda p: p IS NOT NULL) AS ids FROM w),
 l AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM k)
 SELECT doc_id, array_to_string(list_sort(list_filter([{_FOUND}], lambda x: x IS NOT NULL)), ',') AS licenses, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM l
