@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and random-looking strings by a battery of tests.
 
-Runs of encoding characters are candidates, whole and between the characters that join names to
+Runs of encoding characters are candidates, whole and cut at the characters that join names to
 values.  The encoding (hex, base 32, 36, 64) is inferred from the characters.  Three numbers are
 taken within its alphabet: the chi-squared statistic of the character counts, the runs of characters
 of one class (upper, lower, digit), and the serial correlation at lag one.
@@ -27,10 +27,12 @@ from linetrace.llm.quality_rules import binomial_tail
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates of the battery: whole runs, and their parts without joining characters.
-RUN, PART = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+]{20,}"
-KINDS = ("assign", "access", "hex", "random", "random")
-PATTERNS = (ASSIGN, ACCESS, HEX, RUN, PART)
+#: Candidates of the battery: runs between the characters that join names to values.  Each of "=", "/"
+#: and "+", "-" and "_" may join, or be a digit of the encoding: base 64 in either form is cut at what it
+#: does not use, and a run is also cut at all of them.
+CANDIDATES = (r"[A-Za-z0-9+/_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+]{20,}")
+PATTERNS = (ASSIGN, ACCESS, HEX, *CANDIDATES)
+KINDS = ("assign", "access", "hex", *["random"] * len(CANDIDATES))
 BASE = 3
 LEAST_VALUE = 6
 
@@ -44,6 +46,7 @@ ENCODINGS = (
     ("^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*$", LOWER + "234567", 0.065, 0.0055, 0.12),
     ("^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", DIGITS + UPPER, 0.065, 0.0055, 0.15),
     ("^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", DIGITS + LOWER, 0.065, 0.0055, 0.15),
+    ("^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", UPPER + LOWER, 0.065, 0.0055, 0.25),
     ("^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", 0.065, 0.0055, 0.35),
     ("^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", 0.065, 0.0055, 0.35),
 )
