@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the tables of words (each half), and of prefixes, that a task keeps; some 200 bytes each.
 MEMO, HEADS = 300_000, 1_000_000
+#: A starter with more marks than this is counted by the change that each new one makes.
+FEW = 24
 #: Pieces of more characters are not kept by their prefixes.
 SHORT = 64
 _NONE = 1 << 62
@@ -82,25 +84,103 @@ _ODD = re.compile("[\u0130\u0300-\U0010ffff]")
 _RUNS = re.compile("((?:(?<![^\\w \\t-\\r\\x85\\xa0])(?<!_)')?[^\\W\\d_]+(?:'[^\\W\\d_]+)*)")
 
 
-def _form(text: str) -> str:
-    return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-
+def _parts(c: str) -> str:
+    """A code point taken apart as normalisation does; Hangul syllables stay whole."""
+    return c if "\uac00" <= c <= "\ud7a3" else unicodedata.normalize("NFD", c)
+
+
+def _lower(text: str) -> str:
+    return "".join(c.lower() for c in text)
+
+
+class _Cluster:
+    """A starter and the marks after it, in canonical order: by class, and as they came within one.
+    The first marks of a class may merge with the starter."""
+
+    __slots__ = ("blocks", "head", "merged", "order", "starter")
+
+    def __init__(self, starter: str = ""):
+        self.starter = self.head = starter
+        self.blocks: dict[int, list[str]] = {}
+        self.merged: dict[int, int] = {}
+        self.order: list[int] = []
+
+    def add(self, mark: str, kind: int) -> bool:
+        """Whether the marks that merge with the starter are others than before."""
+        block = self.blocks.get(kind)
+        if block is None:
+            block = self.blocks[kind] = []
+            self.merged[kind] = 0
+            self.order = sorted(self.blocks)
+        block.append(mark)
+        # Behind a mark that does not merge, none of its class does.
+        if len(block) > self.merged[kind] + 1 or not self.starter:
+            return False
+        head, before = self.starter, dict(self.merged)
+        for k in self.order:
+            n = 0
+            for m in self.blocks[k]:
+                whole = unicodedata.normalize("NFC", head + m)
+                if len(whole) > 1:
+                    break
+                head, n = whole, n + 1
+            self.merged[k] = n
+        self.head = head
+        return self.merged != before
+
+    def join(self, other: str) -> bool:
+        """Merge with a second starter, which must stand next to this one."""
+        if not self.head or any(len(b) > self.merged[k] for k, b in self.blocks.items()):
+            return False
+        whole = unicodedata.normalize("NFC", self.head + other)
+        if len(whole) == 1:
+            self.__init__(whole)
+        return len(whole) == 1
+
+    def marks(self) -> Iterator[str]:
+        """The marks that do not merge, class by class, in lower case."""
+        return (_lower("".join(self.blocks[k][self.merged[k] :])) for k in self.order)
+
+    def text(self) -> str:
+        return _lower(self.head) + "".join(self.marks())
+
+
+class _Row:
+    """Entries along a piece of which symbols come in anywhere.  From the new symbols on entries are
+    found again, until as many in a row as one can depend on are what they were; beyond, only counts
+    move, all by the same number."""
+
+    def __init__(self, vocab: Vocabulary, walk: _Walk):
+        self.vocab, self.text, self.far = vocab, walk.text, 1
+        self.last = [h & 0xFFFFFFFF for h in walk.heads]
+        self.count = np.array([h >> 64 for h in walk.heads], np.int64)
+
+    def _at(self, end: int) -> int:
+        begin = max(0, end - self.vocab.reach)
+        return self.vocab._entry(self.text[begin:end], lambda at: int(self.count[begin + at]) << 64 | self.last[begin + at])
+
+    def insert(self, at: int, new: str) -> None:
+        k, size = len(new), len(self.text)
+        self.text = self.text[:at] + new + self.text[at:]
+        self.last[at + 1 : at + 1] = [0] * k
+        if len(self.count) < size + k + 1:
+            self.count = np.concatenate([self.count, np.zeros(len(self.count) + k, np.int64)])
+        self.count[at + 1 + k : size + 1 + k] = self.count[at + 1 : size + 1].copy()
+        same = shift = 0
+        for end in range(at + 1, size + k + 1):
+            entry = self._at(end)
+            self.far = max(self.far, self.vocab.read)
+            token, count = entry & 0xFFFFFFFF, entry >> 64
+            moved = count - int(self.count[end])
+            same = (same + 1 if moved == shift else 1) if end > at + k and token == self.last[end] else 0
+            shift = moved
+            self.last[end], self.count[end] = token, count
+            if same > self.far:
+                self.count[end + 1 : size + k + 1] += shift
+                break
 
-def _clusters(chunk: str) -> Iterator[tuple[int, int]]:
-    """Parts of a text that normalise on their own.  A long row of marks of one class is cut as well:
-    once one of them stands alone, it keeps all later ones from moving or merging."""
-    joins = _joins_left()
-    starts = [0, *(i for i in range(1, len(chunk)) if chunk[i] not in joins), len(chunk)]
-    for a, b in zip(starts, starts[1:]):
-        if b - a > 8 and (kind := unicodedata.combining(chunk[b - 1])):
-            f = b
-            while f > a and unicodedata.combining(chunk[f - 1]) == kind and len(_form(chunk[f - 1])) == 1:
-                f -= 1
-            cut = next((e for e in range(max(a, f) + 1, b) if unicodedata.combining(_form(chunk[a:e])[-1]) == kind), b)
-            yield a, cut
-            yield from ((i, i + 1) for i in range(cut, b))
-        else:
-            yield a, b
+    def ended(self) -> int:
+        return self._at(len(self.text)) >> 32 & 0xFFFFFFFF
 
 
 class _Walk:
@@ -149,6 +229,7 @@ class Vocabulary:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.fits: dict[int, bool] = {}
+        self.read = 0  # how many symbols the last entry looked at
         self.reach = max(map(len, (*self.endings[0], *self.endings[1])))
         self.letter = regex.compile(r"\p{L}")
         # Of each prefix of a word, in byte symbols, in one number: its count, its count if the word
@@ -193,6 +274,7 @@ class Vocabulary:
             if b is not None and b >= 0:
                 ended.append((at, b))
             at -= 1
+        self.read = len(word) - at
         out = 0
         for found, place in ((last, 64), (ended, 32)):
             for at, token in reversed(found):
@@ -280,33 +362,65 @@ class Vocabulary:
             raise ValueError("one code point changes the count by more than a byte holds")
         return bytes([int(d) + 128 for d in delta])
 
+    def _row(self, cluster: _Cluster, tail: str, walk: _Walk | None) -> tuple[_Row, int, int]:
+        """The piece that holds the marks of a cluster, its symbols before them, and the count before it."""
+        lead, text, marks = "" if walk is None else walk.lead, tail + _lower(cluster.head), "".join(cluster.marks())
+        start = list(self.pieces.finditer(lead + text + marks[0]))[-1].start() - len(lead)
+        begun, base = (walk.copy(), 0) if start < 0 else (_Walk(), self._total(text[:start], walk))
+        self._along(text[max(0, start) :], begun)
+        row, before = _Row(self, begun), len(begun.text)
+        row.insert(before, "".join(self.symbols[b] for b in marks.encode()))
+        return row, before, base
+
     def _unsettled(self, chunk: str) -> list[int]:
         """As _running, where normalisation or lower case may change lengths: only what a later
-        character can still change is counted again, a few characters at a time."""
+        character can still change, a starter and its marks, is counted again, and where there are
+        many marks, only around the place of the new one."""
         out, base, tail, walk = [], 0, "", None
-        for a, b in _clusters(chunk):
-            for e in range(a + 1, b + 1):
-                out.append(base + self._total(tail + _form(chunk[a:e]), walk))
-            tail += _form(chunk[a:b])
-            lead = "" if walk is None else walk.lead
-            pieces = list(self.pieces.finditer(lead + tail))
-            # The last two pieces may turn out to be one contraction; those before are settled.
-            if len(pieces) > 2:
-                cut = pieces[-2].start() - len(lead)
-                base += self._total(tail[:cut], walk)
-                tail, walk, lead = tail[cut:], None, ""
-                pieces = list(self.pieces.finditer(tail))
-            # No contraction is so long: the piece can only grow, so a walk along it is enough.
-            if pieces and len(pieces[-1][0]) > 4 and pieces[-1].end() == len(lead + tail):
-                cut = pieces[-1].start() - len(lead)
-                if cut >= 0:
-                    base += self._total(tail[:cut], walk)
-                    walk = _Walk()
-                self._along(tail[max(0, cut) :], walk)
-                walk.lead = "a" if self.letter.match(pieces[-1][0]) else "!"
-                tail = ""
+        joins, cluster, row, sizes, waiting = _joins_left(), _Cluster(), None, {}, 0
+        for c in chunk:
+            for part in _parts(c):
+                kind = unicodedata.combining(part)
+                if kind:
+                    waiting += 1
+                    if cluster.add(part, kind):
+                        row = None
+                    elif row is not None:
+                        new = "".join(self.symbols[b] for b in part.lower().encode())
+                        row[0].insert(row[1] + sum(n for k, n in sizes.items() if k <= kind), new)
+                        sizes[kind] = sizes.get(kind, 0) + len(new)
+                elif part in joins and cluster.join(part):
+                    waiting = 0
+                else:
+                    base, tail, walk = self._settled(base, tail + cluster.text(), walk)
+                    cluster, row, waiting = _Cluster(part), None, 0
+            if waiting > FEW and row is None:
+                row = self._row(cluster, tail, walk)
+                sizes = {k: len(m.encode()) for k, m in zip(cluster.order, cluster.marks())}
+            out.append(base + (self._total(tail + cluster.text(), walk) if row is None else row[2] + row[0].ended()))
         return out
 
+    def _settled(self, base: int, tail: str, walk: _Walk | None) -> tuple[int, str, _Walk | None]:
+        """Count what no later character can change: the new count, text still open, and walk."""
+        lead = "" if walk is None else walk.lead
+        pieces = list(self.pieces.finditer(lead + tail))
+        # The last two pieces may turn out to be one contraction; those before are settled.
+        if len(pieces) > 2:
+            cut = pieces[-2].start() - len(lead)
+            base += self._total(tail[:cut], walk)
+            tail, walk, lead = tail[cut:], None, ""
+            pieces = list(self.pieces.finditer(tail))
+        # No contraction is so long: the piece can only grow, so a walk along it is enough.
+        if pieces and len(pieces[-1][0]) > 4 and pieces[-1].end() == len(lead + tail):
+            cut = pieces[-1].start() - len(lead)
+            if cut >= 0:
+                base += self._total(tail[:cut], walk)
+                walk = _Walk()
+            self._along(tail[max(0, cut) :], walk)
+            walk.lead = "a" if self.letter.match(pieces[-1][0]) else "!"
+            tail = ""
+        return base, tail, walk
+
     def deltas(self, text: str) -> bytes:
         """Change of the count at each code point, plus 128.  A special string is one token once it
         is whole; its prefixes are ordinary text."""
@@ -353,7 +467,9 @@ def prefix_counts(docs: DataFrame, path: str, keep_prefixes: bool = True) -> Dat
     the count of any prefix is a sum over it (``count_at``), and the longest prefix within a budget
     a scan of it (``fits``).  The vocabulary file is opened by its path on each executor, where it
     is installed.  Null texts count as empty; a null doc_id stays; repeated rows give repeated
-    results; other columns are ignored."""
+    results; other columns are ignored; an empty table gives an empty result; ties don't occur.  Very
+    long texts are counted whole, in time that grows with their length; one starter with very many
+    marks costs a copy of its marks for each (20,000 marks: some 2 s)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_bytes long, n_tokens long" + ", deltas binary" * keep_prefixes
     return rows.mapInArrow(lambda b: _count_batches(b, path, keep_prefixes), schema)
