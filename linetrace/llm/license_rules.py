@@ -169,7 +169,12 @@ def rules() -> dict[str, list[tuple[str, ...]]]:
 
 
 def _any(several) -> str:
-    return f"(?:{'|'.join(sorted(several, key=len, reverse=True))})"
+    """One of some phrases, the longest first, told apart by their first words at once."""
+    by: dict[str, list[str]] = {}
+    for phrase in sorted(several, key=len, reverse=True):
+        first, _, rest = phrase.partition(" ")
+        by.setdefault(first, []).append(f" {rest}" if rest else "")
+    return f"(?:{'|'.join(f'{first}(?:{"|".join(rest)})' for first, rest in by.items())})"
 
 
 def _list(several, stop: str, more: str) -> str:
