@@ -37,6 +37,32 @@ def test_index_finds_what_lies_between(corpus, monkeypatch):
         assert list(zip(orders.tolist(), passages.tolist(), texts, strict=True)) == [x for x in lines if lo <= x[0] <= hi]
 
 
+def test_a_look_up_reads_only_the_groups_it_meets(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id AS order_id", "id div 10 AS passage_id", "concat('line ', id) AS norm")
+    index = lineindex.index_lines(rows, f"file://{tmp_path}/lines")
+    lineindex._group.cache_clear()
+    orders, passages, texts = index.between(2000, 2030)
+    assert orders.tolist() == list(range(2000, 2031)) and passages.tolist() == [k // 10 for k in range(2000, 2031)] and texts[0] == "line 2000"
+    read = lineindex._group.cache_info().currsize
+    assert 1 <= read <= 2 and all(len(lineindex._block(b[2])[1]) >= (b[1] - b[0] + 1) // lineindex.GROUP for b in index.blocks)
+
+
+def test_hits_of_frequent_letters(spark, corpus):
+    """Short letters by a broadcast, longer ones by a shuffle: the same hits as an equality of keys."""
+    lines = [(k, k // 4, text) for k, text in enumerate(["aa ba ca", "ab bb cb", "kan dor", "", "kan dor lim pas", "aa ba ca da", "kul dir len por"])]
+    hits = lineindex.first_hits(spark.createDataFrame(lines, "order_id long, passage_id long, norm string"))
+    said = [(s, s, s, text) for s, text in enumerate(["ax bx cx", "zz yy", "zz yy", None, "", "kan dor lim pas", "ka du", "zz yy xx ww"] * 3)]
+    got = lineindex.with_hit(spark.createDataFrame(said, SAID), hits)
+    want = {0: (0, 0, 1, 3), 5: (4, 1, 4, 6), 6: (2, 0, 1, 3)}
+    spans = {0: (0, 3), 1: (4, 6)}
+    rows = {r.seq: r for r in got.collect()}
+    assert len(rows) == len(said)
+    for seq, r in rows.items():
+        found = want.get(seq % 8)
+        assert (r.hit_line, r.hit_passage) == ((found[0], found[1]) if found else (None, None))
+        assert (r.hit_lo, r.hit_hi) == (spans[r.hit_passage] if found else (None, None))
+
+
 def test_scorers():
     assert lineindex.overlap_scores("a b c", ["a b c", "a b d", "", "x"]).tolist() == [100.0, 200 * 2 / 6, 0.0, 0.0]
     scores = lineindex.ranked_scores("kanal sumer dorin", ["kanal sumer dorin", "kanal sumar dorin x", "nothing alike here"])
