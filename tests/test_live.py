@@ -63,6 +63,25 @@ def test_hits_of_frequent_letters(spark, corpus):
         assert (r.hit_lo, r.hit_hi) == (spans[r.hit_passage] if found else (None, None))
 
 
+def test_passages_seen_are_read_once_a_batch():
+    class State:
+        asked, put = 0, []
+
+        def iterator(self):
+            self.asked += 1
+            return iter([((1,), (0, 9)), ((2,), (10, 19))])
+
+        def updateValue(self, key, value):
+            self.put.append((key, value))
+
+    state = State()
+    seen = live._Seen(state)
+    seen[2], seen[3] = (10, 19), (20, 29)
+    assert sorted(seen.items()) == [(1, (0, 9)), (2, (10, 19)), (3, (20, 29))] == sorted(seen.items()) and state.asked == 1
+    seen.flush()
+    assert ((3,), (20, 29)) in state.put
+
+
 def test_scorers():
     assert lineindex.overlap_scores("a b c", ["a b c", "a b d", "", "x"]).tolist() == [100.0, 200 * 2 / 6, 0.0, 0.0]
     scores = lineindex.ranked_scores("kanal sumer dorin", ["kanal sumer dorin", "kanal sumar dorin x", "nothing alike here"])
