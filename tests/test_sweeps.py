@@ -76,6 +76,18 @@ def test_a_font_takes_the_longest_entry_and_reads_nothing_twice(spark):
     assert rows.limit(1).select(plain(F.lit("qkq-")).alias("x")).first().x == "kqk-"
 
 
+def test_a_font_takes_long_stretches_at_once(spark):
+    from linetrace.functions.text import legacy_font
+
+    table = {"a": "b", "b": "a", "ab": "X", "th": "d", "z": "zz", "i": "1", "ie": "E", "h": "+"}
+    recode = legacy_font(table, prefix="i", halves="h")
+    text, want = "kkbabkkz" * 40_000, "kkaXkkzz" * 40_000
+    rows = spark.createDataFrame([(text,), ("k" * 300_000,), ("\U0001d11ei",), ("i\U0001d11ez",), ("ziba",)], "t string")
+    got = [r.x for r in rows.select(recode(F.col("t")).alias("x")).collect()]
+    assert got == [want, "k" * 300_000, "\U0001d11e1", "\U0001d11e1zz", "zza1b"]
+    assert "++" in rows.select(recode(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_an_empty_scope_is_an_error_and_few_rows_a_warning(spark):
     lines = spark.createDataFrame([("src1-a",), ("src2",)], "source string")
     assert views.scoped(lines, "src1").count() == 1
