@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linetrace.functions import scoring
@@ -171,6 +172,28 @@ def soft(a, b):
     return (min(len(a), len(b)) / max(len(a), len(b))) ** 0.5 if a and b else 0.0
 
 
+def test_scores_meet_characters_by_runs_of_a_text():
+    """Rows of any length in any order, queries of one and of several words of bits, with and without a
+    floor: each row takes the bits of its own places, also after shorter rows have ended."""
+    from linetrace.functions import scoring
+
+    masks = [np.array([1, 2, 4, 3, 0], dtype=np.uint64)]
+    full = [np.full(3, 7, dtype=np.uint64)]
+    got = scoring._matched(masks, np.array([0, 1, 4]), full, np.array([3, 2, 1]))
+    assert got.tolist() == [3, 2, 0]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab cd") for _ in range(rng.randrange(0, 170))) for _ in range(60)]
+    for size in (1, 5, 63, 64, 65, 130):
+        q = "".join(rng.choice("ab cd") for _ in range(size))
+        whole = scoring.partial_ratios(q, texts)
+        for text, score in zip(texts, whole, strict=True):
+            a, b = sorted((q, text), key=len)
+            want = max((100.0 * scoring.common(a, b[k : k + len(a)]) / len(a) for k in range(len(b) - len(a) + 1)), default=0.0) if a else 0.0
+            assert abs(score - want) < 1e-9
+        floored = scoring.partial_ratios(q, texts, 70.0)
+        assert all(x == y if y >= 70 else x < 70 for x, y in zip(floored, whole, strict=True))
+
+
 def test_other_searches_against_brute_force(spark):
     lines, queries, table, asked = searched(spark)
     ranked = lambda rows: {q: [r.order_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)] for q, _ in queries}
