@@ -44,6 +44,9 @@ HEAD = struct.Struct("<4sBBQ")  # "LTOK", version, bytes of an id, documents
 FRAME, ENTRY, FOOT = struct.Struct("<II"), np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")]), struct.Struct("<IBI")
 GPT_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Marks that end a word and are pieces of their own.
+MARKS = ",.;:!?"
+
 FRAME_IDS, FILE_BYTES, FILE_DOCS = 1 << 22, 1 << 28, 1 << 22
 #: Characters of a text that are cut into chunks at once, and bytes of ids in one batch read.
 SLICE, BATCH = 1 << 20, 1 << 22
@@ -67,7 +70,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.model, self.symbols = self.library.model, _byte_symbols()
+        self.model, self.symbols = self.library.model, "".join(_byte_symbols()[b] for b in range(256))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
@@ -75,25 +78,32 @@ class Encoder:
         flags = any(t[k] for t in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word", "normalized"))
         self.by_chunk = plain and not flags and not any(c.isspace() for t in added for c in t)
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        # A chunk of letters and a mark holds no added token if each of these has some other character.
+        self.words_are_plain = all(any(not c.isalpha() and c not in MARKS for c in t) for t in added)
         self.pieces = regex.compile(GPT_PIECES)
         self.piece, self.chunk = _Memo(self._piece), _Memo(self._chunk)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        symbols = self.symbols
-        return self._packed([t.id for t in self.model.tokenize("".join([symbols[b] for b in piece.encode()]))])
+        # Visible ASCII characters are their own symbols.
+        plain = piece.isascii() and piece.isprintable()
+        said = piece.replace(" ", self.symbols[32]) if plain else "".join([self.symbols[b] for b in piece.encode()])
+        return self._packed([t.id for t in self.model.tokenize(said)])
 
     def _chunk(self, chunk: str) -> bytes:
         # Which characters are letters is settled up to U+024F; beyond that the library has its own tables.
-        if not chunk.isascii() and max(chunk) > "\u024f" or self.added.search(chunk):
-            return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
         bare = chunk[1:] if chunk[0] == " " else chunk
-        if bare.isalpha():
-            return self.piece[chunk]
-        if bare[:-1].isalpha() and bare[-1] in ",.;:!?":
-            return self.piece[chunk[:-1]] + self.piece[chunk[-1]]
+        alone, marked = bare.isalpha(), bare[:-1].isalpha() and bare[-1] in MARKS
+        known = self.words_are_plain and (alone or marked)
+        if not chunk.isascii() and max(chunk) > "\u024f" or not known and self.added.search(chunk):
+            return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
+        if alone:  # kept as a chunk, so not as a piece as well
+            return self._piece(chunk)
+        if marked:
+            word = chunk[:-1]
+            return (self.chunk.get(word) or self.chunk.older.get(word) or self._piece(word)) + self.piece[chunk[-1]]
         return b"".join([self.piece[p] for p in self.pieces.findall(chunk)])
 
     def packed(self, text: str) -> bytes:

@@ -219,3 +219,12 @@ def test_siblings_are_what_the_parent_covers_besides():
     for k, leaf in enumerate(leaves):
         assert merkle.fold(leaf, merkle.siblings(nodes, k, 1, 11)) == root
     assert merkle.siblings(nodes, 10, 1, 11)[:2] == [None, (True, nodes[1][8, 10])]
+
+
+def test_words_and_marks_are_encoded_as_the_library_does():
+    """A word is kept once, as a chunk; ids are the library's with marks, controls and special strings too."""
+    made = token_frames.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["onen the haed, onen: erst.", "añadoó ciónes, a\x7fb \x01 x\tend", "a <|endoftext|> b<|endoftext|>.", " of  the\nThe", "ab, ab ab,", "日本, 日", "don't 12. !?", "word\xa0, x"]
+    for text in texts:
+        assert np.frombuffer(made.packed(text), "<u2").tolist() == made.library.encode(text, add_special_tokens=False).ids
+    assert " ab" in made.chunk and " ab" not in made.piece
