@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,40 @@ def test_limits_of_a_stream_and_idle_keys(spark, tmp_path):
     assert many >= 50 and run([(1000, 5 * S, 1000)], 1) < many / 2
 
 
+def test_limits_take_the_keys_of_a_group_in_one_call():
+    """An entry is read once and written only if it changed, however many hits its key has."""
+
+    class State(dict):
+        read, written = 0, 0
+
+        def getValue(self, key):
+            self.read += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.written += 1
+            self[key] = value
+
+    limits = live._Limits(2, 10)
+    limits.recent = state = State({(7,): ([90 * S, 95 * S],), (8,): ([1 * S],)})
+    rows = [(7, 99 * S, 5), (8, 99 * S, 2), (9, 99 * S, 3), (live.UNSET, 99 * S, live.UNSET), (9, 98 * S, 4), (9, 97 * S, 1)]
+    parts = [pd.DataFrame(part, columns=["key", "us", "id"]) for part in (rows[:4], rows[4:])]
+    (out,) = limits.handleInputRows((0,), iter(parts), None)
+    got = {(r.key, r.id): (r.allowed, r.remaining, r.reset // S) for r in out.itertuples()}
+    assert got == {(None, None): (True, 1, 109), (7, 5): (False, 0, 100), (8, 2): (True, 1, 109), (9, 1): (True, 1, 107), (9, 4): (True, 0, 107), (9, 3): (False, 0, 107)}
+    assert (state.read, state.written) == (4, 3) and state[9,] == ([97 * S, 98 * S],)
+
+
+def test_limits_of_a_stream_with_unnamed_keys_and_hits(spark, tmp_path):
+    rng, big = random.Random(8), (1 << 60) + 1
+    hits = [(rng.choice([None, 1, 2, big, big + 1]), k * 7 * S, None if k % 11 == 0 else big + k) for k in range(200)]
+    schema = "key long, us long, id long"
+    table = spark.createDataFrame(hits, schema).withColumn("ts", F.timestamp_micros("us"))
+    want = feedback.rate_limit(table, 3, 60).select("key", F.unix_micros("ts"), "id", "allowed", "remaining", F.unix_micros("reset")).collect()
+    got, _ = sinks.run_to_end(live.limit_rates(replayed(spark, hits, schema, f"{tmp_path}/in", [60, 61]), 3, 60), f"file://{tmp_path}/out", timers=False)
+    assert len(want) == len(hits) and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_late_rows_go_to_their_own_part(spark, tmp_path):
     schema = "id long, ts timestamp"
     at = lambda s: 1_700_000_000 + s
