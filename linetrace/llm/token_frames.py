@@ -23,6 +23,7 @@ import struct
 import uuid
 from collections.abc import Collection, Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +45,26 @@ HEAD = struct.Struct("<4sBBQ")  # "LTOK", version, bytes of an id, documents
 FRAME, ENTRY, FOOT = struct.Struct("<II"), np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")]), struct.Struct("<IBI")
 GPT_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Marks that end a word and are pieces of their own.
+#: Marks that end most words; no letters, numbers or white space, and pieces of their own like all runs of punctuation.
 MARKS = ",.;:!?"
 
 FRAME_IDS, FILE_BYTES, FILE_DOCS = 1 << 22, 1 << 28, 1 << 22
 #: Characters of a text that are cut into chunks at once, and bytes of ids in one batch read.
 SLICE, BATCH = 1 << 20, 1 << 22
 LEVEL = 1
+#: Words that a task keeps in each half of its table, some 200 bytes each.
+WORDS = 450_000
 MANIFEST = "file string, part int, no int, first long, last long, has_null boolean, n_docs long, n_ids long"
 
+class _Mixed(Exception):
+    """A chunk with white space other than one space before all else: where to cut depends on what is beside it."""
+
+
 #: Before one of these spaces every text can be cut: the space goes with what follows it.
 _CUT = re.compile(r"(?<=[!-~¡-ɏ])(?= [!-~¡-ɏ])")
 #: Only where a space stands amid white space, or ends it, may it belong to what precedes it.
 _WIDE_SPACE = re.compile(r"\s \s|\s $")
+_SPACE = re.compile(r"\s")
 
 
 class Encoder:
@@ -71,7 +79,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.model, self.symbols = self.library.model, "".join(_byte_symbols()[b] for b in range(256))
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        last = max(self.library.get_vocab().values(), default=0)
+        self.width = 2 if last < 1 << 16 else 4
+        self.ids = [i.to_bytes(self.width, "little") for i in range(last + 1)]
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
         added = [t["content"] for t in spec.get("added_tokens", ())]
@@ -81,43 +91,67 @@ class Encoder:
         # A chunk of letters and a mark holds no added token if each of these has some other character.
         self.words_are_plain = all(any(not c.isalpha() and c not in MARKS for c in t) for t in added)
         self.pieces = regex.compile(GPT_PIECES)
-        self.piece, self.chunk = _Memo(self._piece), _Memo(self._chunk)
+        self.piece, self.chunk = _Memo(self._piece), _Memo(self._word, WORDS)
+        self.mixed = _Memo(self._chunk, WORDS // 8)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        return b"".join([self.ids[i] for i in ids])
 
     def _piece(self, piece: str) -> bytes:
         # Visible ASCII characters are their own symbols.
         plain = piece.isascii() and piece.isprintable()
         said = piece.replace(" ", self.symbols[32]) if plain else "".join([self.symbols[b] for b in piece.encode()])
-        return self._packed([t.id for t in self.model.tokenize(said)])
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(said)])
+
+    def _word(self, chunk: str) -> bytes:
+        """Ids of a chunk that is the same wherever it stands: a line break, or no white space but a space
+        that begins it."""
+        if chunk != "\n" and (not (bare := chunk.removeprefix(" ")) or _SPACE.search(bare)):
+            raise _Mixed
+        return self._chunk(chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         # Which characters are letters is settled up to U+024F; beyond that the library has its own tables.
         bare = chunk[1:] if chunk[0] == " " else chunk
-        alone, marked = bare.isalpha(), bare[:-1].isalpha() and bare[-1] in MARKS
-        known = self.words_are_plain and (alone or marked)
+        letters = bare.rstrip(punctuation)
+        tail, worded = bare[len(letters) :], letters.isalpha()
+        known = self.words_are_plain and worded and (not tail or tail in MARKS and len(tail) == 1)
         if not chunk.isascii() and max(chunk) > "\u024f" or not known and self.added.search(chunk):
             return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
-        if alone:  # kept as a chunk, so not as a piece as well
+        if not worded:
+            return b"".join([self.piece[p] for p in self.pieces.findall(chunk)])
+        if not tail:  # kept as a chunk, so not as a piece as well
             return self._piece(chunk)
-        if marked:
-            word = chunk[:-1]
-            return (self.chunk.get(word) or self.chunk.older.get(word) or self._piece(word)) + self.piece[chunk[-1]]
-        return b"".join([self.piece[p] for p in self.pieces.findall(chunk)])
+        word = chunk[: -len(tail)]
+        return (self.chunk.get(word) or self.chunk.older.get(word) or self._piece(word)) + self.piece[tail]
+
+    def _part(self, part: str) -> bytes:
+        if "\0" not in part:
+            # Most texts have single spaces, which go with what follows, and line breaks between other characters.
+            chunks, chunk = part.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"), self.chunk
+            try:
+                return b"".join([chunk[c] for c in chunks[not chunks[0] : len(chunks) - (not chunks[-1])]])
+            except _Mixed:
+                pass
+        chunks = _CUT.split(part) if "\0" in part or _WIDE_SPACE.search(part) else part.replace(" ", "\0 ").split("\0")
+        return b"".join([self._either(c) for c in chunks if c])
+
+    def _either(self, chunk: str) -> bytes:
+        try:
+            return self.chunk[chunk]
+        except _Mixed:
+            return self.mixed[chunk]
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian numbers of ``width`` bytes."""
         if not self.by_chunk:
             return self._packed(self.library.encode(text, add_special_tokens=False).ids)
-        out, chunk, at = [], self.chunk, 0
+        out, at = [], 0
         while at < len(text):
             # Very long texts a slice at a time, which ends at a safe cut as well.
             end = next((m.start() for m in _CUT.finditer(text, at + SLICE)), len(text)) if len(text) - at > 2 * SLICE else len(text)
-            part = text[at:end] if at or end < len(text) else text
+            out.append(self._part(text[at:end]))
             at = end
-            chunks = _CUT.split(part) if _WIDE_SPACE.search(part) else part.replace(" ", "\0 ").split("\0") if "\0" not in part else _CUT.split(part)
-            out += [chunk[c] for c in chunks if c]
         return b"".join(out)
 
 

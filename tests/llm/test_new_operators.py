@@ -228,3 +228,17 @@ def test_words_and_marks_are_encoded_as_the_library_does():
     for text in texts:
         assert np.frombuffer(made.packed(text), "<u2").tolist() == made.library.encode(text, add_special_tokens=False).ids
     assert " ab" in made.chunk and " ab" not in made.piece
+
+
+def test_lines_are_cut_and_have_the_ids_of_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, library = token_frames.Encoder(path), Tokenizer.from_file(path)
+    assert made.packed("ab cd.\nEf gh,***") == made._packed(library.encode("ab cd.\nEf gh,***", add_special_tokens=False).ids)
+    # Words beside a line break are kept as words, not as a pair that hardly comes again.
+    assert {"ab", " cd.", "\n", "Ef", " gh,***"} == set(made.chunk) and not made.mixed
+    rng = random.Random(12)
+    bits = ["\n", "\n", "\n\n", " ", " ", "  ", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u2028", "\0", "ab", "Cd", "été", "x1", "77", ",", ".", "***", "'", "'s", "n't", "<|endoftext|>", "<|", "ß", "東", "🙂", "\u0301"]
+    for n in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        text = f"a {text} b" if n % 3 == 0 else f"a\n{text}\nb" if n % 3 == 1 else text
+        assert made.packed(text) == made._packed(library.encode(text, add_special_tokens=False).ids), repr(text)
