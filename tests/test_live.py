@@ -90,6 +90,18 @@ def test_scorers():
     assert lineindex.ranked_scores("", ["a"]).tolist() == [0.0]
 
 
+def test_scores_of_groups_are_those_of_plain_lines(corpus):
+    """Before and after the words of a group are placed, over parts of one group and of several."""
+    lines, rows, index = corpus
+    rng = random.Random(2)
+    for k in range(60):
+        lo = rng.choice([0, 20, 1000, 3010, 7020])
+        orders, passages, texts = index.between(lo, lo + rng.choice([0, 5, 30, 2500]))
+        query = " ".join(rng.sample(rng.choice(lines)[2].split(), 4)) if k % 7 else rng.choice(["", "zzz yyy"])
+        assert lineindex.overlap_scores(query, texts).tolist() == lineindex.overlap_scores(query, list(texts)).tolist()
+    assert any(texts.met >= texts.PAYS * len(texts) and "places" in vars(texts) for texts, _, _ in index.between(0, 9000)[2].parts)
+
+
 def told(rng, lines, n=60):
     """Utterances of readers: lines in order, some garbled, with pauses."""
     rows = []
