@@ -102,6 +102,76 @@ def test_scores_of_groups_are_those_of_plain_lines(corpus):
     assert any(texts.met >= texts.PAYS * len(texts) and "places" in vars(texts) for texts, _, _ in index.between(0, 9000)[2].parts)
 
 
+class Handle:
+    """State of one group, counting what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.entries, self.kept, self.timers = [], {}, None, set()
+
+    def getMapState(self, name, key, value):
+        handle = self
+
+        class Map:
+            def getValue(self, key):
+                handle.calls.append(("get", name, key))
+                return handle.entries.get((name, key))
+
+            def updateValue(self, key, value):
+                handle.calls.append(("put", name, key))
+                handle.entries[name, key] = value
+
+        return Map()
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                return handle.kept
+
+            def update(self, value):
+                handle.kept = value
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_call_takes_the_sessions_of_a_group_and_sets_one_timer(corpus):
+    """However many sessions a group has, it has one timer; an entry is read once and written once a call."""
+    lines, rows, index = corpus
+    handle = Handle()
+    runner = live._Live(lambda: live.Position(index, lineindex.overlap_scores), live.POSITION, ["us", "seq"])
+    runner.init(handle)
+    said = [(s, (s + 10 * k) * S, k, lines[k][2], lines[k][0], lines[k][2]) for s in (3, 1, live.UNSET, 2) for k in (1, 0, 2) if s > 0 or k < 2]
+    said = [(s, us if s > 0 else 5 * S + k, k, *rest) for s, us, k, *rest in said]
+    frames = [pd.DataFrame(x, columns=live.POSITION) for x in (said[:5], said[5:])]
+    out = pd.concat(runner.handleInputRows((0,), iter(frames), Clock(0)))
+    want = {s: [] for s in (1, 2, 3, live.UNSET)}
+    for s in want:
+        machine = live.Position(index, lineindex.overlap_scores)
+        for row in sorted(r for r in said if r[0] == s):
+            want[s] += machine.take(None if s == live.UNSET else s, *row[1:])
+    got = [tuple(None if v is None or v != v else v for v in r) for r in out.itertuples(index=False)]
+    assert sorted(got, key=str) == sorted(sum(want.values(), []), key=str)
+    assert sorted(handle.calls) == sorted((c, "sessions", (s,)) for s in want for c in ("get", "put"))
+    assert handle.timers == {15_001}  # the unnamed session's pause comes first
+    handle.timers.clear()  # it has expired
+    fired = pd.concat(runner.handleExpiredTimer((0,), Clock(31_500), Clock(15_001)))
+    assert sorted(map(str, fired.session_id)) == ["1", "None"] and set(fired.event) == {"hold"} and handle.timers == {32_000}
+    handle.timers.clear()
+    assert len(pd.concat(runner.handleExpiredTimer((0,), Clock(10**9), Clock(32_000)))) == 6 and not handle.timers
+
+
 def told(rng, lines, n=60):
     """Utterances of readers: lines in order, some garbled, with pauses."""
     rows = []
