@@ -155,6 +155,23 @@ def test_scores_with_a_floor_are_exact_above_it():
         assert all(abs(x - w) < 1e-9 if w >= floor else x < floor for x, w in zip(got, want, strict=True))
 
 
+def test_a_long_line_is_tried_at_many_places_at_once(monkeypatch):
+    """The number of rounds is that of a run of places, however long the longest line is."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    for size in (20, 32, 33, 70):
+        q, rows = word(size), [word(n) for n in (0, 3, size - 1, size, size + 31, size + 32, size + 33, 400)]
+        want = [partial(q, r) for r in rows]
+        for most in (4, 1 << 13):
+            assert all(abs(x - w) < 1e-9 for x, w in zip(scoring.partial_ratios(q, rows, most=most), want, strict=True))
+            assert all(abs(x - w) < 1e-9 if w >= 60 else x < 60 for x, w in zip(scoring.partial_ratios(q, rows, 60.0, most), want, strict=True))
+    rounds, matched = [], scoring._matched
+    monkeypatch.setattr(scoring, "_matched", lambda *a: rounds.append(1) or matched(*a))
+    q, inside = word(30), word(9000)
+    got = scoring.partial_ratios(q, [word(60) for _ in range(50)] + [inside + q + inside])
+    assert got[-1] == 100.0 and len(rounds) < 3 * scoring.RUN
+
+
 def searched(spark):
     rng = random.Random(14)
     text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(n))
